@@ -56,3 +56,115 @@ def q_resume_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmix.operators.mixing import parse_resume_step
     step = parse_resume_step("/ckpt/ckpt_step-10_loss-2.1234")
     return T.features_report(T.stage1_features(spark, sf_dir, start_step=step))
+
+
+# ---------------------------------------------------------------- evaluation
+from weftmix.operators import metrics as M  # noqa: E402
+from weftmix.operators import review as RV  # noqa: E402
+from weftmix.plans import evaluation as E  # noqa: E402
+from weftmix.plans import inputs as I  # noqa: E402
+from weftmix.plans import oracle_eval as OE  # noqa: E402
+
+
+def _review_cols(df: DataFrame) -> DataFrame:
+    return df.select("review_id", F.col("question_id").cast("bigint").alias("question_id"), "answer1_id",
+                     "answer2_id", F.col("reviewer_id").cast("bigint").alias("reviewer_id"), "text",
+                     F.element_at("score", 1).alias("score_a"), F.element_at("score", 2).alias("score_b"))
+
+
+def _category_out(df: DataFrame) -> DataFrame:
+    return df.select("category", F.col("n_reviews").cast("bigint").alias("n_reviews"), "score_a", "score_b",
+                     F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"),
+                     F.col("first_qid").cast("bigint").alias("first_qid"))
+
+
+@register("review_requests", OE.review_requests_sql())
+def q_review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 + D3 + D4 + H14 + H18: judge requests (prompt as length + md5)."""
+    q, a1, a2, r, p = E.review_inputs(spark, sf_dir)
+    req = RV.build_review_requests(q, a1, a2, r, p)
+    return req.select(F.col("question_id").cast("bigint").alias("question_id"), "category",
+                      F.col("reviewer_id").cast("bigint").alias("reviewer_id"),
+                      F.col("prompt_id").cast("bigint").alias("prompt_id"),
+                      F.col("max_tokens").cast("bigint").alias("max_tokens"), "answer1_id", "answer2_id",
+                      "system_prompt", F.length("prompt").cast("bigint").alias("prompt_len"),
+                      F.md5("prompt").alias("prompt_md5"))
+
+
+@register("review_answers", OE.review_answers_sql())
+def q_review_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 first pass with the SQL stand-in judge (+ H15, H16)."""
+    return _review_cols(E.first_pass(spark, sf_dir))
+
+
+@register("pending_reviews", OE.pending_reviews_sql())
+def q_pending_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews whose judge text did not parse."""
+    return _review_cols(RV.pending_reviews(E.first_pass(spark, sf_dir)))
+
+
+@register("merge_reviews", OE.merge_reviews_sql())
+def q_merge_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 retry pass + D6: only pending rows are judged again and merged."""
+    return _review_cols(E.retried(spark, sf_dir))
+
+
+@register("review_scores", OE.review_scores_sql())
+def q_review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 over the merged reviews (C11 rejects score 0 rows)."""
+    q = I.questions(spark, sf_dir)
+    return _category_out(M.category_scores(E.retried(spark, sf_dir), q))
+
+
+@register("category_scores", OE.category_scores_sql())
+def q_category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4-style stored reviews (from labels) -> D5 -> H15 -> C11 -> E1."""
+    return _category_out(M.category_scores(E.label_reviews(spark, sf_dir), I.questions(spark, sf_dir)))
+
+
+@register("micro_scores", OE.micro_scores_sql())
+def q_micro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2."""
+    m = M.micro_scores(E.label_reviews(spark, sf_dir), I.questions(spark, sf_dir))
+    return m.select(F.col("n_reviews").cast("bigint").alias("n_reviews"), F.round("micro_a", 6).alias("micro_a"),
+                    F.round("micro_b", 6).alias("micro_b"))
+
+
+@register("macro_scores", OE.macro_scores_sql())
+def q_macro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of unrounded category means."""
+    c = M.category_scores(E.label_reviews(spark, sf_dir), I.questions(spark, sf_dir))
+    m = M.macro_scores(c)
+    return m.select(F.col("n_categories").cast("bigint").alias("n_categories"),
+                    F.round("macro_a", 6).alias("macro_a"), F.round("macro_b", 6).alias("macro_b"))
+
+
+@register("score_table", OE.score_table_sql())
+def q_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 + E2 (one rollup pass) + E3."""
+    t = M.score_table(E.label_reviews(spark, sf_dir), I.questions(spark, sf_dir))
+    return t.select("category", F.col("n_reviews").cast("bigint").alias("n_reviews"),
+                    F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"),
+                    F.col("first_qid").cast("bigint").alias("first_qid"))
+
+
+@register("parse_scores", OE.parse_scores_sql())
+def q_parse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H15 over every stored judge text."""
+    r = E.label_reviews(spark, sf_dir)
+    return r.select(F.col("question_id").cast("bigint").alias("question_id"), "category", "text",
+                    F.element_at("score", 1).alias("score_a"), F.element_at("score", 2).alias("score_b"))
+
+
+@register("contiguous_ids", OE.contiguous_ids_sql())
+def q_contiguous_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C9."""
+    return RV.require_contiguous_ids(I.questions(spark, sf_dir)).select(
+        *[F.col(c).cast("bigint").alias(c) for c in ["n_rows", "min_id", "max_id", "n_distinct"]], "ok")
+
+
+@register("aligned_answers", OE.aligned_answers_sql())
+def q_aligned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10."""
+    q, a1, a2, _, _ = E.review_inputs(spark, sf_dir)
+    return RV.require_aligned(q, a1, a2)

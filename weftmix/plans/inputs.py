@@ -101,10 +101,11 @@ def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions ``question_id, text, category`` from documents."""
+    """Questions ``question_id, text, category`` from documents
+    (``question_id = doc_id + 1``, so ids run 1..n like a question file)."""
     cats = F.array(*[F.lit(c) for c in CATEGORIES])
     d = documents(spark, sf_dir)
-    return d.select(F.col("doc_id").alias("question_id"), "text",
+    return d.select((F.col("doc_id") + 1).alias("question_id"), "text",
                     F.element_at(cats, source_number() % len(CATEGORIES) + 1).alias("category"))
 
 
@@ -113,9 +114,9 @@ def answers(spark: SparkSession, sf_dir: str, half: int, model_id: str) -> DataF
     each document's text."""
     from weftmix.functions.review import new_id
     d = documents(spark, sf_dir)
-    n = F.length("text")
-    cut = F.floor(n / 2).cast("int")
-    txt = F.substring("text", 1, cut) if half == 1 else F.expr("substring(text, floor(length(text) / 2) + 1)")
-    return d.select(F.col("doc_id").alias("question_id"), txt.alias("text"),
-                    new_id(F.lit(model_id), F.col("doc_id")).alias("answer_id"),
+    txt = (F.expr("substring(text, 1, CAST(floor(length(text) / 2) AS INT))") if half == 1
+           else F.expr("substring(text, CAST(floor(length(text) / 2) AS INT) + 1)"))
+    qid = F.col("doc_id") + 1
+    return d.select(qid.alias("question_id"), txt.alias("text"),
+                    new_id(F.lit(model_id), qid).alias("answer_id"),
                     F.lit(model_id).alias("model_id"))
