@@ -168,3 +168,28 @@ def q_aligned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C10."""
     q, a1, a2, _, _ = E.review_inputs(spark, sf_dir)
     return RV.require_aligned(q, a1, a2)
+
+
+@register("stage2_features", OT.stage2_features_sql())
+def q_stage2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7 stage 2: C3 task prompts (pre/post, type lookup), C5 prefixes."""
+    return T.features_report(T.stage2_features(spark, sf_dir))
+
+
+@register("stage3_features", OT.stage3_features_sql())
+def q_stage3_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7 stage 3: C6 chat prefix, C7 strip, C8 rejects removed."""
+    return T.features_report(T.stage3_features(spark, sf_dir))
+
+
+@register("strip_fields", OT.strip_fields_sql())
+def q_strip_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 + C8: stripped instruction records and the non-empty flag."""
+    from weftmix.operators import examples as EX
+    r = EX.instruct_example(I.instruction_rows(spark, sf_dir))
+    return r.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
+                    F.md5("instruction").alias("instruction_md5"), F.md5("input").alias("input_md5"),
+                    F.md5("output").alias("output_md5"),
+                    F.length("instruction").cast("bigint").alias("n_instruction"),
+                    F.length("input").cast("bigint").alias("n_input"),
+                    F.length("output").cast("bigint").alias("n_output"), "valid")

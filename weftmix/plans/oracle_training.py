@@ -130,3 +130,95 @@ SELECT CAST(rank AS BIGINT) AS rank, CAST(batch_id AS BIGINT) AS batch_id, CAST(
        CAST(row_idx AS BIGINT) AS row_idx, CAST(draw AS BIGINT) AS draw
 FROM (SELECT rank, batch_id, slot, global_pos, tag, file_name, doc_id, row_idx, draw FROM lm_draws
       UNION ALL SELECT rank, batch_id, slot, global_pos, tag, file_name, doc_id, row_idx, draw FROM tr_draws)"""
+
+
+def _task_examples(name: str) -> str:
+    key = ["rank", "global_pos"]
+    pos = f"['post', 'pre'][{h(key, 'prompt-pos')} % 2 + 1]"
+    return f"""{name}_ex0 AS (
+  SELECT d.*, {pos} AS pos0 FROM {name}_draws d),
+{name}_ex1 AS (
+  SELECT d.*, {rstrip('p.prompts[' + h(key, 'task-prompt') + ' % len(p.prompts) + 1]')} AS prompt,
+         CASE WHEN p.prompts IS NOT NULL AND len(p.prompts) > 0 THEN d.pos0 END AS prompt_pos
+  FROM {name}_ex0 d
+  LEFT JOIN {values_pools(inputs.TASK_POOLS)}
+         ON length(coalesce(d.type, '')) > 0 AND p.pool_key = d.type || '.' || d.pos0),
+{name}_ex AS (
+  SELECT *, {rstrip('output0')} AS output FROM (SELECT * EXCLUDE (output), output AS output0 FROM {name}_ex1))"""
+
+
+def _stage2_prefix() -> str:
+    return (f"(CASE WHEN prompt_pos = 'pre' THEN prompt || chr(10) || {rstrip('input')} || chr(10) || chr(10) "
+            f"WHEN prompt_pos = 'post' THEN {rstrip('input')} || chr(10) || prompt || chr(10) "
+            f"ELSE input || ' ' END)")
+
+
+def stage2_features_sql() -> str:
+    return f"""WITH lm_rows AS (SELECT lang AS tag, source AS file_name, doc_id, text FROM documents WHERE lang = 'en'),
+en_j AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS j
+         FROM documents WHERE lang = 'en'),
+fr_j AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS j
+         FROM documents WHERE lang = 'fr'),
+tr_rows AS (SELECT 'translate' AS tag, a.source AS file_name, a.doc_id, b.doc_id AS pair_doc_id,
+                   a.text AS en_text, b.text AS zh_text
+            FROM en_j a JOIN fr_j b ON a.source = b.source AND a.j = b.j),
+tk_rows AS (SELECT 'task-' || lang AS tag, source AS file_name, doc_id, text AS input,
+                   string_split(text, chr(10))[1] AS output, source AS type
+            FROM documents WHERE lang IN ('es', 'de')),
+{_spec(STAGE2_WEIGHTS)},
+{_index('lm', 'lm_rows')},
+{_index('tr', 'tr_rows')},
+{_index('tk', 'tk_rows')},
+{_steps(['lm', 'tr', 'tk'])},
+{_draws('lm')},
+{_draws('tr')},
+{_draws('tk')},
+{_lm_feats('lm')},
+{_translate_examples('tr0', post=True).replace('tr0_draws', 'tr_draws')},
+tr_ex AS (SELECT *, 'post' AS prompt_pos FROM tr0_ex),
+{_s2s_feats('tr', _stage2_prefix())},
+{_task_examples('tk')},
+{_s2s_feats('tk', _stage2_prefix())}
+{_report('(SELECT * FROM lm_f UNION ALL SELECT * FROM tr_f UNION ALL SELECT * FROM tk_f)')}"""
+
+
+def instruct_rows_sql() -> str:
+    """Instruction records from conversations, stripped, with tag/file."""
+    return f"""conv AS (SELECT conv_id, turn, role, text FROM conversations),
+instr0 AS (
+  SELECT u.conv_id, u.turn, coalesce(s.text, '') AS instruction, u.text AS input, a.text AS output
+  FROM (SELECT * FROM conv WHERE role = 'user') u
+  LEFT JOIN (SELECT * FROM conv WHERE role = 'system') s ON s.conv_id = u.conv_id AND s.turn + 1 = u.turn
+  JOIN (SELECT * FROM conv WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn),
+instr AS (
+  SELECT conv_id, turn, {strip("coalesce(instruction, '')")} AS instruction, {strip("coalesce(input, '')")} AS input,
+         {strip("coalesce(output, '')")} AS output FROM instr0)"""
+
+
+def stage3_features_sql() -> str:
+    from weftmix.plans.training import STAGE3_WEIGHTS
+    B = 24
+    prefix = ("'Human: ' || CASE WHEN length(instruction) > 0 THEN instruction || chr(10) ELSE '' END || "
+              "CASE WHEN length(input) > 0 THEN input || chr(10) ELSE '' END || 'Assistant: '")
+    return f"""WITH {instruct_rows_sql()},
+ch_rows AS (
+  SELECT CASE WHEN length(instruction) > 0 THEN 'chat-system' ELSE 'chat' END AS tag,
+         lpad(CAST(CAST(floor(conv_id / 16) AS BIGINT) AS VARCHAR), 5, '0') || '.jsonl' AS file_name,
+         conv_id * 100 + turn AS doc_id, instruction, input, output
+  FROM instr WHERE length(instruction) + length(input) > 0),
+{_spec(STAGE3_WEIGHTS)},
+{_index('ch', 'ch_rows')},
+{_steps(['ch'], B)},
+{_draws('ch', B)},
+ch_ex AS (SELECT * FROM ch_draws),
+{_s2s_feats('ch', prefix)}
+{_report('ch_f')}"""
+
+
+def strip_fields_sql() -> str:
+    return f"""WITH {instruct_rows_sql()}
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, md5(instruction) AS instruction_md5,
+       md5(input) AS input_md5, md5(output) AS output_md5, CAST(length(instruction) AS BIGINT) AS n_instruction,
+       CAST(length(input) AS BIGINT) AS n_input, CAST(length(output) AS BIGINT) AS n_output,
+       length(instruction) + length(input) > 0 AS valid
+FROM instr"""

@@ -76,3 +76,56 @@ def features_report(feats: DataFrame) -> DataFrame:
         F.col("n_target").cast("bigint").alias("n_target"),
         F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"),
         F.md5(F.array_join(F.col("loss_mask").cast("array<string>"), ",")).alias("mask_md5"))
+
+
+def _schedule_all(spark: SparkSession, parts, weights, batch_size: int, steps: int | None, start_step: int,
+                  world_size: int):
+    """Index each source, derive the epoch step count, schedule each."""
+    spec = mix_spec(spark, weights)
+    idx = [indexed(spark, p, world_size) for p in parts]
+    if steps is None:
+        steps = max(epoch_steps(i, spec, batch_size) for i in idx)
+    return [mix_schedule(i, spec, steps, batch_size, start_step) for i in idx], steps
+
+
+def stage2_features(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
+                    max_len: int = MAX_LEN, world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """H7 for stage 2: LM + translation (post prompt) + task records with
+    pre/post prompts (C3, C5)."""
+    lm = inputs.lm_rows(spark, sf_dir, ["en"]).withColumn("lm_ids", lm_ids("text", max_len))
+    tr = inputs.translate_rows(spark, sf_dir)
+    tk = inputs.task_rows(spark, sf_dir, ["es", "de"])
+    (lm_s, tr_s, tk_s), steps = _schedule_all(spark, [lm, tr, tk], STAGE2_WEIGHTS, batch_size, steps,
+                                              start_step, world_size)
+    tpools = ex.prompt_pools(spark, inputs.TRANSLATE_POOLS)
+    kpools = ex.prompt_pools(spark, inputs.TASK_POOLS)
+    cols = ["rank", "batch_id", "slot", "global_pos", "tag", "doc_id", *ex.UNIFIED_COLS]
+    a = ex.lm_example(lm_s).select(*cols, "lm_ids")
+    b = ex.translate_example(tr_s, tpools, DRAW_KEY, prompt_pos="post").select(*cols)
+    c = ex.task_example(tk_s, kpools, DRAW_KEY).select(*cols)
+    feats = featurize(ex.with_prefix(ex.union_kinds(a, b, c), 2), max_len, DRAW_KEY, lm_ids_col="lm_ids")
+    return pad_batches(feats)
+
+
+STAGE3_WEIGHTS = [("chat", 2), ("chat-system", 1)]
+
+
+def instruct_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction records as a two-subset corpus: with / without a system
+    instruction; files of 16 conversations; order (conv_id, turn)."""
+    r = inputs.instruction_rows(spark, sf_dir)
+    return (ex.instruct_example(r)
+            .withColumn("tag", F.when(F.length("instruction") > 0, "chat-system").otherwise("chat"))
+            .withColumn("file_name", F.concat(F.lpad(F.floor(F.col("conv_id") / 16).cast("string"), 5, "0"),
+                                              F.lit(".jsonl")))
+            .withColumn("doc_id", F.col("conv_id") * 100 + F.col("turn")))
+
+
+def stage3_features(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
+                    max_len: int = MAX_LEN, world_size: int = WORLD_SIZE, batch_size: int = 24) -> DataFrame:
+    """H7 for stage 3: stripped instruction records (C7), rejects removed
+    (C8), ``Human: ... Assistant: `` prefix (C6)."""
+    ok, _rejects = ex.require_nonempty(instruct_source(spark, sf_dir))
+    (s,), steps = _schedule_all(spark, [ok], STAGE3_WEIGHTS, batch_size, steps, start_step, world_size)
+    feats = featurize(ex.with_prefix(s, 3), max_len, DRAW_KEY)
+    return pad_batches(feats)
