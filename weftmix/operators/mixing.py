@@ -96,10 +96,11 @@ def index_rows(rows: DataFrame, shards: DataFrame, order_cols, file_key=("tag",
     row_idx`` and the rank's tag size ``n_rows``.
     """
     key = list(file_key)
-    listing = F.broadcast(shards.select(*key, "rank", "rank_file_ord"))
+    has_size = "n_rows" in shards.columns
+    listing = F.broadcast(shards.select(*key, "rank", "rank_file_ord", *(["n_rows"] if has_size else [])))
     with_rank = rows.join(listing, key, "inner")
     return dense_index(with_rank, ["tag", "rank"], ["rank_file_ord", *order_cols],
-                       out_col="row_idx", size_col="n_rows")
+                       out_col="row_idx", size_col=None if has_size else "n_rows")
 
 
 def parse_resume_step(checkpoint_path: str | None) -> int:

@@ -193,3 +193,13 @@ def q_strip_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length("instruction").cast("bigint").alias("n_instruction"),
                     F.length("input").cast("bigint").alias("n_input"),
                     F.length("output").cast("bigint").alias("n_output"), "valid")
+
+
+# ------------------------------------------------------------- conversations
+from weftmix.plans import conversations as CV  # noqa: E402
+
+register("order_turns", CV.order_turns_sql())(CV.order_turns_q)
+register("render_prompts", CV.render_prompts_sql())(CV.render_prompts_q)
+register("chat_pairs", CV.chat_pairs_sql())(CV.chat_pairs_q)
+register("api_messages", CV.api_messages_sql())(CV.api_messages_q)
+register("answer_prompts", CV.answer_prompts_sql())(CV.answer_prompts_q)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftmix.operators import examples as ex
 from weftmix.operators.features import featurize, lm_ids, pad_batches
-from weftmix.operators.mixing import epoch_steps, index_rows, mix_schedule, mix_spec, shard_files
+from weftmix.operators.mixing import index_rows, mix_schedule, mix_spec, shard_files
 from weftmix.plans import inputs
 
 WORLD_SIZE = 2
@@ -26,28 +26,50 @@ DRAW_KEY = ["rank", "global_pos"]
 
 
 def file_listing(spark: SparkSession, rows: DataFrame, world_size: int) -> DataFrame:
-    """B1 over the files present in ``rows``. The listing (one row per file)
-    is materialised as a local relation: file metadata, bounded by the
-    number of files, like any file source listing on the driver."""
-    files = rows.select("tag", "file_name").distinct()
+    """B1 over the files present in ``rows``, with each file's row count and
+    the rank's subset size ``n_rows``.
+
+    One partial aggregation; the listing (one row per file, like any file
+    source listing) comes back to the driver and is re-created as a local
+    relation, so later joins against it broadcast a table of known size.
+    """
+    files = rows.groupBy("tag", "file_name").agg(F.count(F.lit(1)).alias("n_file"))
     listed = shard_files(files, world_size).collect()
-    schema = "tag string, file_name string, file_ord int, rank int, rank_file_ord int"
-    return spark.createDataFrame([(r["tag"], r["file_name"], r["file_ord"], r["rank"], r["rank_file_ord"])
-                                  for r in listed], schema)
+    sizes: dict = {}
+    for r in listed:
+        sizes[(r["tag"], r["rank"])] = sizes.get((r["tag"], r["rank"]), 0) + r["n_file"]
+    schema = "tag string, file_name string, file_ord int, rank int, rank_file_ord int, n_file bigint, n_rows bigint"
+    return spark.createDataFrame([(r["tag"], r["file_name"], r["file_ord"], r["rank"], r["rank_file_ord"],
+                                   r["n_file"], sizes[(r["tag"], r["rank"])]) for r in listed], schema)
 
 
-def indexed(spark: SparkSession, rows: DataFrame, world_size: int = WORLD_SIZE) -> DataFrame:
-    return index_rows(rows, file_listing(spark, rows, world_size), ["doc_id"])
+def steps_for_epoch(listings, weights, batch_size: int) -> int:
+    """Steps so that every rank draws each of its rows at least once:
+    ceil(max over (rank, tag) of ceil(N / w) * W / B), from listing metadata."""
+    w = {t: int(x) for t, x in weights}
+    W = sum(w.values())
+    best = 0
+    for lst in listings:
+        for r in lst.select("tag", "n_rows").distinct().collect():
+            if r["tag"] in w and w[r["tag"]] > 0:
+                best = max(best, -(-int(r["n_rows"]) // w[r["tag"]]) * W)
+    return -(-best // int(batch_size))
+
+
+def indexed(spark: SparkSession, rows: DataFrame, world_size: int = WORLD_SIZE):
+    """(indexed rows, listing) for one source."""
+    listing = file_listing(spark, rows, world_size)
+    return index_rows(rows, listing, ["doc_id"]), listing
 
 
 def stage1_schedule(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
                     world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE):
     """Indexed + scheduled stage-1 rows, as (lm_draws, translate_draws, steps)."""
     spec = mix_spec(spark, STAGE1_WEIGHTS)
-    lm = indexed(spark, inputs.lm_rows(spark, sf_dir, ["de", "en"]), world_size)
-    tr = indexed(spark, inputs.translate_rows(spark, sf_dir), world_size)
+    lm, l1 = indexed(spark, inputs.lm_rows(spark, sf_dir, ["de", "en"]), world_size)
+    tr, l2 = indexed(spark, inputs.translate_rows(spark, sf_dir), world_size)
     if steps is None:
-        steps = max(epoch_steps(lm, spec, batch_size), epoch_steps(tr, spec, batch_size))
+        steps = steps_for_epoch([l1, l2], STAGE1_WEIGHTS, batch_size)
     return lm, tr, spec, steps
 
 
@@ -82,10 +104,10 @@ def _schedule_all(spark: SparkSession, parts, weights, batch_size: int, steps: i
                   world_size: int):
     """Index each source, derive the epoch step count, schedule each."""
     spec = mix_spec(spark, weights)
-    idx = [indexed(spark, p, world_size) for p in parts]
+    pairs = [indexed(spark, p, world_size) for p in parts]
     if steps is None:
-        steps = max(epoch_steps(i, spec, batch_size) for i in idx)
-    return [mix_schedule(i, spec, steps, batch_size, start_step) for i in idx], steps
+        steps = steps_for_epoch([l for _, l in pairs], weights, batch_size)
+    return [mix_schedule(i, spec, steps, batch_size, start_step) for i, _ in pairs], steps
 
 
 def stage2_features(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
