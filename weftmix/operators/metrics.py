@@ -62,3 +62,62 @@ def score_table(reviews: DataFrame, questions: DataFrame) -> DataFrame:
                      F.lit(None).cast("bigint").alias("first_qid"), F.lit(2).cast("bigint").alias("_gid"))
     cols = ["category", "n_reviews", "mean_a", "mean_b", "first_qid", "_gid"]
     return cats.select(*cols).unionByName(micro.select(*cols)).unionByName(macro.select(*cols)).drop("_gid")
+
+
+# ------------------------------------------------------------ token losses
+def masked_loss(tokens: DataFrame, by) -> DataFrame:
+    """Mean NLL over target tokens per group ``by``. Labels are shifted,
+    so position 0 never counts; a group without any target token keeps its
+    row with a NULL loss (the reference yields NaN). Adds ``n_target``."""
+    by = [by] if isinstance(by, str) else list(by)
+    t = (F.col("pos") >= 1) & (F.col("loss_mask") == 1)
+    return (tokens.groupBy(*by)
+            .agg(F.sum(F.when(t, F.col("nll"))).alias("_s"), F.sum(F.when(t, 1).otherwise(0)).alias("n_target"))
+            .withColumn("loss", F.col("_s") / F.nullif(F.col("n_target").cast("double"), F.lit(0.0)))
+            .drop("_s"))
+
+
+def perplexity(tokens: DataFrame, by) -> DataFrame:
+    """E5: token-weighted perplexity ``exp(sum(nll) / count)`` over the target
+    tokens of each group (our stated choice for the unpublished code)."""
+    by = [by] if isinstance(by, str) else list(by)
+    t = tokens.filter((F.col("pos") >= 1) & (F.col("loss_mask") == 1))
+    return (t.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tokens"), F.avg("nll").alias("mean_nll"))
+            .withColumn("ppl", F.exp("mean_nll")))
+
+
+# ------------------------------------------------------------ step metrics
+def step_tflops(numel, batch_size, seq_len, step_time):
+    """``numel * batch * seq * 8 / 1e12 / (secs + 1e-12)`` in double."""
+    lit = lambda x: x if not isinstance(x, (int, float)) else F.lit(float(x))
+    c = lambda x: F.col(x) if isinstance(x, str) else lit(x)
+    return (c(numel) * c(batch_size) * c(seq_len) * F.lit(8.0) / F.lit(1e12)
+            / (c(step_time) + F.lit(1e-12)))
+
+
+def trailing_mean(metrics: DataFrame, n: int = 100, cols=("loss", "tflops"), by=("run", "rank")) -> DataFrame:
+    """at every step divisible by ``n``: the mean of the last ``n``
+    values, always divided by ``n`` (fewer rows after a resume still divide
+    by ``n``; ``n_rows`` tells).
+
+    With one record per step (the trainer's contract), the last ``n``
+    records at step ``s`` are exactly the steps ``s-n+1 .. s``: a
+    bucket ``ceil(step / n)``. So this is a partial aggregation on
+    ``(run, rank, bucket)`` — no window over a whole run in one task."""
+    by = list(by)
+    b = F.ceil(F.col("step") / F.lit(int(n))).cast("bigint")
+    aggs = [F.sum(c).alias(f"_sum_{c}") for c in cols]
+    g = (metrics.withColumn("_bucket", b).groupBy(*by, "_bucket")
+         .agg(F.max("step").alias("_last"), F.count(F.lit(1)).alias("n_rows"), *aggs))
+    g = g.filter(F.col("_last") == F.col("_bucket") * int(n)).withColumn("step", F.col("_last"))
+    for c in cols:
+        g = g.withColumn(f"avg_{c}", F.col(f"_sum_{c}") / F.lit(float(n)))
+    return g.select(*by, "step", "n_rows", *[f"avg_{c}" for c in cols])
+
+
+def checkpoint_summary(metrics: DataFrame, n: int = 1000, by=("run", "rank")) -> DataFrame:
+    """every ``n`` steps, the trailing-``n`` loss and the checkpoint
+    folder name ``ckpt_step-<step>_loss-<loss %.4f>``."""
+    t = trailing_mean(metrics, n, ("loss",), by)
+    return t.withColumn("ckpt_name", F.format_string("ckpt_step-%d_loss-%.4f", F.col("step"),
+                                                     F.round("avg_loss", 4)))

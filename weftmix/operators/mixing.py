@@ -63,7 +63,7 @@ def select_files(files: DataFrame, spec: DataFrame) -> DataFrame:
     broadcast and the (possibly large) file listing never shuffles.
     """
     stem = F.regexp_extract("file_name", r"^(.*)\.jsonl$", 1)
-    num = F.expr("try_cast(regexp_extract(file_name, '^([0-9]+)\\\\.jsonl$', 1) AS BIGINT)")
+    num = F.nullif(F.regexp_extract("file_name", r"^([0-9]+)\.jsonl$", 1), F.lit("")).try_cast("bigint")
     return (files.filter(F.col("file_name").endswith(".jsonl"))
             .join(F.broadcast(spec.select("tag", "file_start")), "tag", "inner")
             .withColumn("file_stem", stem)

@@ -248,3 +248,17 @@ def q_judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = RV.build_review_requests(q, a1, a2, r, p)
     judged = X.judge(req, SI.judge_factory, max_retry=5, gap=0.0, retry_wait=0.0)
     return _review_cols(RV.to_reviews(judged))
+
+
+# ------------------------------------------------------- training-run tables
+from weftmix.plans import runs as RN  # noqa: E402
+
+register("masked_loss", RN.masked_loss_sql())(RN.masked_loss_q)
+register("perplexity", RN.perplexity_sql())(RN.perplexity_q)
+register("trailing_mean", RN.trailing_mean_sql())(RN.trailing_mean_q)
+register("checkpoint_summary", RN.checkpoint_summary_sql())(RN.checkpoint_summary_q)
+register("training_log", RN.training_log_sql())(RN.training_log_q)
+register("embedding_delta", RN.embedding_delta_sql())(RN.embedding_delta_q)
+register("embedding_checksum", RN.embedding_checksum_sql())(RN.embedding_checksum_q)
+register("shuffled_shards", RN.shuffled_shards_sql())(RN.shuffled_shards_q)
+register("stream_features", OT.stage1_features_sql())(RN.stream_features_q)

@@ -44,25 +44,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+def documents(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """The documents table, or an already-loaded frame of it (a streaming
+    micro-batch)."""
+    d = docs if docs is not None else table(spark, sf_dir, "documents")
+    return d.select("doc_id", "text", "lang", "source")
 
 
 def source_number(col="source"):
     return F.regexp_extract(F.col(col), r"(\d+)", 1).cast("int")
 
 
-def lm_rows(spark: SparkSession, sf_dir: str, langs) -> DataFrame:
+def lm_rows(spark: SparkSession, sf_dir: str, langs, docs: DataFrame | None = None) -> DataFrame:
     """LM subsets: ``tag, file_name, doc_id, text``."""
-    d = documents(spark, sf_dir).filter(F.col("lang").isin(list(langs)))
+    d = documents(spark, sf_dir, docs).filter(F.col("lang").isin(list(langs)))
     return d.select(F.col("lang").alias("tag"), F.col("source").alias("file_name"), "doc_id", "text")
 
 
 def translate_rows(spark: SparkSession, sf_dir: str, src_lang: str = "en", tgt_lang: str = "fr",
-                   tag: str = "translate") -> DataFrame:
+                   tag: str = "translate", docs: DataFrame | None = None) -> DataFrame:
     """Translation pairs ``tag, file_name, doc_id, pair_doc_id, en_text, zh_text``:
     the j-th document of each language within the same source file."""
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, docs)
     a = dense_index(d.filter(F.col("lang") == src_lang), ["source"], ["doc_id"], out_col="j")
     a = a.select("source", "j", "doc_id", F.col("text").alias("en_text"))
     b = dense_index(d.filter(F.col("lang") == tgt_lang), ["source"], ["doc_id"], out_col="j")

@@ -63,11 +63,11 @@ def indexed(spark: SparkSession, rows: DataFrame, world_size: int = WORLD_SIZE):
 
 
 def stage1_schedule(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
-                    world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE):
-    """Indexed + scheduled stage-1 rows, as (lm_draws, translate_draws, steps)."""
+                    world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE, docs: DataFrame | None = None):
+    """Indexed stage-1 sources: (lm rows, translation pairs, spec, steps)."""
     spec = mix_spec(spark, STAGE1_WEIGHTS)
-    lm, l1 = indexed(spark, inputs.lm_rows(spark, sf_dir, ["de", "en"]), world_size)
-    tr, l2 = indexed(spark, inputs.translate_rows(spark, sf_dir), world_size)
+    lm, l1 = indexed(spark, inputs.lm_rows(spark, sf_dir, ["de", "en"], docs), world_size)
+    tr, l2 = indexed(spark, inputs.translate_rows(spark, sf_dir, docs=docs), world_size)
     if steps is None:
         steps = steps_for_epoch([l1, l2], STAGE1_WEIGHTS, batch_size)
     return lm, tr, spec, steps
@@ -75,9 +75,9 @@ def stage1_schedule(spark: SparkSession, sf_dir: str, steps: int | None = None,
 
 def stage1_features(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
                     max_len: int = MAX_LEN, world_size: int = WORLD_SIZE,
-                    batch_size: int = BATCH_SIZE) -> DataFrame:
+                    batch_size: int = BATCH_SIZE, docs: DataFrame | None = None) -> DataFrame:
     """H7 for stage 1 over the driver tables (the flagship query)."""
-    lm, tr, spec, steps = stage1_schedule(spark, sf_dir, steps, start_step, world_size, batch_size)
+    lm, tr, spec, steps = stage1_schedule(spark, sf_dir, steps, start_step, world_size, batch_size, docs)
     pools = ex.prompt_pools(spark, inputs.TRANSLATE_POOLS)
     # plain text: tokenise once per source row, then repeat by the schedule
     lm = lm.withColumn("lm_ids", lm_ids("text", max_len))

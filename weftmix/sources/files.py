@@ -130,6 +130,11 @@ def format_training_line(ts, step, lr, loss, tflops):
     return F.concat(F.lit("["), F.date_format(ts, LOG_TIME_FORMAT), F.lit("] "), msg)
 
 
+def _field(pattern: str, group: int, typ: str):
+    """A typed regex group of the log body; NULL when the line differs."""
+    return F.nullif(F.regexp_extract("_body", pattern, group), F.lit("")).try_cast(typ)
+
+
 def parse_log_lines(df: DataFrame, line_col: str = "value") -> DataFrame:
     """A7 (parser): split log lines into kind, time and the numeric fields."""
     body = F.regexp_extract(line_col, _LOG_RE, 2)
@@ -139,10 +144,10 @@ def parse_log_lines(df: DataFrame, line_col: str = "value") -> DataFrame:
                         .when(F.col("_body").rlike(_DATA_LOAD_RE), "data_load")
                         .when(F.col("_body").rlike(_DATA_PROGRESS_RE), "data_progress")
                         .otherwise("other"))
-            .withColumn("step", F.expr(f"try_cast(nullif(regexp_extract(_body, '{_TRAIN_RE}', 1), '') AS BIGINT)"))
-            .withColumn("lr", F.expr(f"try_cast(nullif(regexp_extract(_body, '{_TRAIN_RE}', 2), '') AS DOUBLE)"))
-            .withColumn("loss", F.expr(f"try_cast(nullif(regexp_extract(_body, '{_TRAIN_RE}', 3), '') AS DOUBLE)"))
-            .withColumn("tflops", F.expr(f"try_cast(nullif(regexp_extract(_body, '{_TRAIN_RE}', 4), '') AS DOUBLE)"))
+            .withColumn("step", _field(_TRAIN_RE, 1, "bigint"))
+            .withColumn("lr", _field(_TRAIN_RE, 2, "double"))
+            .withColumn("loss", _field(_TRAIN_RE, 3, "double"))
+            .withColumn("tflops", _field(_TRAIN_RE, 4, "double"))
             .withColumn("data_tag", F.when(F.col("kind") == "data_load", F.regexp_extract("_body", _DATA_LOAD_RE, 1))
                         .when(F.col("kind") == "data_progress", F.regexp_extract("_body", _DATA_PROGRESS_RE, 1)))
             .withColumn("data_file", F.when(F.col("kind") == "data_load", F.regexp_extract("_body", _DATA_LOAD_RE, 2))
@@ -153,5 +158,6 @@ def parse_log_lines(df: DataFrame, line_col: str = "value") -> DataFrame:
 def read_training_log(spark: SparkSession, path) -> DataFrame:
     """Training log files ``log.txt.<rank>``; rank from the file name."""
     df = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_f"))
-    df = df.withColumn("rank", F.expr("try_cast(regexp_extract(_f, 'log\\\\.txt\\\\.([0-9]+)$', 1) AS INT)")).drop("_f")
+    df = df.withColumn("rank", F.nullif(F.regexp_extract("_f", r"log\.txt\.([0-9]+)$", 1), F.lit(""))
+                       .try_cast("int")).drop("_f")
     return parse_log_lines(df)
