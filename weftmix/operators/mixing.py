@@ -135,8 +135,23 @@ def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch
     a Column (for a data-derived epoch length).
     """
     B = int(batch_size)
-    e = expand_weights(spec).select("tag", F.col("weight").cast("bigint").alias("_wt"),
-                                    F.col("w_offset").alias("_woff"), F.col("w_total").alias("_wcyc"))
+    # the spec is configuration (one row per subset): its per-tag weight,
+    # offset and cycle become literal CASE expressions, so the schedule
+    # needs no join at all
+    conf = [(r["tag"], int(r["weight"]), int(r["w_offset"]), int(r["w_total"]))
+            for r in expand_weights(spec).collect()]
+    if not conf:
+        raise ValueError("empty mix spec")
+
+    def per_tag(i: int) -> Column:
+        expr = None
+        for row in conf:
+            cond = F.col("tag") == F.lit(row[0])
+            expr = F.when(cond, F.lit(row[i])) if expr is None else expr.when(cond, F.lit(row[i]))
+        return expr.cast("bigint")
+
+    indexed = indexed.filter(F.col("tag").isin([c[0] for c in conf]))
+    indexed = indexed.withColumn("_wt", per_tag(1)).withColumn("_woff", per_tag(2)).withColumn("_wcyc", per_tag(3))
     steps_c = steps if isinstance(steps, Column) else F.lit(int(steps))
     start_c = start_step if isinstance(start_step, Column) else F.lit(int(start_step))
     g_end = steps_c.cast("bigint") * B
@@ -150,9 +165,7 @@ def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch
     # first k >= k_lo with k = i (mod N)
     k_first = F.when(i >= k_lo, i).otherwise(i + F.ceil((k_lo - i) / N).cast("bigint") * N)
 
-    # spec: one row per configured tag -> broadcast is bounded by the config
-    df = (indexed.join(F.broadcast(e), "tag", "inner")
-          .withColumn("_k_hi", k_hi)
+    df = (indexed.withColumn("_k_hi", k_hi)
           .withColumn("_k_first", k_first)
           .filter(F.col("_k_first") < F.col("_k_hi")))
     df = df.withColumn("draw", F.explode(F.sequence(F.col("_k_first"),

@@ -84,8 +84,12 @@ def first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First pass, written once (judge calls are expensive and must not be
+    recomputed by the retry), then the retry pass merged over it."""
+    from weftmix.session import checkpoint_dir
+    checkpoint_dir(spark)
     q, a1, a2, r, p = review_inputs(spark, sf_dir)
-    prev = rv.review_answers(q, a1, a2, r, p, stand_in_judge)
+    prev = rv.review_answers(q, a1, a2, r, p, stand_in_judge).checkpoint(eager=True)
     return rv.review_answers(q, a1, a2, r, p, stand_in_judge, previous=prev)
 
 

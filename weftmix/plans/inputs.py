@@ -62,7 +62,8 @@ def lm_rows(spark: SparkSession, sf_dir: str, langs, docs: DataFrame | None = No
 
 
 def translate_rows(spark: SparkSession, sf_dir: str, src_lang: str = "en", tgt_lang: str = "fr",
-                   tag: str = "translate", docs: DataFrame | None = None) -> DataFrame:
+                   tag: str = "translate", docs: DataFrame | None = None,
+                   materialize: bool = True) -> DataFrame:
     """Translation pairs ``tag, file_name, doc_id, pair_doc_id, en_text, zh_text``:
     the j-th document of each language within the same source file."""
     d = documents(spark, sf_dir, docs)
@@ -70,9 +71,16 @@ def translate_rows(spark: SparkSession, sf_dir: str, src_lang: str = "en", tgt_l
     a = a.select("source", "j", "doc_id", F.col("text").alias("en_text"))
     b = dense_index(d.filter(F.col("lang") == tgt_lang), ["source"], ["doc_id"], out_col="j")
     b = b.select("source", "j", F.col("doc_id").alias("pair_doc_id"), F.col("text").alias("zh_text"))
-    return (a.join(b, ["source", "j"], "inner")
-            .select(F.lit(tag).alias("tag"), F.col("source").alias("file_name"), "doc_id", "pair_doc_id",
-                    "en_text", "zh_text"))
+    pairs = (a.join(b, ["source", "j"], "inner")
+             .select(F.lit(tag).alias("tag"), F.col("source").alias("file_name"), "doc_id", "pair_doc_id",
+                     "en_text", "zh_text"))
+    if not materialize:
+        return pairs
+    # the derived subset is written once to the shared checkpoint folder (a
+    # real run stores it as files), so listing and scheduling reuse it
+    from weftmix.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return pairs.checkpoint(eager=True)
 
 
 def task_rows(spark: SparkSession, sf_dir: str, langs) -> DataFrame:
