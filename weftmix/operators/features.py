@@ -63,7 +63,13 @@ def pad_batches(df: DataFrame, by=("rank", "batch_id")) -> DataFrame:
 
 
 def make_features(examples: DataFrame, max_len: int, key_cols=("rank", "global_pos"),
-                  tokenizer=None, lm_ids_col: str | None = None) -> DataFrame:
+                  tokenizer=None, lm_ids_col: str | None = None, by=("rank", "batch_id")) -> DataFrame:
     """H7: examples with ``prefix`` (see ``examples.with_prefix``) to padded
-    feature rows ``input_ids, loss_mask, pad_len, n_target``."""
-    return pad_batches(featurize(examples, max_len, key_cols, tokenizer, lm_ids_col))
+    feature rows ``input_ids, loss_mask, pad_len, n_target``.
+
+    The one shuffle is placed **before** tokenisation: rows move to their
+    batch's partition while they are still text (fewer bytes than two int
+    arrays per token), and the pad-length window then finds its
+    distribution already satisfied (no second exchange)."""
+    grouped = examples.repartition(*by)
+    return pad_batches(featurize(grouped, max_len, key_cols, tokenizer, lm_ids_col), by)

@@ -35,17 +35,25 @@ def mix_spec(spark: SparkSession, weights) -> DataFrame:
     return spark.createDataFrame(rows, MIX_SPEC_SCHEMA)
 
 
-def expand_weights(spec: DataFrame) -> DataFrame:
-    """Per tag its offset ``o_t`` in the tag list and the cycle length ``W``.
+def _spec_rows(spec: DataFrame):
+    """The mix config as (tag, ord, weight, offset, cycle) tuples. The spec is
+    configuration (one row per subset), read once on the driver."""
+    rows = sorted(((r["ord"], r["tag"], int(r["weight"])) for r in spec.collect()))
+    rows = [(o, t, w) for o, t, w in rows if w > 0]
+    total = sum(w for _, _, w in rows)
+    out, off = [], 0
+    for o, t, w in rows:
+        out.append((t, o, w, off, total))
+        off += w
+    return out
 
-    The spec holds one row per configured subset (a handful), so the
-    unpartitioned window and the later broadcast are bounded by the config.
-    """
-    w_all = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w_before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return (spec.filter(F.col("weight") > 0)
-            .withColumn("w_offset", F.coalesce(F.sum("weight").over(w_before), F.lit(0)).cast("bigint"))
-            .withColumn("w_total", F.sum("weight").over(w_all).cast("bigint")))
+
+def expand_weights(spec: DataFrame) -> DataFrame:
+    """Per tag its offset ``o_t`` in the repeated tag list and the cycle
+    length ``W`` (as a small local table)."""
+    rows = _spec_rows(spec)
+    return spec.sparkSession.createDataFrame(
+        rows, "tag string, ord int, weight int, w_offset bigint, w_total bigint")
 
 
 def tag_slots(spec: DataFrame) -> DataFrame:
@@ -138,8 +146,7 @@ def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch
     # the spec is configuration (one row per subset): its per-tag weight,
     # offset and cycle become literal CASE expressions, so the schedule
     # needs no join at all
-    conf = [(r["tag"], int(r["weight"]), int(r["w_offset"]), int(r["w_total"]))
-            for r in expand_weights(spec).collect()]
+    conf = [(t, w, off, tot) for t, _o, w, off, tot in _spec_rows(spec)]
     if not conf:
         raise ValueError("empty mix spec")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmix.operators import examples as ex
-from weftmix.operators.features import featurize, lm_ids, pad_batches
+from weftmix.operators.features import lm_ids, make_features
 from weftmix.operators.mixing import index_rows, mix_schedule, mix_spec, shard_files
 from weftmix.plans import inputs
 
@@ -85,8 +85,7 @@ def stage1_features(spark: SparkSession, sf_dir: str, steps: int | None = None,
     tr_draws = ex.translate_example(mix_schedule(tr, spec, steps, batch_size, start_step), pools, DRAW_KEY)
     cols = ["rank", "batch_id", "slot", "global_pos", "tag", "doc_id", *ex.UNIFIED_COLS, "lm_ids"]
     both = ex.union_kinds(lm_draws.select(*cols), tr_draws.select(*[c for c in cols if c != "lm_ids"]))
-    feats = featurize(ex.with_prefix(both, 1), max_len, DRAW_KEY, lm_ids_col="lm_ids")
-    return pad_batches(feats)
+    return make_features(ex.with_prefix(both, 1), max_len, DRAW_KEY, lm_ids_col="lm_ids")
 
 
 def features_report(feats: DataFrame) -> DataFrame:
@@ -125,8 +124,7 @@ def stage2_features(spark: SparkSession, sf_dir: str, steps: int | None = None,
     a = ex.lm_example(lm_s).select(*cols, "lm_ids")
     b = ex.translate_example(tr_s, tpools, DRAW_KEY, prompt_pos="post").select(*cols)
     c = ex.task_example(tk_s, kpools, DRAW_KEY).select(*cols)
-    feats = featurize(ex.with_prefix(ex.union_kinds(a, b, c), 2), max_len, DRAW_KEY, lm_ids_col="lm_ids")
-    return pad_batches(feats)
+    return make_features(ex.with_prefix(ex.union_kinds(a, b, c), 2), max_len, DRAW_KEY, lm_ids_col="lm_ids")
 
 
 STAGE3_WEIGHTS = [("chat", 2), ("chat-system", 1)]
@@ -149,5 +147,4 @@ def stage3_features(spark: SparkSession, sf_dir: str, steps: int | None = None,
     (C8), ``Human: ... Assistant: `` prefix (C6)."""
     ok, _rejects = ex.require_nonempty(instruct_source(spark, sf_dir))
     (s,), steps = _schedule_all(spark, [ok], STAGE3_WEIGHTS, batch_size, steps, start_step, world_size)
-    feats = featurize(ex.with_prefix(s, 3), max_len, DRAW_KEY)
-    return pad_batches(feats)
+    return make_features(ex.with_prefix(s, 3), max_len, DRAW_KEY)
