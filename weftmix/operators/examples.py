@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmix.functions.text import choose_index, choose_one, py_rstrip, py_strip
-from weftmix.operators.joins import bounded_broadcast
+from weftmix.operators.joins import bounded_broadcast, known_rows
 
 POOL_SCHEMA = "pool_key string, prompts array<string>"
 # Translation directions and the prompt positions, in the
@@ -29,7 +29,7 @@ UNIFIED_COLS = ["kind", "input", "output", "prompt", "prompt_pos", "instruction"
 
 def prompt_pools(spark: SparkSession, pools: dict) -> DataFrame:
     """An in-memory prompt pool table ``pool_key -> prompts``."""
-    return spark.createDataFrame([(k, list(v)) for k, v in pools.items()], POOL_SCHEMA)
+    return known_rows(spark.createDataFrame([(k, list(v)) for k, v in pools.items()], POOL_SCHEMA), len(pools))
 
 
 def _null_str() -> Column:
@@ -46,7 +46,7 @@ def lm_example(df: DataFrame, text_col: str = "text") -> DataFrame:
 def _pick_prompt(df: DataFrame, pools: DataFrame, key_col: str, draw_key, salt: str) -> DataFrame:
     """Look up the pool by ``key_col`` (left join, unknown key = no prompt)
     and choose one prompt of it with a seeded hash."""
-    p = bounded_broadcast(pools.select(F.col("pool_key").alias("_pk"), F.col("prompts").alias("_prompts")))
+    p = bounded_broadcast(pools).select(F.col("pool_key").alias("_pk"), F.col("prompts").alias("_prompts"))
     out = df.join(p, F.col(key_col) == F.col("_pk"), "left")
     idx = choose_index(draw_key, salt, F.coalesce(F.size("_prompts"), F.lit(0)))
     return out.withColumn("_picked", F.try_element_at(F.col("_prompts"), idx + 1)).drop("_pk", "_prompts")

@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 200_000
 
 
+def known_rows(df: DataFrame, n: int) -> DataFrame:
+    """Record the row count of a table built from in-process configuration
+    (a handful of prompts, reviewers, templates): its size is known at
+    construction, so no counting job is needed before broadcasting it."""
+    df._weftmix_rows = int(n)
+    return df
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows,
-    else ``df`` unchanged (shuffle join). The check reads at most
+    else ``df`` unchanged (shuffle join). The size is the one recorded by
+    :func:`known_rows`, otherwise it is checked by reading at most
     ``max_rows + 1`` rows."""
-    n = df.limit(max_rows + 1).count()
+    n = getattr(df, "_weftmix_rows", None)
+    if n is None:
+        n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

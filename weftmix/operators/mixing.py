@@ -32,13 +32,17 @@ def mix_spec(spark: SparkSession, weights) -> DataFrame:
         tag, weight = w[0], int(w[1])
         start = int(w[2]) if len(w) > 2 and w[2] is not None else None
         rows.append((tag, i, weight, start))
-    return spark.createDataFrame(rows, MIX_SPEC_SCHEMA)
+    df = spark.createDataFrame(rows, MIX_SPEC_SCHEMA)
+    df._weftmix_spec = rows
+    return df
 
 
 def _spec_rows(spec: DataFrame):
     """The mix config as (tag, ord, weight, offset, cycle) tuples. The spec is
     configuration (one row per subset), read once on the driver."""
-    rows = sorted(((r["ord"], r["tag"], int(r["weight"])) for r in spec.collect()))
+    known = getattr(spec, "_weftmix_spec", None)
+    src = known if known is not None else [(r["tag"], r["ord"], r["weight"], r["file_start"]) for r in spec.collect()]
+    rows = sorted((o, t, int(w)) for t, o, w, _s in src)
     rows = [(o, t, w) for o, t, w in rows if w > 0]
     total = sum(w for _, _, w in rows)
     out, off = [], 0

@@ -83,9 +83,9 @@ def route_reviewer(df: DataFrame, reviewers: DataFrame) -> DataFrame:
     of the file. ``reviewers`` needs ``reviewer_idx`` (file position).
     Emits ``reviewer_id`` = position + 1 (an int) and the reviewer's
     ``prompt_id``."""
-    rv = bounded_broadcast(reviewers.select("reviewer_idx", "prompt_id", "category"))
-    first = bounded_broadcast(reviewers.groupBy(F.col("category").alias("_cat"))
-                              .agg(F.min("reviewer_idx").alias("_idx")))
+    rv = bounded_broadcast(reviewers).select("reviewer_idx", "prompt_id", "category")
+    # at most one row per reviewer: bounded by the reviewer table
+    first = F.broadcast(rv.groupBy(F.col("category").alias("_cat")).agg(F.min("reviewer_idx").alias("_idx")))
     routed = (df.join(first, df["category"] == first["_cat"], "left")
               .withColumn("_idx", F.coalesce(F.col("_idx"), F.lit(0))).drop("_cat"))
     return (routed.join(rv.select(F.col("reviewer_idx").alias("_idx"), "prompt_id"), "_idx", "inner")
@@ -95,7 +95,7 @@ def route_reviewer(df: DataFrame, reviewers: DataFrame) -> DataFrame:
 def join_judge_prompt(df: DataFrame, prompts: DataFrame) -> DataFrame:
     """Fetch the judge prompt by ``prompt_id``; the reference requires
     ``prompt_id`` = 1-based file position (see :func:`check_prompt_ids`)."""
-    p = bounded_broadcast(prompts.select("prompt_id", "system_prompt", "prompt_template", "defaults"))
+    p = bounded_broadcast(prompts).select("prompt_id", "system_prompt", "prompt_template", "defaults")
     return df.join(p, "prompt_id", "inner")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftmix.functions.review import parse_score_pair
 from weftmix.functions.text import seeded_hash
 from weftmix.operators import review as rv
+from weftmix.operators.joins import known_rows
 from weftmix.plans import inputs
 
 REVIEWER_ROWS = [  # reviewer_id, prompt_id, category (file order matters)
@@ -37,15 +38,16 @@ EXPLAIN = "Both answers were read."
 def reviewers(spark: SparkSession) -> DataFrame:
     rows = [(i, rid, pid, {"temperature": 0.2, "max_tokens": 1024}, f"{cat} reviewer", cat)
             for i, (rid, pid, cat) in enumerate(REVIEWER_ROWS)]
-    return spark.createDataFrame(rows, "reviewer_idx int, reviewer_id string, prompt_id int, "
-                                       "metadata struct<temperature: double, max_tokens: int>, "
-                                       "description string, category string")
+    return known_rows(spark.createDataFrame(rows, "reviewer_idx int, reviewer_id string, prompt_id int, "
+                                                  "metadata struct<temperature: double, max_tokens: int>, "
+                                                  "description string, category string"), len(rows))
 
 
 def judge_prompts(spark: SparkSession) -> DataFrame:
     rows = [(i, pid, sp, tpl, d, f"prompt {pid}", "general") for i, (pid, sp, tpl, d) in enumerate(JUDGE_PROMPT_ROWS)]
-    return spark.createDataFrame(rows, "prompt_idx int, prompt_id int, system_prompt string, prompt_template string, "
-                                       "defaults map<string,string>, description string, category string")
+    return known_rows(spark.createDataFrame(rows, "prompt_idx int, prompt_id int, system_prompt string, "
+                                                  "prompt_template string, defaults map<string,string>, "
+                                                  "description string, category string"), len(rows))
 
 
 def stand_in_judge(df: DataFrame, attempt: int):

@@ -39,8 +39,10 @@ def file_listing(spark: SparkSession, rows: DataFrame, world_size: int) -> DataF
     for r in listed:
         sizes[(r["tag"], r["rank"])] = sizes.get((r["tag"], r["rank"]), 0) + r["n_file"]
     schema = "tag string, file_name string, file_ord int, rank int, rank_file_ord int, n_file bigint, n_rows bigint"
-    return spark.createDataFrame([(r["tag"], r["file_name"], r["file_ord"], r["rank"], r["rank_file_ord"],
-                                   r["n_file"], sizes[(r["tag"], r["rank"])]) for r in listed], schema)
+    df = spark.createDataFrame([(r["tag"], r["file_name"], r["file_ord"], r["rank"], r["rank_file_ord"],
+                                 r["n_file"], sizes[(r["tag"], r["rank"])]) for r in listed], schema)
+    df._weftmix_sizes = sizes
+    return df
 
 
 def steps_for_epoch(listings, weights, batch_size: int) -> int:
@@ -50,9 +52,9 @@ def steps_for_epoch(listings, weights, batch_size: int) -> int:
     W = sum(w.values())
     best = 0
     for lst in listings:
-        for r in lst.select("tag", "n_rows").distinct().collect():
-            if r["tag"] in w and w[r["tag"]] > 0:
-                best = max(best, -(-int(r["n_rows"]) // w[r["tag"]]) * W)
+        for (tag, _rank), n in lst._weftmix_sizes.items():
+            if tag in w and w[tag] > 0:
+                best = max(best, -(-int(n) // w[tag]) * W)
     return -(-best // int(batch_size))
 
 
