@@ -63,7 +63,7 @@ def lm_rows(spark: SparkSession, sf_dir: str, langs, docs: DataFrame | None = No
 
 def translate_rows(spark: SparkSession, sf_dir: str, src_lang: str = "en", tgt_lang: str = "fr",
                    tag: str = "translate", docs: DataFrame | None = None,
-                   materialize: bool = True) -> DataFrame:
+                   materialize: bool = False) -> DataFrame:
     """Translation pairs ``tag, file_name, doc_id, pair_doc_id, en_text, zh_text``:
     the j-th document of each language within the same source file."""
     d = documents(spark, sf_dir, docs)
@@ -76,8 +76,10 @@ def translate_rows(spark: SparkSession, sf_dir: str, src_lang: str = "en", tgt_l
                      "en_text", "zh_text"))
     if not materialize:
         return pairs
-    # the derived subset is written once to the shared checkpoint folder (a
-    # real run stores it as files), so listing and scheduling reuse it
+    # optionally write the derived subset once to the shared checkpoint
+    # folder (a real run stores it as files). Off by default: the listing job
+    # reads only pruned (source, doc_id) columns, so recomputing is cheaper
+    # than writing every pair's text.
     from weftmix.session import checkpoint_dir
     checkpoint_dir(spark)
     return pairs.checkpoint(eager=True)
