@@ -102,10 +102,15 @@ def features_report(feats: DataFrame) -> DataFrame:
 
 
 def _schedule_all(spark: SparkSession, parts, weights, batch_size: int, steps: int | None, start_step: int,
-                  world_size: int):
-    """Index each source, derive the epoch step count, schedule each."""
+                  world_size: int, after_index=None):
+    """Index each source, derive the epoch step count, schedule each.
+    ``after_index[i]`` (optional) transforms source i after its balanced
+    index shuffle and before the schedule repeats its rows (e.g. tokenising
+    plain text once per row, in parallel)."""
     spec = mix_spec(spark, weights)
     pairs = [indexed(spark, p, world_size) for p in parts]
+    if after_index:
+        pairs = [((after_index[k](i) if after_index.get(k) else i), l) for k, (i, l) in enumerate(pairs)]
     if steps is None:
         steps = steps_for_epoch([l for _, l in pairs], weights, batch_size)
     return [mix_schedule(i, spec, steps, batch_size, start_step) for i, _ in pairs], steps
@@ -115,11 +120,12 @@ def stage2_features(spark: SparkSession, sf_dir: str, steps: int | None = None,
                     max_len: int = MAX_LEN, world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE) -> DataFrame:
     """H7 for stage 2: LM + translation (post prompt) + task records with
     pre/post prompts (C3, C5)."""
-    lm = inputs.lm_rows(spark, sf_dir, ["en"]).withColumn("lm_ids", lm_ids("text", max_len))
+    lm = inputs.lm_rows(spark, sf_dir, ["en"])
     tr = inputs.translate_rows(spark, sf_dir)
     tk = inputs.task_rows(spark, sf_dir, ["es", "de"])
+    tok = {0: lambda d: d.withColumn("lm_ids", lm_ids("text", max_len))}
     (lm_s, tr_s, tk_s), steps = _schedule_all(spark, [lm, tr, tk], STAGE2_WEIGHTS, batch_size, steps,
-                                              start_step, world_size)
+                                              start_step, world_size, tok)
     tpools = ex.prompt_pools(spark, inputs.TRANSLATE_POOLS)
     kpools = ex.prompt_pools(spark, inputs.TASK_POOLS)
     cols = ["rank", "batch_id", "slot", "global_pos", "tag", "doc_id", *ex.UNIFIED_COLS]
