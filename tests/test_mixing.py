@@ -25,13 +25,14 @@ def simulate(weights, sizes, steps, batch):
     return out
 
 
-def run_schedule(spark, weights, sizes, steps, batch, start=0):
+def run_schedule(spark, weights, sizes, steps, batch, start=0, chunk=4096):
     rows = [(t, "f.jsonl", i) for t, n in sizes.items() for i in range(n)]
     df = spark.createDataFrame(rows, "tag string, file_name string, doc_id long")
     df = df.withColumn("rank", F.lit(0)).withColumn("row_idx", F.col("doc_id"))
     sz = spark.createDataFrame(list(sizes.items()), "tag string, n_rows long")
     df = df.join(sz, "tag")
-    out = mix_schedule(df, mix_spec(spark, weights), steps, batch, start)
+    out = mix_schedule(df, mix_spec(spark, weights), steps, batch, start, chunk_draws=chunk,
+                       force_chunks=chunk < 4096)
     return sorted((r.tag, r.row_idx, r.global_pos) for r in out.collect())
 
 
@@ -59,6 +60,23 @@ def test_single_row_subset_repeats(spark):
     assert [r[1] for r in got] == [0] * 6
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 5])
+def test_hot_rows_split_into_chunks(spark, chunk):
+    # a one-row subset with a large weight: its draws are generated in chunks
+    weights, sizes = [("hot", 7), ("cold", 1)], {"hot": 1, "cold": 9}
+    want = sorted(simulate(weights, sizes, 5, 4))
+    assert run_schedule(spark, weights, sizes, 5, 4, start=0, chunk=chunk) == want
+    resumed = run_schedule(spark, weights, sizes, 5, 4, start=2, chunk=chunk)
+    assert resumed == [r for r in want if r[2] // 4 >= 2]
+
+
+def test_hot_subset_detected_from_listing():
+    from weftmix.operators.mixing import _hot_subsets
+    conf = [("hot", 7, 0, 8), ("cold", 1, 7, 8)]
+    assert _hot_subsets(conf, {("hot", 0): 1, ("cold", 0): 9}, 5000, 4, 4096)
+    assert not _hot_subsets(conf, {("hot", 0): 100000, ("cold", 0): 9}, 5000, 4, 4096)
+
+
 def test_parse_resume_step():
     assert parse_resume_step("/out/ckpt_step-1200_loss-2.3456/") == 1200
     assert parse_resume_step(None) == 0

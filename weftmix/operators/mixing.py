@@ -135,8 +135,28 @@ def _draws_before(slots: Column, w: Column, o: Column, W: Column) -> Column:
     return (F.floor(slots / W) * w + F.least(F.greatest(slots % W - o, F.lit(0)), w)).cast("bigint")
 
 
+# A row drawn more often than this is split into chunks of this many draws
+# that are spread over tasks before they are generated.
+CHUNK_DRAWS = 4096
+
+
+def _hot_subsets(conf, sizes, steps, batch_size: int, chunk_draws: int) -> bool:
+    """Whether some (tag, rank) draws each of its rows more than
+    ``chunk_draws`` times: K_t / N_t from the listing metadata, no data pass."""
+    if sizes is None or not isinstance(steps, int):
+        return False
+    G = int(steps) * int(batch_size)
+    for tag, w, off, tot in conf:
+        k = (G // tot) * w + min(max(G % tot - off, 0), w)
+        for (t, _r), n in sizes.items():
+            if t == tag and n > 0 and -(-k // n) > chunk_draws:
+                return True
+    return False
+
+
 def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch_size: int,
-                 start_step: int | Column = 0) -> DataFrame:
+                 start_step: int | Column = 0, chunk_draws: int = CHUNK_DRAWS, sizes: dict | None = None,
+                 force_chunks: bool = False) -> DataFrame:
     """B4 + B5 + B6 + B7: every draw of every row with its slot.
 
     ``indexed`` needs ``tag, rank, row_idx, n_rows`` (see :func:`index_rows`).
@@ -145,6 +165,14 @@ def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch
     the step limit (B6) and the resume skip (B7) are folded into the draw
     range, so no skipped row is generated and then dropped. ``steps`` may be
     a Column (for a data-derived epoch length).
+
+    Skew: a row of a tiny, heavily weighted subset can be drawn a large
+    share of all slots. When the listing metadata ``sizes`` ((tag, rank) ->
+    rows) shows a subset whose rows are drawn more than ``chunk_draws``
+    times each (or ``force_chunks``), every row's draw range is cut into
+    chunks of ``chunk_draws`` and the chunk rows are hash-repartitioned
+    before the draws are generated, so one hot row is expanded by many
+    tasks. Otherwise (the usual case) each row explodes in place.
     """
     B = int(batch_size)
     # the spec is configuration (one row per subset): its per-tag weight,
@@ -176,18 +204,30 @@ def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch
     # first k >= k_lo with k = i (mod N)
     k_first = F.when(i >= k_lo, i).otherwise(i + F.ceil((k_lo - i) / N).cast("bigint") * N)
 
+    C = int(chunk_draws)
     df = (indexed.withColumn("_k_hi", k_hi)
           .withColumn("_k_first", k_first)
-          .filter(F.col("_k_first") < F.col("_k_hi")))
-    df = df.withColumn("draw", F.explode(F.sequence(F.col("_k_first"),
-                                                    F.greatest(F.col("_k_hi") - 1, F.col("_k_first")),
-                                                    N)))
-    df = df.filter(F.col("draw") < F.col("_k_hi"))
+          .filter(F.col("_k_first") < F.col("_k_hi"))
+          .withColumn("_n_draws", F.floor((F.col("_k_hi") - 1 - F.col("_k_first")) / N).cast("bigint") + 1))
+
+    def explode_range(d: DataFrame, lo: Column, hi: Column) -> DataFrame:
+        d = d.withColumn("draw", F.explode(F.sequence(lo, F.greatest(hi - 1, lo), N)))
+        return d.filter(F.col("draw") < hi)
+
+    if force_chunks or _hot_subsets(conf, sizes, steps, B, C):
+        chunks = (df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                               F.floor((F.col("_n_draws") - 1) / C).cast("bigint"))))
+                  .repartition("tag", "rank", "row_idx", "_chunk"))
+        c_lo = F.col("_k_first") + F.col("_chunk") * C * N
+        c_hi = F.least(F.col("_k_hi"), c_lo + C * N)
+        df = explode_range(chunks, c_lo, c_hi).drop("_chunk")
+    else:
+        df = explode_range(df, F.col("_k_first"), F.col("_k_hi"))
     g = (F.floor(F.col("draw") / w) * W + o + F.col("draw") % w).cast("bigint")
     return (df.withColumn("global_pos", g)
             .withColumn("batch_id", F.floor(F.col("global_pos") / B).cast("bigint"))
             .withColumn("slot", (F.col("global_pos") % B).cast("int"))
-            .drop("_wt", "_woff", "_wcyc", "_k_hi", "_k_first"))
+            .drop("_wt", "_woff", "_wcyc", "_k_hi", "_k_first", "_n_draws"))
 
 
 def assign_batches(df: DataFrame, batch_size: int, pos_col: str = "global_pos") -> DataFrame:

@@ -44,8 +44,9 @@ def q_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     lm, tr, spec, steps = T.stage1_schedule(spark, sf_dir)
     from weftmix.operators.mixing import mix_schedule
     cols = ["rank", "batch_id", "slot", "global_pos", "tag", "file_name", "doc_id", "row_idx", "draw"]
-    out = mix_schedule(lm, spec, steps, T.BATCH_SIZE).select(*cols).unionByName(
-        mix_schedule(tr, spec, steps, T.BATCH_SIZE).select(*cols))
+    sz = spec._weftmix_sizes
+    out = mix_schedule(lm, spec, steps, T.BATCH_SIZE, sizes=sz).select(*cols).unionByName(
+        mix_schedule(tr, spec, steps, T.BATCH_SIZE, sizes=sz).select(*cols))
     return out.select(*[F.col(c).cast("bigint").alias(c) if c not in ("tag", "file_name") else F.col(c)
                         for c in cols])
 

@@ -72,6 +72,7 @@ def stage1_schedule(spark: SparkSession, sf_dir: str, steps: int | None = None,
     tr, l2 = indexed(spark, inputs.translate_rows(spark, sf_dir, docs=docs), world_size)
     if steps is None:
         steps = steps_for_epoch([l1, l2], STAGE1_WEIGHTS, batch_size)
+    spec._weftmix_sizes = {**l1._weftmix_sizes, **l2._weftmix_sizes}
     return lm, tr, spec, steps
 
 
@@ -83,8 +84,9 @@ def stage1_features(spark: SparkSession, sf_dir: str, steps: int | None = None,
     pools = ex.prompt_pools(spark, inputs.TRANSLATE_POOLS)
     # plain text: tokenise once per source row, then repeat by the schedule
     lm = lm.withColumn("lm_ids", lm_ids("text", max_len))
-    lm_draws = ex.lm_example(mix_schedule(lm, spec, steps, batch_size, start_step))
-    tr_draws = ex.translate_example(mix_schedule(tr, spec, steps, batch_size, start_step), pools, DRAW_KEY)
+    sz = spec._weftmix_sizes
+    lm_draws = ex.lm_example(mix_schedule(lm, spec, steps, batch_size, start_step, sizes=sz))
+    tr_draws = ex.translate_example(mix_schedule(tr, spec, steps, batch_size, start_step, sizes=sz), pools, DRAW_KEY)
     cols = ["rank", "batch_id", "slot", "global_pos", "tag", "doc_id", *ex.UNIFIED_COLS, "lm_ids"]
     both = ex.union_kinds(lm_draws.select(*cols), tr_draws.select(*[c for c in cols if c != "lm_ids"]))
     return make_features(ex.with_prefix(both, 1), max_len, DRAW_KEY, lm_ids_col="lm_ids")
@@ -113,7 +115,7 @@ def _schedule_all(spark: SparkSession, parts, weights, batch_size: int, steps: i
         pairs = [((after_index[k](i) if after_index.get(k) else i), l) for k, (i, l) in enumerate(pairs)]
     if steps is None:
         steps = steps_for_epoch([l for _, l in pairs], weights, batch_size)
-    return [mix_schedule(i, spec, steps, batch_size, start_step) for i, _ in pairs], steps
+    return [mix_schedule(i, spec, steps, batch_size, start_step, sizes=l._weftmix_sizes) for i, l in pairs], steps
 
 
 def stage2_features(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
