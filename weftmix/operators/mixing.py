@@ -83,13 +83,13 @@ def select_files(files: DataFrame, spec: DataFrame) -> DataFrame:
             .filter(F.col("file_start").isNull() | (F.col("file_no") >= F.col("file_start"))))
 
 
-def shard_files(files: DataFrame, world_size: int) -> DataFrame:
+def shard_files(files: DataFrame, world_size: int, by=("tag",)) -> DataFrame:
     """B1 + G1: rank r gets the tag's sorted files r, r+R, r+2R, ...
 
     Sorting is binary string order (Python's order: ``9.jsonl`` after
     ``10.jsonl``). The window is over the file listing, partitioned by tag.
     """
-    w = Window.partitionBy("tag").orderBy("file_name")
+    w = Window.partitionBy(*by).orderBy("file_name")
     R = int(world_size)
     return (files.withColumn("file_ord", (F.row_number().over(w) - 1).cast("int"))
             .withColumn("rank", (F.col("file_ord") % R).cast("int"))

@@ -25,24 +25,39 @@ STAGE2_WEIGHTS = [("en", 2), ("translate", 2), ("task-es", 1), ("task-de", 1)]
 DRAW_KEY = ["rank", "global_pos"]
 
 
-def file_listing(spark: SparkSession, rows: DataFrame, world_size: int) -> DataFrame:
-    """B1 over the files present in ``rows``, with each file's row count and
-    the rank's subset size ``n_rows``.
-
-    One partial aggregation; the listing (one row per file, like any file
-    source listing) comes back to the driver and is re-created as a local
-    relation, so later joins against it broadcast a table of known size.
+def file_listings(spark: SparkSession, sources, world_size: int):
+    """B1 over the files present in each source, with each file's row count
+    and the rank's subset size ``n_rows`` — one listing per source.
+
+    One job for all sources: the per-file counts (partial aggregations) are
+    unioned and collected together. The listing (one row per file, like any
+    file source listing) comes back to the driver and is re-created as a
+    local relation, so later joins against it broadcast a table of known
+    size.
     """
-    files = rows.groupBy("tag", "file_name").agg(F.count(F.lit(1)).alias("n_file"))
-    listed = shard_files(files, world_size).collect()
-    sizes: dict = {}
-    for r in listed:
-        sizes[(r["tag"], r["rank"])] = sizes.get((r["tag"], r["rank"]), 0) + r["n_file"]
+    counts = None
+    for k, rows in enumerate(sources):
+        c = (rows.groupBy("tag", "file_name").agg(F.count(F.lit(1)).alias("n_file"))
+             .withColumn("_src", F.lit(k)))
+        counts = c if counts is None else counts.unionByName(c)
+    listed = shard_files(counts, world_size, by=("_src", "tag")).collect()
     schema = "tag string, file_name string, file_ord int, rank int, rank_file_ord int, n_file bigint, n_rows bigint"
-    df = spark.createDataFrame([(r["tag"], r["file_name"], r["file_ord"], r["rank"], r["rank_file_ord"],
-                                 r["n_file"], sizes[(r["tag"], r["rank"])]) for r in listed], schema)
-    df._weftmix_sizes = sizes
-    return df
+    out = []
+    for k in range(len(sources)):
+        mine = [r for r in listed if r["_src"] == k]
+        sizes: dict = {}
+        for r in mine:
+            sizes[(r["tag"], r["rank"])] = sizes.get((r["tag"], r["rank"]), 0) + r["n_file"]
+        df = spark.createDataFrame([(r["tag"], r["file_name"], r["file_ord"], r["rank"], r["rank_file_ord"],
+                                     r["n_file"], sizes[(r["tag"], r["rank"])]) for r in mine], schema)
+        df._weftmix_sizes = sizes
+        out.append(df)
+    return out
+
+
+def file_listing(spark: SparkSession, rows: DataFrame, world_size: int) -> DataFrame:
+    """:func:`file_listings` for one source."""
+    return file_listings(spark, [rows], world_size)[0]
 
 
 def steps_for_epoch(listings, weights, batch_size: int) -> int:
@@ -64,12 +79,18 @@ def indexed(spark: SparkSession, rows: DataFrame, world_size: int = WORLD_SIZE):
     return index_rows(rows, listing, ["doc_id"]), listing
 
 
+def indexed_all(spark: SparkSession, sources, world_size: int = WORLD_SIZE):
+    """(indexed rows, listing) for several sources with one listing job."""
+    listings = file_listings(spark, sources, world_size)
+    return [(index_rows(r, l, ["doc_id"]), l) for r, l in zip(sources, listings)]
+
+
 def stage1_schedule(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
                     world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE, docs: DataFrame | None = None):
     """Indexed stage-1 sources: (lm rows, translation pairs, spec, steps)."""
     spec = mix_spec(spark, STAGE1_WEIGHTS)
-    lm, l1 = indexed(spark, inputs.lm_rows(spark, sf_dir, ["de", "en"], docs), world_size)
-    tr, l2 = indexed(spark, inputs.translate_rows(spark, sf_dir, docs=docs), world_size)
+    (lm, l1), (tr, l2) = indexed_all(spark, [inputs.lm_rows(spark, sf_dir, ["de", "en"], docs),
+                                             inputs.translate_rows(spark, sf_dir, docs=docs)], world_size)
     if steps is None:
         steps = steps_for_epoch([l1, l2], STAGE1_WEIGHTS, batch_size)
     spec._weftmix_sizes = {**l1._weftmix_sizes, **l2._weftmix_sizes}
@@ -110,7 +131,7 @@ def _schedule_all(spark: SparkSession, parts, weights, batch_size: int, steps: i
     index shuffle and before the schedule repeats its rows (e.g. tokenising
     plain text once per row, in parallel)."""
     spec = mix_spec(spark, weights)
-    pairs = [indexed(spark, p, world_size) for p in parts]
+    pairs = indexed_all(spark, parts, world_size)
     if after_index:
         pairs = [((after_index[k](i) if after_index.get(k) else i), l) for k, (i, l) in enumerate(pairs)]
     if steps is None:
