@@ -82,8 +82,15 @@ def new_id(*keys) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", *[_c(k).cast("string") for k in keys]), 256), 1, 22)
 
 
+# Judge token budgets — first pass, first pass for math, retry.
+FIRST_PASS_TOKENS = 32
+MATH_TOKENS = 2048
+RETRY_TOKENS = 2048
+
+
 def max_output_tokens(category, retry=False) -> Column:
-    """32 tokens for a first judge pass (2048 for math); 2048 on retry."""
+    """The judge's token budget by category and pass."""
     if retry:
-        return F.lit(2048)
-    return F.when(F.coalesce(_c(category) == "math", F.lit(False)), F.lit(2048)).otherwise(F.lit(32))
+        return F.lit(RETRY_TOKENS)
+    return (F.when(F.coalesce(_c(category) == "math", F.lit(False)), F.lit(MATH_TOKENS))
+            .otherwise(F.lit(FIRST_PASS_TOKENS)))

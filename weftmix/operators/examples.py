@@ -138,14 +138,20 @@ def prefix_stage2(input_col="input", prompt_col="prompt", pos_col="prompt_pos")
             .otherwise(F.concat(inp, F.lit(" "))))
 
 
+# The chat prefix of instruction records (note the space after
+# "Assistant:").
+HUMAN_TAG = "Human: "
+ASSISTANT_TAG = "Assistant: "
+
+
 def prefix_stage3(instruction_col="instruction", input_col="input") -> Column:
     """``Human: `` [instruction ``\\n``] [input ``\\n``] ``Assistant: ``
     (fields already stripped)."""
     ins, inp = F.col(instruction_col), F.col(input_col)
-    return F.concat(F.lit("Human: "),
+    return F.concat(F.lit(HUMAN_TAG),
                     F.when(F.length(ins) > 0, F.concat(ins, F.lit("\n"))).otherwise(F.lit("")),
                     F.when(F.length(inp) > 0, F.concat(inp, F.lit("\n"))).otherwise(F.lit("")),
-                    F.lit("Assistant: "))
+                    F.lit(ASSISTANT_TAG))
 
 
 def with_prefix(df: DataFrame, stage: int) -> DataFrame:

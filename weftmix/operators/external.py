@@ -109,8 +109,17 @@ def generate_answers(questions: DataFrame, model_id: str, factory: Callable[[],
 
 
 # --------------------------------------------------------------------- J3
-def judge(requests: DataFrame, factory: Callable[[], Callable[[str, str, int], str]], max_retry: int = 5,
-          gap: float = 3.0, retry_wait: float = 5.0, partitions: int | None = None) -> DataFrame:
+# Judge tries, seconds between calls, seconds after a failure,
+# and the text recorded when every try failed.
+JUDGE_TRIES = 5
+JUDGE_GAP_SEC = 3.0
+JUDGE_RETRY_WAIT_SEC = 5.0
+JUDGE_FAILED_TEXT = "error"
+
+
+def judge(requests: DataFrame, factory: Callable[[], Callable[[str, str, int], str]],
+          max_retry: int = JUDGE_TRIES, gap: float = JUDGE_GAP_SEC, retry_wait: float = JUDGE_RETRY_WAIT_SEC,
+          partitions: int | None = None) -> DataFrame:
     """Call the judge for every request (``system_prompt, prompt,
     max_tokens``) with up to ``max_retry`` tries; after the last failure the
     text is ``error``. Calls are spaced: with ``n`` partitions each waits
@@ -132,7 +141,7 @@ def judge(requests: DataFrame, factory: Callable[[], Callable[[str, str, int], s
                 if not first and wait > 0:
                     time.sleep(wait)
                 first = False
-                out = "error"
+                out = JUDGE_FAILED_TEXT
                 for i in range(int(max_retry)):
                     try:
                         out = call(sp, p, int(mt))

@@ -95,7 +95,13 @@ def step_tflops(numel, batch_size, seq_len, step_time):
             / (c(step_time) + F.lit(1e-12)))
 
 
-def trailing_mean(metrics: DataFrame, n: int = 100, cols=("loss", "tflops"), by=("run", "rank")) -> DataFrame:
+# Logging and saving intervals, and the checkpoint folder name.
+LOG_EVERY = 100
+SAVE_EVERY = 1000
+CKPT_NAME_FORMAT = "ckpt_step-%d_loss-%.4f"
+
+
+def trailing_mean(metrics: DataFrame, n: int = LOG_EVERY, cols=("loss", "tflops"), by=("run", "rank")) -> DataFrame:
     """at every step divisible by ``n``: the mean of the last ``n``
     values, always divided by ``n`` (fewer rows after a resume still divide
     by ``n``; ``n_rows`` tells).
@@ -115,9 +121,9 @@ def trailing_mean(metrics: DataFrame, n: int = 100, cols=("loss", "tflops"), by=
     return g.select(*by, "step", "n_rows", *[f"avg_{c}" for c in cols])
 
 
-def checkpoint_summary(metrics: DataFrame, n: int = 1000, by=("run", "rank")) -> DataFrame:
+def checkpoint_summary(metrics: DataFrame, n: int = SAVE_EVERY, by=("run", "rank")) -> DataFrame:
     """every ``n`` steps, the trailing-``n`` loss and the checkpoint
     folder name ``ckpt_step-<step>_loss-<loss %.4f>``."""
     t = trailing_mean(metrics, n, ("loss",), by)
-    return t.withColumn("ckpt_name", F.format_string("ckpt_step-%d_loss-%.4f", F.col("step"),
+    return t.withColumn("ckpt_name", F.format_string(CKPT_NAME_FORMAT, F.col("step"),
                                                      F.round("avg_loss", 4)))
