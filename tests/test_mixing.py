@@ -120,3 +120,35 @@ def test_index_rows_concatenates_files_per_rank(spark):
     assert [g[2] for g in got if g[0] == 0] == [100, 101, 102, 300, 301, 302]
     assert [g[1] for g in got if g[0] == 1] == list(range(6))
     assert {g[3] for g in got} == {6}
+
+
+def test_dense_index_many_groups_path(spark):
+    df = spark.range(0, 300).select((F.col("id") % 7).alias("g"), F.col("id").alias("k"))
+    out = dense_index(df, ["g"], ["k"], num_partitions=5, few_groups=False).collect()
+    for g in range(7):
+        ks = sorted((r.k, r.row_idx) for r in out if r.g == g)
+        assert [i for _, i in ks] == list(range(len(ks)))
+
+
+def test_bounded_broadcast_falls_back(spark):
+    from weftmix.operators.joins import bounded_broadcast, known_rows
+    small = spark.range(3)
+    big = spark.range(50)
+    assert bounded_broadcast(small, max_rows=10) is not small          # hinted copy
+    assert bounded_broadcast(big, max_rows=10) is big                  # shuffle join fallback
+    tagged = known_rows(spark.range(2), 2)
+    assert bounded_broadcast(tagged, max_rows=10) is not tagged
+
+
+def test_size_shuffles(spark):
+    from weftmix.session import size_shuffles
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.files.maxPartitionBytes"]
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        assert size_shuffles(spark, 100 * 1024 ** 4) == 200_000
+        assert size_shuffles(spark, 10 * 1024 ** 4) == 40960
+        assert size_shuffles(spark, 10) == 8
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -67,3 +67,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 * 1024 * 1024,
+                  min_partitions: int = 8, max_partitions: int = 200_000) -> int:
+    """Size ``spark.sql.shuffle.partitions`` for an input of ``input_bytes``
+    so each shuffle partition holds about ``target_bytes`` (AQE then
+    coalesces small ones and splits skewed ones), and align
+    ``spark.sql.files.maxPartitionBytes`` and the AQE advisory size with the
+    same target. The count is capped (``max_partitions``; map-output status
+    grows with it), so at 100 TB a partition holds ~512 MB before AQE splits
+    skewed ones. The caller passes the bytes of the tables a job reads (e.g.
+    from the file listing). Returns the partition count that was set."""
+    n = min(int(max_partitions), max(int(min_partitions), -(-int(input_bytes) // int(target_bytes))))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(int(target_bytes)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(int(min(target_bytes, 512 * 1024 * 1024))))
+    return n

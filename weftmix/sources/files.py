@@ -60,7 +60,11 @@ def read_corpus(spark: SparkSession, files: DataFrame, schema: str) -> DataFrame
 def read_mixed_corpus(spark: SparkSession, root: str, spec: DataFrame, schema: str, world_size: int) -> DataFrame:
     """A1 + A2 + B1 + B2: the indexed rows of every configured subset."""
     tags = [r["tag"] for r in spec.select("tag").collect()]
-    files = shard_files(select_files(list_corpus_files(spark, root, tags), spec), world_size)
+    listed = shard_files(select_files(list_corpus_files(spark, root, tags), spec), world_size).collect()
+    # the file listing (one row per file) is listed once and kept as a local relation
+    files = spark.createDataFrame(
+        [(r["file_path"], r["tag"], r["file_name"], r["rank"], r["rank_file_ord"]) for r in listed],
+        "file_path string, tag string, file_name string, rank int, rank_file_ord int")
     rows = read_corpus(spark, files, schema)
     rows = rows.join(F.broadcast(files.select("file_path", "tag", "file_name")), "file_path", "inner")
     return index_rows(rows, files, ["_block", "_line"])
