@@ -55,3 +55,17 @@ def test_udf_tokenizer_in_features(spark):
     tok = TokenizerUDF(codepoint_tokenizer_factory)
     b = {r.global_pos: (r.input_ids, r.loss_mask) for r in make_features(df, 12, tokenizer=tok).collect()}
     assert a == b
+
+
+def test_feature_properties(spark):
+    import os
+    if not os.path.exists(SF):
+        pytest.skip("driver test data not present")
+    f = T.stage1_features(spark, SF)
+    bad = f.filter((F.size("input_ids") != F.size("loss_mask")) | (F.size("input_ids") != F.col("pad_len"))
+                   | (F.col("n_target") != F.aggregate("loss_mask", F.lit(0), lambda a, x: a + x))
+                   | (F.col("pad_len") > T.MAX_LEN))
+    assert bad.count() == 0
+    # every batch holds batch_size rows (an epoch of whole batches)
+    per_batch = f.groupBy("rank", "batch_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r.n for r in per_batch} == {T.BATCH_SIZE}
