@@ -152,3 +152,14 @@ def test_size_shuffles(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_index_rows_position_path_equals_dense_path(spark):
+    from weftmix.operators.mixing import file_offsets
+    rows = [("a", f"{f}.jsonl", f * 100 + i, i) for f in (1, 2, 3, 4, 5) for i in range(f + 1)]
+    df = spark.createDataFrame(rows, "tag string, file_name string, doc_id long, file_pos long")
+    files = shard_files(df.groupBy("tag", "file_name").agg(F.count(F.lit(1)).alias("n_file")), 2)
+    dense = {(r.doc_id, r.row_idx, r.n_rows) for r in index_rows(df, files.drop("n_file"), ["doc_id"]).collect()}
+    fast = {(r.doc_id, r.row_idx, r.n_rows) for r in
+            index_rows(df, file_offsets(files), ["doc_id"], pos_col="file_pos").collect()}
+    assert dense == fast

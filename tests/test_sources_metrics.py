@@ -150,3 +150,22 @@ def test_stream_features_equals_batch(spark, tmp_dir):
     q.awaitTermination()
     out = spark.read.parquet(f"{tmp_dir}/sink")
     assert out.count() == 12 and out.select("epoch").distinct().count() == 3   # one file per micro-batch
+
+
+def test_scan_positions_with_split_files(spark, tmp_dir):
+    """Files split into several blocks (small maxPartitionBytes): positions
+    from scan order equal a sort-based numbering."""
+    from weftmix.operators.indexing import scan_positions
+    for f in range(3):
+        _write(f"{tmp_dir}/c/{f}.jsonl", [json.dumps({"text": f"{f}-{i:05d}-" + "x" * 40}) for i in range(400)])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        files = spark.createDataFrame([(f"file://{tmp_dir}/c/{f}.jsonl",) for f in range(3)], "file_path string")
+        rows = S.read_corpus(spark, files, "text string")
+        assert rows.rdd.getNumPartitions() > 3
+        got = {r.text: r.file_pos for r in scan_positions(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 1200
+    assert all(pos == int(t.split("-")[1]) for t, pos in got.items())

@@ -50,3 +50,31 @@ def dense_index(df: DataFrame, group_cols, order_cols, out_col: str = "row_idx",
     out = s.join(side, ["_pid", *gnames], "inner")
     return (out.withColumn(out_col, (F.col("_off") + F.col("_pos") - F.col("_first")).cast("bigint"))
             .drop("_pid", "_pos", "_first", "_off"))
+
+
+def scan_positions(df: DataFrame, file_col: str = "file_path", block_col: str = "_block",
+                   line_col: str = "_line", out_col: str = "file_pos") -> DataFrame:
+    """0-based position of each row inside its source file, without moving
+    the data.
+
+    ``df`` comes straight from a file scan with ``block_col`` =
+    ``_metadata.file_block_start`` and ``line_col`` =
+    ``monotonically_increasing_id()`` taken at the scan. A split is read by
+    one task in file order, so the id's low 33 bits count rows inside the
+    task; a tiny table of per-(file, block, task) row counts (one row per
+    input split) turns them into file positions through running offsets
+    ordered by block start. Adds ``out_col`` and the file's row count
+    ``n_file``.
+    """
+    low = F.col(line_col).bitwiseAND(F.lit((1 << 33) - 1))
+    task = F.shiftright(F.col(line_col), 33)
+    s = df.withColumn("_task", task).withColumn("_local", low)
+    stats = (s.groupBy(file_col, block_col, "_task")
+             .agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_cnt")))
+    w = Window.partitionBy(file_col).orderBy(block_col, "_task").rowsBetween(Window.unboundedPreceding, -1)
+    stats = (stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+             .withColumn("n_file", F.sum("_cnt").over(Window.partitionBy(file_col))))
+    # one row per input split: bounded by the split count, not the data
+    out = s.join(F.broadcast(stats.drop("_cnt")), [file_col, block_col, "_task"], "inner")
+    return (out.withColumn(out_col, (F.col("_off") + F.col("_local") - F.col("_first")).cast("bigint"))
+            .drop("_task", "_local", "_first", "_off"))

@@ -96,7 +96,20 @@ def shard_files(files: DataFrame, world_size: int, by=("tag",)) -> DataFrame:
             .withColumn("rank_file_ord", (F.col("file_ord") / R).cast("int")))
 
 
-def index_rows(rows: DataFrame, shards: DataFrame, order_cols, file_key=("tag", "file_name")) -> DataFrame:
+def file_offsets(shards: DataFrame) -> DataFrame:
+    """Per-file start position inside the rank's concatenation and the
+    rank's subset size, from a listing with per-file row counts ``n_file``
+    (a window over the listing: one row per file)."""
+    w_run = Window.partitionBy("tag", "rank").orderBy("rank_file_ord").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy("tag", "rank")
+    out = shards.withColumn("file_offset", F.coalesce(F.sum("n_file").over(w_run), F.lit(0)).cast("bigint"))
+    if "n_rows" not in shards.columns:
+        out = out.withColumn("n_rows", F.sum("n_file").over(w_all).cast("bigint"))
+    return out
+
+
+def index_rows(rows: DataFrame, shards: DataFrame, order_cols, file_key=("tag", "file_name"),
+               pos_col: str | None = None) -> DataFrame:
     """B2: position of each row in its rank's concatenation of files.
 
     ``rows`` holds the records with the file key columns; ``shards`` is the
@@ -106,8 +119,19 @@ def index_rows(rows: DataFrame, shards: DataFrame, order_cols, file_key=("tag",
     is computed with a balanced range shuffle (:func:`dense_index`), never
     one window partition per file or per tag. Adds ``rank, rank_file_ord,
     row_idx`` and the rank's tag size ``n_rows``.
+
+    When the rows already know their 0-based position inside their file
+    (``pos_col``) and the listing has per-file counts (``n_file``), the index
+    is ``file_offset + pos`` — a broadcast join with the listing, no
+    shuffle at all.
     """
     key = list(file_key)
+    if pos_col is not None and "n_file" in shards.columns:
+        offs = shards if "file_offset" in shards.columns else file_offsets(shards)
+        listing = F.broadcast(offs.select(*key, "rank", "rank_file_ord", "file_offset", "n_rows"))
+        return (rows.join(listing, key, "inner")
+                .withColumn("row_idx", (F.col("file_offset") + F.col(pos_col)).cast("bigint"))
+                .drop("file_offset"))
     has_size = "n_rows" in shards.columns
     listing = F.broadcast(shards.select(*key, "rank", "rank_file_ord", *(["n_rows"] if has_size else [])))
     with_rank = rows.join(listing, key, "inner")

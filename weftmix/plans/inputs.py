@@ -64,8 +64,10 @@ def lm_rows(spark: SparkSession, sf_dir: str, langs, docs: DataFrame | None = No
 def translate_rows(spark: SparkSession, sf_dir: str, src_lang: str = "en", tgt_lang: str = "fr",
                    tag: str = "translate", docs: DataFrame | None = None,
                    materialize: bool = False) -> DataFrame:
-    """Translation pairs ``tag, file_name, doc_id, pair_doc_id, en_text, zh_text``:
-    the j-th document of each language within the same source file."""
+    """Translation pairs ``tag, file_name, doc_id, pair_doc_id, en_text, zh_text,
+    file_pos``: the j-th document of each language within the same source
+    file; ``file_pos`` = j is the pair's position inside its file (pairs are
+    dense, 0..min(n_en, n_fr)-1, in the order of the ``en`` doc ids)."""
     d = documents(spark, sf_dir, docs)
     a = dense_index(d.filter(F.col("lang") == src_lang), ["source"], ["doc_id"], out_col="j")
     a = a.select("source", "j", "doc_id", F.col("text").alias("en_text"))
@@ -73,7 +75,7 @@ def translate_rows(spark: SparkSession, sf_dir: str, src_lang: str = "en", tgt_l
     b = b.select("source", "j", F.col("doc_id").alias("pair_doc_id"), F.col("text").alias("zh_text"))
     pairs = (a.join(b, ["source", "j"], "inner")
              .select(F.lit(tag).alias("tag"), F.col("source").alias("file_name"), "doc_id", "pair_doc_id",
-                     "en_text", "zh_text"))
+                     "en_text", "zh_text", F.col("j").alias("file_pos")))
     if not materialize:
         return pairs
     # optionally write the derived subset once to the shared checkpoint

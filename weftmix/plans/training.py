@@ -41,15 +41,20 @@ def file_listings(spark: SparkSession, sources, world_size: int):
              .withColumn("_src", F.lit(k)))
         counts = c if counts is None else counts.unionByName(c)
     listed = shard_files(counts, world_size, by=("_src", "tag")).collect()
-    schema = "tag string, file_name string, file_ord int, rank int, rank_file_ord int, n_file bigint, n_rows bigint"
+    schema = ("tag string, file_name string, file_ord int, rank int, rank_file_ord int, n_file bigint, "
+              "n_rows bigint, file_offset bigint")
     out = []
     for k in range(len(sources)):
         mine = [r for r in listed if r["_src"] == k]
         sizes: dict = {}
-        for r in mine:
-            sizes[(r["tag"], r["rank"])] = sizes.get((r["tag"], r["rank"]), 0) + r["n_file"]
+        offset: dict = {}
+        for r in sorted(mine, key=lambda x: (x["tag"], x["rank"], x["rank_file_ord"])):
+            k = (r["tag"], r["rank"])
+            offset[(r["tag"], r["file_name"])] = sizes.get(k, 0)
+            sizes[k] = sizes.get(k, 0) + r["n_file"]
         df = spark.createDataFrame([(r["tag"], r["file_name"], r["file_ord"], r["rank"], r["rank_file_ord"],
-                                     r["n_file"], sizes[(r["tag"], r["rank"])]) for r in mine], schema)
+                                     r["n_file"], sizes[(r["tag"], r["rank"])], offset[(r["tag"], r["file_name"])])
+                                    for r in mine], schema)
         df._weftmix_sizes = sizes
         out.append(df)
     return out
@@ -82,7 +87,8 @@ def indexed(spark: SparkSession, rows: DataFrame, world_size: int = WORLD_SIZE):
 def indexed_all(spark: SparkSession, sources, world_size: int = WORLD_SIZE):
     """(indexed rows, listing) for several sources with one listing job."""
     listings = file_listings(spark, sources, world_size)
-    return [(index_rows(r, l, ["doc_id"]), l) for r, l in zip(sources, listings)]
+    return [(index_rows(r, l, ["doc_id"], pos_col="file_pos" if "file_pos" in r.columns else None), l)
+            for r, l in zip(sources, listings)]
 
 
 def stage1_schedule(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmix.functions.text import py_strip, seeded_hash
-from weftmix.operators.mixing import select_files, shard_files, index_rows
+from weftmix.operators.indexing import scan_positions
+from weftmix.operators.mixing import file_offsets, index_rows, select_files, shard_files
 
 # ---------------------------------------------------------------- schemas
 LM_SCHEMA = "text string, meta map<string,string>"
@@ -58,16 +59,23 @@ def read_corpus(spark: SparkSession, files: DataFrame, schema: str) -> DataFrame
 
 
 def read_mixed_corpus(spark: SparkSession, root: str, spec: DataFrame, schema: str, world_size: int) -> DataFrame:
-    """A1 + A2 + B1 + B2: the indexed rows of every configured subset."""
+    """A1 + A2 + B1 + B2: the indexed rows of every configured subset.
+
+    Row positions come from the scan order (:func:`scan_positions`): each
+    row's place in its file, plus the file's offset in its rank's list — no
+    shuffle of the records."""
     tags = [r["tag"] for r in spec.select("tag").collect()]
     listed = shard_files(select_files(list_corpus_files(spark, root, tags), spec), world_size).collect()
     # the file listing (one row per file) is listed once and kept as a local relation
     files = spark.createDataFrame(
         [(r["file_path"], r["tag"], r["file_name"], r["rank"], r["rank_file_ord"]) for r in listed],
         "file_path string, tag string, file_name string, rank int, rank_file_ord int")
-    rows = read_corpus(spark, files, schema)
-    rows = rows.join(F.broadcast(files.select("file_path", "tag", "file_name")), "file_path", "inner")
-    return index_rows(rows, files, ["_block", "_line"])
+    rows = scan_positions(read_corpus(spark, files, schema))
+    # per-file counts from the split table -> file offsets in each rank's list
+    counts = rows.select("file_path", "n_file").distinct()
+    listing = file_offsets(files.join(counts, "file_path", "inner"))
+    rows = rows.drop("n_file").join(F.broadcast(files.select("file_path", "tag", "file_name")), "file_path")
+    return index_rows(rows, listing.drop("file_path"), ["_block", "_line"], pos_col="file_pos")
 
 
 def read_prompt_pools(spark: SparkSession, paths) -> DataFrame:
