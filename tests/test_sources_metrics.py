@@ -169,3 +169,15 @@ def test_scan_positions_with_split_files(spark, tmp_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(got) == 1200
     assert all(pos == int(t.split("-")[1]) for t, pos in got.items())
+
+
+def test_write_features(spark, tmp_dir):
+    import pytest as _pytest
+    if not os.path.exists("/root/testdata/sf0.001"):
+        _pytest.skip("driver test data not present")
+    from weftmix.plans import training as T
+    f = T.stage1_features(spark, "/root/testdata/sf0.001")
+    S.write_features(f, f"{tmp_dir}/feat")
+    back = spark.read.parquet(f"{tmp_dir}/feat")
+    assert back.count() == f.count()
+    assert sorted(r.rank for r in back.select("rank").distinct().collect()) == [0, 1]

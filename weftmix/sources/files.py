@@ -106,6 +106,17 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_features(features: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
+    """Sink for feature rows: one folder per rank (``rank=<r>/``), rows in
+    ``(batch_id, slot)`` order inside each file, so a rank's trainer reads
+    its batches sequentially. The rows already sit in their batch's
+    partition (``make_features``); only a local sort is added."""
+    cols = [c for c in ("rank", "batch_id", "slot", "tag", "input_ids", "loss_mask", "pad_len", "n_target")
+            if c in features.columns]
+    (features.select(*cols).sortWithinPartitions("rank", "batch_id", "slot")
+     .write.mode(mode).partitionBy("rank").format(fmt).save(path))
+
+
 def write_shuffled_shards(df: DataFrame, path: str, n_shards: int, seed: int, id_cols,
                           world_size: int = 1, mode: str = "overwrite") -> None:
     """Shuffle records once and store them as numbered shards.
