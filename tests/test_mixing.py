@@ -163,3 +163,21 @@ def test_index_rows_position_path_equals_dense_path(spark):
     fast = {(r.doc_id, r.row_idx, r.n_rows) for r in
             index_rows(df, file_offsets(files), ["doc_id"], pos_col="file_pos").collect()}
     assert dense == fast
+
+
+def test_dense_index_consistent_when_consumers_prune_differently(spark, tmp_dir):
+    """Regression: above the range sampler's sample size, two evaluations of
+    the range exchange could choose different bounds; the band join below
+    reads the index through two differently pruned branches."""
+    from pyspark.sql import Window
+    from weftmix.operators.metrics import trailing_mean_records
+    rows = spark.range(0, 20000).select(F.lit("r").alias("run"), (F.col("id") % 3).cast("int").alias("rank"),
+                                        F.col("id").alias("step"), ((F.col("id") * 7919) % 101 / 10.0).alias("loss"))
+    rows.repartition(4).write.parquet(f"{tmp_dir}/m")
+    m = spark.read.parquet(f"{tmp_dir}/m")
+    got = {(r.rank, r.step): (r.n_rows, round(r.avg_loss, 9)) for r in trailing_mean_records(m, 100, ("loss",)).collect()}
+    w = Window.partitionBy("run", "rank").orderBy("step").rowsBetween(-99, 0)
+    want = {(r.rank, r.step): (r.n, round(r.a, 9)) for r in
+            m.withColumn("a", F.sum("loss").over(w) / 100).withColumn("n", F.count("loss").over(w))
+            .filter(F.col("step") % 100 == 0).collect()}
+    assert got == want and len(got) == 200

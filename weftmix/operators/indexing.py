@@ -24,19 +24,28 @@ def dense_index(df: DataFrame, group_cols, order_cols, out_col: str = "row_idx",
 
     Steps: one range shuffle on ``group + order`` (balanced by sampling, so
     a hot group is split over many tasks), a local sort, a local counter
-    (``monotonically_increasing_id`` minus the partition base), then running
+    (``monotonically_increasing_id`` minus the partition base), written once
+    to the shared checkpoint folder (runs an eager job), then running
     offsets over the per-(partition, group) counts (``size_col`` also adds
     the group's row count from the same table). Range partitions hold
     contiguous groups, so the count table has at most ``partitions + groups
     - 1`` rows: with ``few_groups`` (groups bounded by the config, e.g. tags
     x ranks) it is broadcast directly, otherwise behind a row-count check.
     """
+    from weftmix.session import checkpoint_dir
     g = [F.col(c) if isinstance(c, str) else c for c in group_cols]
     o = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = df.repartitionByRange(n, *g, *o).sortWithinPartitions(*g, *o)
     s = (s.withColumn("_pid", F.spark_partition_id().cast("bigint"))
          .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid"), 33)))
+    # The count table and the rows must see the *same* partitions. Two
+    # evaluations of a range exchange are not guaranteed to agree (each
+    # samples its own bounds, and column pruning keeps them from being
+    # reused), so the numbered partitions are written once to the shared
+    # checkpoint folder and both sides read that table.
+    checkpoint_dir(df.sparkSession)
+    s = s.checkpoint(eager=True)
     gnames = [c if isinstance(c, str) else None for c in group_cols]
     if any(x is None for x in gnames):
         raise ValueError("group_cols must be column names")

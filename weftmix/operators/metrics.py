@@ -121,6 +121,34 @@ def trailing_mean(metrics: DataFrame, n: int = LOG_EVERY, cols=("loss", "tflops"
     return g.select(*by, "step", "n_rows", *[f"avg_{c}" for c in cols])
 
 
+def trailing_mean_records(metrics: DataFrame, n: int = LOG_EVERY, cols=("loss", "tflops"),
+                          by=("run", "rank")) -> DataFrame:
+    """F2 for any record layout: at each step divisible by ``n``, the sum of
+    the last ``n`` **records** (by step order) divided by ``n`` — exactly
+    the reference's list slice, even when steps have gaps or repeat across
+    ranks.
+
+    Records get a dense position per ``(run, rank)`` (balanced range
+    shuffle, :func:`dense_index`); a reporting record ``r`` needs records
+    ``r-n+1 .. r``, which lie in position buckets ``r div n`` and the one
+    before, so the band is an equi-join on ``(run, rank, bucket)`` plus a
+    filter: each reported row meets at most ``2n`` rows, and no window
+    spans a whole run."""
+    from weftmix.operators.indexing import dense_index
+    by = list(by)
+    N = int(n)
+    rec = dense_index(metrics, by, ["step"], out_col="_rec", few_groups=False)
+    rec = rec.withColumn("_b", F.floor(F.col("_rec") / N).cast("bigint"))
+    rep = (rec.filter(F.col("step") % N == 0)
+           .select(*by, "step", F.col("_rec").alias("_r"), F.col("_b").alias("_rb")))
+    rep = rep.withColumn("_b", F.explode(F.array(F.col("_rb"), F.col("_rb") - 1)))
+    vals = rec.select(*by, "_b", "_rec", *cols)
+    j = (rep.join(vals, [*by, "_b"], "inner")
+         .filter((F.col("_rec") <= F.col("_r")) & (F.col("_rec") > F.col("_r") - N)))
+    return (j.groupBy(*by, "step")
+            .agg(F.count(F.lit(1)).alias("n_rows"), *[(F.sum(c) / F.lit(float(N))).alias(f"avg_{c}") for c in cols]))
+
+
 def checkpoint_summary(metrics: DataFrame, n: int = SAVE_EVERY, by=("run", "rank")) -> DataFrame:
     """every ``n`` steps, the trailing-``n`` loss and the checkpoint
     folder name ``ckpt_step-<step>_loss-<loss %.4f>``."""

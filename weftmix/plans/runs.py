@@ -60,6 +60,17 @@ def trailing_mean_q(spark, sf_dir):
                     F.round("avg_tflops", 6).alias("avg_tflops"))
 
 
+def trailing_records_q(spark, sf_dir):
+    """F2 on records of four ranks (rank = user_id mod 4, step = event_id):
+    steps have gaps per rank, so the exact last-100-records path runs."""
+    e = inputs.table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    m = e.select(F.lit("run-0").alias("run"), (F.col("user_id") % 4).cast("int").alias("rank"),
+                 F.col("event_id").alias("step"), (F.col("value") / 10.0).alias("loss"))
+    r = M.trailing_mean_records(m, 100, ("loss",))
+    return r.select("run", F.col("rank").cast("bigint").alias("rank"), F.col("step").cast("bigint").alias("step"),
+                    F.col("n_rows").cast("bigint").alias("n_rows"), F.round("avg_loss", 6).alias("avg_loss"))
+
+
 def checkpoint_summary_q(spark, sf_dir):
     r = M.checkpoint_summary(step_metrics(spark, sf_dir), 1000)
     return r.select(F.col("step").cast("bigint").alias("step"), F.round("avg_loss", 6).alias("avg_loss"), "ckpt_name")
@@ -178,6 +189,17 @@ SELECT run, CAST(rank AS BIGINT) AS rank, CAST(step AS BIGINT) AS step, CAST(n_r
        round(avg_loss, 6) AS avg_loss, round(avg_tflops, 6) AS avg_tflops FROM tm"""
 
 
+def trailing_records_sql():
+    return """WITH m AS (SELECT 'run-0' AS run, user_id % 4 AS rank, event_id AS step, value / 10.0 AS loss FROM events),
+w AS (SELECT run, rank, step,
+             sum(loss) OVER (PARTITION BY run, rank ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) / 100.0 AS a,
+             count(*) OVER (PARTITION BY run, rank ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS n
+      FROM m)
+SELECT run, CAST(rank AS BIGINT) AS rank, CAST(step AS BIGINT) AS step, CAST(n AS BIGINT) AS n_rows,
+       round(a, 6) AS avg_loss
+FROM w WHERE step % 100 = 0"""
+
+
 def checkpoint_summary_sql():
     return f"""WITH st AS (SELECT event_id + 1 AS step, value / 10.0 AS loss FROM events),
 c AS (SELECT max(step) AS step, sum(loss) / 1000.0 AS avg_loss, CAST(ceil(step / 1000) AS BIGINT) AS b
