@@ -181,3 +181,17 @@ def test_dense_index_consistent_when_consumers_prune_differently(spark, tmp_dir)
             m.withColumn("a", F.sum("loss").over(w) / 100).withColumn("n", F.count("loss").over(w))
             .filter(F.col("step") % 100 == 0).collect()}
     assert got == want and len(got) == 200
+
+
+def test_standalone_batch_helpers(spark):
+    from weftmix.operators.mixing import (assign_batches, epoch_steps, limit_steps, resume_from,
+                                          resume_step_col)
+    df = assign_batches(spark.range(0, 25).withColumnRenamed("id", "global_pos"), 10)
+    assert sorted({(r.batch_id, r.slot) for r in df.collect()})[-1] == (2, 4)
+    assert limit_steps(df, 2).count() == 20
+    assert resume_from(df, "/x/ckpt_step-2_loss-1.0000").count() == 5
+    p = spark.createDataFrame([("/o/ckpt_step-1200_loss-2.3456",)], "p string")
+    assert p.select(resume_step_col("p").alias("s")).first().s == 1200
+    idx = spark.createDataFrame([("a", 0, 7), ("b", 0, 2), ("a", 1, 3)], "tag string, rank int, n_rows long")
+    # a: ceil(7/4)*6 = 12 slots, b: ceil(2/2)*6 = 6 -> 12 slots / batch 5 -> 3 steps
+    assert epoch_steps(idx, mix_spec(spark, [("a", 4), ("b", 2)]), 5) == 3

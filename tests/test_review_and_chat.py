@@ -146,3 +146,12 @@ def test_require_aligned(spark):
     a = spark.createDataFrame([(1,), (3,)], "question_id long")
     r = RV.require_aligned(q, q, a).first()
     assert not r.ok and r.missing2 == 1 and r.extra == 1
+
+
+def test_require_scored_and_templates(spark):
+    from weftmix.operators.chat import template_table
+    r = _reviews(spark, [(1, [8.0, 6.0]), (2, [0.0, 2.0]), (3, [-1.0, -1.0])])
+    ok, bad = RV.require_scored(r)
+    assert ok.count() == 1 and bad.count() == 2
+    t = template_table(spark).first()
+    assert t.template == "human-assistant" and t.roles == ["Human", "Assistant"] and t.sep == "\n"

@@ -14,7 +14,6 @@ WHITESPACE_CLASS = (
 )
 _STRIP_RE = rf"\A{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+\z"
 _RSTRIP_RE = rf"{WHITESPACE_CLASS}+\z"
-_LSTRIP_RE = rf"\A{WHITESPACE_CLASS}+"
 
 
 def _c(c) -> Column:
@@ -31,10 +30,6 @@ def py_rstrip(c) -> Column:
     return F.regexp_replace(_c(c), _RSTRIP_RE, "")
 
 
-def py_lstrip(c) -> Column:
-    return F.regexp_replace(_c(c), _LSTRIP_RE, "")
-
-
 def seeded_hash(keys, salt) -> Column:
     """Repeatable non-negative 32-bit hash of ``keys`` and a salt.
 
@@ -75,11 +70,3 @@ def loss_split_point(n, keys, salt="split") -> Column:
     hi = F.floor(F.lit(0.7).cast("double") * n_col).cast("bigint")
     width = F.greatest(hi - lo + 1, F.lit(1).cast("bigint"))
     return (lo + seeded_hash(keys, salt) % width).cast("int")
-
-
-def first_line(c) -> Column:
-    return F.element_at(F.split(_c(c), "\n", -1), 1)
-
-
-def last_line(c) -> Column:
-    return F.element_at(F.split(_c(c), "\n", -1), -1)

@@ -81,8 +81,3 @@ def pad(arr, pad_len, value: int = PAD_ID) -> Column:
     """H6: right-pad with literal 0 up to ``pad_len``."""
     a = _c(arr)
     return F.concat(a, F.array_repeat(F.lit(value), F.greatest(_c(pad_len).cast("int") - F.size(a), F.lit(0))))
-
-
-def ids_digest(arr) -> Column:
-    """md5 of the comma-joined ids: a compact, engine-neutral fingerprint."""
-    return F.md5(F.array_join(_c(arr).cast("array<string>"), ","))

@@ -24,6 +24,8 @@ _LOCAL_DEFAULTS = {
     # keep the automatic threshold small so Catalyst never broadcasts a side
     # whose size grows with the data.
     "spark.sql.autoBroadcastJoinThreshold": str(8 * 1024 * 1024),
+    # checkpointed intermediate tables are removed once no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
