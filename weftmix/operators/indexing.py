@@ -20,35 +20,34 @@ def dense_index(df: DataFrame, group_cols, order_cols, out_col: str = "row_idx",
                 num_partitions: int | None = None, few_groups: bool = True,
                 size_col: str | None = None) -> DataFrame:
     """Add ``out_col`` = 0-based position of the row in its group, ordered by
-    ``order_cols`` (which must make the order total for a repeatable result).
+    ``order_cols``. Group and order columns are names; together they must be
+    unique and non-NULL (a total order), which also makes the result
+    repeatable.
 
-    Steps: one range shuffle on ``group + order`` (balanced by sampling, so
-    a hot group is split over many tasks), a local sort, a local counter
-    (``monotonically_increasing_id`` minus the partition base), written once
-    to the shared checkpoint folder (runs an eager job), then running
-    offsets over the per-(partition, group) counts (``size_col`` also adds
-    the group's row count from the same table). Range partitions hold
-    contiguous groups, so the count table has at most ``partitions + groups
-    - 1`` rows: with ``few_groups`` (groups bounded by the config, e.g. tags
-    x ranks) it is broadcast directly, otherwise behind a row-count check.
+    Only the key columns travel through the index computation: one range
+    shuffle on ``group + order`` (balanced by sampling, so a hot group is
+    split over many tasks), a local sort and a local counter
+    (``monotonically_increasing_id`` minus the partition base). The numbered
+    keys are written once to the shared checkpoint folder — two evaluations
+    of a range exchange may sample different bounds, so the count table
+    and the positions must read the same written partitions. Running
+    offsets over the per-(partition, group) counts (at most ``partitions +
+    groups - 1`` rows; broadcast directly with ``few_groups``, else behind a
+    row-count check) give the positions, which are joined back to the rows
+    on the unique key (one hash shuffle of the rows; the payload is never
+    written). ``size_col`` adds the group's row count.
     """
     from weftmix.session import checkpoint_dir
-    g = [F.col(c) if isinstance(c, str) else c for c in group_cols]
-    o = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    gnames, onames = list(group_cols), list(order_cols)
+    if not all(isinstance(c, str) for c in gnames + onames):
+        raise ValueError("group_cols and order_cols must be column names")
+    keys = gnames + onames
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *g, *o).sortWithinPartitions(*g, *o)
-    s = (s.withColumn("_pid", F.spark_partition_id().cast("bigint"))
+    s = (df.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+         .withColumn("_pid", F.spark_partition_id().cast("bigint"))
          .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid"), 33)))
-    # The count table and the rows must see the *same* partitions. Two
-    # evaluations of a range exchange are not guaranteed to agree (each
-    # samples its own bounds, and column pruning keeps them from being
-    # reused), so the numbered partitions are written once to the shared
-    # checkpoint folder and both sides read that table.
     checkpoint_dir(df.sparkSession)
     s = s.checkpoint(eager=True)
-    gnames = [c if isinstance(c, str) else None for c in group_cols]
-    if any(x is None for x in gnames):
-        raise ValueError("group_cols must be column names")
     stats = s.groupBy("_pid", *gnames).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
@@ -56,9 +55,10 @@ def dense_index(df: DataFrame, group_cols, order_cols, out_col: str = "row_idx",
         stats = stats.withColumn(size_col, F.sum("_cnt").over(Window.partitionBy(*gnames)))
     stats = stats.drop("_cnt")
     side = F.broadcast(stats) if few_groups else bounded_broadcast(stats)
-    out = s.join(side, ["_pid", *gnames], "inner")
-    return (out.withColumn(out_col, (F.col("_off") + F.col("_pos") - F.col("_first")).cast("bigint"))
-            .drop("_pid", "_pos", "_first", "_off"))
+    idx = (s.join(side, ["_pid", *gnames], "inner")
+           .withColumn(out_col, (F.col("_off") + F.col("_pos") - F.col("_first")).cast("bigint"))
+           .drop("_pid", "_pos", "_first", "_off"))
+    return df.join(idx, keys, "inner")
 
 
 def scan_positions(df: DataFrame, file_col: str = "file_path", block_col: str = "_block",
