@@ -18,7 +18,7 @@ def generator_factory():
     return lambda prompt: f"Answer of {len(prompt)} characters. "
 
 
-def judge_factory(category_of_prompt=None):
+def judge_factory():
     """J3 stand-in judge: the same text as ``evaluation.stand_in_judge`` on a
     first attempt; every prompt whose hash says 'flaky' fails once first."""
     seen: set = set()
