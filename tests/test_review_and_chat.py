@@ -155,3 +155,24 @@ def test_require_scored_and_templates(spark):
     assert ok.count() == 1 and bad.count() == 2
     t = template_table(spark).first()
     assert t.template == "human-assistant" and t.roles == ["Human", "Assistant"] and t.sep == "\n"
+
+
+def test_row_parallel_pairs_and_api_match_array_forms(spark):
+    from weftmix.operators.chat import api_messages_table, chat_pairs_table
+    rows = [(1, 0, "system", "S"), (1, 1, "user", "u1"), (1, 2, "assistant", None), (1, 3, "user", "u2"),
+            (1, 4, "assistant", "a2"), (1, 5, "user", "u3"), (2, 0, "user", "q")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    packed = order_turns(c)
+    arr = {r.conv_id: r for r in packed.select("conv_id", to_chat_pairs("messages").alias("p"),
+                                               to_api_messages("system", "messages").alias("a")).collect()}
+    pairs = {}
+    for r in chat_pairs_table(c).collect():
+        pairs.setdefault(r.conv_id, []).append((r.pair_idx, r.user, r.reply))
+    for cid, r in arr.items():
+        assert [(u, v) for _, u, v in sorted(pairs[cid])] == [tuple(x) for x in r.p]
+    api = {}
+    for r in api_messages_table(c).collect():
+        api.setdefault(r.conv_id, []).append((r.msg_idx, r.role, r.content))
+    for cid, r in arr.items():
+        assert [(role, ct) for _, role, ct in sorted(api[cid])] == [tuple(x) for x in r.a]
+    assert [m for m in sorted(api[1])][2] == (2, "user", "u2")      # the NULL reply was dropped

@@ -49,3 +49,44 @@ def question_conversations(questions: DataFrame, roles=("Human", "Assistant")) -
     empty = F.array().cast("array<struct<turn:int,role:string,text:string>>")
     msgs = append_turn(append_turn(empty, roles[0], F.col("text")), roles[1], F.lit(None).cast("string"))
     return questions.withColumn("messages", msgs)
+
+
+# ------------------------------------------------ row-parallel table forms
+def _messages_indexed(conversations: DataFrame, roles=("Human", "Assistant")) -> DataFrame:
+    """Non-system messages with their 0-based index ``i`` in turn order per
+    conversation — a balanced dense index, so a huge conversation is never
+    gathered into one task."""
+    from weftmix.operators.indexing import dense_index
+    msgs = conversations.filter(F.col("role") != "system").select("conv_id", "turn", "role", "text")
+    return dense_index(msgs, ["conv_id"], ["turn"], out_col="i", few_groups=False)
+
+
+def chat_pairs_table(conversations: DataFrame) -> DataFrame:
+    """H9 as rows ``conv_id, pair_idx, user, reply``: each even-index message
+    opens a pair, the next message (index + 1) fills its reply (NULL when
+    there is none). An equi-join on ``(conv_id, i)``, no per-conversation
+    collect."""
+    m = _messages_indexed(conversations)
+    opens = m.filter(F.col("i") % 2 == 0).select("conv_id", (F.col("i") + 1).alias("_j"),
+                                                 (F.col("i") / 2).cast("bigint").alias("pair_idx"),
+                                                 F.col("text").alias("user"))
+    replies = m.filter(F.col("i") % 2 == 1).select("conv_id", F.col("i").alias("_j"), F.col("text").alias("reply"))
+    return opens.join(replies, ["conv_id", "_j"], "left").drop("_j")
+
+
+def api_messages_table(conversations: DataFrame) -> DataFrame:
+    """H10 as rows ``conv_id, msg_idx, role, content``: the system message
+    first (empty when the conversation has none), then user/assistant by
+    index parity; only NULL assistant texts are dropped, and positions
+    close up behind them (a dense index over the kept rows)."""
+    from weftmix.operators.indexing import dense_index
+    m = _messages_indexed(conversations)
+    tagged = m.select("conv_id", "turn", F.when(F.col("i") % 2 == 0, F.lit("user")).otherwise(F.lit("assistant"))
+                      .alias("role"), F.col("text").alias("content"))
+    kept = tagged.filter(~((F.col("role") == "assistant") & F.col("content").isNull()))
+    kept = dense_index(kept, ["conv_id"], ["turn"], out_col="_k", few_groups=False)
+    body = kept.select("conv_id", (F.col("_k") + 1).alias("msg_idx"), "role", "content")
+    system = (conversations.groupBy("conv_id")
+              .agg(F.coalesce(F.max(F.when(F.col("role") == "system", F.col("text"))), F.lit("")).alias("content"))
+              .select("conv_id", F.lit(0).cast("bigint").alias("msg_idx"), F.lit("system").alias("role"), "content"))
+    return system.unionByName(body)

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmix.functions.chat import STYLES, render_prompt, to_api_messages, to_chat_pairs
-from weftmix.operators.chat import chat_template, order_turns
+from weftmix.functions.chat import STYLES, render_prompt
+from weftmix.operators.chat import api_messages_table, chat_pairs_table, chat_template, order_turns
 from weftmix.plans import inputs
 
 SEP, SEP2 = "\n", "</s>"
@@ -37,20 +37,22 @@ def render_prompts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length("r.prompt").cast("bigint").alias("prompt_len"), F.md5("r.prompt").alias("prompt_md5"))
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+
 def chat_pairs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H9: (user, reply) pairs of every conversation."""
-    p = packed(spark, sf_dir)
-    x = p.select("conv_id", F.posexplode(to_chat_pairs(F.col("messages"))).alias("pair_idx", "pair"))
+    """H9: (user, reply) pairs of every conversation, row-parallel."""
+    x = chat_pairs_table(conversations(spark, sf_dir))
     return x.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("pair_idx").cast("bigint").alias("pair_idx"),
-                    F.md5("pair.user").alias("user_md5"), F.md5("pair.reply").alias("reply_md5"))
+                    F.md5("user").alias("user_md5"), F.md5("reply").alias("reply_md5"))
 
 
 def api_messages_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """API message list of every conversation (system first)."""
-    p = packed(spark, sf_dir)
-    x = p.select("conv_id", F.posexplode(to_api_messages(F.col("system"), F.col("messages"))).alias("msg_idx", "m"))
+    """API message list of every conversation (system first), row-parallel."""
+    x = api_messages_table(conversations(spark, sf_dir))
     return x.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("msg_idx").cast("bigint").alias("msg_idx"),
-                    F.col("m.role").alias("role"), F.md5("m.content").alias("content_md5"))
+                    "role", F.md5("content").alias("content_md5"))
 
 
 def answer_prompts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
