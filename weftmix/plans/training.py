@@ -84,10 +84,11 @@ def indexed(spark: SparkSession, rows: DataFrame, world_size: int = WORLD_SIZE):
     return index_rows(rows, listing, ["doc_id"]), listing
 
 
-def indexed_all(spark: SparkSession, sources, world_size: int = WORLD_SIZE):
-    """(indexed rows, listing) for several sources with one listing job."""
+def indexed_all(spark: SparkSession, sources, world_size: int = WORLD_SIZE, order_cols=("doc_id",)):
+    """(indexed rows, listing) for several sources with one listing job.
+    ``order_cols`` orders rows inside a file (unique within it)."""
     listings = file_listings(spark, sources, world_size)
-    return [(index_rows(r, l, ["doc_id"], pos_col="file_pos" if "file_pos" in r.columns else None), l)
+    return [(index_rows(r, l, list(order_cols), pos_col="file_pos" if "file_pos" in r.columns else None), l)
             for r, l in zip(sources, listings)]
 
 
@@ -131,13 +132,13 @@ def features_report(feats: DataFrame) -> DataFrame:
 
 
 def _schedule_all(spark: SparkSession, parts, weights, batch_size: int, steps: int | None, start_step: int,
-                  world_size: int, after_index=None):
+                  world_size: int, after_index=None, order_cols=("doc_id",)):
     """Index each source, derive the epoch step count, schedule each.
     ``after_index[i]`` (optional) transforms source i after its balanced
     index shuffle and before the schedule repeats its rows (e.g. tokenising
     plain text once per row, in parallel)."""
     spec = mix_spec(spark, weights)
-    pairs = indexed_all(spark, parts, world_size)
+    pairs = indexed_all(spark, parts, world_size, order_cols)
     if after_index:
         pairs = [((after_index[k](i) if after_index.get(k) else i), l) for k, (i, l) in enumerate(pairs)]
     if steps is None:
@@ -169,7 +170,8 @@ STAGE3_WEIGHTS = [("chat", 2), ("chat-system", 1)]
 
 def instruct_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction records as a two-subset corpus: with / without a system
-    instruction; files of 16 conversations; order (conv_id, turn)."""
+    instruction; files of 16 conversations; order (conv_id, turn).
+    ``doc_id`` (conv_id * 100 + turn) is only a display id in reports."""
     r = inputs.instruction_rows(spark, sf_dir)
     return (ex.instruct_example(r)
             .withColumn("tag", F.when(F.length("instruction") > 0, "chat-system").otherwise("chat"))
@@ -183,5 +185,6 @@ def stage3_features(spark: SparkSession, sf_dir: str, steps: int | None = None,
     """H7 for stage 3: stripped instruction records (C7), rejects removed
     (C8), ``Human: ... Assistant: `` prefix (C6)."""
     ok, _rejects = ex.require_nonempty(instruct_source(spark, sf_dir))
-    (s,), steps = _schedule_all(spark, [ok], STAGE3_WEIGHTS, batch_size, steps, start_step, world_size)
+    (s,), steps = _schedule_all(spark, [ok], STAGE3_WEIGHTS, batch_size, steps, start_step, world_size,
+                                order_cols=("conv_id", "turn"))
     return make_features(ex.with_prefix(s, 3), max_len, DRAW_KEY)
