@@ -23,6 +23,7 @@ from weftmix.session import scratch_path
 from weftmix.sources import files as S
 
 NUMEL, BATCH, SEQ, LR = 7_000_000_000, 20, 1024, 2e-5
+STREAM_TIMEOUT_SEC = 3600
 SEQ_LEN, SEQS_PER_BATCH = 64, 8
 
 
@@ -146,7 +147,9 @@ def stream_features_q(spark, sf_dir):
     src = stream_corpus(spark, sf_dir, schema, fmt="parquet", glob="documents.parquet")
     sink, ck = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     q = stream_features(src, lambda b, _e: T.features_report(T.stage1_features(spark, sf_dir, docs=b)), sink, ck)
-    q.awaitTermination()
+    if not q.awaitTermination(STREAM_TIMEOUT_SEC):
+        q.stop()
+        raise TimeoutError(f"file stream did not finish within {STREAM_TIMEOUT_SEC} s")
     return spark.read.parquet(sink).drop("epoch")
 
 
