@@ -176,3 +176,20 @@ def test_row_parallel_pairs_and_api_match_array_forms(spark):
     for cid, r in arr.items():
         assert [(role, ct) for _, role, ct in sorted(api[cid])] == [tuple(x) for x in r.a]
     assert [m for m in sorted(api[1])][2] == (2, "user", "u2")      # the NULL reply was dropped
+
+
+def test_review_records_roundtrip(spark, tmp_path):
+    import json
+    import os
+    from weftmix.sources.files import REVIEW_SCHEMA, read_eval_table, write_jsonl
+    judged = spark.createDataFrame([(3, "a1", "a2", 1, "8 6\nok", "generic")],
+                                   "question_id long, answer1_id string, answer2_id string, reviewer_id int, "
+                                   "text string, category string")
+    recs = RV.review_records(RV.to_reviews(judged))
+    out = str(tmp_path / "rev")
+    write_jsonl(recs, out)
+    line = [ln for p in os.listdir(out) if p.endswith(".json") for ln in open(os.path.join(out, p))][0]
+    obj = json.loads(line)
+    assert list(obj) == RV.REVIEW_FIELDS and obj["metadata"] == {} and obj["score"] == [8.0, 6.0]
+    back = read_eval_table(spark, out, REVIEW_SCHEMA).first()
+    assert back.review_id == obj["review_id"] and len(back.review_id) == 22

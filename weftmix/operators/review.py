@@ -156,3 +156,13 @@ def review_answers(questions: DataFrame, a1: DataFrame, a2: DataFrame, reviewers
                                 reviewers, prompts, retry=True)
     fresh = to_reviews(attach_judgement(req, judge, 1))
     return merge_reviews(previous, fresh)
+
+
+# The fields of a stored review record, in file order.
+REVIEW_FIELDS = ["review_id", "question_id", "answer1_id", "answer2_id", "reviewer_id", "metadata", "text", "score"]
+
+
+def review_records(reviews: DataFrame) -> DataFrame:
+    """The stored review shape (for ``write_jsonl``): exactly the review
+    fields, ``metadata`` an empty map, ``score`` a pair of doubles."""
+    return reviews.select(*REVIEW_FIELDS)
