@@ -143,18 +143,37 @@ def merge_reviews(old: DataFrame, new: DataFrame) -> DataFrame:
             .drop("_new_text", "_new_score"))
 
 
+def _judged(requests: DataFrame, judge, judge_factory, attempt: int, judge_options=None) -> DataFrame:
+    """Judge text for each request: a Column judge stays in SQL; a Python
+    judge (J3, ``judge_factory``) runs in ``mapInPandas`` and its output is
+    written once (``checkpoint``) before anything parses it, so no later
+    action repeats the calls."""
+    if judge_factory is not None:
+        from weftmix.operators.external import judge as run_judge
+        from weftmix.session import checkpoint_dir
+        checkpoint_dir(requests.sparkSession)
+        return run_judge(requests, judge_factory, **(judge_options or {})).checkpoint(eager=True)
+    return attach_judgement(requests, judge, attempt)
+
+
 def review_answers(questions: DataFrame, a1: DataFrame, a2: DataFrame, reviewers: DataFrame,
-                   prompts: DataFrame, judge, previous: DataFrame | None = None) -> DataFrame:
+                   prompts: DataFrame, judge=None, previous: DataFrame | None = None,
+                   judge_factory=None, judge_options: dict | None = None) -> DataFrame:
     """The whole review pass. Without ``previous``: every question is
     judged. With ``previous``: only pending rows (C12) are judged again with
-    the retry token budget and merged back (D6)."""
+    the retry token budget and merged back (D6). The judge is either a
+    Column function ``judge(df, attempt)`` or a Python ``judge_factory``
+    (see :func:`weftmix.operators.external.judge`; ``judge_options`` are
+    its tries / spacing arguments)."""
+    if judge is None and judge_factory is None:
+        raise ValueError("a judge Column function or a judge_factory is required")
     if previous is None:
         req = build_review_requests(questions, a1, a2, reviewers, prompts)
-        return to_reviews(attach_judgement(req, judge, 0))
+        return to_reviews(_judged(req, judge, judge_factory, 0, judge_options))
     todo = pending_reviews(previous).select("question_id")
     req = build_review_requests(questions.join(todo, "question_id", "left_semi"), a1, a2,
                                 reviewers, prompts, retry=True)
-    fresh = to_reviews(attach_judgement(req, judge, 1))
+    fresh = to_reviews(_judged(req, judge, judge_factory, 1, judge_options))
     return merge_reviews(previous, fresh)
 
 

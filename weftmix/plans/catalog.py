@@ -246,9 +246,9 @@ def q_judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 + J4: the judge as a Python function with retries (mapInPandas);
     flaky calls fail once and are retried; same reviews as the SQL judge."""
     q, a1, a2, r, p = E.review_inputs(spark, sf_dir)
-    req = RV.build_review_requests(q, a1, a2, r, p)
-    judged = X.judge(req, SI.judge_factory, max_retry=5, gap=0.0, retry_wait=0.0)
-    return _review_cols(RV.to_reviews(judged))
+    rv = RV.review_answers(q, a1, a2, r, p, judge_factory=SI.judge_factory,
+                           judge_options={"max_retry": 5, "gap": 0.0, "retry_wait": 0.0})
+    return _review_cols(rv)
 
 
 # ------------------------------------------------------- training-run tables
