@@ -182,10 +182,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH c AS (SELECT vec_id AS id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+WITH c AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
            FROM embeddings WHERE len(embedding) > 0),
 d AS (SELECT q.id AS query_id, c.id AS neighbor_id,
-             {BITS} - list_sum(list_transform(list_zip(q.bits[1:{BITS}], c.bits[1:{BITS}]), z -> CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END)) AS distance
+             {BITS} - list_sum(list_transform(list_zip(q.bits[1:{BITS}], c.bits[1:{BITS}]), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END)) AS distance
       FROM c q, c WHERE q.id % {QUERY_STEP} = 0 AND q.id <> c.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
 SELECT query_id, neighbor_id, distance::BIGINT AS distance, rank::INTEGER AS rank FROM r WHERE rank <= {K}"""

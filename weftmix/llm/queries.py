@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from weftmix.llm import mih, url_reputation
+from weftmix.llm import mih, url_reputation, warc
 
 QUERIES = {
     "op5_mih_topk": mih.query,
+    "op7_warc_transactions": warc.query,
     "op10_url_reputation": url_reputation.query,
 }
 ORACLE_SQL = {
     "op5_mih_topk": mih.SQL,
+    "op7_warc_transactions": warc.SQL,
     "op10_url_reputation": url_reputation.SQL,
 }
