@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftmix.llm import mih, url_reputation, warc
+from weftmix.llm import mih, packing, url_reputation, warc
 
 QUERIES = {
     "op5_mih_topk": mih.query,
+    "op6_order_packing": packing.query,
     "op7_warc_transactions": warc.query,
     "op10_url_reputation": url_reputation.query,
 }
