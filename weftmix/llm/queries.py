@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftmix.llm import mih, packing, quality_cnn, url_reputation, warc
+from weftmix.llm import langid, mih, packing, quality_cnn, url_reputation, warc
 
 QUERIES = {
+    "op2_language_id": langid.query,
     "op3_quality_cnn": quality_cnn.query,
     "op5_mih_topk": mih.query,
     "op6_order_packing": packing.query,
