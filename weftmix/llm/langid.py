@@ -13,16 +13,14 @@ is map-only.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0;
 so is everything when nothing was learned; ties between languages go to the one that
-sorts first and ties between n-grams to the smaller CRC-32; repeated rows are predicted alike; an empty table gives no rows; other
+sorts first and ties between n-grams to the smaller key; repeated rows are predicted alike; an empty table gives no rows; other
 columns are ignored. The score is the winner's share of the languages'
 similarities (1 - distance / largest possible distance).
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -37,112 +35,87 @@ MAX_N = 4
 SPREAD, PER_PART = 64, 16
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
-#: Words whose n-grams a task keeps at hand.
-KEPT_WORDS = 200_000
-#: N-gram numbers after which a task starts its numbering anew.
-KEPT_GRAMS = 1_000_000
-
-
-class Ngrams(dict):
-    """word -> the numbers of its padded n-grams. ``names`` and ``order`` give a
-    number's n-gram and the hash that breaks ties."""
-
-    def __init__(self, first: list[str] = ()):
-        self.numbers: dict[str, int] = {}
-        self.names: list[str] = []
-        self.order = np.zeros(1 << 16, np.uint32)
-        for g in first:
-            self.number(g)
-
-    def number(self, gram: str) -> int:
-        n = self.numbers.get(gram)
-        if n is None:
-            n = self.numbers[gram] = len(self.names)
-            self.names.append(gram)
-            if n >= len(self.order):
-                self.order = np.concatenate([self.order, np.zeros_like(self.order)])
-            self.order[n] = tie(gram)
-        return n
-
-    def __missing__(self, word: str) -> np.ndarray:
-        w = f"_{word}_"
-        out = np.array([self.number(w[i:i + n]) for n in range(1, MAX_N + 1) for i in range(len(w) - n + 1)
-                        if n > 1 or 0 < i < len(w) - 1], np.int64)
-        if len(self) < KEPT_WORDS:
-            self[word] = out
-        return out
-
-
-def tie(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass"))
-
-
-def ngram_counts(text: str | None, grams: Ngrams) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, counts) of the whole text's n-grams; empty without a letter."""
-    words = Counter(WORD.findall((text or "").lower()))
-    if not any(c.isalpha() for w in words for c in w):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    parts = [grams[w] for w in words]
-    ids = np.concatenate(parts)
-    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in parts])
-    o = np.argsort(ids)
-    ids, times = ids[o], times[o]
-    at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    return ids[at], np.add.reduceat(times, at)
-
-
-def ranked(ids: np.ndarray, counts: np.ndarray, order: np.ndarray, size: int = PROFILE) -> np.ndarray:
-    """The most frequent n-grams, most frequent first, ties by their hash."""
-    if len(ids) > size:
+MARK = ord("_")
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def ngram_keys(text: str | None) -> np.ndarray:
+    """A 64-bit number for every n-gram of the whole text, 16 bits a letter
+    (code points above that are folded); words are padded with MARK."""
+    code = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    is_letter = letters()[code]
+    if not is_letter.any():
+        return np.empty(0, np.uint64)
+    # one mark between words, one before the first and one after the last
+    keep = is_letter | np.concatenate(([False], is_letter[:-1]))
+    code = np.where(is_letter, np.where(code < 1 << 16, code, code % 65521 + 1), MARK)[keep]
+    code = np.concatenate(([MARK], code, [MARK] if code[-1] != MARK else [])).astype(np.uint64)
+    inner = code != MARK
+    out, key, whole = [code[inner]], code, None
+    for n in range(2, MAX_N + 1):  # all letters but the first and last must belong to one word
+        key = key[:-1] | code[n - 1:] << np.uint64(16 * (n - 1))
+        whole = np.ones(len(key), bool) if whole is None else whole[:-1] & inner[n - 2:-1]
+        out.append(key[whole])
+    return np.concatenate(out)
+
+
+def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the whole text's n-grams; empty without a letter."""
+    keys = np.sort(ngram_keys(text))
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def ranked(keys: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
+    """The most frequent n-grams, most frequent first, ties by their keys."""
+    if len(keys) > size:
         least = np.partition(counts, len(counts) - size)[len(counts) - size]
-        ids, counts = ids[counts >= least], counts[counts >= least]
-    return ids[np.lexsort((order[ids], -counts))][:size]
+        keys, counts = keys[counts >= least], counts[counts >= least]
+    return keys[np.argsort(-counts, kind="stable")][:size]  # keys come sorted
 
 
 class Profiles:
-    """The languages' profiles and the n-gram numbering that they open."""
+    """The languages' profiles as one table of ranks."""
 
-    def __init__(self, by_lang: dict[str, list[str]]):
+    def __init__(self, by_lang: dict[str, np.ndarray]):
         self.langs = sorted(by_lang)
-        self.lists = [by_lang[k] for k in self.langs]
-        self.known = sorted({g for x in self.lists for g in x})
-        self.reset()
-
-    def reset(self) -> None:
-        self.grams = Ngrams(self.known)
-        self.ranks = np.full((len(self.langs), len(self.known) + 1), -1, np.int64)  # the last stands for any other n-gram
-        for row, grams in zip(self.ranks, self.lists, strict=True):
-            row[[self.grams.numbers[g] for g in grams]] = np.arange(len(grams))
+        self.known = np.unique(np.concatenate([by_lang[k] for k in self.langs])) if by_lang else np.empty(0, np.uint64)
+        self.ranks = np.full((len(self.langs), len(self.known) + 1), -1)  # the last stands for any other n-gram
+        for row, k in zip(self.ranks, self.langs, strict=True):
+            row[np.searchsorted(self.known, by_lang[k])] = np.arange(len(by_lang[k]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score) of one whole text."""
-        if len(self.grams.names) > KEPT_GRAMS:
-            self.reset()
-        ids, counts = ngram_counts(text, self.grams)
-        if not len(ids) or not self.langs:
+        own = ranked(*ngram_counts(text))
+        if not len(own) or not self.langs:
             return UNKNOWN, 0.0
-        own = ranked(ids, counts, self.grams.order)
-        at = self.ranks[:, np.minimum(own, len(self.known))]
-        away = np.where(at < 0, PROFILE, np.abs(at - np.arange(len(own)))).sum(axis=1)
+        at = np.searchsorted(self.known, own)
+        at[self.known[np.minimum(at, len(self.known) - 1)] != own] = len(self.known)
+        ranks = self.ranks[:, at]
+        away = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
         similar = 1 - away / (PROFILE * len(own))
         best = int(similar.argmax())
         return self.langs[best], float(similar[best] / similar.sum()) if similar.sum() else 0.0
 
 
 def _count(batches):
-    grams = Ngrams()
     for batch in batches:
-        flat: Counter = Counter()
+        by: dict[str, list] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for i, n in zip(*(x.tolist() for x in ngram_counts(text, grams)), strict=True):
-                flat[lang, i] += n
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in flat], pa.string()), pa.array([grams.names[i] for _, i in flat], pa.string()),
-                                          pa.array(list(flat.values()), pa.int64())], names=["lang", "gram", "n"])
+            by.setdefault(lang, []).append(ngram_keys(text))
+        for lang, parts in by.items():
+            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)],
+                                             names=["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame) -> dict[str, list[str]]:
-    """lang -> its n-grams in rank order, from (doc_id, text, lang). The sample holds at
+def learn(docs: DataFrame) -> dict[str, np.ndarray]:
+    """lang -> its n-grams' keys in rank order, from (doc_id, text, lang). The sample holds at
     most SPREAD * PER_PART documents a language and the driver receives at
     most 16 * PROFILE n-grams of each."""
     small_batches(docs.sparkSession)
@@ -150,17 +123,22 @@ def learn(docs: DataFrame) -> dict[str, list[str]]:
     w = W.partitionBy("lang", F.pmod("h", F.lit(SPREAD))).orderBy("h")
     picked = keys.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= PER_PART).select("doc_id")
     sample = docs.filter("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), "doc_id")
-    counts = (sample.select("lang", "text").mapInArrow(_count, "lang string, gram string, n long")
+    counts = (sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     part = W.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(16))).orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rn", F.row_number().over(part)).filter(F.col("rn") <= PROFILE).drop("rn").collect()
     by: dict[str, list] = {}
     for r in top:
-        by.setdefault(r["lang"], []).append((-r["n"], tie(r["gram"]), r["gram"]))
-    return {k: [g for _, _, g in sorted(x)[:PROFILE]] for k, x in by.items()}
+        by.setdefault(r["lang"], []).append((r["gram"], r["n"]))
+    out = {}
+    for lang, x in by.items():
+        keys, n = np.array([g for g, _ in x], np.int64).view(np.uint64), np.array([n for _, n in x])
+        o = np.argsort(keys)
+        out[lang] = ranked(keys[o], n[o])
+    return out
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, lang_pred, score) of every row's whole text."""
     small_batches(docs.sparkSession)
 

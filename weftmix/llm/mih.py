@@ -166,6 +166,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, se
                         F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"))
     right = asked.select("id", "code", F.pmod(F.xxhash64("id"), F.lit(n_query)).cast("int").alias("qb"),
                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_index - 1).cast("bigint"))).alias("ib"))
+    tasks = n_index * n_query  # stated, or small inputs would be put back together in one task
+    left, right = (x.repartition(tasks, "ib", "qb") for x in (left, right))
     found = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInPandas(
         _block_search(k, -(-bits // segment_bits), segment_bits), "query_id long, neighbor_id long, distance long")
     best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))), 1, k)
