@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weftmix.llm import langid, mih, packing, quality_cnn, url_reputation, warc
+from weftmix.llm import langid, mih, packing, quality_cnn, simhash, url_reputation, warc
 
 QUERIES = {
     "op2_language_id": langid.query,
     "op3_quality_cnn": quality_cnn.query,
+    "op4_simhash_groups": simhash.query,
     "op5_mih_topk": mih.query,
     "op6_order_packing": packing.query,
     "op7_warc_transactions": warc.query,
