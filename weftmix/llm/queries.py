@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftmix.llm import langid, mih, packing, quality_cnn, simhash, url_reputation, warc
+from weftmix.llm import langid, mih, packing, quality_cnn, simhash, suffix_dedup, url_reputation, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_language_id": langid.query,
     "op3_quality_cnn": quality_cnn.query,
     "op4_simhash_groups": simhash.query,
