@@ -311,17 +311,18 @@ def remove_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, length:
     return data[~gone].tobytes(), list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, as_text: bool = False) -> DataFrame:
     """``docs`` (doc_id, text and any others) with what was removed:
-    removed_spans array of (start, end) byte positions, kept binary, n_bytes."""
+    removed_spans array of (start, end) byte positions, kept binary, n_bytes,
+    and kept_text, when asked for, without characters that a cut split."""
     found = repeated_spans(docs, length, anchor, group).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     small_batches(docs.sparkSession)
     joined = docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found["__id"]) & (th == found["__th"]), "left").drop("__id", "__th")
-    extra = ["removed_spans", "kept", "n_bytes"]
+    extra = ["removed_spans", "kept", "n_bytes", "kept_text"]
     fields = [f for f in docs.schema.fields if f.name not in extra]
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*fields, T.StructField(extra[0], kind), T.StructField(extra[1], T.BinaryType()), T.StructField(extra[2], T.LongType())])
+    schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in zip(extra, (kind, T.BinaryType(), T.LongType(), T.StringType()), strict=True))])
     names = [f.name for f in fields]
 
     def run(batches):
@@ -334,8 +335,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: in
                 kept.append(k)
                 runs.append([{"start": a, "end": b} for a, b in gone])
                 size.append(len(data))
+            plain = [k.decode("utf-8", "ignore") if as_text else None for k in kept]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                                              pa.array(kept, pa.binary()), pa.array(size, pa.int64())], names=[*names, *extra])
+                                              pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(plain, pa.string())],
+                                             names=[*names, *extra])
     return joined.select(*names, "__spans").mapInArrow(run, schema)
 
 
@@ -348,10 +351,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the texts without their repeated passages; characters
     cut in two go, n_chars follows the text, a null text stays null."""
-    got = dedup(docs)
-    text = F.when(F.col("text").isNull(), None).otherwise(F.decode("kept", F.lit("UTF-8")))
-    text = F.when(F.size("removed_spans") == 0, F.col("text")).otherwise(F.replace(text, F.lit("�"), F.lit("")))
-    got = got.withColumn("text", text)
+    got = dedup(docs, as_text=True)
+    got = got.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return got.select(*docs.columns)
