@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftmix.llm import decontaminate, langid, mih, packing, quality_cnn, simhash, suffix_dedup, url_reputation, warc
+from weftmix.llm import decontaminate, langid, license_scan, mih, packing, quality_cnn, simhash, suffix_dedup, url_reputation, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -12,12 +12,14 @@ QUERIES = {
     "op5_mih_topk": mih.query,
     "op6_order_packing": packing.query,
     "op7_warc_transactions": warc.query,
+    "op8_license_scan": license_scan.query,
     "op9_containment": decontaminate.query,
     "op10_url_reputation": url_reputation.query,
 }
 ORACLE_SQL = {
     "op5_mih_topk": mih.SQL,
     "op7_warc_transactions": warc.SQL,
+    "op8_license_scan": license_scan.SQL,
     "op9_containment": decontaminate.SQL,
     "op10_url_reputation": url_reputation.SQL,
 }
