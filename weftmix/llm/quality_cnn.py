@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftmix.llm.common import id_bucket, small_batches, table
 
@@ -179,10 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
     return ByteCNN(seed).fit(x, y, weight / weight.mean())
 
 
-def score(docs: DataFrame, model: ByteCNN | float) -> DataFrame:
-    """``docs`` columns and ``quality_score``; map-only over whole texts."""
+def score(docs: DataFrame, model: ByteCNN | float, out: str = "quality_score") -> DataFrame:
+    """``docs`` columns and the score as ``out``; map-only over whole texts."""
+    docs = docs.drop(out)
     if isinstance(model, float):
-        return docs.withColumn("quality_score", F.lit(model))
+        return docs.withColumn(out, F.lit(model))
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -190,9 +192,8 @@ def score(docs: DataFrame, model: ByteCNN | float) -> DataFrame:
             if batch.num_rows:
                 got = model.score(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())],
-                                                 names=[*batch.schema.names, "quality_score"])
-    from pyspark.sql import types as T
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
+                                                 names=[*batch.schema.names, out])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -212,5 +213,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the classifier doesn't reject."""
     cols = docs.columns
-    got = score(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return got.filter(F.col("quality_score") >= THRESHOLD).select(*cols)
+    got = score(docs, learn(docs, table(spark, sf_dir, "labels")), "__quality")
+    return got.filter(F.col("__quality") >= THRESHOLD).select(*cols)

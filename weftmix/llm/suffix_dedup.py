@@ -351,8 +351,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the texts without their repeated passages; characters
     cut in two go, n_chars follows the text, a null text stays null."""
-    got = dedup(docs, as_text=True)
-    got = got.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    got = dedup(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("__rest")), as_text=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
+
+    def column(c):
+        if c == "n_chars":
+            return F.length(text).cast(docs.schema[c].dataType).alias(c)
+        return F.col("doc_id") if c == "doc_id" else text.alias(c) if c == "text" else F.col(f"__rest.{c}")
+    return got.select(*[column(c) for c in docs.columns])
