@@ -68,7 +68,7 @@ def render_prompt(system, messages, style: str, sep: str = "\n", sep2: str | Non
                                      F.concat(m["role"], F.lit(": "), clean(m["text"]), F.lit("\n\n")))
                     .otherwise(F.concat(m["role"], F.lit(":"))))
         return F.concat(sys_c, body)
-    raise ValueError(f"Invalid style: {style}")
+    raise ValueError(f"unknown separator style {style!r}; known: {STYLES}")
 
 
 def to_chat_pairs(messages, offset: int = 0) -> Column:

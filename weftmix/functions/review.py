@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from weftmix.functions.text import py_strip
 
-# A template is cut into field tokens ``{name}``, literal runs and stray
-# braces; the same pattern works in Spark (Java regex) and DuckDB (RE2).
-TEMPLATE_TOKEN_RE = r"(\{[^{}]*\}|[^{}]+|[{}])"
+# A template is cut into escaped braces, field tokens ``{name}``, literal runs
+# and stray braces.
+TEMPLATE_TOKEN_RE = r"(\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}])"
 # Judge scores: a plain decimal number (guards try_cast, which would also
 # accept forms such as ``7d`` in Spark).
 NUM_RE = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
@@ -26,8 +26,9 @@ def fill_template(template, values: dict, defaults=None) -> Column:
 
     ``values`` maps field name -> Column; ``defaults`` is a MAP<STRING,STRING>
     column consulted for other names. Inserted text is never re-scanned, so
-    an answer holding ``{answer_2}`` stays literal. An unknown field makes
-    the whole result NULL (the reference raises).
+    an answer holding ``{answer_2}`` stays literal. ``{{`` and ``}}`` give a
+    brace. An unknown field or a brace on its own makes the whole result NULL:
+    :func:`weftmix.operators.review.request_rejects` lists such requests.
     """
     tokens = F.regexp_extract_all(_c(template), F.lit(TEMPLATE_TOKEN_RE), 1)
 
@@ -41,7 +42,8 @@ def fill_template(template, values: dict, defaults=None) -> Column:
         return v
 
     is_field = lambda tok: tok.rlike(r"^\{[^{}]*\}$")
-    parts = F.transform(tokens, lambda tok: F.when(is_field(tok), value_of(tok)).otherwise(tok))
+    parts = F.transform(tokens, lambda tok: F.when(is_field(tok), value_of(tok)).when(tok == "{{", F.lit("{"))
+                        .when(tok == "}}", F.lit("}")).when(~tok.isin("{", "}"), tok))
     unknown = F.exists(parts, lambda x: x.isNull())
     return F.when(unknown, F.lit(None).cast("string")).otherwise(F.array_join(parts, ""))
 

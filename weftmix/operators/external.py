@@ -115,6 +115,8 @@ JUDGE_TRIES = 5
 JUDGE_GAP_SEC = 3.0
 JUDGE_RETRY_WAIT_SEC = 5.0
 JUDGE_FAILED_TEXT = "error"
+# Tasks that call the judge side by side unless told otherwise.
+JUDGE_PARTITIONS = 8
 
 
 def judge(requests: DataFrame, factory: Callable[[], Callable[[str, str, int], str]],
@@ -122,20 +124,22 @@ def judge(requests: DataFrame, factory: Callable[[], Callable[[str, str, int], s
           partitions: int | None = None) -> DataFrame:
     """Call the judge for every request (``system_prompt, prompt,
     max_tokens``) with up to ``max_retry`` tries; after the last failure the
-    text is ``error``. Calls are spaced: with ``n`` partitions each waits
-    ``gap * n`` seconds between its calls, so the whole job keeps about one
-    call per ``gap``. Adds ``text``; every other column is kept."""
-    if partitions:
-        n, df = int(partitions), requests.repartition(int(partitions), "question_id")
-    else:
-        n, df = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), requests
+    text is ``error``. The requests are always dealt to ``n = partitions``
+    tasks; each waits ``gap * n`` seconds between its calls and task ``p`` starts
+    ``gap * p`` seconds late, so the whole job makes at most one call per
+    ``gap``. Adds ``text``; every other column is kept."""
+    n = int(partitions or JUDGE_PARTITIONS)
+    df = requests.repartition(n, "question_id")
     schema = T.StructType(list(df.schema.fields) + [T.StructField("text", T.StringType())])
     wait = float(gap) * int(n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
         call = factory()
         first = True
         for pdf in batches:
+            if first and len(pdf) and gap > 0:
+                time.sleep(float(gap) * TaskContext.get().partitionId())
             texts = []
             for sp, p, mt in zip(pdf["system_prompt"], pdf["prompt"], pdf["max_tokens"]):
                 if not first and wait > 0:

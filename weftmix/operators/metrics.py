@@ -13,32 +13,48 @@ from pyspark.sql import functions as F
 from weftmix.operators.review import score_ok
 
 
-def _scored(reviews: DataFrame, questions: DataFrame) -> DataFrame:
-    """C11 + D5: usable reviews with the question's category (inner join on
-    question_id; a review of an unknown question is dropped — the reference
-    raises). Reviews that already carry ``category`` skip the join."""
-    keep = ["question_id", F.element_at("score", 1).alias("a"), F.element_at("score", 2).alias("b")]
-    if "category" in reviews.columns:
-        return reviews.filter(score_ok()).select(*keep, "category")
-    r = reviews.filter(score_ok()).select(*keep)
-    q = questions.select("question_id", "category")
-    return r.join(q, "question_id", "inner")
-
-
-def category_scores(reviews: DataFrame, questions: DataFrame) -> DataFrame:
+def _with_category(reviews: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every review with its question's category (NULL for an unknown
+    question) and ``reason``, NULL when it counts (C11)."""
+    q = questions.select("question_id", F.col("category").alias("_cat"), F.lit(True).alias("_known"))
+    j = reviews.drop("category").join(q, "question_id", "left").withColumnRenamed("_cat", "category")
+    usable = F.coalesce(score_ok(), F.lit(False))
+    return j.withColumn("reason", F.when(F.col("_known").isNull(), "unknown question").when(~usable, "no two positive scores")).drop("_known")
+
+
+def rejected_reviews(reviews: DataFrame, questions: DataFrame) -> DataFrame:
+    """The reviews that no mean counts: ``question_id, reason``."""
+    return _with_category(reviews, questions).filter("reason is not null").select("question_id", "reason")
+
+
+def _scored(reviews: DataFrame, questions: DataFrame, strict: bool = False) -> DataFrame:
+    """C11 + D5: usable reviews with the question's category. The others are
+    listed by :func:`rejected_reviews`; ``strict`` fails the job on one."""
+    j = _with_category(reviews, questions)
+    if strict:
+        j = j.withColumn("reason", F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(
+            F.lit("review of question "), F.coalesce(F.col("question_id").cast("string"), F.lit("NULL")), F.lit(": "), "reason"))))
+    return j.filter("reason is null").select("question_id", F.element_at("score", 1).alias("a"), F.element_at("score", 2).alias("b"), "category")
+
+
+def _first_questions(questions: DataFrame) -> DataFrame:
+    """Order of the categories: each one's smallest question id."""
+    return questions.groupBy("category").agg(F.min("question_id").alias("first_qid"))
+
+
+def category_scores(reviews: DataFrame, questions: DataFrame, strict: bool = False) -> DataFrame:
     """Per category (only categories with reviews): count and the mean
-    score of each side, unrounded and rounded to 2 places; ``first_qid``
-    keeps the order of first appearance."""
-    s = _scored(reviews, questions)
-    return (s.groupBy("category")
-            .agg(F.count(F.lit(1)).alias("n_reviews"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"),
-                 F.min("question_id").alias("first_qid"))
+    score of each side, unrounded and rounded to 2 places; ``first_qid``, the
+    category's first question whether scored or not, gives the order."""
+    s = _scored(reviews, questions, strict)
+    means = s.groupBy("category").agg(F.count(F.lit(1)).alias("n_reviews"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
+    return (means.join(_first_questions(questions), "category")
             .withColumn("score_a", F.round("mean_a", 2)).withColumn("score_b", F.round("mean_b", 2)))
 
 
-def micro_scores(reviews: DataFrame, questions: DataFrame) -> DataFrame:
+def micro_scores(reviews: DataFrame, questions: DataFrame, strict: bool = False) -> DataFrame:
     """Mean over every usable review, each side."""
-    s = _scored(reviews, questions)
+    s = _scored(reviews, questions, strict)
     return s.agg(F.count(F.lit(1)).alias("n_reviews"), F.avg("a").alias("micro_a"), F.avg("b").alias("micro_b"))
 
 
@@ -48,15 +64,16 @@ def macro_scores(category_table: DataFrame) -> DataFrame:
                               F.avg("mean_a").alias("macro_a"), F.avg("mean_b").alias("macro_b"))
 
 
-def score_table(reviews: DataFrame, questions: DataFrame) -> DataFrame:
+def score_table(reviews: DataFrame, questions: DataFrame, strict: bool = False) -> DataFrame:
     """E1 + E2 + E3 as one table: category rows, then 'micro' and 'macro'.
     E1 and E2 come from one ``rollup`` pass; E3 aggregates E1's rows."""
-    s = _scored(reviews, questions)
+    s = _scored(reviews, questions, strict)
     r = (s.rollup("category")
          .agg(F.count(F.lit(1)).alias("n_reviews"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"),
-              F.min("question_id").alias("first_qid"), F.grouping_id().alias("_gid")))
-    cats = r.filter(F.col("_gid") == 0)
-    micro = r.filter(F.col("_gid") == 1).withColumn("category", F.lit("micro"))
+              F.grouping_id().alias("_gid")))
+    cats = r.filter(F.col("_gid") == 0).join(_first_questions(questions), "category")
+    micro = (r.filter(F.col("_gid") == 1).withColumn("category", F.lit("micro"))
+             .withColumn("first_qid", F.lit(None).cast("bigint")))
     macro = cats.agg(F.lit("macro").alias("category"), F.count(F.lit(1)).alias("n_reviews"),
                      F.avg("mean_a").alias("mean_a"), F.avg("mean_b").alias("mean_b"),
                      F.lit(None).cast("bigint").alias("first_qid"), F.lit(2).cast("bigint").alias("_gid"))

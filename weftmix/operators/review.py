@@ -70,12 +70,38 @@ def pending_reviews(reviews: DataFrame, score_col: str = "score") -> DataFrame:
 
 
 # ------------------------------------------------------------------- joins
-def join_answers(questions: DataFrame, a1: DataFrame, a2: DataFrame) -> DataFrame:
-    """Question with both answers (inner equi-joins on question_id)."""
+def misaligned_answers(questions: DataFrame, a1: DataFrame, a2: DataFrame) -> DataFrame:
+    """C10 in rows: ``question_id, reason`` for every id that is missing or
+    repeated on one of the three sides. One aggregate over the union of ids."""
+    sides = [(questions, "question"), (a1, "answer1"), (a2, "answer2")]
+    ids = None
+    for df, name in sides:
+        part = df.select("question_id", *[F.lit(int(name == n)).alias(n) for _, n in sides])
+        ids = part if ids is None else ids.unionByName(part)
+    n = ids.groupBy("question_id").agg(*[F.sum(s).alias(s) for _, s in sides])
+    reasons = [F.when(F.col(s) == 0, F.lit(f"no {s}")).when(F.col(s) > 1, F.lit(f"repeated {s}")) for _, s in sides]
+    return (n.withColumn("reason", F.concat_ws(", ", *reasons)).filter(F.length("reason") > 0)
+            .select("question_id", "reason"))
+
+
+def request_rejects(questions: DataFrame, a1: DataFrame, a2: DataFrame, reviewers: DataFrame, prompts: DataFrame) -> DataFrame:
+    """``question_id, reason`` for every question that gets no usable judge
+    request: an answer is missing, the reviewer's prompt does not exist, or the
+    template asks for an unknown field."""
+    got = build_review_requests(questions, a1, a2, reviewers, prompts, keep_all=True)
+    return (got.withColumn("reason", F.when(F.col("answer1_id").isNull(), "no answer1").when(F.col("answer2_id").isNull(), "no answer2")
+                           .when(F.col("system_prompt").isNull(), "no judge prompt").when(F.col("prompt").isNull(), "template field unknown"))
+            .filter("reason is not null").select("question_id", "reason"))
+
+
+def join_answers(questions: DataFrame, a1: DataFrame, a2: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Question with both answers (equi-joins on question_id). With
+    ``keep_all`` a question without one keeps its row with a NULL answer."""
+    how = "left" if keep_all else "inner"
     x1 = a1.select("question_id", F.col("text").alias("answer1"), F.col("answer_id").alias("answer1_id"))
     x2 = a2.select("question_id", F.col("text").alias("answer2"), F.col("answer_id").alias("answer2_id"))
     q = questions.select("question_id", F.col("text").alias("question"), "category")
-    return q.join(x1, "question_id", "inner").join(x2, "question_id", "inner")
+    return q.join(x1, "question_id", how).join(x2, "question_id", how)
 
 
 def route_reviewer(df: DataFrame, reviewers: DataFrame) -> DataFrame:
@@ -92,11 +118,11 @@ def route_reviewer(df: DataFrame, reviewers: DataFrame) -> DataFrame:
             .withColumn("reviewer_id", (F.col("_idx") + 1).cast("int")).drop("_idx"))
 
 
-def join_judge_prompt(df: DataFrame, prompts: DataFrame) -> DataFrame:
+def join_judge_prompt(df: DataFrame, prompts: DataFrame, keep_all: bool = False) -> DataFrame:
     """Fetch the judge prompt by ``prompt_id``; the reference requires
     ``prompt_id`` = 1-based file position (see :func:`check_prompt_ids`)."""
     p = bounded_broadcast(prompts).select("prompt_id", "system_prompt", "prompt_template", "defaults")
-    return df.join(p, "prompt_id", "inner")
+    return df.join(p, "prompt_id", "left" if keep_all else "inner")
 
 
 def check_prompt_ids(prompts: DataFrame) -> DataFrame:
@@ -105,10 +131,12 @@ def check_prompt_ids(prompts: DataFrame) -> DataFrame:
 
 
 def build_review_requests(questions: DataFrame, a1: DataFrame, a2: DataFrame,
-                          reviewers: DataFrame, prompts: DataFrame, retry: bool = False) -> DataFrame:
-    """D2 -> D3 -> D4 -> H14 -> H18: one judge request per question."""
-    df = route_reviewer(join_answers(questions, a1, a2), reviewers)
-    df = join_judge_prompt(df, prompts)
+                          reviewers: DataFrame, prompts: DataFrame, retry: bool = False,
+                          keep_all: bool = False) -> DataFrame:
+    """D2 -> D3 -> D4 -> H14 -> H18: one judge request per question; what
+    drops out is listed by :func:`request_rejects`."""
+    df = route_reviewer(join_answers(questions, a1, a2, keep_all), reviewers)
+    df = join_judge_prompt(df, prompts, keep_all)
     prompt = fill_template("prompt_template", {"question": F.col("question"), "answer_1": F.col("answer1"),
                                                "answer_2": F.col("answer2")}, F.col("defaults"))
     return (df.withColumn("prompt", prompt)
@@ -152,21 +180,48 @@ def _judged(requests: DataFrame, judge, judge_factory, attempt: int, judge_optio
         from weftmix.operators.external import judge as run_judge
         from weftmix.session import checkpoint_dir
         checkpoint_dir(requests.sparkSession)
-        return run_judge(requests, judge_factory, **(judge_options or {})).checkpoint(eager=True)
+        # mapInPandas stops column pruning: only what the judge and the review
+        # need goes through Python, and the prompt is not written again
+        asked = requests.select("question_id", "answer1_id", "answer2_id", "reviewer_id", "category", "system_prompt", "prompt", "max_tokens")
+        return run_judge(asked, judge_factory, **(judge_options or {})).drop("system_prompt", "prompt").checkpoint(eager=True)
     return attach_judgement(requests, judge, attempt)
 
 
+def check_review_inputs(questions: DataFrame, a1: DataFrame, a2: DataFrame, reviewers: DataFrame, prompts: DataFrame,
+                        previous: DataFrame | None = None) -> None:
+    """Raise ValueError when the review inputs don't fit together."""
+    def stop(bad: DataFrame, what: str) -> None:
+        some = bad.limit(5).collect()
+        if some:
+            raise ValueError(f"{what}: " + "; ".join(str(r.asDict()) for r in some))
+    stop(misaligned_answers(questions, a1, a2), "questions and answers don't match one to one")
+    if "prompt_idx" in prompts.columns:
+        stop(check_prompt_ids(prompts).select("prompt_id", "prompt_idx"), "prompt_id isn't the prompt's place in the file")
+    known = prompts.select("prompt_id").distinct()
+    stop(reviewers.join(known, "prompt_id", "left_anti").select("reviewer_id", "prompt_id"), "reviewer without a judge prompt")
+    if previous is not None:
+        q = questions.select("question_id")
+        stop(previous.join(q, "question_id", "left_anti").select("question_id"), "previous review of an unknown question")
+        stop(q.join(previous, "question_id", "left_anti"), "question without a previous review")
+
+
 def review_answers(questions: DataFrame, a1: DataFrame, a2: DataFrame, reviewers: DataFrame,
                    prompts: DataFrame, judge=None, previous: DataFrame | None = None,
-                   judge_factory=None, judge_options: dict | None = None) -> DataFrame:
+                   judge_factory=None, judge_options: dict | None = None, strict: bool = True) -> DataFrame:
     """The whole review pass. Without ``previous``: every question is
     judged. With ``previous``: only pending rows (C12) are judged again with
     the retry token budget and merged back (D6). The judge is either a
     Column function ``judge(df, attempt)`` or a Python ``judge_factory``
     (see :func:`weftmix.operators.external.judge`; ``judge_options`` are
-    its tries / spacing arguments)."""
+    its tries / spacing arguments). ``strict`` stops on questions and answers
+    that do not match one to one (C10), misplaced prompt ids (D4), requests
+    without a prompt, and previous reviews of other questions; without it such
+    rows are left out and listed by :func:`misaligned_answers` and
+    :func:`request_rejects`."""
     if judge is None and judge_factory is None:
         raise ValueError("a judge Column function or a judge_factory is required")
+    if strict:
+        check_review_inputs(questions, a1, a2, reviewers, prompts, previous)
     if previous is None:
         req = build_review_requests(questions, a1, a2, reviewers, prompts)
         return to_reviews(_judged(req, judge, judge_factory, 0, judge_options))

@@ -149,6 +149,28 @@ def q_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("first_qid").cast("bigint").alias("first_qid"))
 
 
+@register("rejected_reviews", OE.rejected_reviews_sql())
+def q_rejected_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11 + D5: the reviews that the means leave out, with the reason; each
+    label review also stands once under an id that no question has."""
+    r = E.label_reviews(spark, sf_dir)
+    lost = r.withColumn("question_id", -F.col("question_id"))
+    return M.rejected_reviews(r.unionByName(lost), I.questions(spark, sf_dir)).select(
+        F.col("question_id").cast("bigint").alias("question_id"), "reason")
+
+
+@register("misaligned_answers", OE.misaligned_answers_sql())
+def q_misaligned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10 in rows, on answers with gaps, repeats and strangers."""
+    q, a1, a2, _, _ = E.review_inputs(spark, sf_dir)
+    lang = I.documents(spark, sf_dir).select((F.col("doc_id") + 1).alias("question_id"), "lang")
+    a1 = a1.join(lang.filter("lang <> 'es'"), "question_id", "left_semi")
+    own = a2.select("question_id").join(lang, "question_id")
+    x2 = (own.filter("lang <> 'fr'").select("question_id").unionByName(own.filter("lang = 'de'").select("question_id"))
+          .unionByName(own.filter("lang = 'es'").select((-F.col("question_id")).alias("question_id"))))
+    return RV.misaligned_answers(q, a1, x2).select(F.col("question_id").cast("bigint").alias("question_id"), "reason")
+
+
 @register("parse_scores", OE.parse_scores_sql())
 def q_parse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H15 over every stored judge text."""
@@ -203,6 +225,9 @@ register("order_turns", CV.order_turns_sql())(CV.order_turns_q)
 register("render_prompts", CV.render_prompts_sql())(CV.render_prompts_q)
 register("chat_pairs", CV.chat_pairs_sql())(CV.chat_pairs_q)
 register("api_messages", CV.api_messages_sql())(CV.api_messages_q)
+register("chat_pairs_offset", CV.chat_pairs_sql(2))(CV.chat_pairs_offset_q)
+register("api_messages_offset", CV.api_messages_sql(1))(CV.api_messages_offset_q)
+register("conversation_records", CV.conversation_records_sql())(CV.conversation_records_q)
 register("answer_prompts", CV.answer_prompts_sql())(CV.answer_prompts_q)
 
 
@@ -223,6 +248,15 @@ def q_tokenize_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 
+@register("decode_ids", "SELECT CAST(doc_id AS BIGINT) AS doc_id, md5(text) AS text_md5, true AS same FROM documents")
+def q_decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 + H2: every document encoded and decoded back."""
+    from weftmix.functions import tokens as TK
+    d = I.documents(spark, sf_dir).select("doc_id", "text", TK.encode("text", bos=True, eos=True).alias("ids"))
+    back = TK.decode("ids")
+    return d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(back).alias("text_md5"), (back == F.col("text")).alias("same"))
+
+
 def _gen_sql() -> str:
     from weftmix.plans.oracle_eval import QUESTIONS
     pr = ("chr(10) || CASE WHEN length(text) > 0 THEN 'Human: ' || text || chr(10) ELSE 'Human: ' END || "

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmix.functions.chat import STYLES, render_prompt
+from weftmix.functions.chat import STYLES, conversation_record, render_prompt
 from weftmix.operators.chat import api_messages_table, chat_pairs_table, chat_template, order_turns
 from weftmix.plans import inputs
 
@@ -55,6 +55,28 @@ def api_messages_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "role", F.md5("content").alias("content_md5"))
 
 
+def chat_pairs_offset_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9 with few-shot turns skipped: pairs from the third message on."""
+    x = chat_pairs_table(conversations(spark, sf_dir), offset=2)
+    return x.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("pair_idx").cast("bigint").alias("pair_idx"),
+                    F.md5("user").alias("user_md5"), F.md5("reply").alias("reply_md5"))
+
+
+def api_messages_offset_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H10 with an odd offset, so that parity starts anew at the second message."""
+    x = api_messages_table(conversations(spark, sf_dir), offset=1)
+    return x.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("msg_idx").cast("bigint").alias("msg_idx"),
+                    "role", F.md5("content").alias("content_md5"))
+
+
+def conversation_records_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as its exported record."""
+    p = packed(spark, sf_dir)
+    rec = conversation_record(F.col("system"), F.array(F.lit("Human"), F.lit("Assistant")), F.col("messages"), F.lit(0),
+                              F.col("conv_id").cast("string"), F.lit("model-x"))
+    return p.select(F.col("conv_id").cast("bigint").alias("conv_id"), rec.alias("record"))
+
+
 def answer_prompts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H11 + H13 + H8: each question as a template conversation with an
     empty assistant slot, rendered (``\\nHuman: <q>\\nAssistant: ``)."""
@@ -69,7 +91,7 @@ def answer_prompts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- SQL
 PACKED_SQL = """packed AS (
-  SELECT conv_id, max(CASE WHEN role = 'system' THEN text END) AS system,
+  SELECT conv_id, string_agg(CASE WHEN role = 'system' THEN text END, chr(10) ORDER BY turn) AS system,
          coalesce(list(struct_pack(turn := turn,
                                    role := CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'Assistant'
                                                      ELSE role END,
@@ -122,8 +144,21 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, style, CAST(length(prompt) AS BIGINT)
 FROM ({parts})"""
 
 
-def chat_pairs_sql() -> str:
-    return f"""WITH {PACKED_SQL},
+def _skip(offset: int) -> str:
+    return f"""WITH {PACKED_SQL.replace('packed AS', 'whole AS', 1)},
+packed AS (SELECT conv_id, system, messages[{offset + 1}:] AS messages FROM whole)"""
+
+
+def conversation_records_sql() -> str:
+    return f"""WITH {PACKED_SQL}
+SELECT CAST(conv_id AS BIGINT) AS conv_id, to_json(struct_pack(system := coalesce(system, ''), roles := ['Human', 'Assistant'],
+       messages := list_transform(messages, lambda m: [m.role, m.text]), "offset" := 0, conv_id := CAST(conv_id AS VARCHAR),
+       model_name := 'model-x'))::VARCHAR AS record
+FROM packed"""
+
+
+def chat_pairs_sql(offset: int = 0) -> str:
+    return f"""{_skip(offset)},
 pairs AS (SELECT conv_id, messages, unnest(range(CAST(floor((len(messages) + 1) / 2) AS BIGINT))) AS k FROM packed)
 SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(k AS BIGINT) AS pair_idx,
        md5(messages[2 * k + 1].text) AS user_md5,
@@ -131,8 +166,8 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(k AS BIGINT) AS pair_idx,
 FROM pairs"""
 
 
-def api_messages_sql() -> str:
-    return f"""WITH {PACKED_SQL},
+def api_messages_sql(offset: int = 0) -> str:
+    return f"""{_skip(offset)},
 api AS (
   SELECT conv_id, list_concat([{{'role': 'system', 'content': coalesce(system, '')}}],
            list_filter(list_transform(messages, lambda m, i: {{'role': CASE WHEN (i - 1) % 2 = 0 THEN 'user'

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from weftmix.functions.review import NUM_RE, _MATH_PAIR_RE
 from weftmix.plans import evaluation as E
 from weftmix.plans import inputs
 from weftmix.plans.sqlparts import h, sql_str, strip
 
 NL = "chr(10)"
+# The score rules of the survey, written for DuckDB on their own: a plain
+# decimal number, and a tuple or list of two of them.
+NUMBER = "[-+]?(?:\\d+(?:\\.\\d*)?|\\.\\d+)(?:[eE][-+]?\\d+)?"
+PAIR = f"^\\s*[(\\[]?\\s*({NUMBER})\\s*,\\s*({NUMBER})\\s*,?\\s*[)\\]]?\\s*$"
 
 
 def _cats() -> str:
@@ -35,12 +38,12 @@ def parse_sql(text: str, category: str) -> str:
     first = f"string_split({t}, {NL})[1]"
     pieces = f"string_split(replace({first}, ',', ' '), ' ')"
     p1, p2 = strip(f"{pieces}[1]"), strip(f"{pieces}[2]")
-    num = f"'^{NUM_RE}$'"
+    num = f"'^{NUMBER}$'"
     plain_ok = f"(len({pieces}) = 2 AND regexp_matches({p1}, {num}) AND regexp_matches({p2}, {num}))"
     tail = f"string_split(string_split({t}, {NL})[-1], ':')[-1]"
-    mre = sql_str(_MATH_PAIR_RE)
+    mre = sql_str(PAIR)
     math_ok = f"regexp_matches({tail}, {mre})"
-    m1, m2 = f"regexp_extract({tail}, {mre}, 1)", f"regexp_extract({tail}, {mre}, 4)"
+    m1, m2 = f"regexp_extract({tail}, {mre}, 1)", f"regexp_extract({tail}, {mre}, 2)"
     return f"""(CASE WHEN coalesce({category} = 'math', false) AND {math_ok}
        THEN [CAST({m1} AS DOUBLE), CAST({m2} AS DOUBLE)]
      WHEN NOT coalesce({category} = 'math', false) AND {plain_ok}
@@ -57,12 +60,14 @@ prompts AS (SELECT * FROM (VALUES {pr}) v(prompt_id, system_prompt, prompt_templ
 
 
 def _fill() -> str:
-    tokens = "regexp_extract_all(prompt_template, '(\\{[^{}]*\\}|[^{}]+|[{}])', 1)"
+    # double braces are set aside as control characters before fields are cut
+    held = "replace(replace(prompt_template, '{{', chr(1)), '}}', chr(2))"
+    tokens = f"regexp_extract_all({held}, '\\{{[^{{}}]*\\}}|[^{{}}]+')"
     name = "substr(tok, 2, length(tok) - 2)"
     val = (f"CASE {name} WHEN 'question' THEN question WHEN 'answer_1' THEN answer1 "
            f"WHEN 'answer_2' THEN answer2 WHEN 'prompt' THEN default_prompt END")
     return (f"array_to_string(list_transform({tokens}, lambda tok: CASE WHEN regexp_matches(tok, '^\\{{[^{{}}]*\\}}$') "
-            f"THEN {val} ELSE tok END), '')")
+            f"THEN {val} ELSE replace(replace(tok, chr(1), '{{'), chr(2), '}}') END), '')")
 
 
 def requests_cte(retry: bool = False, only_pending: str | None = None) -> str:
@@ -157,8 +162,8 @@ def merge_reviews_sql() -> str:
 def _category_rows(src: str) -> str:
     return f"""SELECT category, CAST(count(*) AS BIGINT) AS n_reviews, round(avg(score[1]), 2) AS score_a,
        round(avg(score[2]), 2) AS score_b, round(avg(score[1]), 6) AS mean_a, round(avg(score[2]), 6) AS mean_b,
-       CAST(min(question_id) AS BIGINT) AS first_qid
-FROM {src} WHERE score[1] > 0 AND score[2] > 0 GROUP BY category"""
+       CAST((SELECT min(question_id) FROM questions q WHERE q.category = s.category) AS BIGINT) AS first_qid
+FROM {src} s WHERE score[1] > 0 AND score[2] > 0 GROUP BY category"""
 
 
 def review_scores_sql() -> str:
@@ -205,12 +210,13 @@ def score_table_sql() -> str:
     return f"""WITH {QUESTIONS},
 {LABEL_REVIEWS},
 ok AS (SELECT * FROM label_rev WHERE score[1] > 0 AND score[2] > 0),
-cats AS (SELECT category, count(*) AS n, avg(score[1]) AS ma, avg(score[2]) AS mb, min(question_id) AS fq
+cats AS (SELECT category, count(*) AS n, avg(score[1]) AS ma, avg(score[2]) AS mb,
+                (SELECT min(question_id) FROM questions q WHERE q.category = ok.category) AS fq
          FROM ok GROUP BY category)
 SELECT category, CAST(n AS BIGINT) AS n_reviews, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b,
        CAST(fq AS BIGINT) AS first_qid FROM cats
 UNION ALL SELECT 'micro', CAST(count(*) AS BIGINT), round(avg(score[1]), 6), round(avg(score[2]), 6),
-       CAST(min(question_id) AS BIGINT) FROM ok
+       NULL FROM ok
 UNION ALL SELECT 'macro', CAST(count(*) AS BIGINT), round(avg(ma), 6), round(avg(mb), 6), NULL FROM cats"""
 
 
@@ -221,6 +227,31 @@ SELECT CAST(question_id AS BIGINT) AS question_id, category, text, score[1] AS s
 FROM label_rev"""
 
 
+def rejected_reviews_sql() -> str:
+    """Label reviews plus one of a question that doesn't exist per label."""
+    return f"""WITH {QUESTIONS},
+{LABEL_REVIEWS}
+SELECT CAST(question_id AS BIGINT) AS question_id, 'no two positive scores' AS reason
+FROM label_rev WHERE NOT (score[1] > 0 AND score[2] > 0)
+UNION ALL SELECT CAST(-question_id AS BIGINT), 'unknown question' FROM label_rev"""
+
+
+def misaligned_answers_sql() -> str:
+    return f"""WITH {QUESTIONS},
+q AS (SELECT question_id FROM questions),
+x1 AS (SELECT question_id FROM questions q JOIN documents d ON d.doc_id + 1 = q.question_id WHERE d.lang <> 'es'),
+x2 AS (SELECT doc_id + 1 AS question_id FROM documents WHERE lang <> 'fr'
+       UNION ALL SELECT doc_id + 1 FROM documents WHERE lang = 'de' UNION ALL SELECT -doc_id - 1 FROM documents WHERE lang = 'es'),
+n AS (SELECT question_id, (SELECT count(*) FROM q WHERE q.question_id = i.question_id) AS nq,
+             (SELECT count(*) FROM x1 WHERE x1.question_id = i.question_id) AS n1, (SELECT count(*) FROM x2 WHERE x2.question_id = i.question_id) AS n2
+      FROM (SELECT question_id FROM q UNION SELECT question_id FROM x1 UNION SELECT question_id FROM x2) i)
+SELECT CAST(question_id AS BIGINT) AS question_id, concat_ws(', ',
+         CASE WHEN nq = 0 THEN 'no question' WHEN nq > 1 THEN 'repeated question' END,
+         CASE WHEN n1 = 0 THEN 'no answer1' WHEN n1 > 1 THEN 'repeated answer1' END,
+         CASE WHEN n2 = 0 THEN 'no answer2' WHEN n2 > 1 THEN 'repeated answer2' END) AS reason
+FROM n WHERE NOT (nq = 1 AND n1 = 1 AND n2 = 1)"""
+
+
 def contiguous_ids_sql() -> str:
     return f"""WITH {QUESTIONS}
 SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(min(question_id) AS BIGINT) AS min_id,
