@@ -65,7 +65,7 @@ def _messages_indexed(conversations: DataFrame, roles=("Human", "Assistant")) ->
     gathered into one task."""
     from weftmix.operators.indexing import dense_index
     msgs = conversations.filter(F.col("role") != "system").select("conv_id", "turn", "role", "text")
-    return dense_index(msgs, ["conv_id"], ["turn"], out_col="i", few_groups=False)
+    return dense_index(msgs, ["conv_id"], ["turn"], out_col="i")
 
 
 def _after(messages: DataFrame, offset: int) -> DataFrame:
@@ -96,7 +96,7 @@ def api_messages_table(conversations: DataFrame, offset: int = 0) -> DataFrame:
     tagged = m.select("conv_id", "turn", F.when(F.col("i") % 2 == 0, F.lit("user")).otherwise(F.lit("assistant"))
                       .alias("role"), F.col("text").alias("content"))
     kept = tagged.filter(~((F.col("role") == "assistant") & F.col("content").isNull()))
-    kept = dense_index(kept, ["conv_id"], ["turn"], out_col="_k", few_groups=False)
+    kept = dense_index(kept, ["conv_id"], ["turn"], out_col="_k")
     body = kept.select("conv_id", (F.col("_k") + 1).alias("msg_idx"), "role", "content")
     system = (conversations.groupBy("conv_id")
               .agg(F.coalesce(system_text(F.col("role")), F.lit("")).alias("content"))

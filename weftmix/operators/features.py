@@ -45,7 +45,8 @@ def featurize(df: DataFrame, max_len: int, key_cols=("rank", "global_pos"), toke
             .otherwise(truncate(seq2seq_mask(F.size("_ids1"), F.size("_ids2")), L)))
     d = (d.withColumn("input_ids", ids).withColumn("loss_mask", mask)
          .withColumn("n_tokens_full", F.when(is_lm, F.lit(None)).otherwise(F.size("_ids1") + F.size("_ids2")))
-         .withColumn("n_target", F.aggregate("loss_mask", F.lit(0), lambda acc, x: acc + x)))
+         .withColumn("n_target", F.when(is_lm, F.greatest(F.size("_lm") - F.col("_split"), F.lit(0))).otherwise(
+             F.greatest(F.least(F.size("_ids1") + F.size("_ids2"), F.lit(L)) - F.size("_ids1"), F.lit(0))).cast("int")))
     return d.drop("_lm", "_ids1", "_ids2", "_split")
 
 

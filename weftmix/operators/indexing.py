@@ -13,12 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftmix.operators.joins import bounded_broadcast
-
 
 def dense_index(df: DataFrame, group_cols, order_cols, out_col: str = "row_idx",
-                num_partitions: int | None = None, few_groups: bool = True,
-                size_col: str | None = None) -> DataFrame:
+                num_partitions: int | None = None, size_col: str | None = None) -> DataFrame:
     """Add ``out_col`` = 0-based position of the row in its group, ordered by
     ``order_cols``. Group and order columns are names; together they must be
     unique and non-NULL (a total order), which also makes the result
@@ -32,10 +29,9 @@ def dense_index(df: DataFrame, group_cols, order_cols, out_col: str = "row_idx",
     of a range exchange may sample different bounds, so the count table
     and the positions must read the same written partitions. Running
     offsets over the per-(partition, group) counts (at most ``partitions +
-    groups - 1`` rows; broadcast directly with ``few_groups``, else behind a
-    row-count check) give the positions, which are joined back to the rows
-    on the unique key (one hash shuffle of the rows; the payload is never
-    written). ``size_col`` adds the group's row count.
+    groups - 1`` rows; broadcast or shuffled by their bytes) give the
+    positions, which are joined back to the rows on the unique key (one hash
+    shuffle of the rows; the payload is never written). ``size_col`` adds the group's row count.
     """
     from weftmix.session import checkpoint_dir
     gnames, onames = list(group_cols), list(order_cols)
@@ -54,8 +50,7 @@ def dense_index(df: DataFrame, group_cols, order_cols, out_col: str = "row_idx",
     if size_col:
         stats = stats.withColumn(size_col, F.sum("_cnt").over(Window.partitionBy(*gnames)))
     stats = stats.drop("_cnt")
-    side = F.broadcast(stats) if few_groups else bounded_broadcast(stats)
-    idx = (s.join(side, ["_pid", *gnames], "inner")
+    idx = (s.join(stats, ["_pid", *gnames], "inner")
            .withColumn(out_col, (F.col("_off") + F.col("_pos") - F.col("_first")).cast("bigint"))
            .drop("_pid", "_pos", "_first", "_off"))
     return df.join(idx, keys, "inner")
@@ -83,7 +78,7 @@ def scan_positions(df: DataFrame, file_col: str = "file_path", block_col: str =
     w = Window.partitionBy(file_col).orderBy(block_col, "_task").rowsBetween(Window.unboundedPreceding, -1)
     stats = (stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
              .withColumn("n_file", F.sum("_cnt").over(Window.partitionBy(file_col))))
-    # one row per input split: bounded by the split count, not the data
-    out = s.join(F.broadcast(stats.drop("_cnt")), [file_col, block_col, "_task"], "inner")
+    # one row per input split; broadcast or shuffled by its bytes
+    out = s.join(stats.drop("_cnt"), [file_col, block_col, "_task"], "inner")
     return (out.withColumn(out_col, (F.col("_off") + F.col("_local") - F.col("_first")).cast("bigint"))
             .drop("_task", "_local", "_first", "_off"))

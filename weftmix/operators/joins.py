@@ -1,29 +1,25 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Join helpers: broadcast only what is known to be small."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only when it is proven small; beyond this many
-# rows the join falls back to a shuffle join planned by Catalyst/AQE.
-DEFAULT_BROADCAST_ROWS = 200_000
+# Rows of in-process configuration (prompts, reviewers, templates) up to which
+# a lookup side is broadcast.
+CONFIG_ROWS = 10_000
 
 
 def known_rows(df: DataFrame, n: int) -> DataFrame:
     """Record the row count of a table built from in-process configuration
-    (a handful of prompts, reviewers, templates): its size is known at
-    construction, so no counting job is needed before broadcasting it."""
+    (a handful of prompts, reviewers, templates)."""
     df._weftmix_rows = int(n)
     return df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows,
-    else ``df`` unchanged (shuffle join). The size is the one recorded by
-    :func:`known_rows`, otherwise it is checked by reading at most
-    ``max_rows + 1`` rows."""
+def bounded_broadcast(df: DataFrame, max_rows: int = CONFIG_ROWS) -> DataFrame:
+    """``broadcast(df)`` for a configuration table of known, small size. Any
+    other side is returned as it is: Catalyst and AQE compare its bytes with
+    ``spark.sql.autoBroadcastJoinThreshold``."""
     n = getattr(df, "_weftmix_rows", None)
-    if n is None:
-        n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if n is not None and n <= max_rows else df

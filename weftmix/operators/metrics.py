@@ -154,7 +154,7 @@ def trailing_mean_records(metrics: DataFrame, n: int = LOG_EVERY, cols=("loss",
     from weftmix.operators.indexing import dense_index
     by = list(by)
     N = int(n)
-    rec = dense_index(metrics, by, ["step"], out_col="_rec", few_groups=False)
+    rec = dense_index(metrics, by, ["step"], out_col="_rec")
     rec = rec.withColumn("_b", F.floor(F.col("_rec") / N).cast("bigint"))
     rep = (rec.filter(F.col("step") % N == 0)
            .select(*by, "step", F.col("_rec").alias("_r"), F.col("_b").alias("_rb")))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from weftmix.operators.indexing import dense_index
 
+# Files of a rank that one running sum covers.
+OFFSET_BLOCK = 4096
 MIX_SPEC_SCHEMA = "tag string, ord int, weight int, file_start int"
 
 
@@ -89,25 +91,31 @@ def shard_files(files: DataFrame, world_size: int, by=("tag",)) -> DataFrame:
     """B1 + G1: rank r gets the tag's sorted files r, r+R, r+2R, ...
 
     Sorting is binary string order (Python's order: ``9.jsonl`` after
-    ``10.jsonl``). The window is over the file listing, partitioned by tag.
+    ``10.jsonl``). The listing is numbered by a range sort (dense_index), so a
+    tag with very many files is no single task either.
     """
-    w = Window.partitionBy(*by).orderBy("file_name")
     R = int(world_size)
-    return (files.withColumn("file_ord", (F.row_number().over(w) - 1).cast("int"))
+    return (dense_index(files, by, ["file_name"], out_col="_ord").withColumn("file_ord", F.col("_ord").cast("int")).drop("_ord")
             .withColumn("rank", (F.col("file_ord") % R).cast("int"))
             .withColumn("rank_file_ord", (F.col("file_ord") / R).cast("int")))
 
 
 def file_offsets(shards: DataFrame) -> DataFrame:
-    """Per-file start position inside the rank's concatenation and the
-    rank's subset size, from a listing with per-file row counts ``n_file``
-    (a window over the listing: one row per file)."""
-    w_run = Window.partitionBy("tag", "rank").orderBy("rank_file_ord").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy("tag", "rank")
-    out = shards.withColumn("file_offset", F.coalesce(F.sum("n_file").over(w_run), F.lit(0)).cast("bigint"))
-    if "n_rows" not in shards.columns:
-        out = out.withColumn("n_rows", F.sum("n_file").over(w_all).cast("bigint"))
-    return out
+    """Per-file start position inside the rank's concatenation and the rank's
+    subset size, from a listing with per-file row counts ``n_file``.
+
+    A running sum in two levels: inside blocks of ``OFFSET_BLOCK`` files of a
+    rank, then over the blocks' totals, so that no window holds a whole tag."""
+    part = ["tag", "rank"]
+    blocked = shards.withColumn("_blk", F.floor(F.col("rank_file_ord") / OFFSET_BLOCK).cast("bigint"))
+    totals = blocked.groupBy(*part, "_blk").agg(F.sum("n_file").alias("_n"))
+    before = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*part, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+                           F.sum("_n").over(Window.partitionBy(*part)).cast("bigint").alias("n_rows"))
+    run = Window.partitionBy(*part, "_blk").orderBy("rank_file_ord").rowsBetween(Window.unboundedPreceding, -1)
+    out = blocked.drop("n_rows").withColumn("_own", F.coalesce(F.sum("n_file").over(run), F.lit(0)))
+    return (out.join(totals, [*part, "_blk"]).withColumn("file_offset", (F.col("_start") + F.col("_own")).cast("bigint"))
+            .drop("_blk", "_own", "_start"))
 
 
 def index_rows(rows: DataFrame, shards: DataFrame, order_cols, file_key=("tag", "file_name"),
@@ -115,7 +123,8 @@ def index_rows(rows: DataFrame, shards: DataFrame, order_cols, file_key=("tag",
     """B2: position of each row in its rank's concatenation of files.
 
     ``rows`` holds the records with the file key columns; ``shards`` is the
-    file listing from :func:`shard_files` (one row per file, broadcast). The
+    file listing from :func:`shard_files` (one row per file; broadcast or
+    shuffled by its bytes). The
     position is a dense index over ``(tag, rank)`` ordered by the file's
     place in the rank's list and then by ``order_cols`` inside the file. It
     is computed with a balanced range shuffle (:func:`dense_index`), never
@@ -124,18 +133,17 @@ def index_rows(rows: DataFrame, shards: DataFrame, order_cols, file_key=("tag",
 
     When the rows already know their 0-based position inside their file
     (``pos_col``) and the listing has per-file counts (``n_file``), the index
-    is ``file_offset + pos`` — a broadcast join with the listing, no
-    shuffle at all.
+    is ``file_offset + pos`` from a join with the listing.
     """
     key = list(file_key)
     if pos_col is not None and "n_file" in shards.columns:
         offs = shards if "file_offset" in shards.columns else file_offsets(shards)
-        listing = F.broadcast(offs.select(*key, "rank", "rank_file_ord", "file_offset", "n_rows"))
+        listing = offs.select(*key, "rank", "rank_file_ord", "file_offset", "n_rows")
         return (rows.join(listing, key, "inner")
                 .withColumn("row_idx", (F.col("file_offset") + F.col(pos_col)).cast("bigint"))
                 .drop("file_offset"))
     has_size = "n_rows" in shards.columns
-    listing = F.broadcast(shards.select(*key, "rank", "rank_file_ord", *(["n_rows"] if has_size else [])))
+    listing = shards.select(*key, "rank", "rank_file_ord", *(["n_rows"] if has_size else []))
     with_rank = rows.join(listing, key, "inner")
     return dense_index(with_rank, ["tag", "rank"], ["rank_file_ord", *order_cols],
                        out_col="row_idx", size_col=None if has_size else "n_rows")
@@ -166,23 +174,8 @@ def _draws_before(slots: Column, w: Column, o: Column, W: Column) -> Column:
 CHUNK_DRAWS = 4096
 
 
-def _hot_subsets(conf, sizes, steps, batch_size: int, chunk_draws: int) -> bool:
-    """Whether some (tag, rank) draws each of its rows more than
-    ``chunk_draws`` times: K_t / N_t from the listing metadata, no data pass."""
-    if sizes is None or not isinstance(steps, int):
-        return False
-    G = int(steps) * int(batch_size)
-    for tag, w, off, tot in conf:
-        k = (G // tot) * w + min(max(G % tot - off, 0), w)
-        for (t, _r), n in sizes.items():
-            if t == tag and n > 0 and -(-k // n) > chunk_draws:
-                return True
-    return False
-
-
 def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch_size: int,
-                 start_step: int | Column = 0, chunk_draws: int = CHUNK_DRAWS, sizes: dict | None = None,
-                 force_chunks: bool = False) -> DataFrame:
+                 start_step: int | Column = 0, chunk_draws: int = CHUNK_DRAWS) -> DataFrame:
     """B4 + B5 + B6 + B7: every draw of every row with its slot.
 
     ``indexed`` needs ``tag, rank, row_idx, n_rows`` (see :func:`index_rows`).
@@ -192,13 +185,11 @@ def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch
     range, so no skipped row is generated and then dropped. ``steps`` may be
     a Column (for a data-derived epoch length).
 
-    Skew: a row of a tiny, heavily weighted subset can be drawn a large
-    share of all slots. When the listing metadata ``sizes`` ((tag, rank) ->
-    rows) shows a subset whose rows are drawn more than ``chunk_draws``
-    times each (or ``force_chunks``), every row's draw range is cut into
-    chunks of ``chunk_draws`` and the chunk rows are hash-repartitioned
-    before the draws are generated, so one hot row is expanded by many
-    tasks. Otherwise (the usual case) each row explodes in place.
+    Skew: a row of a tiny, heavily weighted subset can be drawn a large share
+    of all slots, so every row's draw range is cut into chunks of
+    ``chunk_draws`` (one for most rows) and the chunks are dealt out by hash
+    before the draws are generated. Callers pass keys without the text, so
+    this moves a few numbers per row.
     """
     B = int(batch_size)
     # the spec is configuration (one row per subset): its per-tag weight,
@@ -240,15 +231,12 @@ def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch
         d = d.withColumn("draw", F.explode(F.sequence(lo, F.greatest(hi - 1, lo), N)))
         return d.filter(F.col("draw") < hi)
 
-    if force_chunks or _hot_subsets(conf, sizes, steps, B, C):
-        chunks = (df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                               F.floor((F.col("_n_draws") - 1) / C).cast("bigint"))))
-                  .repartition("tag", "rank", "row_idx", "_chunk"))
-        c_lo = F.col("_k_first") + F.col("_chunk") * C * N
-        c_hi = F.least(F.col("_k_hi"), c_lo + C * N)
-        df = explode_range(chunks, c_lo, c_hi).drop("_chunk")
-    else:
-        df = explode_range(df, F.col("_k_first"), F.col("_k_hi"))
+    chunks = (df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                           F.floor((F.col("_n_draws") - 1) / C).cast("bigint"))))
+              .repartition("tag", "rank", "row_idx", "_chunk"))
+    c_lo = F.col("_k_first") + F.col("_chunk") * C * N
+    c_hi = F.least(F.col("_k_hi"), c_lo + C * N)
+    df = explode_range(chunks, c_lo, c_hi).drop("_chunk")
     g = (F.floor(F.col("draw") / w) * W + o + F.col("draw") % w).cast("bigint")
     return (df.withColumn("global_pos", g)
             .withColumn("batch_id", F.floor(F.col("global_pos") / B).cast("bigint"))

@@ -41,12 +41,9 @@ def q_make_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("mix_schedule", OT.mix_schedule_sql())
 def q_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1-B6 + G1: the stage-1 weighted schedule (one row per draw)."""
-    lm, tr, spec, steps = T.stage1_schedule(spark, sf_dir)
-    from weftmix.operators.mixing import mix_schedule
+    lm, tr, _steps = T.stage1_schedule(spark, sf_dir)
     cols = ["rank", "batch_id", "slot", "global_pos", "tag", "file_name", "doc_id", "row_idx", "draw"]
-    sz = spec._weftmix_sizes
-    out = mix_schedule(lm, spec, steps, T.BATCH_SIZE, sizes=sz).select(*cols).unionByName(
-        mix_schedule(tr, spec, steps, T.BATCH_SIZE, sizes=sz).select(*cols))
+    out = lm.select(*cols).unionByName(tr.select(*cols))
     return out.select(*[F.col(c).cast("bigint").alias(c) if c not in ("tag", "file_name") else F.col(c)
                         for c in cols])
 

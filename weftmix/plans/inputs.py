@@ -61,30 +61,17 @@ def lm_rows(spark: SparkSession, sf_dir: str, langs, docs: DataFrame | None = No
     return d.select(F.col("lang").alias("tag"), F.col("source").alias("file_name"), "doc_id", "text")
 
 
-def translate_rows(spark: SparkSession, sf_dir: str, src_lang: str = "en", tgt_lang: str = "fr",
-                   tag: str = "translate", docs: DataFrame | None = None,
-                   materialize: bool = False) -> DataFrame:
-    """Translation pairs ``tag, file_name, doc_id, pair_doc_id, en_text, zh_text,
+def translate_pairs(spark: SparkSession, sf_dir: str, src_lang: str = "en", tgt_lang: str = "fr",
+                    tag: str = "translate", docs: DataFrame | None = None) -> DataFrame:
+    """Translation pairs by their keys ``tag, file_name, doc_id, pair_doc_id,
     file_pos``: the j-th document of each language within the same source
     file; ``file_pos`` = j is the pair's position inside its file (pairs are
     dense, 0..min(n_en, n_fr)-1, in the order of the ``en`` doc ids)."""
-    d = documents(spark, sf_dir, docs)
-    a = dense_index(d.filter(F.col("lang") == src_lang), ["source"], ["doc_id"], out_col="j")
-    a = a.select("source", "j", "doc_id", F.col("text").alias("en_text"))
-    b = dense_index(d.filter(F.col("lang") == tgt_lang), ["source"], ["doc_id"], out_col="j")
-    b = b.select("source", "j", F.col("doc_id").alias("pair_doc_id"), F.col("text").alias("zh_text"))
-    pairs = (a.join(b, ["source", "j"], "inner")
-             .select(F.lit(tag).alias("tag"), F.col("source").alias("file_name"), "doc_id", "pair_doc_id",
-                     "en_text", "zh_text", F.col("j").alias("file_pos")))
-    if not materialize:
-        return pairs
-    # optionally write the derived subset once to the shared checkpoint
-    # folder (a real run stores it as files). Off by default: the listing job
-    # reads only pruned (source, doc_id) columns, so recomputing is cheaper
-    # than writing every pair's text.
-    from weftmix.session import checkpoint_dir
-    checkpoint_dir(spark)
-    return pairs.checkpoint(eager=True)
+    d = documents(spark, sf_dir, docs).filter(F.col("lang").isin(src_lang, tgt_lang)).select("source", "lang", "doc_id")
+    j = dense_index(d, ["source", "lang"], ["doc_id"], out_col="file_pos")
+    a = j.filter(F.col("lang") == src_lang).select("source", "file_pos", "doc_id")
+    b = j.filter(F.col("lang") == tgt_lang).select("source", "file_pos", F.col("doc_id").alias("pair_doc_id"))
+    return a.join(b, ["source", "file_pos"]).select(F.lit(tag).alias("tag"), F.col("source").alias("file_name"), "doc_id", "pair_doc_id", "file_pos")
 
 
 def task_rows(spark: SparkSession, sf_dir: str, langs) -> DataFrame:
@@ -101,8 +88,9 @@ def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``conv_id, turn, instruction, input, output``.
 
     The previous system turn (turn - 1) is the instruction and the next
-    assistant turn (turn + 1) the output; both are equi-joins on
-    ``(conv_id, turn)``, so no conversation is ever gathered in one task.
+    assistant turn (turn + 1) the output, empty when there is none; both are
+    equi-joins on ``(conv_id, turn)``, so no conversation is ever gathered in
+    one task.
     """
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     user = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("input"))
@@ -110,9 +98,9 @@ def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("instruction"))
     asst = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
-    return (user.join(sysm, ["conv_id", "turn"], "left").join(asst, ["conv_id", "turn"], "inner")
+    return (user.join(sysm, ["conv_id", "turn"], "left").join(asst, ["conv_id", "turn"], "left")
             .select("conv_id", "turn", F.coalesce("instruction", F.lit("")).alias("instruction"),
-                    "input", "output"))
+                    "input", F.coalesce("output", F.lit("")).alias("output")))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def _translate_examples(name: str, post: bool) -> str:
 
 
 def _docs_rows() -> str:
-    return """lm_rows AS (SELECT lang AS tag, source AS file_name, doc_id, text FROM documents WHERE lang IN ('de', 'en')),
+    return """lm_rows AS (SELECT lang AS tag, source AS file_name, doc_id, text FROM documents WHERE lang IN ('de', 'en', 'es')),
 en_j AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS j
          FROM documents WHERE lang = 'en'),
 fr_j AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS j
@@ -189,7 +189,7 @@ instr0 AS (
   SELECT u.conv_id, u.turn, coalesce(s.text, '') AS instruction, u.text AS input, a.text AS output
   FROM (SELECT * FROM conv WHERE role = 'user') u
   LEFT JOIN (SELECT * FROM conv WHERE role = 'system') s ON s.conv_id = u.conv_id AND s.turn + 1 = u.turn
-  JOIN (SELECT * FROM conv WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn),
+  LEFT JOIN (SELECT * FROM conv WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn),
 instr AS (
   SELECT conv_id, turn, {strip("coalesce(instruction, '')")} AS instruction, {strip("coalesce(input, '')")} AS input,
          {strip("coalesce(output, '')")} AS output FROM instr0)"""
@@ -203,8 +203,8 @@ def stage3_features_sql() -> str:
     return f"""WITH {instruct_rows_sql()},
 ch_rows AS (
   SELECT CASE WHEN length(instruction) > 0 THEN 'chat-system' ELSE 'chat' END AS tag,
-         lpad(CAST(CAST(floor(conv_id / 16) AS BIGINT) AS VARCHAR), 5, '0') || '.jsonl' AS file_name,
-         conv_id * 100 + turn AS doc_id, instruction, input, output
+         repeat('0', 5 - length(CAST(conv_id // 16 AS VARCHAR))) || CAST(conv_id // 16 AS VARCHAR) || '.jsonl' AS file_name,
+         conv_id * 1048576 + turn AS doc_id, instruction, input, output
   FROM instr WHERE length(instruction) + length(input) > 0),
 {_spec(STAGE3_WEIGHTS)},
 {_index('ch', 'ch_rows')},

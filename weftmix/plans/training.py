@@ -1,6 +1,6 @@
 """Training-data plans over the driver tables: mix -> examples -> features.
 
-Stage 1: LM subsets ``de`` (4) and ``en`` (4) plus ``translate`` (2), W = 10.
+Stage 1: LM subsets ``de`` (3), ``en`` (4), ``es`` (1) plus ``translate`` (2), W = 10.
 Stage 2: LM ``en`` (2) + ``translate`` (2) + task subsets (1 each).
 Stage 3: instruction records (one subset) with the chat prefix.
 Two ranks; the step count is one epoch of the largest subset (data-derived),
@@ -13,111 +13,96 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmix.operators import examples as ex
-from weftmix.operators.features import lm_ids, make_features
-from weftmix.operators.mixing import index_rows, mix_schedule, mix_spec, shard_files
+from weftmix.operators.features import make_features
+from weftmix.operators.mixing import file_offsets, index_rows, mix_schedule, mix_spec, shard_files
 from weftmix.plans import inputs
+from weftmix.session import checkpoint_dir
 
 WORLD_SIZE = 2
 BATCH_SIZE = 20
 MAX_LEN = 1024
-STAGE1_WEIGHTS = [("de", 4), ("en", 4), ("translate", 2)]
+STAGE1_WEIGHTS = [("de", 3), ("en", 4), ("es", 1), ("translate", 2)]
 STAGE2_WEIGHTS = [("en", 2), ("translate", 2), ("task-es", 1), ("task-de", 1)]
 DRAW_KEY = ["rank", "global_pos"]
 
 
 def file_listings(spark: SparkSession, sources, world_size: int):
-    """B1 over the files present in each source, with each file's row count
-    and the rank's subset size ``n_rows`` — one listing per source.
-
-    One job for all sources: the per-file counts (partial aggregations) are
-    unioned and collected together. The listing (one row per file, like any
-    file source listing) comes back to the driver and is re-created as a
-    local relation, so later joins against it broadcast a table of known
-    size.
-    """
+    """B1 over the files present in each source, with each file's row count,
+    its offset in its rank's list and the rank's subset size ``n_rows``: one
+    DataFrame per source. The per-file counts of all sources are one partial
+    aggregate; the listing is written once to the shared folder and never
+    comes to the driver."""
     counts = None
     for k, rows in enumerate(sources):
         c = (rows.groupBy("tag", "file_name").agg(F.count(F.lit(1)).alias("n_file"))
              .withColumn("_src", F.lit(k)))
         counts = c if counts is None else counts.unionByName(c)
-    listed = shard_files(counts, world_size, by=("_src", "tag")).collect()
-    schema = ("tag string, file_name string, file_ord int, rank int, rank_file_ord int, n_file bigint, "
-              "n_rows bigint, file_offset bigint")
-    out = []
-    for k in range(len(sources)):
-        mine = [r for r in listed if r["_src"] == k]
-        sizes: dict = {}
-        offset: dict = {}
-        for r in sorted(mine, key=lambda x: (x["tag"], x["rank"], x["rank_file_ord"])):
-            k = (r["tag"], r["rank"])
-            offset[(r["tag"], r["file_name"])] = sizes.get(k, 0)
-            sizes[k] = sizes.get(k, 0) + r["n_file"]
-        df = spark.createDataFrame([(r["tag"], r["file_name"], r["file_ord"], r["rank"], r["rank_file_ord"],
-                                     r["n_file"], sizes[(r["tag"], r["rank"])], offset[(r["tag"], r["file_name"])])
-                                    for r in mine], schema)
-        df._weftmix_sizes = sizes
-        out.append(df)
-    return out
-
-
-def file_listing(spark: SparkSession, rows: DataFrame, world_size: int) -> DataFrame:
-    """:func:`file_listings` for one source."""
-    return file_listings(spark, [rows], world_size)[0]
+    checkpoint_dir(spark)
+    # a tag belongs to one source, so (tag, rank) keeps the sources apart
+    listed = file_offsets(shard_files(counts, world_size, by=("_src", "tag"))).checkpoint(eager=True)
+    return [listed.filter(F.col("_src") == k).drop("_src") for k in range(len(sources))]
 
 
 def steps_for_epoch(listings, weights, batch_size: int) -> int:
     """Steps so that every rank draws each of its rows at least once:
-    ceil(max over (rank, tag) of ceil(N / w) * W / B), from listing metadata."""
+    ceil(max over (rank, tag) of ceil(N / w) * W / B). Only the largest
+    subset per tag reaches the driver (one number per configured tag)."""
     w = {t: int(x) for t, x in weights}
-    W = sum(w.values())
+    total = sum(w.values())
     best = 0
-    for lst in listings:
-        for (tag, _rank), n in lst._weftmix_sizes.items():
-            if tag in w and w[tag] > 0:
-                best = max(best, -(-int(n) // w[tag]) * W)
+    for listing in listings:
+        for r in listing.filter(F.col("tag").isin(list(w))).groupBy("tag").agg(F.max("n_rows").alias("n")).collect():
+            if w[r["tag"]] > 0:
+                best = max(best, -(-int(r["n"]) // w[r["tag"]]) * total)
     return -(-best // int(batch_size))
 
 
-def indexed(spark: SparkSession, rows: DataFrame, world_size: int = WORLD_SIZE):
-    """(indexed rows, listing) for one source."""
-    listing = file_listing(spark, rows, world_size)
-    return index_rows(rows, listing, ["doc_id"]), listing
+def scheduled(spark: SparkSession, sources, weights, batch_size: int, steps: int | None = None, start_step: int = 0,
+              world_size: int = WORLD_SIZE, order_cols=("doc_id",)):
+    """The draws of several sources, without their texts: B1-B7 on the keys
+    ``tag, file_name`` and ``order_cols`` (unique in a file), with the listing
+    of all sources made by one job. Returns ([draws per source], steps)."""
+    names = ["tag", "file_name", *order_cols]
+    keys = [r.select(*names, *[c for c in ("pair_doc_id", "file_pos") if c in r.columns]) for r in sources]
+    listings = file_listings(spark, keys, world_size)
+    if steps is None:
+        steps = steps_for_epoch(listings, weights, batch_size)
+    spec = mix_spec(spark, weights)
+    drawn = [mix_schedule(index_rows(k, l, list(order_cols), pos_col="file_pos" if "file_pos" in k.columns else None),
+                          spec, steps, batch_size, start_step) for k, l in zip(keys, listings)]
+    return drawn, steps
+
 
+def with_rows(draws: DataFrame, rows: DataFrame, keys=("tag", "file_name", "doc_id")) -> DataFrame:
+    """The drawn records: each source row's payload moves once, to its key."""
+    return draws.join(rows.select(*keys, *[c for c in rows.columns if c not in draws.columns]), list(keys))
 
-def indexed_all(spark: SparkSession, sources, world_size: int = WORLD_SIZE, order_cols=("doc_id",)):
-    """(indexed rows, listing) for several sources with one listing job.
-    ``order_cols`` orders rows inside a file (unique within it)."""
-    listings = file_listings(spark, sources, world_size)
-    return [(index_rows(r, l, list(order_cols), pos_col="file_pos" if "file_pos" in r.columns else None), l)
-            for r, l in zip(sources, listings)]
+
+def with_pair_texts(spark: SparkSession, sf_dir: str, draws: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Both texts of the drawn translation pairs, by document id."""
+    text = inputs.documents(spark, sf_dir, docs).select("doc_id", "text")
+    return (draws.join(text.withColumnRenamed("text", "en_text"), "doc_id")
+            .join(text.select(F.col("doc_id").alias("pair_doc_id"), F.col("text").alias("zh_text")), "pair_doc_id"))
 
 
 def stage1_schedule(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
                     world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE, docs: DataFrame | None = None):
-    """Indexed stage-1 sources: (lm rows, translation pairs, spec, steps)."""
-    spec = mix_spec(spark, STAGE1_WEIGHTS)
-    (lm, l1), (tr, l2) = indexed_all(spark, [inputs.lm_rows(spark, sf_dir, ["de", "en"], docs),
-                                             inputs.translate_rows(spark, sf_dir, docs=docs)], world_size)
-    if steps is None:
-        steps = steps_for_epoch([l1, l2], STAGE1_WEIGHTS, batch_size)
-    spec._weftmix_sizes = {**l1._weftmix_sizes, **l2._weftmix_sizes}
-    return lm, tr, spec, steps
+    """Stage-1 draws on keys: (lm draws, pair draws, steps)."""
+    (lm, tr), steps = scheduled(spark, [inputs.lm_rows(spark, sf_dir, ["de", "en", "es"], docs), inputs.translate_pairs(spark, sf_dir, docs=docs)],
+                                STAGE1_WEIGHTS, batch_size, steps, start_step, world_size)
+    return lm, tr, steps
 
 
 def stage1_features(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
-                    max_len: int = MAX_LEN, world_size: int = WORLD_SIZE,
-                    batch_size: int = BATCH_SIZE, docs: DataFrame | None = None) -> DataFrame:
+                    max_len: int = MAX_LEN, world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE,
+                    docs: DataFrame | None = None, tokenizer=None) -> DataFrame:
     """H7 for stage 1 over the driver tables (the flagship query)."""
-    lm, tr, spec, steps = stage1_schedule(spark, sf_dir, steps, start_step, world_size, batch_size, docs)
+    lm, tr, steps = stage1_schedule(spark, sf_dir, steps, start_step, world_size, batch_size, docs)
     pools = ex.prompt_pools(spark, inputs.TRANSLATE_POOLS)
-    # plain text: tokenise once per source row, then repeat by the schedule
-    lm = lm.withColumn("lm_ids", lm_ids("text", max_len))
-    sz = spec._weftmix_sizes
-    lm_draws = ex.lm_example(mix_schedule(lm, spec, steps, batch_size, start_step, sizes=sz))
-    tr_draws = ex.translate_example(mix_schedule(tr, spec, steps, batch_size, start_step, sizes=sz), pools, DRAW_KEY)
-    cols = ["rank", "batch_id", "slot", "global_pos", "tag", "doc_id", *ex.UNIFIED_COLS, "lm_ids"]
-    both = ex.union_kinds(lm_draws.select(*cols), tr_draws.select(*[c for c in cols if c != "lm_ids"]))
-    return make_features(ex.with_prefix(both, 1), max_len, DRAW_KEY, lm_ids_col="lm_ids")
+    lm = ex.lm_example(with_rows(lm, inputs.lm_rows(spark, sf_dir, ["de", "en", "es"], docs)))
+    tr = ex.translate_example(with_pair_texts(spark, sf_dir, tr, docs), pools, DRAW_KEY)
+    cols = ["rank", "batch_id", "slot", "global_pos", "tag", "doc_id", *ex.UNIFIED_COLS]
+    return make_features(ex.with_prefix(ex.union_kinds(lm.select(*cols), tr.select(*cols)), 1), max_len, DRAW_KEY, tokenizer)
 
 
 def features_report(feats: DataFrame) -> DataFrame:
@@ -131,38 +116,21 @@ def features_report(feats: DataFrame) -> DataFrame:
         F.md5(F.array_join(F.col("loss_mask").cast("array<string>"), ",")).alias("mask_md5"))
 
 
-def _schedule_all(spark: SparkSession, parts, weights, batch_size: int, steps: int | None, start_step: int,
-                  world_size: int, after_index=None, order_cols=("doc_id",)):
-    """Index each source, derive the epoch step count, schedule each.
-    ``after_index[i]`` (optional) transforms source i after its balanced
-    index shuffle and before the schedule repeats its rows (e.g. tokenising
-    plain text once per row, in parallel)."""
-    spec = mix_spec(spark, weights)
-    pairs = indexed_all(spark, parts, world_size, order_cols)
-    if after_index:
-        pairs = [((after_index[k](i) if after_index.get(k) else i), l) for k, (i, l) in enumerate(pairs)]
-    if steps is None:
-        steps = steps_for_epoch([l for _, l in pairs], weights, batch_size)
-    return [mix_schedule(i, spec, steps, batch_size, start_step, sizes=l._weftmix_sizes) for i, l in pairs], steps
-
-
-def stage2_features(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
-                    max_len: int = MAX_LEN, world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE) -> DataFrame:
+def stage2_features(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0, max_len: int = MAX_LEN,
+                    world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE, tokenizer=None) -> DataFrame:
     """H7 for stage 2: LM + translation (post prompt) + task records with
     pre/post prompts (C3, C5)."""
     lm = inputs.lm_rows(spark, sf_dir, ["en"])
-    tr = inputs.translate_rows(spark, sf_dir)
     tk = inputs.task_rows(spark, sf_dir, ["es", "de"])
-    tok = {0: lambda d: d.withColumn("lm_ids", lm_ids("text", max_len))}
-    (lm_s, tr_s, tk_s), steps = _schedule_all(spark, [lm, tr, tk], STAGE2_WEIGHTS, batch_size, steps,
-                                              start_step, world_size, tok)
+    (lm_s, tr_s, tk_s), steps = scheduled(spark, [lm, inputs.translate_pairs(spark, sf_dir), tk], STAGE2_WEIGHTS, batch_size,
+                                          steps, start_step, world_size)
     tpools = ex.prompt_pools(spark, inputs.TRANSLATE_POOLS)
     kpools = ex.prompt_pools(spark, inputs.TASK_POOLS)
     cols = ["rank", "batch_id", "slot", "global_pos", "tag", "doc_id", *ex.UNIFIED_COLS]
-    a = ex.lm_example(lm_s).select(*cols, "lm_ids")
-    b = ex.translate_example(tr_s, tpools, DRAW_KEY, prompt_pos="post").select(*cols)
-    c = ex.task_example(tk_s, kpools, DRAW_KEY).select(*cols)
-    return make_features(ex.with_prefix(ex.union_kinds(a, b, c), 2), max_len, DRAW_KEY, lm_ids_col="lm_ids")
+    a = ex.lm_example(with_rows(lm_s, lm)).select(*cols)
+    b = ex.translate_example(with_pair_texts(spark, sf_dir, tr_s), tpools, DRAW_KEY, prompt_pos="post").select(*cols)
+    c = ex.task_example(with_rows(tk_s, tk), kpools, DRAW_KEY).select(*cols)
+    return make_features(ex.with_prefix(ex.union_kinds(a, b, c), 2), max_len, DRAW_KEY, tokenizer)
 
 
 STAGE3_WEIGHTS = [("chat", 2), ("chat-system", 1)]
@@ -170,21 +138,21 @@ STAGE3_WEIGHTS = [("chat", 2), ("chat-system", 1)]
 
 def instruct_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction records as a two-subset corpus: with / without a system
-    instruction; files of 16 conversations; order (conv_id, turn).
-    ``doc_id`` (conv_id * 100 + turn) is only a display id in reports."""
+    instruction; files of 16 conversations, numbered with at least five digits;
+    order (conv_id, turn). ``doc_id`` (conv_id * 2^20 + turn) is only a
+    display id in reports."""
     r = inputs.instruction_rows(spark, sf_dir)
     return (ex.instruct_example(r)
             .withColumn("tag", F.when(F.length("instruction") > 0, "chat-system").otherwise("chat"))
-            .withColumn("file_name", F.concat(F.lpad(F.floor(F.col("conv_id") / 16).cast("string"), 5, "0"),
-                                              F.lit(".jsonl")))
-            .withColumn("doc_id", F.col("conv_id") * 100 + F.col("turn")))
+            .withColumn("file_name", F.format_string("%05d.jsonl", F.floor(F.col("conv_id") / 16)))
+            .withColumn("doc_id", F.col("conv_id") * (1 << 20) + F.col("turn")))
 
 
 def stage3_features(spark: SparkSession, sf_dir: str, steps: int | None = None, start_step: int = 0,
-                    max_len: int = MAX_LEN, world_size: int = WORLD_SIZE, batch_size: int = 24) -> DataFrame:
+                    max_len: int = MAX_LEN, world_size: int = WORLD_SIZE, batch_size: int = 24, tokenizer=None) -> DataFrame:
     """H7 for stage 3: stripped instruction records (C7), rejects removed
     (C8), ``Human: ... Assistant: `` prefix (C6)."""
     ok, _rejects = ex.require_nonempty(instruct_source(spark, sf_dir))
-    (s,), steps = _schedule_all(spark, [ok], STAGE3_WEIGHTS, batch_size, steps, start_step, world_size,
-                                order_cols=("conv_id", "turn"))
-    return make_features(ex.with_prefix(s, 3), max_len, DRAW_KEY)
+    keys = ("conv_id", "turn")
+    (s,), steps = scheduled(spark, [ok], STAGE3_WEIGHTS, batch_size, steps, start_step, world_size, order_cols=keys)
+    return make_features(ex.with_prefix(with_rows(s, ok, ("tag", "file_name", *keys)), 3), max_len, DRAW_KEY, tokenizer)

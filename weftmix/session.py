@@ -53,11 +53,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object store) folder there; it is read
-    from the session and never replaced. Only when it is unset (local tests)
-    a scratch folder is created and registered.
+    from the session and never replaced. Only when it is unset on a ``local``
+    master (tests) a scratch folder is created and registered; elsewhere a
+    folder of the driver's machine would be lost to the executors, so that is
+    an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="weftmix-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -72,16 +77,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 * 1024 * 1024,
-                  min_partitions: int = 8, max_partitions: int = 200_000) -> int:
+                  min_partitions: int = 8) -> int:
     """Size ``spark.sql.shuffle.partitions`` for an input of ``input_bytes``
     so each shuffle partition holds about ``target_bytes`` (AQE then
     coalesces small ones and splits skewed ones), and align
     ``spark.sql.files.maxPartitionBytes`` and the AQE advisory size with the
-    same target. The count is capped (``max_partitions``; map-output status
-    grows with it), so at 100 TB a partition holds ~512 MB before AQE splits
-    skewed ones. The caller passes the bytes of the tables a job reads (e.g.
+    same target. The caller passes the bytes of the tables a job reads (e.g.
     from the file listing). Returns the partition count that was set."""
-    n = min(int(max_partitions), max(int(min_partitions), -(-int(input_bytes) // int(target_bytes))))
+    n = max(int(min_partitions), -(-int(input_bytes) // int(target_bytes)))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(int(target_bytes)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(int(min(target_bytes, 512 * 1024 * 1024))))
