@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.oracle_check import TABLES, digest
+from weftmix.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
@@ -24,11 +25,7 @@ def test_every_query_has_oracle_or_is_rows_only():
     assert len(q) >= 30
 
 
-FAST = ["mix_schedule", "category_scores", "score_table", "parse_scores", "render_prompts", "chat_pairs",
-        "api_messages", "review_answers", "masked_loss", "trailing_mean", "embedding_delta", "strip_fields"]
-
-
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -233,7 +233,8 @@ def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch
 
     chunks = (df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                            F.floor((F.col("_n_draws") - 1) / C).cast("bigint"))))
-              .repartition("tag", "rank", "row_idx", "_chunk"))
+              # a stated number: by their few bytes AQE would put all chunks in one task
+              .repartition(int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tag", "rank", "row_idx", "_chunk"))
     c_lo = F.col("_k_first") + F.col("_chunk") * C * N
     c_hi = F.least(F.col("_k_hi"), c_lo + C * N)
     df = explode_range(chunks, c_lo, c_hi).drop("_chunk")
