@@ -56,6 +56,34 @@ def q_resume_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.features_report(T.stage1_features(spark, sf_dir, start_step=step))
 
 
+@register("corpus_schedule", OT.corpus_schedule_sql(T.CORPUS_SEED, T.CORPUS_SHARD_BYTES))
+def q_corpus_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 -> A2 -> A1 -> B1-B6 on files: every record of the corpus drawn."""
+    d = T.corpus_draws(spark, sf_dir)
+    return d.select(*[F.col(c).cast("bigint").alias(c) for c in ("rank", "batch_id", "slot", "doc_id", "row_idx")], "tag")
+
+
+@register("corpus_features", OT.corpus_features_sql(T.CORPUS_SEED, T.CORPUS_SHARD_BYTES))
+def q_corpus_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same path up to H7."""
+    return T.features_report(T.corpus_features(spark, sf_dir))
+
+
+@register("prompt_pools", """WITH l AS (SELECT 'p' || (item_id % 5) AS pool_key, item_id, text FROM benchmark),
+x AS (SELECT pool_key, item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM l)
+SELECT pool_key, CAST(count(*) AS BIGINT) AS n_prompts, md5(string_agg(trim(line), '|' ORDER BY item_id, i)) AS prompts_md5 FROM x GROUP BY pool_key""")
+def q_prompt_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 on files: pools made of the benchmark's lines, written and read back."""
+    from weftmix.session import scratch_path
+    from weftmix.sources import files as S
+    b = I.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("p"), (F.col("item_id") % 5).cast("string")).alias("pool_key"),
+                                                   F.col("item_id").alias("ord"), F.concat(F.lit(" "), "text", F.lit(" ")).alias("prompt"))
+    out = scratch_path(spark, "pools")
+    S.write_prompt_pools(b, out)
+    return S.read_prompt_pools(spark, out).select("pool_key", F.size("prompts").cast("bigint").alias("n_prompts"),
+                                                  F.md5(F.array_join("prompts", "|")).alias("prompts_md5"))
+
+
 # ---------------------------------------------------------------- evaluation
 from weftmix.operators import metrics as M  # noqa: E402
 from weftmix.operators import review as RV  # noqa: E402
@@ -80,7 +108,10 @@ def _category_out(df: DataFrame) -> DataFrame:
 def q_review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 + D3 + D4 + H14 + H18: judge requests (prompt as length + md5)."""
     q, a1, a2, r, p = E.review_inputs(spark, sf_dir)
-    req = RV.build_review_requests(q, a1, a2, r, p)
+    return _request_cols(RV.build_review_requests(q, a1, a2, r, p))
+
+
+def _request_cols(req: DataFrame) -> DataFrame:
     return req.select(F.col("question_id").cast("bigint").alias("question_id"), "category",
                       F.col("reviewer_id").cast("bigint").alias("reviewer_id"),
                       F.col("prompt_id").cast("bigint").alias("prompt_id"),
@@ -107,6 +138,20 @@ def q_merge_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review_cols(E.retried(spark, sf_dir))
 
 
+@register("review_file_roundtrip", OE.merge_reviews_sql())
+def q_review_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 + A4 around J4: the first pass stored as JSON lines, read back,
+    retried, stored and read again."""
+    return _review_cols(E.stored_reviews(spark, sf_dir))
+
+
+@register("eval_tables", OE.review_requests_sql())
+def q_eval_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 on files: all five evaluation tables written, read back with the
+    reviewers' and prompts' places, and turned into judge requests."""
+    return _request_cols(RV.build_review_requests(*E.stored_inputs(spark, sf_dir)))
+
+
 @register("review_scores", OE.review_scores_sql())
 def q_review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 over the merged reviews (C11 rejects score 0 rows)."""

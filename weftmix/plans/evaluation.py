@@ -12,6 +12,8 @@ from weftmix.functions.text import seeded_hash
 from weftmix.operators import review as rv
 from weftmix.operators.joins import known_rows
 from weftmix.plans import inputs
+from weftmix.session import scratch_path
+from weftmix.sources import files as S
 
 REVIEWER_ROWS = [  # reviewer_id, prompt_id, category (file order matters)
     ("judge-general", 1, "general"),
@@ -95,6 +97,30 @@ def retried(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.review_answers(q, a1, a2, r, p, stand_in_judge, previous=prev)
 
 
+def stored_inputs(spark: SparkSession, sf_dir: str):
+    """The five evaluation tables written as JSON lines and read back."""
+    root = scratch_path(spark, "eval")
+    schemas = [S.QUESTION_SCHEMA, S.ANSWER_SCHEMA, S.ANSWER_SCHEMA, S.REVIEWER_SCHEMA, S.JUDGE_PROMPT_SCHEMA]
+    out = []
+    for k, (df, schema) in enumerate(zip(review_inputs(spark, sf_dir), schemas)):
+        if schema in (S.REVIEWER_SCHEMA, S.JUDGE_PROMPT_SCHEMA):  # configuration of a few rows: one file in its order
+            place = "reviewer_idx" if schema == S.REVIEWER_SCHEMA else "prompt_idx"
+            df = df.coalesce(1).sortWithinPartitions(place).drop(place)
+        S.write_jsonl(df, f"{root}/{k}")
+        out.append(S.read_eval_table(spark, f"{root}/{k}", schema))
+    return tuple(out)
+
+
+def stored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First pass, stored; read, retried and merged; stored and read again."""
+    root = scratch_path(spark, "reviews")
+    q, a1, a2, r, p = review_inputs(spark, sf_dir)
+    S.write_jsonl(rv.review_records(rv.review_answers(q, a1, a2, r, p, stand_in_judge)), f"{root}/first")
+    first = S.read_eval_table(spark, f"{root}/first", S.REVIEW_SCHEMA)
+    S.write_jsonl(rv.review_records(rv.review_answers(q, a1, a2, r, p, stand_in_judge, previous=first)), f"{root}/merged")
+    return S.read_eval_table(spark, f"{root}/merged", S.REVIEW_SCHEMA)
+
+
 def label_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored-review stand-in from ``labels``: judge text whose two scores
     follow quality and toxicity, in one of five text shapes, joined to the

@@ -5,7 +5,7 @@ from __future__ import annotations
 from weftmix.plans import inputs
 from weftmix.plans.sqlparts import (cps, h, ids_md5, lm_split, mask_upto, pad, rstrip, sql_str,
                                     strip, values_pools)
-from weftmix.plans.training import BATCH_SIZE, MAX_LEN, STAGE1_WEIGHTS, STAGE2_WEIGHTS, WORLD_SIZE
+from weftmix.plans.training import BATCH_SIZE, CORPUS_WEIGHTS, MAX_LEN, STAGE1_WEIGHTS, STAGE2_WEIGHTS, WORLD_SIZE
 
 
 def _spec(weights) -> str:
@@ -17,7 +17,7 @@ def _spec(weights) -> str:
   FROM (VALUES {rows}) v(tag, ord, weight))"""
 
 
-def _index(name: str, rows: str) -> str:
+def _index(name: str, rows: str, order: str = "r.doc_id") -> str:
     """Shard files over ranks and number rows per (tag, rank)."""
     R = WORLD_SIZE
     return f"""{name}_files AS (
@@ -25,7 +25,7 @@ def _index(name: str, rows: str) -> str:
   FROM (SELECT DISTINCT tag, file_name FROM {rows})),
 {name}_idx AS (
   SELECT r.*, f.file_ord % {R} AS rank,
-         row_number() OVER (PARTITION BY r.tag, f.file_ord % {R} ORDER BY f.file_ord // {R}, r.doc_id) - 1 AS row_idx,
+         row_number() OVER (PARTITION BY r.tag, f.file_ord % {R} ORDER BY f.file_ord // {R}, {order}) - 1 AS row_idx,
          count(*) OVER (PARTITION BY r.tag, f.file_ord % {R}) AS n_rows
   FROM {rows} r JOIN {name}_files f ON r.tag = f.tag AND r.file_name = f.file_name)"""
 
@@ -132,6 +132,30 @@ FROM (SELECT rank, batch_id, slot, global_pos, tag, file_name, doc_id, row_idx,
       UNION ALL SELECT rank, batch_id, slot, global_pos, tag, file_name, doc_id, row_idx, draw FROM tr_draws)"""
 
 
+def _corpus(seed: int, shard_bytes: int) -> str:
+    """documents as shards of a corpus: a tag's shard count from its bytes."""
+    return f"""size AS (SELECT lang, greatest({WORLD_SIZE}, CAST(ceil(sum(octet_length(encode(text)) + 8) / {shard_bytes}) AS BIGINT)) AS n
+           FROM documents WHERE lang IN ('de', 'en', 'es') GROUP BY lang),
+lm_rows AS (SELECT lang AS tag, 'shard=' || ({h(['doc_id'], f'shard-{seed}')} % n) || '/' AS file_name,
+                   {h(['doc_id'], f'order-{seed}')} AS place, doc_id, text FROM documents JOIN size USING (lang)),
+{_spec(CORPUS_WEIGHTS)},
+{_index('lm', 'lm_rows', 'r.place, r.doc_id')},
+{_steps(['lm'])},
+{_draws('lm')}"""
+
+
+def corpus_features_sql(seed: int, shard_bytes: int) -> str:
+    return f"""WITH {_corpus(seed, shard_bytes)},
+{_lm_feats('lm')}
+{_report('lm_f')}"""
+
+
+def corpus_schedule_sql(seed: int, shard_bytes: int) -> str:
+    return f"""WITH {_corpus(seed, shard_bytes)}
+SELECT CAST(rank AS BIGINT) AS rank, CAST(batch_id AS BIGINT) AS batch_id, CAST(slot AS BIGINT) AS slot, tag,
+       CAST(doc_id AS BIGINT) AS doc_id, CAST(row_idx AS BIGINT) AS row_idx FROM lm_draws"""
+
+
 def _task_examples(name: str) -> str:
     key = ["rank", "global_pos"]
     pos = f"['post', 'pre'][{h(key, 'prompt-pos')} % 2 + 1]"

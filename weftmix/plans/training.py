@@ -16,13 +16,16 @@ from weftmix.operators import examples as ex
 from weftmix.operators.features import make_features
 from weftmix.operators.mixing import file_offsets, index_rows, mix_schedule, mix_spec, shard_files
 from weftmix.plans import inputs
-from weftmix.session import checkpoint_dir
+from weftmix.session import checkpoint_dir, scratch_path
+from weftmix.sources import files as S
 
 WORLD_SIZE = 2
 BATCH_SIZE = 20
 MAX_LEN = 1024
 STAGE1_WEIGHTS = [("de", 3), ("en", 4), ("es", 1), ("translate", 2)]
 STAGE2_WEIGHTS = [("en", 2), ("translate", 2), ("task-es", 1), ("task-de", 1)]
+CORPUS_WEIGHTS = [("de", 3), ("en", 4), ("es", 1)]
+CORPUS_SEED, CORPUS_SHARD_BYTES = 11, 128 * 1024
 DRAW_KEY = ["rank", "global_pos"]
 
 
@@ -105,6 +108,25 @@ def stage1_features(spark: SparkSession, sf_dir: str, steps: int | None = None,
     return make_features(ex.with_prefix(ex.union_kinds(lm.select(*cols), tr.select(*cols)), 1), max_len, DRAW_KEY, tokenizer)
 
 
+def corpus_draws(spark: SparkSession, sf_dir: str, world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """The file path end to end: documents written as a corpus of shuffled
+    shards (A6), listed, read and indexed (A2, A1, B1, B2), then scheduled."""
+    root = scratch_path(spark, "corpus")
+    for tag, _w in CORPUS_WEIGHTS:
+        own = inputs.documents(spark, sf_dir).filter(F.col("lang") == tag).select("doc_id", "text")
+        S.write_shuffled_shards(own, f"{root}/{tag}", None, CORPUS_SEED, ["doc_id"], world_size, shard_bytes=CORPUS_SHARD_BYTES)
+    spec = mix_spec(spark, CORPUS_WEIGHTS)
+    rows = S.read_mixed_corpus(spark, root, spec, "doc_id bigint, text string", world_size)
+    keys = rows.select("tag", "file_name", "rank", "row_idx", "n_rows", "doc_id")
+    steps = steps_for_epoch([keys.groupBy("tag", "rank").agg(F.max("n_rows").alias("n_rows"))], CORPUS_WEIGHTS, batch_size)
+    return with_rows(mix_schedule(keys, spec, steps, batch_size), rows.select("tag", "file_name", "doc_id", "text"))
+
+
+def corpus_features(spark: SparkSession, sf_dir: str, max_len: int = MAX_LEN, tokenizer=None) -> DataFrame:
+    """H7 over a corpus read from files."""
+    return make_features(ex.with_prefix(ex.lm_example(corpus_draws(spark, sf_dir)), 1), max_len, DRAW_KEY, tokenizer)
+
+
 def features_report(feats: DataFrame) -> DataFrame:
     """Engine-neutral view of feature rows: arrays as md5 of their joined ids."""
     return feats.select(

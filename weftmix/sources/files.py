@@ -107,15 +107,16 @@ def read_prompt_pools(spark: SparkSession, paths) -> DataFrame:
 
     Python text mode ends lines at ``\\r\\n``, ``\\r`` or ``\\n``; a final
     line end does not start a new prompt; blank lines stay as empty prompts;
-    every prompt is ``strip()``-ed. Key = file name without ``.prompt``.
+    every prompt is ``strip()``-ed. Key = file name without ``.prompt``, or
+    the name of the ``[column=]<key>.prompt`` folder that holds the file.
     """
     if isinstance(paths, str):
         paths = [paths]
-    df = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_name").alias("fname"))
+    df = (spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True)
+          .select("value", F.regexp_extract("_metadata.file_path", r"([^/=]+)\.prompt(?:/[^/]*)?$", 1).alias("pool_key")))
     lines = F.split(F.col("value"), "\r\n|\r|\n", -1)
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    return (df.select(F.regexp_replace("fname", r"\.prompt$", "").alias("pool_key"),
-                      F.transform(lines, lambda x: py_strip(x)).alias("prompts")))
+    return (df.select("pool_key", F.transform(lines, lambda x: py_strip(x)).alias("prompts")))
 
 
 def read_eval_table(spark: SparkSession, path, schema: str, strict: bool = True) -> DataFrame:
@@ -152,6 +153,13 @@ def write_features(features: DataFrame, path: str, mode: str = "overwrite", fmt:
 SHARD_BYTES = 1 << 30
 
 
+def write_prompt_pools(pools: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``pool_key, ord, prompt`` rows as one ``pool=<key>.prompt`` folder a
+    key, one line a prompt in the order of ``ord``."""
+    (pools.select(F.concat("pool_key", F.lit(".prompt")).alias("pool"), "ord", F.col("prompt").alias("value"))
+     .repartition("pool").sortWithinPartitions("pool", "ord").drop("ord").write.mode(mode).partitionBy("pool").text(path))
+
+
 def write_shuffled_shards(df: DataFrame, path: str, n_shards: int | None, seed: int, id_cols,
                           world_size: int = 1, mode: str = "overwrite", shard_bytes: int = SHARD_BYTES) -> int:
     """Shuffle records once and store them as numbered shards
