@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftmix.operators.indexing import dense_index
 from weftmix.operators.mixing import (index_rows, mix_schedule, mix_spec, parse_resume_step, select_files,
-                                      shard_files, tag_slots)
+                                      shard_files)
 
 
 def simulate(weights, sizes, steps, batch):
@@ -92,11 +92,6 @@ def test_select_and_shard_files(spark):
     assert got == [("10017.jsonl", 0, 0), ("10020.jsonl", 1, 0), ("10030.jsonl", 0, 1)]
 
 
-def test_tag_slots(spark):
-    s = tag_slots(mix_spec(spark, [("a", 2), ("b", 1)]))
-    assert sorted((r.tag, r.slot_in_cycle) for r in s.collect()) == [("a", 0), ("a", 1), ("b", 2)]
-
-
 def test_dense_index_balanced_and_exact(spark):
     # one hot group holding most rows, one small group
     df = spark.range(0, 5000).select(F.when(F.col("id") < 4000, "hot").otherwise("cold").alias("g"),

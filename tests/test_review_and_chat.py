@@ -149,12 +149,12 @@ def test_require_aligned(spark):
 
 
 def test_require_scored_and_templates(spark):
-    from weftmix.operators.chat import template_table
+    from weftmix.operators.chat import chat_template
     r = _reviews(spark, [(1, [8.0, 6.0]), (2, [0.0, 2.0]), (3, [-1.0, -1.0])])
     ok, bad = RV.require_scored(r)
     assert ok.count() == 1 and bad.count() == 2
-    t = template_table(spark).first()
-    assert t.template == "human-assistant" and t.roles == ["Human", "Assistant"] and t.sep == "\n"
+    t = chat_template("Human-Assistant")
+    assert t["roles"] == ("Human", "Assistant") and t["sep"] == "\n"
 
 
 def test_row_parallel_pairs_and_api_match_array_forms(spark):

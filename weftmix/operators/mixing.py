@@ -62,13 +62,6 @@ def expand_weights(spec: DataFrame) -> DataFrame:
         rows, "tag string, ord int, weight int, w_offset bigint, w_total bigint")
 
 
-def tag_slots(spec: DataFrame) -> DataFrame:
-    """B3 as a table: one row per position of the repeated tag list."""
-    e = expand_weights(spec)
-    return (e.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("weight").cast("bigint") - 1)))
-            .select("tag", "ord", (F.col("w_offset") + F.col("j")).alias("slot_in_cycle"), "w_total"))
-
-
 def select_files(files: DataFrame, spec: DataFrame) -> DataFrame:
     """A2: keep ``<n>.jsonl`` files and ``shard=<n>/`` shard files of configured
     tags whose number is at least the tag's ``file_start`` (when one is
@@ -239,9 +232,7 @@ def mix_schedule(indexed: DataFrame, spec: DataFrame, steps: int | Column, batch
     c_hi = F.least(F.col("_k_hi"), c_lo + C * N)
     df = explode_range(chunks, c_lo, c_hi).drop("_chunk")
     g = (F.floor(F.col("draw") / w) * W + o + F.col("draw") % w).cast("bigint")
-    return (df.withColumn("global_pos", g)
-            .withColumn("batch_id", F.floor(F.col("global_pos") / B).cast("bigint"))
-            .withColumn("slot", (F.col("global_pos") % B).cast("int"))
+    return (assign_batches(df.withColumn("global_pos", g), B)
             .drop("_wt", "_woff", "_wcyc", "_k_hi", "_k_first", "_n_draws"))
 
 

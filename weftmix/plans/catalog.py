@@ -48,6 +48,13 @@ def q_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
                         for c in cols])
 
 
+@register("schedule_window", f"SELECT * FROM ({OT.mix_schedule_sql()}) WHERE batch_id >= 3 AND batch_id < 8")
+def q_schedule_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B6 + B7 on a finished schedule: at most 8 steps, resumed at step 3."""
+    from weftmix.operators.mixing import limit_steps, resume_from
+    return resume_from(limit_steps(q_mix_schedule(spark, sf_dir), 8), "/ckpt/ckpt_step-3_loss-2.5")
+
+
 @register("resume_schedule", OT.stage1_features_sql(start_step=10))
 def q_resume_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resume from ``ckpt_step-10_loss-…``: batches below step 10 are never made."""

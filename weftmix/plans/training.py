@@ -9,12 +9,14 @@ so the amount of work grows with the tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmix.operators import examples as ex
 from weftmix.operators.features import make_features
-from weftmix.operators.mixing import file_offsets, index_rows, mix_schedule, mix_spec, shard_files
+from weftmix.operators.mixing import epoch_steps, file_offsets, index_rows, mix_schedule, mix_spec, shard_files
 from weftmix.plans import inputs
 from weftmix.session import checkpoint_dir, scratch_path
 from weftmix.sources import files as S
@@ -46,20 +48,6 @@ def file_listings(spark: SparkSession, sources, world_size: int):
     return [listed.filter(F.col("_src") == k).drop("_src") for k in range(len(sources))]
 
 
-def steps_for_epoch(listings, weights, batch_size: int) -> int:
-    """Steps so that every rank draws each of its rows at least once:
-    ceil(max over (rank, tag) of ceil(N / w) * W / B). Only the largest
-    subset per tag reaches the driver (one number per configured tag)."""
-    w = {t: int(x) for t, x in weights}
-    total = sum(w.values())
-    best = 0
-    for listing in listings:
-        for r in listing.filter(F.col("tag").isin(list(w))).groupBy("tag").agg(F.max("n_rows").alias("n")).collect():
-            if w[r["tag"]] > 0:
-                best = max(best, -(-int(r["n"]) // w[r["tag"]]) * total)
-    return -(-best // int(batch_size))
-
-
 def scheduled(spark: SparkSession, sources, weights, batch_size: int, steps: int | None = None, start_step: int = 0,
               world_size: int = WORLD_SIZE, order_cols=("doc_id",)):
     """The draws of several sources, without their texts: B1-B7 on the keys
@@ -68,9 +56,10 @@ def scheduled(spark: SparkSession, sources, weights, batch_size: int, steps: int
     names = ["tag", "file_name", *order_cols]
     keys = [r.select(*names, *[c for c in ("pair_doc_id", "file_pos") if c in r.columns]) for r in sources]
     listings = file_listings(spark, keys, world_size)
-    if steps is None:
-        steps = steps_for_epoch(listings, weights, batch_size)
     spec = mix_spec(spark, weights)
+    if steps is None:
+        sizes = [x.select("tag", "rank", "n_rows") for x in listings]
+        steps = epoch_steps(reduce(DataFrame.unionByName, sizes), spec, batch_size)
     drawn = [mix_schedule(index_rows(k, l, list(order_cols), pos_col="file_pos" if "file_pos" in k.columns else None),
                           spec, steps, batch_size, start_step) for k, l in zip(keys, listings)]
     return drawn, steps
@@ -118,8 +107,7 @@ def corpus_draws(spark: SparkSession, sf_dir: str, world_size: int = WORLD_SIZE,
     spec = mix_spec(spark, CORPUS_WEIGHTS)
     rows = S.read_mixed_corpus(spark, root, spec, "doc_id bigint, text string", world_size)
     keys = rows.select("tag", "file_name", "rank", "row_idx", "n_rows", "doc_id")
-    steps = steps_for_epoch([keys.groupBy("tag", "rank").agg(F.max("n_rows").alias("n_rows"))], CORPUS_WEIGHTS, batch_size)
-    return with_rows(mix_schedule(keys, spec, steps, batch_size), rows.select("tag", "file_name", "doc_id", "text"))
+    return with_rows(mix_schedule(keys, spec, epoch_steps(keys, spec, batch_size), batch_size), rows.select("tag", "file_name", "doc_id", "text"))
 
 
 def corpus_features(spark: SparkSession, sf_dir: str, max_len: int = MAX_LEN, tokenizer=None) -> DataFrame:
