@@ -116,6 +116,12 @@ def test_warc_round_trip(spark, tmp_dir, least, compression):
     assert len(rows) == len(PAGES) and all(len(r["metadata"]) == 1 and r["request"]["record_type"] == "request" for r in rows)
 
 
+def test_warc_null_page_id(spark, tmp_dir):
+    path = warc.write_captures(page_rows(spark, [(None, "u", "a"), (4, "u", "a"), (None, "u", "b")]), f"{tmp_dir}/n")
+    got = [tuple(r)[:2] + tuple(r)[3:] for r in warc.captures_digest(warc.assemble(warc.read_records(spark, path))).collect()]
+    assert sorted(got, key=str) == [(4, 1, "response", None), (None, 1, "response", None), (None, 1, "revisit", 4)]
+
+
 def test_warc_empty_table(spark, tmp_dir):
     path = warc.write_captures(page_rows(spark, PAGES).limit(0), f"{tmp_dir}/none")
     assert warc.captures_digest(warc.assemble(warc.read_records(spark, path))).collect() == []
@@ -139,5 +145,5 @@ def test_assembly_follows_any_direction(spark, tmp_dir):
     assert set(rows) == {"<i>", "<q>", "<gone>"}
     whole = rows["<q>"]
     assert bytes(whole["capture"]["payload"]) == b"body\r\n\r\n" and whole["request"]["record_id"] == "<q>"
-    assert sorted(m["record_id"] for m in whole["metadata"]) == ["<m>", "<m2>"]
+    assert sorted(m["record_id"] for m in whole["metadata"]) == ["<m2>", "<m>"]
     assert rows["<gone>"]["capture"] is None and rows["<gone>"]["request"]["record_id"] == "<lone>"

@@ -14,8 +14,8 @@ a body; smaller payloads are always responses.
 
 Defined results: a null html is an empty payload; a null url gives no target
 URI; CR, LF and blanks in a url are percent-encoded in the header; rows that
-share the smallest page_id of a payload are all responses; repeated rows give
-repeated captures; records without a capture keep their own row with a null
+share the smallest page_id of a payload are all responses; a null page_id
+counts as the largest; repeated rows give repeated captures; records without a capture keep their own row with a null
 capture; an empty table writes no record and reads back no row; other columns
 are ignored.
 """
@@ -72,21 +72,22 @@ def _id(key: Column, kind: str) -> Column:
 
 
 def capture_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(record): the text of every WARC record, three per page."""
-    rows = (pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    """(record): the text of every WARC record, three per page. ``pages`` is
+    read twice; a row's place in it is part of its records' identifiers, so
+    that a repeated row is a capture of its own."""
+    rows = (pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
             .withColumn("n", F.octet_length("html")).withColumn("digest", sha1_base32(F.col("html"))))
     first = cut(rows.filter(F.col("n") >= min_revisit_bytes).groupBy("digest")
-                .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-                .filter("copies > 1").select(F.col("digest").alias("d"), "first_id"))
+                .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
+                .filter("copies > 1").select(F.col("digest").alias("d"), F.col("first.page_id").alias("first_id"),
+                                             F.col("first.row").alias("first_row")))
     # both sides of this join are plain exchanges, so a hot payload can be split
     rows = rows.join(first, rows["digest"] == first["d"], "left")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    again = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
 
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    # a repeated page is a capture of its own: everything but the first
-    # response of a payload also carries its row's place in the identifier
-    own = F.when(again | F.col("first_id").isNull(), F.concat(page, F.lit("#"), F.monotonically_increasing_id())).otherwise(page)
-    rows = rows.select("*", again.alias("again"), own.alias("key"))
+    def key(page, row):
+        return F.concat(F.coalesce(F.col(page).cast("string"), F.lit("null")), F.lit("#"), F.col(row).cast("string"))
+    rows = rows.select("*", again.alias("again"), key("page_id", "row").alias("key"))
     rid, qid, mid = (_id(F.col("key"), x) for x in ("response", "request", "metadata"))
     uri = ("WARC-Target-URI", F.replace(F.replace(F.replace(
         F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20")))
@@ -97,7 +98,7 @@ def capture_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES
     response = _header("response", rid, [uri, digest, kind], F.concat(http, F.col("html")))
     revisit = _header("revisit", rid, [
         uri, digest, kind, ("WARC-Profile", F.lit(PROFILE)),
-        ("WARC-Refers-To", _id(F.col("first_id").cast("string"), "response"))], http)
+        ("WARC-Refers-To", _id(key("first_id", "first_row"), "response"))], http)
     request = _header("request", qid, [uri, ("WARC-Concurrent-To", rid),
                                        ("Content-Type", F.lit("application/http; msgtype=request"))],
                       F.lit(f"GET / HTTP/1.1{END}"))
