@@ -89,7 +89,7 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def _blocks(with_id: bool):
-    """(h) or (doc_id, h): the distinct blocks of each document; a block that a
+    """(h) or (doc_id, th, h): the distinct blocks of each document; a block that a
     document has more than once comes twice where only hashes are asked."""
     def run(batches):
         for batch in batches:
@@ -102,7 +102,7 @@ def _blocks(with_id: bool):
             h = pa.array(np.concatenate(hs).view(np.int64)) if hs else pa.array([], pa.int64())
             if with_id:
                 at = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), h], names=["doc_id", "h"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), h], names=["doc_id", "th", "h"])
             else:
                 yield pa.RecordBatch.from_arrays([h], names=["h"])
     return run
@@ -266,18 +266,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """(doc_id, th, spans): per document with any, the runs (first, last) of its
     repeated windows; th is the hash of its text. ``docs`` has (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # the text's hash goes with the id, so that rows without an id, or with one
+    # id for many texts, are no hot key
+    docs = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+            .select("doc_id", F.xxhash64("text").alias("th"), "text"))
     small_batches(spark)
     twice = cut(docs.select("text").mapInArrow(_blocks(False), "h long").groupBy("h").count().filter("count > 1")
                 .select(F.col("h").alias("twice")))
     _release(spark)
-    own = docs.mapInArrow(_blocks(True), "doc_id long, h long")
-    blocks = cut(own.join(twice, own["h"] == twice["twice"], "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-                 .select(F.col("doc_id").alias("id"), "hs"))
+    own = docs.mapInArrow(_blocks(True), "doc_id long, th long, h long")
+    blocks = cut(own.join(twice, own["h"] == twice["twice"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("h").alias("hs"))
+                 .select(F.col("doc_id").alias("id"), F.col("th").alias("t"), "hs"))
     _release(spark)
     small_batches(spark)
-    per = cut(docs.join(blocks, docs["doc_id"].eqNullSafe(blocks["id"])).select("doc_id", F.xxhash64("text").alias("th"), "text", "hs")
-              .mapInArrow(_per_document(length), PER_DOC))
+    per = cut(docs.join(blocks, docs["doc_id"].eqNullSafe(blocks["id"]) & (docs["th"] == blocks["t"]))
+              .select("doc_id", "th", "text", "hs").mapInArrow(_per_document(length), PER_DOC))
     _release(spark)
 
     entry = per.select("doc_id", "th", F.posexplode(F.arrays_zip("a", "n", "h", "fk")).alias("i", "x")).select(
