@@ -43,6 +43,7 @@ def file_listings(spark: SparkSession, sources, world_size: int):
              .withColumn("_src", F.lit(k)))
         counts = c if counts is None else counts.unionByName(c)
     checkpoint_dir(spark)
+    counts = counts.checkpoint(eager=True)  # one pass over the tables; the rest works on the listing
     # a tag belongs to one source, so (tag, rank) keeps the sources apart
     listed = file_offsets(shard_files(counts, world_size, by=("_src", "tag"))).checkpoint(eager=True)
     return [listed.filter(F.col("_src") == k).drop("_src") for k in range(len(sources))]
