@@ -1,8 +1,9 @@
 """Token-array functions (H1-H6) as Column expressions.
 
 The built-in tokenizer maps every Unicode code point ``c`` to ``ord(c) + 3``
-so that ids 0, 1, 2 stay free for pad, bos and eos. It runs entirely inside
-whole-stage codegen (``split`` + ``transform``); a sub-word tokenizer is
+so that ids 0, 1, 2 stay free for pad, bos and eos. It stays in the JVM
+(``split`` + ``transform``, an interpreted lambda per character, not generated
+code); a sub-word tokenizer is
 plugged in through :mod:`weftmix.operators.external` instead.
 """
 

@@ -3,8 +3,8 @@
 The reference's producer loop cycles over a tag list (each tag repeated
 ``weight`` times), draws the next row of that tag and wraps to the first
 file when a tag is exhausted; every ``batch_size`` draws form a batch. Here
-each row computes its own slots, so the schedule is one ``explode`` with no
-join, no shuffle and no driver loop:
+each row computes its own slots: the schedule is an ``explode`` over keys,
+dealt out by hash beforehand, with no join and no driver loop:
 
 * ``o_t`` = sum of earlier weights, ``W`` = sum of all weights,
   ``G = steps * batch_size`` slots per rank, ``N_t`` rows of tag t on a rank;
