@@ -145,6 +145,18 @@ def test_near_duplicates_edges(spark, docs):
     assert sorted(r["doc_id"] for r in kept) == [7, 9]
 
 
+def test_keep_one_keeps_a_row_of_every_group(spark, docs):
+    a, b, c, d = ("alpha beta gamma delta", "one two three four", "x y z w", "red green blue white")
+    e = "un deux trois quatre"
+    # three texts without an id, copies of two of them, id 7 with a text of its own and a copy of doc 3
+    rows = [(None, a), (None, b), (None, a), (None, e), (7, c), (7, d), (3, d), (9, b)]
+    kept = simhash.keep_one(spark, docs(rows).repartition(4), "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, a), (0, e), (9, b), (7, c), (3, d)])
+    # groups whose smallest id is the same
+    kept = simhash.keep_one(spark, docs([(7, a), (7, b), (8, a), (8, b)]), "")
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(7, a), (7, b)]
+
+
 def test_bucket_roots_match_brute_force():
     g = np.random.default_rng(1)
     base = g.integers(0, 2 ** 63, 150, dtype=np.uint64)

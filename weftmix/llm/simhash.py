@@ -61,15 +61,18 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, keys, fp): fp holds the fingerprint's bits as a signed long;
+    ``keys`` are columns of longs that are carried along."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", *keys, "fp"]
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(fp.view(np.int64))], names=names)
+    return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keys, "text")
+            .mapInArrow(run, ", ".join(f"{c} long" for c in names)))
 
 
 def bit_planes(fp: np.ndarray) -> np.ndarray:
@@ -215,8 +218,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def survivors(docs: DataFrame) -> DataFrame:
+    """(kept_id, kept_hash): id and text hash of one row of each near-duplicate
+    group, the one with the smallest id (null last), then the smallest hash."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = cut(fingerprints(rows, "th").groupBy("fp").agg(F.min(order).alias("first")))
+    found = connected(links(first.select("fp")))
+    least = (first.join(found, first["fp"] == found["vertex"], "left")
+             .groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first")))
+    return least.select(F.col("first.doc_id").alias("kept_id"), F.col("first.th").alias("kept_hash"))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id; rows
-    that repeat an id are one document."""
-    stay = near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Pipeline stage: of each group the row with the smallest id. A row is
+    its id and its text: texts that share an id or have none stand each on
+    their own, and only rows equal in both are one."""
+    stay = survivors(docs)
+    own = docs["doc_id"].eqNullSafe(stay["kept_id"]) & (F.xxhash64(docs["text"]) == stay["kept_hash"])
+    return docs.join(stay, own, "left_semi").dropDuplicates(["doc_id", "text"])
