@@ -113,3 +113,13 @@ def test_contamination_edges(spark, docs):
     assert sorted((r["doc_id"], r["item_id"], r["containment"]) for r in got) == [(1, 1, 1.0), (3, None, 1.0)]
     assert decontaminate.contaminated(docs([]), items).collect() == []
     assert decontaminate.contaminated(docs([(1, "a b")]), items.limit(0)).collect() == []
+
+
+def test_drop_contaminated_judges_each_row(spark, docs, tmp_dir):
+    spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    leak, clean = "so a b c d e f g h i", "q r s t u v w"
+    # clean rows beside a leak under one id and under none, and two rows that hold the item only together
+    rows = [(None, leak), (None, clean), (None, None), (1, leak), (1, clean + " x"), (2, "a b c d e f"), (2, "d e f g h i"), (3, clean)]
+    kept = decontaminate.drop_contaminated(spark, docs(rows).repartition(3), tmp_dir).collect()
+    want = [r for r in rows if r[1] != leak]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted((i or 0, t or "") for i, t in want)
