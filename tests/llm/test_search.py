@@ -123,3 +123,11 @@ def test_drop_contaminated_judges_each_row(spark, docs, tmp_dir):
     kept = decontaminate.drop_contaminated(spark, docs(rows).repartition(3), tmp_dir).collect()
     want = [r for r in rows if r[1] != leak]
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted((i or 0, t or "") for i, t in want)
+
+
+def test_drop_contaminated_tests_each_item(spark, docs, tmp_dir):
+    # two items under one id, two without an id; a document holds one of each pair whole
+    items = [(1, "a b c d e f g h i"), (1, "p q r s t u v w x"), (None, "k l m n o aa bb"), (None, "cc dd ee ff gg hh ii")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    rows = [(1, "so a b c d e f g h i"), (2, "cc dd ee ff gg hh ii jj"), (3, "plain words that are no item")]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(spark, docs(rows), tmp_dir).collect()] == [3]

@@ -18,8 +18,8 @@ Defined results: null or empty texts and items without a word match nothing;
 an item of fewer words than a shingle is one shingle of its own length;
 repeated words or shingles count once; in the query, as in its SQL, rows that
 share a doc_id (or an item_id) are one document (one item) and their shingles
-are pooled, while the pipeline stage judges every row by its own text; empty
-tables give no rows; other columns are ignored.
+are pooled, while the pipeline stage judges every row and item by its own text;
+empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,9 +112,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows whose text holds no benchmark item. What a text
     holds hangs on the text alone, so its hash is the key: rows that share an
-    id, or have none, are judged each by their own text."""
+    id, or have none, are judged each by their own text, and so are items."""
     key = F.xxhash64(docs["text"])
-    bad = contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    items = table(spark, sf_dir, "benchmark").select(F.xxhash64("text").alias("item_id"), "text")
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), items)
     bad = _small(cut(bad.select(F.col("doc_id").alias("bad_hash")).distinct()))
     return docs.join(bad, key == bad["bad_hash"], "left_anti")
 
