@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +11,30 @@ from weftmix.session import checkpoint_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rows per Arrow batch: texts may be very long, so a batch of the default
-#: 10,000 rows could outgrow a worker.
-ARROW_ROWS = 128
+#: Rows and bytes of text that a function handles at a time.
+GROUP_ROWS, GROUP_BYTES = 128, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of long texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def regroup(batches, rows: int = GROUP_ROWS, most: int = GROUP_BYTES, by: str = "text"):
+    """A task's rows in groups of at most ``rows`` rows and ``most`` bytes of the
+    column ``by`` (a longer value alone), as record batches. The groups depend
+    on the rows and their order alone, not on how the session cuts batches."""
+    held, n, size = [], 0, 0
+    for batch in batches:
+        at = 0
+        for i, w in enumerate(pc.fill_null(pc.binary_length(batch.column(by)), 0).to_pylist()):
+            if n and (n == rows or size + w > most):
+                yield pa.concat_batches([*held, batch.slice(at, i - at)])
+                held, n, size, at = [], 0, 0, i
+            n, size = n + 1, size + w
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if n:
+        yield pa.concat_batches(held)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,5 +49,6 @@ def ascii_lower(c: Column) -> Column:
 
 
 def id_bucket(c: str, mod: int) -> Column:
-    """crc32 of the id written as text, modulo ``mod``."""
-    return F.pmod(F.crc32(F.col(c).cast("string")), F.lit(mod))
+    """crc32 of the id written as text, modulo ``mod``; a null id counts as the
+    empty text, whose crc32 is 0."""
+    return F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(mod))

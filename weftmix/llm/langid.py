@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftmix.llm.common import id_bucket, small_batches, table
+from weftmix.llm.common import id_bucket, regroup, table
 
 PROFILE = 300
 MAX_N = 4
@@ -104,7 +104,7 @@ class Profiles:
 
 
 def _count(batches):
-    for batch in batches:
+    for batch in regroup(batches):
         by: dict[str, list] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             by.setdefault(lang, []).append(ngram_keys(text))
@@ -118,7 +118,6 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     """lang -> its n-grams' keys in rank order, from (doc_id, text, lang). The sample holds at
     most SPREAD * PER_PART documents a language and the driver receives at
     most 16 * PROFILE n-grams of each."""
-    small_batches(docs.sparkSession)
     keys = docs.filter("lang is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     w = W.partitionBy("lang", F.pmod("h", F.lit(SPREAD))).orderBy("h")
     picked = keys.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= PER_PART).select("doc_id")
@@ -140,11 +139,10 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, lang_pred, score) of every row's whole text."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         own = Profiles(profiles)
-        for batch in batches:
+        for batch in regroup(batches):
             got = [own.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in got], pa.string()),
                                               pa.array([x for _, x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])

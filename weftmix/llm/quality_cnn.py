@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftmix.llm.common import id_bucket, small_batches, table
+from weftmix.llm.common import id_bucket, regroup, table
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE = 8, 4
@@ -145,7 +145,7 @@ class ByteCNN:
 
 def _sample_chunks(batches):
     """(y, data): up to TRAIN_CHUNKS evenly spaced chunks of a document, as bytes."""
-    for batch in batches:
+    for batch in regroup(batches):
         ys, data = [], []
         for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
             c = chunks((t or "").encode("utf-8", "surrogatepass"))
@@ -166,7 +166,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
         return float(next(iter(share))) if share else 0.5
     picked = [(r["doc_id"], r["y"]) for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class).collect()]
     spark = docs.sparkSession
-    small_batches(spark)
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))  # 2 * per_class rows
     rows = (docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("y", "text")
             .mapInArrow(_sample_chunks, "y int, data binary").collect())
@@ -185,10 +184,9 @@ def score(docs: DataFrame, model: ByteCNN | float, out: str = "quality_score") -
     docs = docs.drop(out)
     if isinstance(model, float):
         return docs.withColumn(out, F.lit(model))
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in regroup(batches):
             if batch.num_rows:
                 got = model.score(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftmix.llm import decontaminate, langid, license_scan, mih, packing, quality_cnn, simhash, suffix_dedup, url_reputation, warc
+from weftmix.llm import decontaminate, langid, license_scan, mih, packing, quality_cnn, simhash, suffix_dedup, turn_repair, url_reputation, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_containment": decontaminate.query,
     "op10_url_reputation": url_reputation.query,
+    "op11_turn_repair": turn_repair.query,
 }
 ORACLE_SQL = {
     "op5_mih_topk": mih.SQL,

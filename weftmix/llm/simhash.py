@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmix.llm.common import cut, small_batches, table
+from weftmix.llm.common import cut, regroup, table
 from weftmix.llm.components import connected
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -64,11 +64,10 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
     """(doc_id, keys, fp): fp holds the fingerprint's bits as a signed long;
     ``keys`` are columns of longs that are carried along."""
-    small_batches(docs.sparkSession)
     names = ["doc_id", *keys, "fp"]
 
     def run(batches):
-        for batch in batches:
+        for batch in regroup(batches):
             fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(fp.view(np.int64))], names=names)
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keys, "text")
@@ -194,7 +193,6 @@ def links(reps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows = rows.join(full, rows["key"] == full["full_key"], "left")
     thirds = [F.xxhash64("key", F.lit(s), F.shiftright("rest", a).bitwiseAND((1 << w) - 1)) for s, (a, w) in enumerate(((0, 11), (11, 11), (22, 10)))]
     rows = rows.select("fp", F.explode(F.when(F.col("full_key").isNull(), F.array("key")).otherwise(F.array(*thirds))).alias("key"))
-    small_batches(spark, 10_000)  # two numbers a row
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     return cut(rows.repartition(n, "key").sortWithinPartitions("key", "fp").select("key", "fp").mapInArrow(_bucket_links, "a long, b long").distinct())
 

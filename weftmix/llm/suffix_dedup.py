@@ -39,11 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftmix.llm.common import cut, small_batches, table
+from weftmix.llm.common import cut, regroup, table
 
 LENGTH = 200
 ANCHOR = 64
 GROUP = 1024
+#: Stretches that a task handles at a time.
+STRETCHES = 2048
 LOW = np.uint64(0xFFFFFFFF)
 #: Odd multipliers, one for each doubling of a block's length.
 ODD = np.random.default_rng(20).integers(1 << 60, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,7 +94,7 @@ def _blocks(with_id: bool):
     """(h) or (doc_id, th, h): the distinct blocks of each document; a block that a
     document has more than once comes twice where only hashes are asked."""
     def run(batches):
-        for batch in batches:
+        for batch in regroup(batches):
             hs, ids = [], []
             for k, t in enumerate(batch.column("text").to_pylist()):
                 h = families(_bytes(t))[1]
@@ -121,7 +123,7 @@ def _per_document(length: int):
     the stretches' bytes, each byte once, compressed."""
     def run(batches):
         zip_ = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in regroup(batches):
             rows = []
             for doc_id, th, text, hs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "hs")), strict=True):
                 data = _bytes(text)
@@ -153,7 +155,7 @@ ROW = "key long, lo int, hi int, doc_id long, th long, a long, n int, o int, ope
 def _unpack(length: int, anchor: int):
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in regroup(batches, by="blob"):
             rows = []
             for r in batch.to_pylist():
                 blob = unzip.decompress(r["blob"])
@@ -170,7 +172,7 @@ def _halve(length: int):
     """Each entry's windows, halved by the block's place, under a key of the
     bytes that all windows of the half share."""
     def run(batches):
-        for batch in batches:
+        for batch in regroup(batches, STRETCHES, by="stretch"):
             rows = []
             for r in batch.to_pylist():
                 mid, s, o = (r["lo"] + r["hi"]) // 2, r["stretch"], r["o"]
@@ -216,7 +218,7 @@ def _sort_groups(length: int):
     """Rows come sorted by key; the last group of a batch waits for the next."""
     def run(batches):
         held = None
-        for batch in batches:
+        for batch in regroup(batches, STRETCHES, by="stretch"):
             if held is not None:
                 batch = pa.concat_batches([held, batch])
             key = batch.column("key").to_numpy()
@@ -245,7 +247,6 @@ def _sorted_out(rows: DataFrame, length: int, group: int) -> DataFrame:
         groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("entries"), F.max("open").alias("any_open"))
         groups = cut(groups.filter("entries > 1 and any_open = 1").select(F.col("key").alias("k"), "entries"))
         live = rows.join(groups, rows["key"] == groups["k"]).drop("k")
-        small_batches(spark, 2048)
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         found = (live.filter(F.col("entries") <= group).drop("entries").repartition(parts, "key").sortWithinPartitions("key")
                  .mapInArrow(_sort_groups(length), SPAN))
@@ -270,7 +271,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     # id for many texts, are no hot key
     docs = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
             .select("doc_id", F.xxhash64("text").alias("th"), "text"))
-    small_batches(spark)
     twice = cut(docs.select("text").mapInArrow(_blocks(False), "h long").groupBy("h").count().filter("count > 1")
                 .select(F.col("h").alias("twice")))
     _release(spark)
@@ -278,7 +278,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     blocks = cut(own.join(twice, own["h"] == twice["twice"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("h").alias("hs"))
                  .select(F.col("doc_id").alias("id"), F.col("th").alias("t"), "hs"))
     _release(spark)
-    small_batches(spark)
     per = cut(docs.join(blocks, docs["doc_id"].eqNullSafe(blocks["id"]) & (docs["th"] == blocks["t"]))
               .select("doc_id", "th", "text", "hs").mapInArrow(_per_document(length), PER_DOC))
     _release(spark)
@@ -320,7 +319,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: in
     and kept_text, when asked for, without characters that a cut split."""
     found = repeated_spans(docs, length, anchor, group).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     th = F.xxhash64(F.coalesce("text", F.lit("")))
-    small_batches(docs.sparkSession)
     joined = docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found["__id"]) & (th == found["__th"]), "left").drop("__id", "__th")
     extra = ["removed_spans", "kept", "n_bytes", "kept_text"]
     fields = [f for f in docs.schema.fields if f.name not in extra]
@@ -329,7 +327,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: in
     names = [f.name for f in fields]
 
     def run(batches):
-        for batch in batches:
+        for batch in regroup(batches):
             runs, kept, size = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 data = _bytes(text)
