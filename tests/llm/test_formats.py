@@ -45,13 +45,12 @@ def token_ids(text):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
 
 
 def test_pack_round_trip(spark, docs):
     r = random.Random(1)
-    texts = [None, "", " ", "Hi.", "two  blanks\n\n then a line", "tabs\t\tand nbsp\u00a0\u00a0x", "<|endoftext|> is text", "été 世界 🙂!",
+    texts = [None, "", " ", "Hi.", "two  blanks\n\n then a line", "tabs\t\tand nbsp\u00a0\u00a0x", "<|endoftext|> starts", "a <|endoftext|> b<|endoftext|><|endoftext|> \n", "été 世界 🙂!",
              "no stop " * 4000, "a" * 5000] + [" ".join(r.choice(["the", "cat", "sat.", "On", "it's"]) for _ in range(r.randint(1, 900))) for _ in range(60)]
     rows = list(enumerate(texts)) + [(3, "Hi.")]
     got = packing.pack(docs(rows).repartition(3)).collect()
@@ -147,3 +146,22 @@ def test_assembly_follows_any_direction(spark, tmp_dir):
     assert bytes(whole["capture"]["payload"]) == b"body\r\n\r\n" and whole["request"]["record_id"] == "<q>"
     assert sorted(m["record_id"] for m in whole["metadata"]) == ["<m2>", "<m>"]
     assert rows["<gone>"]["capture"] is None and rows["<gone>"]["request"]["record_id"] == "<lone>"
+
+
+def test_batch_settings_do_not_change_results(spark, docs):
+    """What a session sets for Arrow batches, or another operator's build, has no say."""
+    from weftmix.llm import langid, simhash
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = docs([(i, f"word{i}. " * (i % 90)) for i in range(1200)]).coalesce(1)
+    before, seen = spark.conf.get(key), []
+    try:
+        for n in ("1", "128", "10000"):
+            spark.conf.set(key, n)
+            got = packing.pack(rows, with_ids=False).drop("ids")
+            simhash.fingerprints(rows)
+            langid.identify(rows, {})
+            assert spark.conf.get(key) == n
+            seen.append(sorted(tuple(x) for x in got.collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 1200

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 import zlib
 from collections import deque
@@ -34,15 +35,15 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from weftmix.llm.common import small_batches, table
+from weftmix.llm.common import regroup, table
 
 LENGTH = 2048
 END_ID = 1
 SENTENCE_CUT = 2
 HARD_CUT = 8
 STRIDE = 256
-#: Documents packed together; what a task holds is this many texts.
-BATCH_DOCS = 512
+#: Documents and bytes of text packed together; a longer text is packed alone.
+BATCH_DOCS, BATCH_BYTES = 512, 64 << 20
 
 #: A run of white space before a word leaves its last blank to the word. Where
 #: no two blanks stand together both patterns split alike, and the second is
@@ -52,26 +53,35 @@ LOOK_AHEAD = r"|\s+(?!\S)"
 
 
 @functools.cache
-def tokenizer(ranks_path: str, pattern: str):
-    """(encode, is_end) of a byte-level BPE vocabulary file of ranks."""
+def tokenizer(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
+    """(encode, is_end) of a byte-level BPE vocabulary file of ranks; a string
+    of ``special`` in a text is its one id, and the text around it stands in
+    parts of its own."""
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     plain = tiktoken.Encoding("plain", pat_str=pattern.replace(LOOK_AHEAD, ""), mergeable_ranks=ranks, special_tokens={})
 
+    marked = tiktoken.Encoding("marked", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
+    marks = [mark for mark, _ in special]
+
     def encode(text: str) -> list[int]:
+        if any(mark in text for mark in marks):
+            return marked.encode(text, allowed_special="all")
         return (whole if TWO_BLANKS.search(text) else plain).encode_ordinary(text)
-    is_end = np.zeros(max(ranks.values()) + 2, bool)
+    is_end = np.zeros(max([*ranks.values(), *(i for _, i in special)]) + 1, bool)
     for token, i in ranks.items():
         is_end[i] = token.rstrip(b"\"')").endswith((b".", b"!", b"?")) or b"\n" in token
     return encode, is_end
 
 
-def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
-    """(path of the ranks, split pattern) of the installed public tokenizer:
-    the vocabulary of byte_bpe_50k.json in the form that encodes fastest."""
+def public_vocabulary(name: str = "byte_bpe_50k") -> tuple[str, str, tuple[tuple[str, int], ...]]:
+    """(path of the ranks, split pattern, special strings and their ids) of the
+    installed public tokenizer ``name``.json, whose ranks form encodes fastest."""
     import public_tokenizers
-    return public_tokenizers.path(name), public_tokenizers.PATTERN
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    return public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, tuple((x["content"], x["id"]) for x in added)
 
 
 def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +156,12 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "ids array<int>")
 
 
-def _pack(ranks_path: str, pattern: str, length: int, end_id: int, with_ids: bool):
+def _pack(vocabulary: tuple, length: int, end_id: int, with_ids: bool):
     def run(batches):
-        encode, is_end = tokenizer(ranks_path, pattern)
+        encode, is_end = tokenizer(*vocabulary)
         # a task's sequences are numbered from its partition's own range
         first = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in regroup(batches, BATCH_DOCS, BATCH_BYTES):
             ids = [np.array([*encode(t), end_id], np.uint32) if t else np.array([end_id], np.uint32)
                    for t in batch.column("text").to_pylist()]
             p = pack_batch(ids, is_end, length)
@@ -170,16 +178,13 @@ def _pack(ranks_path: str, pattern: str, length: int, end_id: int, with_ids: boo
     return run
 
 
-def pack(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, length: int = LENGTH,
+def pack(docs: DataFrame, vocabulary: tuple | None = None, length: int = LENGTH,
          end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """One row per piece, with its token ids unless ``with_ids`` is false:
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
     Map-only: nothing is shuffled, and a lost task is run again alone."""
-    if ranks_path is None:
-        ranks_path, pattern = public_vocabulary()
-    small_batches(docs.sparkSession, BATCH_DOCS)
     return (docs.selectExpr("cast(doc_id as bigint) as doc_id", "coalesce(text, '') as text")
-            .mapInArrow(_pack(ranks_path, pattern, length, end_id, with_ids), SCHEMA))
+            .mapInArrow(_pack(vocabulary or public_vocabulary(), length, end_id, with_ids), SCHEMA))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
