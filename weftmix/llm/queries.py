@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftmix.llm import decontaminate, langid, license_scan, mih, packing, quality_cnn, simhash, suffix_dedup, turn_repair, url_reputation, warc
+from weftmix.llm import collocations, decontaminate, langid, license_scan, mih, packing, quality_cnn, simhash, suffix_dedup, turn_repair, url_reputation, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_containment": decontaminate.query,
     "op10_url_reputation": url_reputation.query,
     "op11_turn_repair": turn_repair.query,
+    "op12_collocations": collocations.query,
 }
 ORACLE_SQL = {
     "op5_mih_topk": mih.SQL,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op8_license_scan": license_scan.SQL,
     "op9_containment": decontaminate.SQL,
     "op10_url_reputation": url_reputation.SQL,
+    "op12_collocations": collocations.SQL,
 }
