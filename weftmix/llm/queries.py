@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftmix.llm import collocations, decontaminate, langid, license_scan, mih, packing, quality_cnn, simhash, suffix_dedup, turn_repair, url_reputation, warc
+from weftmix.llm import collocations, decontaminate, langid, license_scan, mih, packing, quality_cnn, recurrent_lm, simhash, suffix_dedup, turn_repair, url_reputation, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_reputation": url_reputation.query,
     "op11_turn_repair": turn_repair.query,
     "op12_collocations": collocations.query,
+    "op13_recurrent_lm": recurrent_lm.query,
 }
 ORACLE_SQL = {
     "op5_mih_topk": mih.SQL,
