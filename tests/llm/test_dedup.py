@@ -43,10 +43,14 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("group", [1024, 3])
-def test_suffix_dedup_matches_brute_force(spark, docs, group):
-    texts = corpus()
-    got = suffix_dedup.dedup(docs(list(enumerate(texts))), group=group).collect()
+@pytest.mark.parametrize("sharing", [0, 1, 1025, 5000])
+def test_suffix_dedup_matches_brute_force(spark, docs, sharing):
+    """Also with a passage that many documents hold between words of their own,
+    shorter than a window, or longer and cut at various places."""
+    r, texts = random.Random(7), corpus()
+    passage = "".join(r.choices("abcdefgh ", k=330))
+    texts += ["".join(r.choices("ijklmnop ", k=60)) + passage[r.choice([0, 0, 0, 100, 170]):] + "".join(r.choices("ijklmnop ", k=60)) for _ in range(sharing)]
+    got = suffix_dedup.dedup(docs(list(enumerate(texts)))).collect()
     have = {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["removed_spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got}
     assert have == dict(enumerate(brute_removed(texts)))
 

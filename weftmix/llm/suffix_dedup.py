@@ -6,7 +6,7 @@ most significant digit first, and a group that holds one suffix leaves the
 sort. The groups still equal at depth ``length`` are exactly the repeated
 windows; the bytes that they cover are removed everywhere.
 
-Digits are hashes of byte blocks, and neighbouring suffixes travel together:
+Digits are 128-bit hashes of byte ranges (the first: 64-bit), and neighbouring suffixes travel together:
 
 1. First digit: a block of ``ANCHOR`` bytes. Of the blocks inside a window the
    one with the smallest hash stands for it, so equal windows have equal
@@ -14,12 +14,14 @@ Digits are hashes of byte blocks, and neighbouring suffixes travel together:
    block (a family) is one entry. Blocks that occur once leave.
 2. Second digit: the whole stretch of bytes that a family's windows cover.
    Families with an equal stretch are repeated as a whole.
-3. Of the others, and one of each set of equal families as a partner, groups
-   with the same block are sorted on window by window inside one task, if they
-   hold at most ``GROUP`` families. A larger group first takes another digit:
-   its windows are halved by the place of the block, each half is keyed by all
-   bytes that its windows share, and so on down to single windows, where the
-   groups are equal by themselves. No group is gathered whole.
+3. The others, and one of each set of equal families as a partner, go through
+   passes. A pass halves the windows of every entry by the place of the block;
+   each half is one entry again and its digit is all bytes that its windows
+   share. Entries that are equal as a whole are repeated as a whole; one of them
+   goes on as a partner where an unresolved entry has the same digit. The last
+   digit is a single window. Equal entries become one counted row before they
+   meet others, so a passage that many documents share is no hot group, and no
+   group is gathered; groups of any size take the same passes.
 
 Defined results: a null or empty text, or one shorter than ``length`` bytes,
 is kept as it is; a document that overlaps a copy of itself loses both; rows
@@ -43,7 +45,6 @@ from weftmix.llm.common import cut, regroup, table
 
 LENGTH = 200
 ANCHOR = 64
-GROUP = 1024
 #: Stretches that a task handles at a time.
 STRETCHES = 2048
 LOW = np.uint64(0xFFFFFFFF)
@@ -143,13 +144,20 @@ def _per_document(length: int):
     return run
 
 
-#: A sorted group's entry: the first window a of a stretch in its document, the
+#: An entry of a pass: the first window a of a stretch in its document, the
 #: number of windows n, the block's place o in the first of them, whether it is
-#: still unresolved, and the stretch; lo and hi bound the block's place in the
-#: windows that belong to the group.
-_ROW = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("a", pa.int64()),
-                  ("n", pa.int32()), ("o", pa.int32()), ("open", pa.int32()), ("stretch", pa.binary())])
-ROW = "key long, lo int, hi int, doc_id long, th long, a long, n int, o int, open int, stretch binary"
+#: still unresolved, and the stretch. lo and hi bound the block's place in its
+#: windows; key hashes the bytes that all windows with these bounds share, and
+#: whole the stretch.
+_ROW = pa.schema([("key", pa.binary()), ("whole", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()),
+                  ("a", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("open", pa.int32()), ("stretch", pa.binary())])
+ROW = "key binary, whole binary, lo int, hi int, doc_id long, th long, a long, n int, o int, open int, stretch binary"
+
+
+def _entry(length: int, lo: int, hi: int, o: int, stretch: bytes) -> dict:
+    place = lo.to_bytes(4, "little") + hi.to_bytes(4, "little")
+    return {"key": xxhash.xxh3_128_digest(place + stretch[o - lo:o + length - hi]),
+            "whole": xxhash.xxh3_128_digest(place + o.to_bytes(4, "little") + stretch), "lo": lo, "hi": hi, "o": o, "stretch": stretch}
 
 
 def _unpack(length: int, anchor: int):
@@ -162,15 +170,14 @@ def _unpack(length: int, anchor: int):
                 for x in r["picked"]:
                     i = x["i"]
                     at, n = r["at"][i], r["n"][i]
-                    rows.append({"key": r["h"][i], "lo": 0, "hi": length - anchor, "doc_id": r["doc_id"], "th": r["th"], "a": r["a"][i], "n": n,
-                                 "o": r["o"][i], "open": x["open"], "stretch": blob[at:at + n + length - 1]})
+                    rows.append({"doc_id": r["doc_id"], "th": r["th"], "a": r["a"][i], "n": n, "open": x["open"]}
+                                | _entry(length, 0, length - anchor, r["o"][i], blob[at:at + n + length - 1]))
             yield pa.RecordBatch.from_pylist(rows, _ROW)
     return run
 
 
 def _halve(length: int):
-    """Each entry's windows, halved by the block's place, under a key of the
-    bytes that all windows of the half share."""
+    """Each entry's windows, halved by the block's place."""
     def run(batches):
         for batch in regroup(batches, STRETCHES, by="stretch"):
             rows = []
@@ -180,57 +187,12 @@ def _halve(length: int):
                     # window a + t has the block at o - t
                     t0, t1 = max(0, o - hi), min(r["n"] - 1, o - lo)
                     if lo <= hi and t0 <= t1:
-                        key = xxhash.xxh3_64_intdigest(s[o - lo:o + length - hi], seed=lo * 1000 + hi) - (1 << 63)
-                        rows.append(r | {"key": key, "lo": lo, "hi": hi, "a": r["a"] + t0, "n": t1 - t0 + 1, "o": o - t0,
-                                         "stretch": s[t0:t1 + length]})
+                        rows.append({"doc_id": r["doc_id"], "th": r["th"], "a": r["a"] + t0, "n": t1 - t0 + 1, "open": r["open"]}
+                                    | _entry(length, lo, hi, o - t0, s[t0:t1 + length]))
             yield pa.RecordBatch.from_pylist(rows, _ROW)
     return run
 
 
-_SPAN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-SPAN = "doc_id long, th long, first long, last long"
-
-
-def repeated_windows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Runs (first, last) of the open entries' windows that another entry of
-    the same group has too; ``batch`` holds whole groups."""
-    n = batch.column("n").to_numpy().astype(np.int64)
-    stretch = batch.column("stretch")
-    data = np.frombuffer(b"".join(stretch.to_pylist()), np.uint8)
-    size = n + length - 1
-    entry = np.repeat(np.arange(len(n)), n)
-    t = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    window = block_hashes(data, length)[np.repeat(np.cumsum(size) - size, n) + t]
-    place = batch.column("o").to_numpy().astype(np.uint64)[entry] - t.astype(np.uint64)
-    key = batch.column("key").to_numpy().view(np.uint64)[entry]
-    whole = (window ^ (key * ODD[3] + place * ODD[4])) * ODD[5] + key
-    _, back, count = np.unique(whole, return_inverse=True, return_counts=True)
-    hit = np.flatnonzero((count[back] > 1) & (batch.column("open").to_numpy()[entry] == 1))
-    new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (entry[hit[1:]] != entry[hit[:-1]]))) if len(hit) else np.empty(0, bool)
-    i, j = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)] if len(hit) else hit
-    a = batch.column("a").to_numpy()
-    own = pa.array(entry[i])
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("th").take(own),
-                                       pa.array(a[entry[i]] + t[i]), pa.array(a[entry[i]] + t[j])], schema=_SPAN)
-
-
-def _sort_groups(length: int):
-    """Rows come sorted by key; the last group of a batch waits for the next."""
-    def run(batches):
-        held = None
-        for batch in regroup(batches, STRETCHES, by="stretch"):
-            if held is not None:
-                batch = pa.concat_batches([held, batch])
-            key = batch.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            held = batch.slice(last)
-            if last:
-                yield repeated_windows(batch.slice(0, last), length)
-        if held is not None and held.num_rows:
-            yield repeated_windows(held, length)
-    return run
-
-
 def _release(spark: SparkSession) -> None:
     """Finished steps' shuffle files go when the driver collects its garbage,
     which on its own it may not do before the next step needs the disk."""
@@ -238,32 +200,30 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _sorted_out(rows: DataFrame, length: int, group: int) -> DataFrame:
-    """Spans of the open entries of ``rows``: groups of up to ``group`` entries
-    are sorted in a task, larger ones take another digit."""
-    spark = rows.sparkSession
+def _sorted_out(rows: DataFrame, length: int) -> DataFrame | None:
+    """Spans of the open entries of ``rows`` whose windows occur elsewhere, by
+    one pass a digit; the same passes whatever a group's size."""
     spans = None
     while True:
+        # a group goes on while it holds two different stretches and one is open
         groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("entries"), F.max("open").alias("any_open"))
-        groups = cut(groups.filter("entries > 1 and any_open = 1").select(F.col("key").alias("k"), "entries"))
-        live = rows.join(groups, rows["key"] == groups["k"]).drop("k")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = (live.filter(F.col("entries") <= group).drop("entries").repartition(parts, "key").sortWithinPartitions("key")
-                 .mapInArrow(_sort_groups(length), SPAN))
-        # equal single windows of a group too large for a task
-        same = live.filter((F.col("entries") > group) & (F.col("lo") == F.col("hi")) & (F.col("open") == 1)).select(
-            "doc_id", "th", F.col("a").alias("first"), F.col("a").alias("last"))
-        found = cut(found.union(same))
-        spans = found if spans is None else spans.union(found)
-        if groups.filter(F.col("entries") > group).isEmpty():
+        groups = groups.filter("entries > 1 and any_open = 1").select(F.col("key").alias("k"))
+        halves = cut(rows.join(groups, rows["key"] == groups["k"], "left_semi").mapInArrow(_halve(length), ROW))
+        if halves.isEmpty():
             return spans
-        rows = cut(live.filter((F.col("entries") > group) & (F.col("lo") < F.col("hi"))).drop("entries").mapInArrow(_halve(length), ROW))
-        if rows.isEmpty():
-            return spans
-        _release(spark)
+        # entries that are equal as a whole: all are repeated, and one stands for them
+        same = ["key", "lo", "hi", "n", "o", "stretch"]
+        distinct = cut(halves.groupBy("whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "a")).alias("one"),
+                                                   F.max("open").alias("open"), *(F.first(c).alias(c) for c in same)))
+        known = distinct.filter("copies > 1 and open = 1").select(F.col("whole").alias("w"))
+        found = cut(halves.filter("open = 1").join(known, halves["whole"] == known["w"], "left_semi")
+                    .select("doc_id", "th", F.col("a").alias("first"), (F.col("a") + F.col("n") - 1).alias("last")))
+        spans = found if spans is None else spans.union(found)
+        rows = distinct.select("key", "whole", "lo", "hi", "one.*", "n", "o", F.when(F.col("copies") == 1, F.col("open")).otherwise(0).alias("open"), "stretch")
+        _release(rows.sparkSession)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, th, spans): per document with any, the runs (first, last) of its
     repeated windows; th is the hash of its text. ``docs`` has (doc_id, text)."""
     spark = docs.sparkSession
@@ -293,12 +253,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     once = per.join(picked, per["doc_id"].eqNullSafe(picked["d"]) & (per["th"] == picked["t"]))
     rows = cut(once.select("doc_id", "th", "a", "n", "o", "h", "at", "blob", "picked").mapInArrow(_unpack(length, anchor), ROW))
     _release(spark)
-    single = _sorted_out(rows, length, group)
+    parts = _sorted_out(rows, length)
 
     known = stretches.filter("copies > 1").select(F.col("fk").alias("known"))
     full = entry.join(known, entry["fk"] == known["known"], "left_semi").select(
         "doc_id", "th", F.col("a").alias("first"), (F.col("a") + F.col("n") - 1).alias("last"))
-    out = cut(full.union(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    out = cut((full if parts is None else full.union(parts)).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
     _release(spark)
     return out
 
@@ -313,11 +273,12 @@ def remove_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, length:
     return data[~gone].tobytes(), list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, as_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, as_text: bool = False) -> DataFrame:
     """``docs`` (doc_id, text and any others) with what was removed:
     removed_spans array of (start, end) byte positions, kept binary, n_bytes,
-    and kept_text, when asked for, without characters that a cut split."""
-    found = repeated_spans(docs, length, anchor, group).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
+    and kept_text, when asked for, without characters that a cut split. These
+    four replace columns of the same names."""
+    found = repeated_spans(docs, length, anchor).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     joined = docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found["__id"]) & (th == found["__th"]), "left").drop("__id", "__th")
     extra = ["removed_spans", "kept", "n_bytes", "kept_text"]
