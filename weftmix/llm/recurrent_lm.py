@@ -49,20 +49,22 @@ from weftmix.llm.blocks import BLOCK_BYTES, BLOCK_ROWS, WITHIN, Numbers, byte_ta
 from weftmix.llm.common import id_bucket, regroup, stored, table
 
 FOLDS, HELD_OUT = 5, 1
-CLASSES, HEADS = 64, 32
+CLASSES, HEADS = 32, 32
 SLOTS = HEADS + 1
 END_CLASS = CLASSES
 END = CLASSES * SLOTS
-HIDDEN, EMBED = 32, 32
-TRAIN_STEPS, TRAIN_LANES = 32, 128
+HIDDEN, EMBED = 16, 16
+TRAIN_STEPS, TRAIN_LANES = 32, 256
 SCORE_STEPS, SCORE_LANES = 64, 256
-RATE = 0.004
+RATE = 0.006
 #: The block that starts the model is read until it has given so many tokens,
 #: at most so often.
-WARM_TOKENS, WARM_PASSES = 3_000_000, 6
-MERGERS = 16
+WARM_TOKENS, WARM_PASSES = 3_000_000, 20
+MERGERS = 4
 WHITE = b"\t\n\x0b\f\r "
 FLOAT = np.float32
+#: The bias of a slot that no word takes; its probability and its gradient are 0.
+NEVER = -1e9
 
 
 # -- counts ---------------------------------------------------------------
@@ -77,7 +79,7 @@ def word_classes(words: pa.StringArray) -> np.ndarray:
     data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8).astype(np.uint32)
     last = data[np.maximum(ends[1:] - 1, 0)]
     before = np.where(ends[1:] - ends[:-1] > 1, data[np.maximum(ends[1:] - 2, 0)], 0)
-    return (((before * 256 + last) * np.uint32(2654435761)) >> np.uint32(26)).astype(np.int32) % CLASSES
+    return (((before * 256 + last) * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int32) % CLASSES
 
 
 def _list(values, kind) -> pa.ListArray:
@@ -122,7 +124,7 @@ class Counts:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
 
-READY = "block long, doc_id array<long>, held array<boolean>, size array<int>, class array<int>, slot binary, count binary, occ binary"
+READY = "block long, doc_id array<long>, held array<boolean>, size array<int>, class binary, slot binary, count binary, occ binary"
 
 
 def _ready(counts: Counts):
@@ -139,10 +141,10 @@ def _ready(counts: Counts):
             head = pc.index_in(words, heads).fill_null(-1).to_numpy()
             slot = klass * SLOTS + HEADS
             slot[head >= 0] = counts.slots[head[head >= 0]]
-            out.append({c: left[c][i].as_py() for c in ("block", "doc_id", "held", "size", "class", "occ")}
-                       | {"slot": squeeze(slot.astype(np.int32)), "count": squeeze(count)})
+            out.append({c: left[c][i].as_py() for c in ("block", "doc_id", "held", "size", "occ")}
+                       | {"class": squeeze(klass.astype(np.int32)), "slot": squeeze(slot.astype(np.int32)), "count": squeeze(count)})
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-                                                    ("size", pa.list_(pa.int32())), ("class", pa.list_(pa.int32())), ("slot", pa.binary()),
+                                                    ("size", pa.list_(pa.int32())), ("class", pa.binary()), ("slot", pa.binary()),
                                                     ("count", pa.binary()), ("occ", pa.binary())]))
     return run
 
@@ -173,22 +175,13 @@ def count_tokens(docs: DataFrame) -> tuple[DataFrame, Counts]:
 
 # -- the network ----------------------------------------------------------
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 class GatedLM:
     """GRU over slots with a class-factored output."""
 
     SHAPES = {"embed": (END + 1, EMBED), "w": (EMBED, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
               "class_w": (HIDDEN, CLASSES + 1), "class_b": (CLASSES + 1,), "slot_w": (CLASSES, HIDDEN, SLOTS), "slot_b": (CLASSES, SLOTS)}
 
-    def __init__(self, unused: np.ndarray, flat: np.ndarray | None = None, seed: int = 5):
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 5):
         """``flat`` holds all parameters; without it they start at random."""
         sizes = [int(np.prod(s)) for s in self.SHAPES.values()]
         if flat is None:
@@ -196,90 +189,120 @@ class GatedLM:
             flat = np.concatenate([(g.normal(0, 0.1 if k.endswith(("d", "_w")) else HIDDEN ** -0.5, n) if not k.endswith("b") else np.zeros(n))
                                    for k, n in zip(self.SHAPES, sizes, strict=True)])
         self.flat = flat.astype(FLOAT)
-        self.unused = unused
         at = np.cumsum([0, *sizes])
         self.p = {k: self.flat[a:b].reshape(s) for (k, s), a, b in zip(self.SHAPES.items(), at, at[1:], strict=False)}
 
     def states(self, before: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """(h, states, cache) over a window: ``before`` (T, B) are the slots read,
         ``fresh`` marks where a document starts, ``h`` is the state carried in."""
-        p, t_max = self.p, len(before)
-        x = p["embed"][before]
-        gates = x @ p["w"] + p["b"]
+        p, t_max, two = self.p, len(before), 2 * HIDDEN
+        # a sigmoid is (1 + tanh of half its argument) / 2
+        half = np.ones(3 * HIDDEN, FLOAT)
+        half[:two] = 0.5
+        gates, u_w = (p["embed"] @ (p["w"] * half))[before] + p["b"] * half, p["u"] * half
+        on = (~fresh).astype(FLOAT)[:, :, None]
+        starts = fresh.any(axis=1)
         out = np.empty((*before.shape, HIDDEN), FLOAT)
-        cache = []
+        cache = [np.empty((*before.shape, n), FLOAT) for n in (HIDDEN, two, HIDDEN, HIDDEN)] if keep else None
         for t in range(t_max):
-            held = np.where(fresh[t][:, None], FLOAT(0), h)
-            u = held @ p["u"]
-            zr = _sigmoid(gates[t, :, :2 * HIDDEN] + u[:, :2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(gates[t, :, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
-            h = n + z * (held - n)
+            held = h * on[t] if starts[t] else h
+            u = held @ u_w
+            zr = np.tanh(gates[t, :, :two] + u[:, :two])
+            zr += 1
+            zr *= FLOAT(0.5)
+            n = zr[:, HIDDEN:] * u[:, two:]
+            n += gates[t, :, two:]
+            np.tanh(n, out=n)
+            h = held - n
+            h *= zr[:, :HIDDEN]
+            h += n
             out[t] = h
             if keep:
-                cache.append((held, z, r, n, u[:, 2 * HIDDEN:]))
-        return h, out, (x, cache)
+                for kept, value in zip(cache, (held, zr, n, u[:, two:]), strict=True):
+                    kept[t] = value
+        return h, out, cache
 
     def log_probs(self, h: np.ndarray, slot: np.ndarray, grads: dict | None = None, scale: float = 1.0):
         """Natural-log probability of each slot given its state (rows of h);
         with ``grads`` also the gradient of their scaled negative sum by h."""
         p, klass = self.p, np.minimum(slot // SLOTS, END_CLASS)
-        logits = _log_softmax(h @ p["class_w"] + p["class_b"])
+        # in order of the classes, so that each class is a slice
+        order = np.argsort(klass, kind="stable")
+        h, klass, inner = h[order], klass[order], (slot - klass * SLOTS)[order]
         rows = np.arange(len(slot))
-        out = logits[rows, klass].astype(np.float64)
+        e = h @ p["class_w"]
+        e += p["class_b"]
+        out = e[rows, klass].astype(np.float64)
+        np.exp(e, out=e)
+        total = e @ np.ones(CLASSES + 1, FLOAT)
+        out -= np.log(total)
         dh = None
         if grads is not None:
-            d = np.exp(logits)
-            d[rows, klass] -= 1
-            d *= scale
-            grads["class_w"] += h.T @ d
-            grads["class_b"] += d.sum(axis=0)
-            dh = d @ p["class_w"].T
-        order = np.argsort(klass, kind="stable")
-        edge = np.searchsorted(klass[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[edge[c]:edge[c + 1]]
-            if not len(own):
+            e *= (FLOAT(scale) / total)[:, None]
+            e[rows, klass] -= FLOAT(scale)
+            grads["class_w"] += h.T @ e
+            grads["class_b"] += e.sum(axis=0)
+            dh = e @ p["class_w"].T
+        ones = np.ones(SLOTS, FLOAT)
+        edge = np.searchsorted(klass, np.arange(CLASSES + 1)).tolist()
+        for c, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
+            if a == b:
                 continue
-            hc, s = h[own], slot[own] - c * SLOTS
-            inner = _log_softmax(np.where(self.unused[c], FLOAT(-1e9), hc @ p["slot_w"][c] + p["slot_b"][c]))
-            out[own] += inner[np.arange(len(own)), s]
+            e = h[a:b] @ p["slot_w"][c]
+            e += p["slot_b"][c]
+            at = (rows[:b - a], inner[a:b])
+            out[a:b] += e[at]
+            np.exp(e, out=e)
+            total = e @ ones
+            out[a:b] -= np.log(total)
             if grads is not None:
-                d = np.exp(inner)
-                d[np.arange(len(own)), s] -= 1
-                d *= scale
-                grads["slot_w"][c] += hc.T @ d
-                grads["slot_b"][c] += d.sum(axis=0)
-                dh[own] += d @ p["slot_w"][c].T
-        return out, dh
+                e *= (FLOAT(scale) / total)[:, None]
+                e[at] -= FLOAT(scale)
+                grads["slot_w"][c] += h[a:b].T @ e
+                grads["slot_b"][c] += e.sum(axis=0)
+                dh[a:b] += e @ p["slot_w"][c].T
+        back = np.empty_like(order)
+        back[order] = rows
+        return out[back], None if dh is None else dh[back]
 
     def gradients(self, before, fresh, slot, live, h):
         """(loss a token, gradients, state) of one window; only ``live`` places count."""
         p = self.p
-        last, states, (x, cache) = self.states(before, fresh, h, keep=True)
+        last, states, (held, zr, inner, un) = self.states(before, fresh, h, keep=True)
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         n = max(int(live.sum()), 1)
         got, dflat = self.log_probs(states[live], slot[live], grads, 1 / n)
         dstates = np.zeros_like(states)
         dstates[live] = dflat
-        dgates, dh = np.empty((*before.shape, 3 * HIDDEN), FLOAT), np.zeros_like(h)
+        # slopes of the gates, for the whole window
+        z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
+        by_n = (1 - z) * (1 - inner * inner)
+        by_z = (held - inner) * z * (1 - z)
+        by_r = un * r * (1 - r)
+        on = (~fresh).astype(FLOAT)[:, :, None]
+        dgates, dh, back = np.empty((*before.shape, 3 * HIDDEN), FLOAT), np.zeros_like(h), np.ascontiguousarray(p["u"].T)
+        du = np.empty_like(dgates)
         for t in range(len(before) - 1, -1, -1):
-            held, z, r, inner, un = cache[t]
             dh = dh + dstates[t]
-            dn = dh * (1 - z) * (1 - inner * inner)
-            dr = dn * un * r * (1 - r)
-            dz = dh * (held - inner) * z * (1 - z)
-            dgates[t] = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            grads["u"] += held.T @ du
-            dh = np.where(fresh[t][:, None], FLOAT(0), dh * z + du @ p["u"].T)
+            d, own = dgates[t], du[t]
+            np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
+            np.multiply(dh, by_n[t], out=d[:, 2 * HIDDEN:])
+            np.multiply(d[:, 2 * HIDDEN:], by_r[t], out=d[:, HIDDEN:2 * HIDDEN])
+            own[:] = d
+            own[:, 2 * HIDDEN:] *= r[t]
+            dh = dh * z[t]
+            dh += own @ back
+            dh *= on[t]
         flat = dgates.reshape(-1, 3 * HIDDEN)
-        grads["w"] += x.reshape(-1, EMBED).T @ flat
+        grads["u"] += held.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
         grads["b"] += flat.sum(axis=0)
+        # a slot's embedding gathers what all places that read it say
         read = before.ravel()
         order = np.argsort(read, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], np.diff(read[order]) != 0)))
-        grads["embed"][read[order][first]] += np.add.reduceat((flat @ p["w"].T)[order], first, axis=0)
+        seen, gathered = read[order][first], np.add.reduceat(flat[order], first, axis=0)
+        grads["w"] += p["embed"][seen].T @ gathered
+        grads["embed"][seen] += gathered @ p["w"].T
         return -got.sum() / n, grads, last
 
     def learn(self, blocks, rate: float = RATE) -> int:
@@ -312,10 +335,10 @@ class GatedLM:
 
 def untrained(counts: Counts) -> np.ndarray:
     """Seeded parameters whose biases say what the counts say."""
-    model = GatedLM(counts.unused)
+    model = GatedLM()
     mass = np.where(counts.unused, 0, counts.mass)
     model.p["class_b"][:] = np.log(np.append(mass.sum(axis=1), counts.ends + 0.5))
-    model.p["slot_b"][:] = np.log(counts.mass)
+    model.p["slot_b"][:] = np.where(counts.unused, NEVER, np.log(counts.mass))
     return model.flat
 
 
@@ -383,10 +406,10 @@ def _parameters(tokens: int, flat: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([flat.astype(FLOAT).tobytes()], pa.binary())], names=["tokens", "flat"])
 
 
-def _learn(unused: np.ndarray, start: np.ndarray, rate: float, least: int = 0):
+def _learn(start: np.ndarray, rate: float, least: int = 0):
     """Each block is read once, or as often as gives ``least`` tokens, up to ``WARM_PASSES`` times."""
     def run(batches):
-        model = GatedLM(unused, start)
+        model = GatedLM(start)
 
         def blocks():
             for batch in batches:
@@ -418,9 +441,9 @@ def train(ready: DataFrame, counts: Counts) -> np.ndarray:
     first = any_training.agg(F.min("block")).first()[0]
     if first is None:
         return untrained(counts)
-    warm = any_training.filter(F.col("block") == first).mapInArrow(_learn(counts.unused, untrained(counts), RATE, WARM_TOKENS), PARAMETERS).collect()
+    warm = any_training.filter(F.col("block") == first).mapInArrow(_learn(untrained(counts), RATE, WARM_TOKENS), PARAMETERS).collect()
     start = np.frombuffer(warm[0]["flat"], FLOAT)
-    parts = any_training.mapInArrow(_learn(counts.unused, start, RATE / 4), PARAMETERS)
+    parts = any_training.mapInArrow(_learn(start, RATE / 4), PARAMETERS)
     merged = parts.repartition(MERGERS).mapInArrow(_merge, PARAMETERS).collect()
     total = sum(r["tokens"] for r in merged)
     return sum(np.frombuffer(r["flat"], FLOAT).astype(np.float64) * r["tokens"] for r in sorted(merged, key=lambda r: zlib.crc32(r["flat"]))) / total
@@ -431,7 +454,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score(counts: Counts, flat: np.ndarray):
     def run(batches):
-        model = GatedLM(counts.unused, flat)
+        model = GatedLM(flat)
         for batch in batches:
             for row in batch.to_pylist():
                 tokens, codes, sizes, doc = _tokens(row)
@@ -439,7 +462,7 @@ def _score(counts: Counts, flat: np.ndarray):
                 # one more entry for the end, which every training document has
                 base = np.append(counts.base(count), counts.base(np.array([counts.ends]))[0])
                 known = np.append(count > 0, counts.ends > 0)
-                klass = np.array(row["class"], np.int64)
+                klass = unsqueeze(row["class"], np.int32)
                 other = unsqueeze(row["slot"], np.int32) % SLOTS == HEADS
                 share = np.append(np.where(other, np.log10(count + 0.5) - counts.other[klass], 0.0), 0.0)
 
