@@ -162,7 +162,7 @@ def test_scan_positions_with_split_files(spark, tmp_dir):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
         files = spark.createDataFrame([(f"file://{tmp_dir}/c/{f}.jsonl",) for f in range(3)], "file_path string")
-        rows = S.read_corpus(spark, files, "text string")
+        rows = S.read_corpus(spark, f"{tmp_dir}/c", "text string")
         assert rows.rdd.getNumPartitions() > 3
         got = {r.text: r.file_pos for r in scan_positions(rows).collect()}
     finally:

@@ -127,12 +127,13 @@ def test_malformed_lines_stop_or_are_listed(spark, tmp_dir):
     os.makedirs(f"{tmp_dir}/c/en")
     with open(f"{tmp_dir}/c/en/1.jsonl", "w") as f:
         f.write('{"text": "a"}\nnot json\n{"text": "b"}\n')
-    files = select_files(S.list_corpus_files(spark, f"{tmp_dir}/c", ["en"]), mix_spec(spark, [("en", 1)]))
+    spec, c = mix_spec(spark, [("en", 1)]), f"{tmp_dir}/c/en"
+    files = select_files(S.list_corpus_files(spark, f"{tmp_dir}/c", ["en"]), spec)
     with pytest.raises(Exception, match="(?i)malformed"):
-        S.read_corpus(spark, files, "text string").collect()
-    kept = S.number_lines(S.read_corpus(spark, files, "text string", strict=False)).collect()
+        S.read_corpus(spark, c, "text string", files).collect()
+    kept = S.number_lines(S.read_corpus(spark, c, "text string", files, strict=False)).collect()
     assert sorted(x["text"] for x in kept) == ["a", "b"]
-    assert [x["line"] for x in S.corpus_rejects(spark, files, "text string").collect()] == ["not json"]
+    assert [x["line"] for x in S.corpus_rejects(spark, c, "text string", spec=spec).collect()] == ["not json"]
 
 
 def test_several_system_turns_and_offsets(spark):

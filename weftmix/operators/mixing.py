@@ -70,16 +70,38 @@ def select_files(files: DataFrame, spec: DataFrame) -> DataFrame:
     ``files`` needs ``tag, file_name``; the spec is a handful of rows, so it is
     broadcast and the (possibly large) file listing never shuffles.
     """
-    stem = F.regexp_extract("file_name", r"^(.*)\.jsonl?$", 1)
-    number = F.concat(F.regexp_extract("file_name", r"^([0-9]+)\.jsonl$", 1), F.regexp_extract("file_name", r"^shard=([0-9]+)/", 1))
-    num = F.nullif(number, F.lit("")).try_cast("bigint")
-    return (files.filter(F.col("file_name").rlike(r"\.jsonl$|^shard=[0-9]+/[^/]*\.json$"))
+    return (files.filter(F.col("file_name").rlike(CORPUS_NAME))
             .join(F.broadcast(spec.select("tag", "file_start")), "tag", "inner")
-            .withColumn("file_stem", stem)
-            .withColumn("file_no", num)
+            .withColumn("file_stem", F.regexp_extract("file_name", r"^(.*)\.jsonl?$", 1))
+            .withColumn("file_no", file_number(F.col("file_name")))
             .filter(F.col("file_start").isNull() | (F.col("file_no") >= F.col("file_start"))))
 
 
+CORPUS_NAME = r"\.jsonl$|^shard=[0-9]+/[^/]*\.json$"
+
+
+def file_number(file_name: Column) -> Column:
+    number = F.concat(F.regexp_extract(file_name, r"^([0-9]+)\.jsonl$", 1), F.regexp_extract(file_name, r"^shard=([0-9]+)/", 1))
+    return F.nullif(number, F.lit("")).try_cast("bigint")
+
+
+def spec_tags(spec: DataFrame) -> list[str]:
+    """The configured tags, in order."""
+    return [t for t, *_ in _spec_rows(spec)]
+
+
+def chosen_file(tag: Column, file_name: Column, spec: DataFrame) -> Column:
+    """A2's rule as a predicate on a file's tag and name; the spec's few rows
+    are literals in it."""
+    known = getattr(spec, "_weftmix_spec", None)
+    rows = known if known is not None else [(r["tag"], r["ord"], r["weight"], r["file_start"]) for r in spec.collect()]
+    out = F.lit(False)
+    for t, _o, _w, start in rows:
+        own = tag == t
+        out = out | (own if start is None else own & (file_number(file_name) >= start))
+    return out & file_name.rlike(CORPUS_NAME)
+
+
 def shard_files(files: DataFrame, world_size: int, by=("tag",)) -> DataFrame:
     """B1 + G1: rank r gets the tag's sorted files r, r+R, r+2R, ...
 
@@ -162,6 +184,16 @@ def _draws_before(slots: Column, w: Column, o: Column, W: Column) -> Column:
     return (F.floor(slots / W) * w + F.least(F.greatest(slots % W - o, F.lit(0)), w)).cast("bigint")
 
 
+def slot_of_draw(draw: Column, spec: DataFrame, tag_col: str = "tag") -> Column:
+    """The slot of the tag's draw ``k`` in the endless mix:
+    ``(k div w) * W + o + k mod w``; null for tags outside the mix."""
+    out = F.lit(None).cast("bigint")
+    for tag, _o, w, off, cycle in _spec_rows(spec):
+        slot = F.floor(draw / w).cast("bigint") * cycle + off + draw % w
+        out = F.when(F.col(tag_col) == tag, slot.cast("bigint")).otherwise(out)
+    return out
+
+
 # A row drawn more often than this is split into chunks of this many draws
 # that are spread over tasks before they are generated.
 CHUNK_DRAWS = 4096

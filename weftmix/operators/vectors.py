@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftmix.operators.metrics import exact_sum
+
 
 def apply_embedding_delta(vecs: DataFrame, base: DataFrame, mode: str = "add", id_col: str = "row_id",
                           vec_col: str = "vec") -> DataFrame:
@@ -25,15 +27,11 @@ def apply_embedding_delta(vecs: DataFrame, base: DataFrame, mode: str = "add", i
             .drop("_base"))
 
 
-def vector_sum(vec_col: str = "vec"):
-    return F.aggregate(F.col(vec_col), F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double"))
-
-
 def embedding_checksum(vecs: DataFrame, expected: float | None = None, eps: float = 1e-4,
                        vec_col: str = "vec") -> DataFrame:
-    """Sum of all elements (partial sums per row, then one aggregate),
-    and whether it is within ``eps`` of ``expected``."""
-    s = vecs.agg(F.sum(vector_sum(vec_col)).alias("total"))
+    """Sum of all elements, exact in any order of rows, and whether it is
+    within ``eps`` of ``expected``."""
+    s = vecs.select(F.explode(vec_col).alias("_x")).agg(exact_sum(F.col("_x").cast("double")).alias("total"))
     if expected is None:
         return s
     return s.withColumn("ok", F.abs(F.col("total") - F.lit(float(expected))) < F.lit(float(eps)))

@@ -349,3 +349,4 @@ register("shuffled_shards", RN.shuffled_shards_sql())(RN.shuffled_shards_q)
 register("training_log_files", RN.training_log_files_sql())(RN.training_log_files_q)
 # the table is one file in the check's layout, so all rows are of the first epoch
 register("stream_features", f"SELECT *, CAST(0 AS BIGINT) AS epoch FROM ({OT.stage1_features_sql()})")(RN.stream_features_q)
+register("stream_mix", OT.stream_mix_sql(RN.STREAM_WEIGHTS, RN.ARRIVALS, RN.ARRIVAL_SEED))(RN.stream_mix_q)

@@ -103,9 +103,9 @@ def stored_inputs(spark: SparkSession, sf_dir: str):
     schemas = [S.QUESTION_SCHEMA, S.ANSWER_SCHEMA, S.ANSWER_SCHEMA, S.REVIEWER_SCHEMA, S.JUDGE_PROMPT_SCHEMA]
     out = []
     for k, (df, schema) in enumerate(zip(review_inputs(spark, sf_dir), schemas)):
-        if schema in (S.REVIEWER_SCHEMA, S.JUDGE_PROMPT_SCHEMA):  # configuration of a few rows: one file in its order
+        if schema in (S.REVIEWER_SCHEMA, S.JUDGE_PROMPT_SCHEMA):  # several part files, in the order of their places
             place = "reviewer_idx" if schema == S.REVIEWER_SCHEMA else "prompt_idx"
-            df = df.coalesce(1).sortWithinPartitions(place).drop(place)
+            df = df.repartitionByRange(3, place).sortWithinPartitions(place).drop(place)
         S.write_jsonl(df, f"{root}/{k}")
         out.append(S.read_eval_table(spark, f"{root}/{k}", schema))
     return tuple(out)

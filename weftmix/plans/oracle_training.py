@@ -134,16 +134,42 @@ FROM (SELECT rank, batch_id, slot, global_pos, tag, file_name, doc_id, row_idx,
 
 def _corpus(seed: int, shard_bytes: int) -> str:
     """documents as shards of a corpus: a tag's shard count from its bytes."""
-    return f"""size AS (SELECT lang, greatest({WORLD_SIZE}, CAST(ceil(sum(octet_length(encode(text)) + 8) / {shard_bytes}) AS BIGINT)) AS n
-           FROM documents WHERE lang IN ('de', 'en', 'es') GROUP BY lang),
-lm_rows AS (SELECT lang AS tag, 'shard=' || ({h(['doc_id'], f'shard-{seed}')} % n) || '/' AS file_name,
-                   {h(['doc_id'], f'order-{seed}')} AS place, doc_id, text FROM documents JOIN size USING (lang)),
+    known = ", ".join(sql_str(t) for t, _ in CORPUS_WEIGHTS if t != "other")
+    return f"""tagged AS (SELECT CASE WHEN lang IN ({known}) THEN lang ELSE 'other' END AS tag, doc_id, text,
+                  {h(['doc_id'], f'order-{seed}')} AS place, coalesce(octet_length(encode(text)), 0) + 8 AS b FROM documents),
+size AS (SELECT tag, least({shard_bytes}, CAST(ceil(sum(b) / {WORLD_SIZE}) AS BIGINT)) AS target FROM tagged GROUP BY tag),
+lm_rows AS (SELECT tag, 'shard=' || (before // target) || '/' AS file_name, place, doc_id, text
+            FROM (SELECT *, CAST(coalesce(sum(b) OVER (PARTITION BY tag ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                                 AS BIGINT) AS before FROM tagged) JOIN size USING (tag)),
 {_spec(CORPUS_WEIGHTS)},
 {_index('lm', 'lm_rows', 'r.place, r.doc_id')},
 {_steps(['lm'])},
 {_draws('lm')}"""
 
 
+def stream_mix_sql(weights, arrivals: int, seed: int) -> str:
+    """Arrivals in order; files of a tag go to ranks in turn, arrival by
+    arrival; a batch comes out with the arrival that fills its last slot."""
+    known = ", ".join(sql_str(t) for t, _ in weights)
+    slot = lambda k: f"(({k}) // w * cyc + o + ({k}) % w)"
+    return f"""WITH a AS (SELECT doc_id, text, CASE WHEN lang IN ({known}) THEN lang ELSE 'en' END AS tag, source AS file_name,
+                   {h(['doc_id'], f'arrival-{seed}')} % {arrivals} AS epoch FROM documents),
+{_spec(weights)},
+files AS (SELECT epoch, tag, file_name, row_number() OVER (PARTITION BY tag ORDER BY epoch, file_name) - 1 AS ord
+          FROM (SELECT DISTINCT epoch, tag, file_name FROM a)),
+idx AS (SELECT a.*, ord % {WORLD_SIZE} AS rank, row_number() OVER (PARTITION BY a.tag, ord % {WORLD_SIZE} ORDER BY ord, doc_id) - 1 AS k
+        FROM a JOIN files USING (epoch, tag, file_name)),
+seen AS (SELECT e.epoch, r.rank, spec.tag, w, o, cyc, (SELECT count(*) FROM idx WHERE idx.tag = spec.tag AND idx.rank = r.rank AND idx.epoch <= e.epoch) AS n
+         FROM range({arrivals}) e(epoch), range({WORLD_SIZE}) r(rank), spec),
+full_ AS (SELECT epoch, rank, min({slot('n')}) // {BATCH_SIZE} AS n_batches FROM seen GROUP BY epoch, rank),
+lm0 AS (SELECT idx.*, {slot('k')} AS global_pos FROM idx JOIN spec USING (tag)),
+lm_draws AS (SELECT tag, rank, doc_id, text, global_pos, global_pos // {BATCH_SIZE} AS batch_id, global_pos % {BATCH_SIZE} AS slot FROM lm0),
+{_lm_feats('lm')},
+out AS ({_report('lm_f')})
+SELECT out.*, CAST((SELECT min(epoch) FROM full_ f WHERE f.rank = out.rank AND f.n_batches > out.batch_id) AS BIGINT) AS epoch
+FROM out WHERE EXISTS (SELECT 1 FROM full_ f WHERE f.rank = out.rank AND f.n_batches > out.batch_id)"""
+
+
 def corpus_features_sql(seed: int, shard_bytes: int) -> str:
     return f"""WITH {_corpus(seed, shard_bytes)},
 {_lm_feats('lm')}

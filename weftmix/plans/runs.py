@@ -136,7 +136,7 @@ def training_log_files_q(spark, sf_dir):
 
 
 SHARD_SEED = 7
-SHARD_BYTES = 256 * 1024
+SHARD_BYTES = S.SHARD_BYTES
 
 
 def shuffled_shards_q(spark, sf_dir):
@@ -146,8 +146,9 @@ def shuffled_shards_q(spark, sf_dir):
     out = scratch_path(spark, "shards")
     d = inputs.documents(spark, sf_dir)
     n = S.write_shuffled_shards(d, f"{out}/all", None, SHARD_SEED, ["doc_id"], world_size=2, shard_bytes=SHARD_BYTES)
-    files = select_files(S.list_corpus_files(spark, out, ["all"]), mix_spec(spark, [("all", 1)]))
-    back = S.number_lines(S.read_corpus(spark, files, "doc_id bigint, text string, lang string, source string"))
+    spec = mix_spec(spark, [("all", 1)])
+    files = select_files(S.list_corpus_files(spark, out, ["all"]), spec)
+    back = S.number_lines(S.read_corpus(spark, f"{out}/all", "doc_id bigint, text string, lang string, source string", spec=spec))
     back = back.join(files.select("file_path", "file_no"), "file_path")
     return (back.groupBy(F.col("file_no").alias("shard"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"), F.sum("doc_id").cast("bigint").alias("sum_doc_id"),
@@ -171,6 +172,41 @@ def stream_features_q(spark, sf_dir):
     return spark.read.parquet(sink).withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
+ARRIVALS = 3
+ARRIVAL_SEED = 5
+STREAM_WEIGHTS = [("de", 3), ("en", 4), ("es", 1), ("fr", 2)]
+
+
+def stream_mix_q(spark, sf_dir):
+    """I2 + B4 over a stream: documents arrive in three folders, one after the
+    other; after each the stream is started again from its checkpoint, mixes
+    what came with what was left, and writes the batches that are full as
+    stage-1 features. Documents of other and unknown languages ride with the
+    largest subset."""
+    from weftmix.functions.text import seeded_hash
+    from weftmix.operators import examples as ex
+    from weftmix.operators.features import make_features
+    from weftmix.plans import training as T
+    from weftmix.streaming.files import stream_corpus
+    from weftmix.streaming.mix import stream_mix
+    known = [t for t, _ in STREAM_WEIGHTS]
+    docs = inputs.documents(spark, sf_dir).select(
+        "doc_id", "text", F.when(F.col("lang").isin(known), F.col("lang")).otherwise("en").alias("tag"), F.col("source").alias("file_name"))
+    arrival = seeded_hash(["doc_id"], f"arrival-{ARRIVAL_SEED}") % ARRIVALS
+    spec = mix_spec(spark, STREAM_WEIGHTS)
+    root, state, sink, checkpoint = (scratch_path(spark, f"stream-mix-{x}") for x in ("in", "state", "out", "ckpt"))
+
+    def features(rows):
+        examples = ex.with_prefix(ex.lm_example(rows), 1)
+        return T.features_report(make_features(examples, T.MAX_LEN, T.DRAW_KEY))
+    for k in range(ARRIVALS):
+        docs.filter(arrival == k).write.json(f"{root}/arrival={k}")
+        # all files that are there make one micro-batch
+        stream = stream_corpus(spark, f"{root}/*", "doc_id bigint, text string, tag string, file_name string", files_per_trigger=1 << 30)
+        stream_mix(stream, spec, state, sink, checkpoint, T.WORLD_SIZE, T.BATCH_SIZE, ["doc_id"], features).awaitTermination()
+    return spark.read.parquet(sink).withColumn("epoch", F.col("epoch").cast("bigint"))
+
+
 # ---------------------------------------------------------------------- SQL
 TOKENS_SQL = """tok AS (
   SELECT CAST(floor(event_id / 64) AS BIGINT) AS seq_id, event_id % 64 AS pos, value / 10.0 AS nll,
@@ -273,10 +309,11 @@ FROM events"""
 
 
 def shuffled_shards_sql():
-    return f"""WITH n AS (SELECT greatest(2, CAST(ceil(sum(octet_length(encode(text)) + octet_length(encode(lang)) + octet_length(encode(source)) + 8)
-                              / {SHARD_BYTES}) AS BIGINT)) AS n FROM documents),
-d AS (SELECT doc_id, length(text) AS len, {h(['doc_id'], f'shard-{SHARD_SEED}')} % n.n AS shard, n.n AS n_shards,
-             {h(['doc_id'], f'order-{SHARD_SEED}')} AS o FROM documents, n),
+    return f"""WITH b AS (SELECT doc_id, length(text) AS len, {h(['doc_id'], f'order-{SHARD_SEED}')} AS o,
+             octet_length(encode(text)) + octet_length(encode(lang)) + octet_length(encode(source)) + 8 AS b FROM documents),
+n AS (SELECT least({SHARD_BYTES}, CAST(ceil(sum(b) / 2) AS BIGINT)) AS target, CAST(sum(b) AS BIGINT) AS total FROM b),
+d AS (SELECT *, CAST(coalesce(sum(b) OVER (ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // target AS shard,
+             greatest(2, CAST(ceil(total / target) AS BIGINT)) AS n_shards FROM b, n),
 p AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY o, doc_id) AS pos FROM d)
 SELECT CAST(shard AS BIGINT) AS shard, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(doc_id) AS BIGINT) AS sum_doc_id,
        CAST(sum(len) AS BIGINT) AS n_chars, CAST(sum(doc_id * pos) AS BIGINT) AS order_sum, CAST(n_shards AS BIGINT) AS n_shards

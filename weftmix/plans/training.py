@@ -26,8 +26,9 @@ BATCH_SIZE = 20
 MAX_LEN = 1024
 STAGE1_WEIGHTS = [("de", 3), ("en", 4), ("es", 1), ("translate", 2)]
 STAGE2_WEIGHTS = [("en", 2), ("translate", 2), ("task-es", 1), ("task-de", 1)]
-CORPUS_WEIGHTS = [("de", 3), ("en", 4), ("es", 1)]
-CORPUS_SEED, CORPUS_SHARD_BYTES = 11, 128 * 1024
+#: Every document is in the corpus; other and unknown languages share a tag.
+CORPUS_WEIGHTS = [("de", 3), ("en", 4), ("es", 1), ("fr", 2), ("other", 1)]
+CORPUS_SEED, CORPUS_SHARD_BYTES = 11, S.SHARD_BYTES
 DRAW_KEY = ["rank", "global_pos"]
 
 
@@ -98,12 +99,17 @@ def stage1_features(spark: SparkSession, sf_dir: str, steps: int | None = None,
     return make_features(ex.with_prefix(ex.union_kinds(lm.select(*cols), tr.select(*cols)), 1), max_len, DRAW_KEY, tokenizer)
 
 
+def corpus_tag():
+    known = [t for t, _ in CORPUS_WEIGHTS if t != "other"]
+    return F.when(F.col("lang").isin(known), F.col("lang")).otherwise("other")
+
+
 def corpus_draws(spark: SparkSession, sf_dir: str, world_size: int = WORLD_SIZE, batch_size: int = BATCH_SIZE) -> DataFrame:
     """The file path end to end: documents written as a corpus of shuffled
     shards (A6), listed, read and indexed (A2, A1, B1, B2), then scheduled."""
     root = scratch_path(spark, "corpus")
     for tag, _w in CORPUS_WEIGHTS:
-        own = inputs.documents(spark, sf_dir).filter(F.col("lang") == tag).select("doc_id", "text")
+        own = inputs.documents(spark, sf_dir).filter(corpus_tag() == tag).select("doc_id", "text")
         S.write_shuffled_shards(own, f"{root}/{tag}", None, CORPUS_SEED, ["doc_id"], world_size, shard_bytes=CORPUS_SHARD_BYTES)
     spec = mix_spec(spark, CORPUS_WEIGHTS)
     rows = S.read_mixed_corpus(spark, root, spec, "doc_id bigint, text string", world_size)

@@ -6,12 +6,13 @@ file come back NULL, so files with and without ``type`` read alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftmix.functions.text import py_strip, seeded_hash
 from weftmix.operators.indexing import scan_positions
-from weftmix.operators.mixing import file_offsets, index_rows, select_files, shard_files
+from weftmix.operators.mixing import chosen_file, file_offsets, index_rows, select_files, shard_files, spec_tags
+from weftmix.session import checkpoint_dir
 
 # ---------------------------------------------------------------- schemas
 LM_SCHEMA = "text string, meta map<string,string>"
@@ -33,41 +34,55 @@ def list_corpus_files(spark: SparkSession, root: str, tags) -> DataFrame:
     under ``root/<tag>/`` and of every shard ``shard=<n>/part-….json`` that A6
     wrote there; ``file_name`` is the path below the tag's folder. Only paths
     are selected, so no file content is read."""
-    paths = [f"{root.rstrip('/')}/{t}" for t in tags]
     df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{jsonl,json}")
-          .option("recursiveFileLookup", "true").load(paths).select("path"))
-    below = r"/([^/]+)/([^/]+\.jsonl|shard=[0-9]+/[^/]+\.json)$"
-    return (df.withColumn("file_name", F.regexp_extract("path", below, 2)).withColumn("tag", F.regexp_extract("path", below, 1))
-            .filter(F.col("tag").isin(list(tags))).withColumnRenamed("path", "file_path"))
-
-
-def read_corpus(spark: SparkSession, files: DataFrame, schema: str, strict: bool = True) -> DataFrame:
-    """A1: read the selected files with a fixed schema. A malformed line fails
-    the job; with ``strict=False`` it is left out here and listed by
-    :func:`corpus_rejects`.
-
-    Only the selected paths are opened (file pruning before the scan). Each
-    row keeps ``file_path`` and its file order key
-    ``(file_block_start, _line)`` where ``_line`` is monotonically increasing
-    within a split, so rows can be numbered in file order per file (B2).
-    The path list is file metadata, bounded by the listing.
+          .option("recursiveFileLookup", "true").load(tag_folders(root, tags)).select(F.col("_metadata.file_path").alias("file_path")))
+    return (df.withColumn("file_name", F.regexp_extract("file_path", BELOW, 2)).withColumn("tag", F.regexp_extract("file_path", BELOW, 1))
+            .filter(F.col("tag").isin(list(tags))))
+
+
+#: A corpus file's path: its tag's folder and its name below that.
+BELOW = r"/([^/]+)/([^/]+\.jsonl|shard=[0-9]+/[^/]+\.json)$"
+
+
+def tag_folders(root: str, tags) -> list[str]:
+    return [f"{root.rstrip('/')}/{t}" for t in tags]
+
+
+def _scan(spark: SparkSession, folders, files: DataFrame | None, spec: DataFrame | None):
+    """(reader of the folders' JSON-lines files, what keeps the chosen ones)."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,json}")
+
+    def keep(df: DataFrame) -> DataFrame:
+        if spec is not None:  # on the path alone, so Spark leaves other files unopened
+            df = df.filter(chosen_file(F.regexp_extract("_metadata.file_path", BELOW, 1), F.regexp_extract("_metadata.file_path", BELOW, 2), spec))
+        df = (df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"))
+              .withColumn("_line", F.monotonically_increasing_id()))
+        return df if files is None else df.join(files.select("file_path").distinct(), "file_path", "left_semi")
+    return reader, [folders] if isinstance(folders, str) else list(folders), keep
+
+
+def read_corpus(spark: SparkSession, folders, schema: str, files: DataFrame | None = None, spec: DataFrame | None = None,
+                strict: bool = True) -> DataFrame:
+    """A1: read the corpus files under ``folders`` with a fixed schema. A
+    malformed line fails the job; with ``strict=False`` it is left out here
+    and listed by :func:`corpus_rejects`.
+
+    ``spec`` (A2's rule) decides on the paths, before a file is opened;
+    ``files``, a listing, is met by the rows' file path. Neither comes to the
+    driver, so a corpus may have any number of files. Each row keeps
+    ``file_path`` and its file order key ``(file_block_start, _line)`` where
+    ``_line`` is monotonically increasing within a split, so rows can be
+    numbered in file order per file (B2).
     """
-    paths = [r["file_path"] for r in files.select("file_path").distinct().collect()]
-    if not paths:
-        return spark.createDataFrame([], schema + ", file_path string, _block bigint, _line bigint")
-    df = (spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(paths)
-          .select("*", F.col("_metadata.file_path").alias("file_path"),
-                  F.col("_metadata.file_block_start").alias("_block"))
-          .withColumn("_line", F.monotonically_increasing_id()))
-    return df
-
-
-def corpus_rejects(spark: SparkSession, files: DataFrame, schema: str) -> DataFrame:
-    """``file_path, line``: the lines of the selected files that are no record."""
-    paths = [r["file_path"] for r in files.select("file_path").distinct().collect()]
-    if not paths:
-        return spark.createDataFrame([], "file_path string, line string")
-    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line"))
+    reader, paths, keep = _scan(spark, folders, files, spec)
+    df = reader.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(paths)
+    return keep(df).select(*df.columns, "file_path", "_block", "_line")
+
+
+def corpus_rejects(spark: SparkSession, folders, schema: str, files: DataFrame | None = None, spec: DataFrame | None = None) -> DataFrame:
+    """``file_path, line``: the lines of the chosen files that are no record."""
+    reader, paths, keep = _scan(spark, folders, files, spec)
+    text = keep(reader.text(paths)).select("file_path", F.col("value").alias("line"))
     got = F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     return text.filter(F.length(F.trim("line")) > 0).withColumn("_r", got).filter(
         F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()).select("file_path", "line")
@@ -77,7 +92,6 @@ def number_lines(corpus: DataFrame) -> DataFrame:
     """Rows of :func:`read_corpus` with ``file_pos``, their place in the file,
     and ``n_file``, its rows. The rows are written once to the shared folder
     (the files' text is parsed once); only their keys are counted."""
-    from weftmix.session import checkpoint_dir
     checkpoint_dir(corpus.sparkSession)
     return scan_positions(corpus.checkpoint(eager=True))
 
@@ -88,17 +102,16 @@ def read_mixed_corpus(spark: SparkSession, root: str, spec: DataFrame, schema: s
     Row positions come from the scan order (:func:`scan_positions`): each
     row's place in its file, plus the file's offset in its rank's list — no
     shuffle of the records."""
-    tags = [r["tag"] for r in spec.select("tag").collect()]
-    listed = shard_files(select_files(list_corpus_files(spark, root, tags), spec), world_size).collect()
-    # the file listing (one row per file) is listed once and kept as a local relation
-    files = spark.createDataFrame(
-        [(r["file_path"], r["tag"], r["file_name"], r["rank"], r["rank_file_ord"]) for r in listed],
-        "file_path string, tag string, file_name string, rank int, rank_file_ord int")
-    rows = number_lines(read_corpus(spark, files, schema))
+    tags = spec_tags(spec)
+    checkpoint_dir(spark)
+    # the listing is a written table; it meets the rows by their file path
+    files = shard_files(select_files(list_corpus_files(spark, root, tags), spec), world_size).select(
+        "file_path", "tag", "file_name", "rank", "rank_file_ord").checkpoint(eager=True)
+    rows = number_lines(read_corpus(spark, tag_folders(root, tags), schema, spec=spec))
     # per-file counts from the split table -> file offsets in each rank's list
     counts = rows.select("file_path", "n_file").distinct()
     listing = file_offsets(files.join(counts, "file_path", "inner"))
-    rows = rows.drop("n_file").join(F.broadcast(files.select("file_path", "tag", "file_name")), "file_path")
+    rows = rows.drop("n_file").join(files.select("file_path", "tag", "file_name"), "file_path")
     return index_rows(rows, listing.drop("file_path"), ["_block", "_line"], pos_col="file_pos")
 
 
@@ -123,14 +136,19 @@ def read_eval_table(spark: SparkSession, path, schema: str, strict: bool = True)
     """A4: JSON-lines evaluation table (questions, answers, reviews, ...) with
     the place of each record: ``<kind>_idx``, from 0, for reviewers
     (``reviewer_idx``) and judge prompts (``prompt_idx``), whose place in the
-    file has a meaning. ``strict`` fails on a malformed line."""
+    table has a meaning; several part files count on in the order of their names. ``strict`` fails on a malformed line."""
     df = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
     place = {REVIEWER_SCHEMA: "reviewer_idx", JUDGE_PROMPT_SCHEMA: "prompt_idx"}.get(schema)
     if place is None:
         return df
     keyed = (df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"))
              .withColumn("_line", F.monotonically_increasing_id()))
-    return scan_positions(keyed, out_col=place).withColumn(place, F.col(place).cast("int")).drop("file_path", "_block", "_line", "n_file")
+    own = scan_positions(keyed, out_col="_own")
+    # files in the order of their names, each behind the records of those before
+    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    files = own.select("file_path", "n_file").distinct().withColumn("_start", F.coalesce(F.sum("n_file").over(before), F.lit(0)))
+    return (own.join(files.select("file_path", "_start"), "file_path").withColumn(place, (F.col("_start") + F.col("_own")).cast("int"))
+            .select(*df.columns, place))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -160,30 +178,57 @@ def write_prompt_pools(pools: DataFrame, path: str, mode: str = "overwrite") ->
      .repartition("pool").sortWithinPartitions("pool", "ord").drop("ord").write.mode(mode).partitionBy("pool").text(path))
 
 
+def record_bytes(df: DataFrame) -> Column:
+    """Bytes of a record's values: texts by their length, others by their width."""
+    width = {"int": 4, "float": 4}
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(width.get(t, 8)) for c, t in df.dtypes),
+               F.lit(0)).cast("bigint")
+
+
+def place_in_shards(df: DataFrame, shard_bytes: int, seed: int, id_cols, world_size: int = 1):
+    """(records with ``shard`` and ``_order``, number of shards, target):
+    records in the order of a seeded hash, cut whenever their running bytes
+    pass the target, so a shard holds the target to within one record however
+    long single records are.
+
+    The running sum is taken in two levels. The hash is uniform, so its equal
+    ranges hold about the same number of records: each range is summed by a
+    window of its own, and the ranges' totals give the starts."""
+    ids = list(id_cols)
+    rows = df.withColumn("_order", seeded_hash(ids, f"order-{seed}")).withColumn("_bytes", record_bytes(df))
+    total = rows.agg(F.sum("_bytes")).first()[0] or 0
+    target = max(1, min(int(shard_bytes), -(-total // int(world_size))))
+    n_shards = max(int(world_size), -(-total // target))
+    ranges = 4 * n_shards
+    rows = rows.withColumn("_range", F.floor(F.col("_order") * ranges / (1 << 32)).cast("int"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = rows.groupBy("_range").agg(F.sum("_bytes").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    run = (Window.partitionBy("_range").orderBy("_order", *ids, F.xxhash64(*df.columns))
+           .rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("_own", F.coalesce(F.sum("_bytes").over(run), F.lit(0))).join(starts, "_range")
+    return placed.withColumn("shard", F.floor((F.col("_start") + F.col("_own")) / target).cast("int")).select(*df.columns, "shard", "_order"), n_shards, target
+
+
 def write_shuffled_shards(df: DataFrame, path: str, n_shards: int | None, seed: int, id_cols,
                           world_size: int = 1, mode: str = "overwrite", shard_bytes: int = SHARD_BYTES) -> int:
     """Shuffle records once and store them as numbered shards
     (``shard=<n>/part-….json``, which A2 lists). Returns their number.
 
-    Shard = seeded hash of the record id, order inside a shard = a second
-    seeded hash, then the ids. Without ``n_shards`` the number follows the
-    records' bytes, ``shard_bytes`` each. A range shuffle over the shard
-    numbers gives every task its own few shards; each shard is one file. At
-    least one shard per rank is made.
+    The order is a seeded hash, then the ids. Without ``n_shards`` shards are
+    balanced by bytes, ``shard_bytes`` each (:func:`place_in_shards`); with it
+    a second seeded hash deals the records to that many. A range shuffle over
+    the shard numbers gives every task its own few shards; each shard is one
+    file. At least one shard per rank is made.
     """
     ids = list(id_cols)
     if n_shards is None:
-        width = {"bigint": 8, "int": 4, "double": 8, "float": 4}
-        per_row = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(width.get(t, 8)) for c, t in df.dtypes), F.lit(0))
-        total = df.agg(F.sum(per_row.cast("bigint"))).first()[0] or 0
-        n_shards = max(world_size, -(-total // shard_bytes))
-    if n_shards < world_size:
+        placed, n_shards, _ = place_in_shards(df, shard_bytes, seed, ids, world_size)
+    elif n_shards < world_size:
         raise ValueError(f"need at least one shard per rank: {n_shards} < {world_size}")
-    out = (df.withColumn("shard", (seeded_hash(ids, f"shard-{seed}") % int(n_shards)).cast("int"))
-           .withColumn("_order", seeded_hash(ids, f"order-{seed}"))
-           .repartitionByRange(int(n_shards), "shard")
-           .sortWithinPartitions("shard", "_order", *ids)
-           .drop("_order"))
+    else:
+        placed = (df.withColumn("shard", (seeded_hash(ids, f"shard-{seed}") % int(n_shards)).cast("int"))
+                  .withColumn("_order", seeded_hash(ids, f"order-{seed}")))
+    out = placed.repartitionByRange(int(n_shards), "shard").sortWithinPartitions("shard", "_order", *ids, F.xxhash64(*df.columns)).drop("_order")
     out.write.mode(mode).partitionBy("shard").option("ignoreNullFields", "false").json(path)
     return int(n_shards)
 
