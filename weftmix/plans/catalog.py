@@ -350,3 +350,20 @@ register("training_log_files", RN.training_log_files_sql())(RN.training_log_file
 # the table is one file in the check's layout, so all rows are of the first epoch
 register("stream_features", f"SELECT *, CAST(0 AS BIGINT) AS epoch FROM ({OT.stage1_features_sql()})")(RN.stream_features_q)
 register("stream_mix", OT.stream_mix_sql(RN.STREAM_WEIGHTS, RN.ARRIVALS, RN.ARRIVAL_SEED))(RN.stream_mix_q)
+
+
+@register("subword_ids", None)
+def q_subword_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids by an installed sentencepiece model."""
+    from weftmix.operators import subword
+    from weftmix.plans import inputs
+    d = inputs.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = subword.with_subword_ids(d, subword.public_model())
+    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
+
+
+@register("subword_features", None)
+def q_subword_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 -> H7: stage-1 features with the sub-word model, whose begin and end ids are 1 and 2."""
+    from weftmix.operators import subword
+    return T.features_report(T.stage1_features(spark, sf_dir, tokenizer=subword.SubwordTokenizer(spark, subword.public_model())))
