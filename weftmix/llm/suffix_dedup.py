@@ -220,6 +220,8 @@ def _sorted_out(rows: DataFrame, length: int) -> DataFrame | None:
                     .select("doc_id", "th", F.col("a").alias("first"), (F.col("a") + F.col("n") - 1).alias("last")))
         spans = found if spans is None else spans.union(found)
         rows = distinct.select("key", "whole", "lo", "hi", "one.*", "n", "o", F.when(F.col("copies") == 1, F.col("open")).otherwise(0).alias("open"), "stretch")
+        # what this pass has written goes before the next one writes
+        del groups, halves, known, found
         _release(rows.sparkSession)
 
 
@@ -251,9 +253,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     picked = (stretches.join(groups, stretches["h"] == groups["g"]).select("one.*", (F.col("copies") == 1).cast("int").alias("open"))
               .groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("i", "open")).alias("picked")))
     once = per.join(picked, per["doc_id"].eqNullSafe(picked["d"]) & (per["th"] == picked["t"]))
-    rows = cut(once.select("doc_id", "th", "a", "n", "o", "h", "at", "blob", "picked").mapInArrow(_unpack(length, anchor), ROW))
+    once = cut(once.select("doc_id", "th", "a", "n", "o", "h", "at", "blob", "picked").mapInArrow(_unpack(length, anchor), ROW))
+    del groups, picked, twice, blocks
     _release(spark)
-    parts = _sorted_out(rows, length)
+    entries, once = [once], None  # handed over, so that it can be released after the first pass
+    parts = _sorted_out(entries.pop(), length)
 
     known = stretches.filter("copies > 1").select(F.col("fk").alias("known"))
     full = entry.join(known, entry["fk"] == known["known"], "left_semi").select(
