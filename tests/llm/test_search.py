@@ -84,9 +84,16 @@ def brute_contained(docs, items, t=0.8):
     return out
 
 
-@pytest.mark.parametrize("small", [decontaminate.SMALL_ROWS, 0])
-def test_contamination_matches_brute_force(spark, docs, monkeypatch, small):
-    monkeypatch.setattr(decontaminate, "SMALL_ROWS", small)
+@pytest.fixture(params=["8m", "-1"])
+def broadcast_bytes(spark, request):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_contamination_matches_brute_force(spark, docs, broadcast_bytes):
     r = random.Random(9)
 
     def prose(n):
@@ -108,13 +115,32 @@ def test_contamination_matches_brute_force(spark, docs, monkeypatch, small):
 
 def test_contamination_edges(spark, docs):
     items = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "g h i j k l")], "item_id long, text string")
-    # rows that share an id are one document
-    got = decontaminate.contaminated(docs([(1, "a b c d e"), (1, "b c d e f"), (2, "a b c d e"), (3, "g h i j k l m")]), items).collect()
-    assert sorted((r["doc_id"], r["item_id"], r["containment"]) for r in got) == [(1, 1, 1.0), (3, None, 1.0)]
+    # rows that share an id are judged each by its own text: 1 holds its item in no row, 4 in one of two
+    rows = [(1, "a b c d e"), (1, "b c d e f"), (2, "a b c d e"), (3, "g h i j k l m"), (4, "a b c d e f"), (4, "a b c d e")]
+    got = decontaminate.contaminated(docs(rows), items).collect()
+    assert sorted((r["doc_id"], r["item_id"] or 0, r["containment"]) for r in got) == [(3, 0, 1.0), (4, 1, 1.0)]
     assert decontaminate.contaminated(docs([]), items).collect() == []
     assert decontaminate.contaminated(docs([(1, "a b")]), items.limit(0)).collect() == []
 
 
+def test_contaminated_rows_without_id(spark, docs):
+    # two rows without an id that hold one item only together, and one that holds another whole
+    item = " ".join(f"w{i}" for i in range(20))
+    first, last = " ".join(item.split()[:12]), " ".join(item.split()[8:])
+    items = spark.createDataFrame([(1, item), (2, "p q r s t u")], "item_id long, text string")
+    rows = [(None, first), (None, last), (None, "p q r s t u v"), (None, "p q r s t u v")]
+    got = decontaminate.contaminated(docs(rows), items).collect()
+    assert [(r["doc_id"], r["item_id"], r["containment"]) for r in got] == [(None, 2, 1.0)]
+
+
+def test_contaminated_items_under_one_id(spark, docs):
+    items = [(1, "a b c d e f g h i"), (1, "p q r s t u v w x"), (None, "k l m n o aa bb"), (None, "cc dd ee ff gg hh ii")]
+    rows = [(1, "so a b c d e f g h i"), (2, "cc dd ee ff gg hh ii jj"), (3, "k l m n o aa bb p q r s t u v w x"), (4, "plain words that are no item")]
+    got = decontaminate.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [(1, 1, 5, 5), (2, 0, 3, 3), (3, 0, 3, 3), (3, 1, 5, 5)]
+    assert sorted((r["doc_id"], r["item_id"] or 0, r["n_item"], r["n_shared"]) for r in got) == want
+
+
 def test_drop_contaminated_judges_each_row(spark, docs, tmp_dir):
     spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
     leak, clean = "so a b c d e f g h i", "q r s t u v w"
