@@ -1,62 +1,57 @@
 """License scans with a positional rare-token index.
 
-The templates' words are weighted by how many documents hold them; the index
-keeps, per template, the positions of its ``RARE`` rarest words. Where a
-document has indexed words, each of its places votes for (template, place
-minus position): postings that agree on the relative position. A place with
-all but one of a template's votes (all, if it has fewer than three) is a
-candidate; it counts when the template's key phrases stand there word for
-word, and scores the share of template words that stand in their places.
+The words of the templates' mandatory key phrases are ranked by how few
+documents hold them (inverse document frequency). The index lists, for a word,
+its postings: (template, key phrase, position in the template). A file looks up
+the highest-IDF words that it holds itself: for every key phrase all of whose
+words it has, the rarest. Each place of such a word votes for (template, place
+minus position); the postings of a template's key phrases are intersected by
+that relative position, and where all agree the phrases are verified word for
+word. A phrase that stands in a file has its rarest word there, so no
+template whose key phrases stand is missed, whatever its words' ranks. The score is the
+share of the template's words that stand in their places; a template may hang
+over either end of the text as long as its key phrases stand inside.
 
 Base phrases are looked up beside that wherever their words stand
 consecutively. Everything is built-in expressions on one row's word array, so
-after the word counts (one row per template word) nothing is shuffled.
+after the word counts (one row per word of a key phrase) nothing is shuffled.
 
 Defined results: a null or empty text has no word, no label (an empty string)
-and score 0; overlapping places all count; a template that would start before
-the first word or end behind the last one is not found; ties in rarity go to
-the word that sorts first; repeated rows give repeated results; an empty table
-gives no rows; other columns are ignored.
+and score 0; overlapping places all count; ties in rarity go to the word that
+sorts first; a very long text is one row's word array, read whole; repeated
+rows give repeated results; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmix.llm.common import UPPER, ascii_lower, table
+from weftmix.llm.license_texts import TEMPLATES
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE = 3
 
 #: Label and phrase.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
 
 
-@dataclass(frozen=True)
-class Template:
-    label: str
-    text: str
-    keys: tuple[str, ...]  # mandatory phrases, each once in the text
+def plain_words(text: str) -> list[str]:
+    """The words of a template or phrase, by the documents' rule."""
+    return [w for w in re.split(BETWEEN, text.translate(str.maketrans(UPPER, UPPER.lower()))) if w]
 
 
-#: The usual one-line notices.
-TEMPLATES = (
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2",)),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", ("general public license version 3",)),
-    Template("gpl-2.0", "licensed under the gnu general public license version 2", ("general public license version 2",)),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4",)),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4",)),
-    Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4",)),
-    Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software",
-             ("permission is hereby granted", "free of charge")),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
-             ("redistribution and use in source and binary forms",)),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2",)),
-)
+def key_phrases(templates=TEMPLATES) -> list[tuple[int, int, list[str]]]:
+    """(template, start in the template, words) of every mandatory phrase."""
+    out = []
+    for n, t in enumerate(templates):
+        own = plain_words(t.text)
+        for key in map(plain_words, t.keys):
+            out.append((n, next(i for i in range(len(own)) if own[i:i + len(key)] == key), key))
+    return out
 
 
 def doc_words(text: Column) -> Column:
@@ -83,81 +78,73 @@ def _all(conditions) -> Column:
 
 
 def document_counts(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
-    """In how many rows each template word stands; one number per word."""
-    vocabulary = sorted({w for t in templates for w in t.text.split()})
-    held = docs.select(F.explode(F.array_intersect(doc_words(F.col("text")), _texts(vocabulary))).alias("w"))
+    """In how many rows each word of a key phrase stands; one number per word."""
+    vocabulary = sorted({w for _, _, key in key_phrases(templates) for w in key})
+    held = docs.select(F.explode(F.array_intersect(_texts(vocabulary), doc_words(F.col("text")))).alias("w"))
     counts = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {w: counts.get(w, 0) for w in vocabulary}
 
 
-def rare_index(counts: dict[str, int], templates=TEMPLATES, rare: int = RARE) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
-    """(word -> [(template, position)], votes that make a candidate per template):
-    the highest inverse document frequency is the lowest count."""
-    postings: dict[str, list[tuple[int, int]]] = {}
-    need = []
-    for n, t in enumerate(templates):
-        words = t.text.split()
-        top = sorted(set(words), key=lambda w: (counts[w], w))[:rare]
-        own = [(w, i) for i, w in enumerate(words) if w in top]
-        for w, i in own:
-            postings.setdefault(w, []).append((n, i))
-        need.append(len(own) - 1 if len(own) >= 3 else len(own))
-    return postings, need
-
-
-def _places(words: Column, postings, need) -> Column:
-    """Distinct (template, start) with votes enough, as array<struct<t, at>>."""
-    table_ = F.create_map(*[x for w, p in sorted(postings.items()) for x in (
-        F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in p]))])
-    index = _texts(sorted(postings))
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(index, F.get(words, i)))
-    votes = F.array_sort(F.flatten(F.transform(places, lambda i: F.transform(
-        table_[F.get(words, i)], lambda p: F.struct(p["t"].alias("t"), (i - p["i"]).alias("at"))))))
-    enough = F.array(*[F.lit(n) for n in need])
-    # equal votes stand together: a run is long enough when its first and n-th are equal
-    agreed = F.transform(F.array(votes), lambda v: F.filter(
+def rarest(key: list[str], counts: dict[str, int]) -> tuple[str, int]:
+    """The highest-IDF word of a phrase and its first place there."""
+    return min((counts[w], w, i) for i, w in enumerate(key))[1:]
+
+
+def _postings(counts: dict[str, int], templates) -> Column:
+    """One entry per key phrase: its words, its rarest word, that word's template and position."""
+    entries = []
+    for t, start, key in key_phrases(templates):
+        w, i = rarest(key, counts)
+        entries.append(F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(start + i).alias("i"), _texts(sorted(set(key))).alias("key")))
+    return F.array(*entries)
+
+
+def _places(words: Column, counts: dict[str, int], templates) -> Column:
+    """(template, start) where the rarest words of all its key phrases agree."""
+    held = F.array_intersect(_texts(sorted(counts)), words)
+    # the postings that this file looks up: those of phrases all of whose words it holds
+    looked = F.filter(_postings(counts, templates), lambda e: F.size(F.array_except(e["key"], held)) == 0)
+
+    def votes(own):
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(F.transform(own, lambda e: e["w"]), F.get(words, i)))
+        return F.array_sort(F.flatten(F.transform(at, lambda i: F.transform(
+            F.filter(own, lambda e: e["w"] == F.get(words, i)), lambda e: F.struct(e["t"].alias("t"), (i - e["i"]).alias("at"))))))
+    need = F.array(*[F.lit(len(t.keys)) for t in templates])
+    # equal votes stand together: all phrases agree when the first and the n-th of a run are equal
+    agreed = F.transform(F.array(F.transform(F.array(looked), votes)[0]), lambda v: F.filter(
         F.transform(v, lambda x, j: F.struct(x["t"].alias("t"), x["at"].alias("at"), j.alias("j"))),
-        lambda x: F.get(v, x["j"] + F.get(enough, x["t"]) - 1) == F.struct(x["t"], x["at"])))[0]
+        lambda x: F.get(v, x["j"] + F.get(need, x["t"]) - 1) == F.struct(x["t"], x["at"])))[0]
     found = F.array_distinct(F.transform(agreed, lambda x: F.struct(x["t"].alias("t"), x["at"].alias("at"))))
-    return F.when(F.arrays_overlap(words, index), found)
+    return F.when(F.size(looked) > 0, found)
 
 
 def _verified(words: Column, found: Column, templates) -> Column:
     """The found places whose key phrases stand there, with their score."""
-    texts = F.array(*[_texts(t.text.split()) for t in templates])
+    texts = F.array(*[_texts(plain_words(t.text)) for t in templates])
     labels = _texts([t.label for t in templates])
-
-    def keys_stand(x):
-        out = F.lit(False)
-        for n, t in enumerate(templates):
-            own = t.text.split()
-            checks = []
-            for key in t.keys:
-                k = key.split()
-                start = next(i for i in range(len(own)) if own[i:i + len(k)] == k)
-                checks.append(F.slice(words, x["at"] + start + 1, len(k)) == _texts(k))
-            out = out | ((x["t"] == n) & _all(checks))
-        return out
-    whole = F.filter(found, lambda x: (x["at"] >= 0) & (x["at"] + F.size(F.get(texts, x["t"])) <= F.size(words)))
-    stand = F.filter(whole, keys_stand)
+    own_keys: list[list] = [[] for _ in templates]
+    for t, start, key in key_phrases(templates):
+        own_keys[t] += [F.struct(F.lit(start + i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(key)]
+    keys = F.array(*[F.array(*k) for k in own_keys])
+    stand = F.filter(found, lambda x: F.coalesce(F.forall(F.get(keys, x["t"]), lambda k: F.get(words, x["at"] + k["i"]) == k["w"]), F.lit(False)))
 
     def share(x):
         own = F.get(texts, x["t"])
-        equal = F.filter(F.zip_with(own, F.slice(words, x["at"] + 1, F.size(own)), lambda a, b: a == b), lambda e: e)
+        equal = F.filter(F.transform(own, lambda w, i: F.get(words, x["at"] + i) == w), lambda e: e)
         return F.size(equal) / F.size(own)
     return F.transform(stand, lambda x: F.struct(F.get(labels, x["t"]).alias("label"), x["at"].alias("start"), share(x).alias("share")))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = RARE) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     """Per row: doc_id, n_words, base array of (label, start), found array of
     (label, start, share of the template's words in place)."""
-    postings, need = rare_index(document_counts(docs, templates), templates, rare)
+    counts = document_counts(docs, templates)
     got = docs.select("doc_id", doc_words(F.col("text")).alias("words"))
 
     def labelled(label, phrase):
         return F.transform(consecutive(F.col("words"), phrase), lambda i: F.struct(F.lit(label).alias("label"), i.alias("start")))
     starts = [labelled(label, phrase) for label, phrase in base]
-    got = got.withColumn("base", F.concat(*starts)).withColumn("places", _places(F.col("words"), postings, need))
+    got = got.withColumn("base", F.concat(*starts)).withColumn("places", _places(F.col("words"), counts, templates))
     return got.select("doc_id", F.size("words").cast("bigint").alias("n_words"), "base", F.coalesce(
         _verified(F.col("words"), F.col("places"), templates), F.array().cast("array<struct<label:string,start:int,share:double>>")).alias("found"))
 
@@ -174,14 +161,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows, keys = [], []
-    for n, t in enumerate(TEMPLATES):
-        own = t.text.split()
-        rows += [f"({n}, {i}, '{w}', '{t.label}')" for i, w in enumerate(own)]
-        for m, key in enumerate(t.keys):
-            k = key.split()
-            start = next(i for i in range(len(own)) if own[i:i + len(k)] == k)
-            keys += [f"({n}, {m}, {start + i}, '{w}')" for i, w in enumerate(k)]
+    """The statement: a label stands wherever all its template's key phrases
+    stand in their places; nothing of the index is said here."""
+    rows = [f"({n}, {i}, '{w}', '{t.label}')" for n, t in enumerate(TEMPLATES) for i, w in enumerate(plain_words(t.text))]
+    keys = [f"({t}, {m}, {start + i}, '{w}')" for m, (t, start, key) in enumerate(key_phrases()) for i, w in enumerate(key)]
     phrases = [f"('{label}', {i}, '{w}', {len(p.split())})" for label, p in BASE for i, w in enumerate(p.split())]
     return f"""
 WITH tpl(t, i, w, label) AS (VALUES {', '.join(rows)}),
@@ -190,23 +173,16 @@ phr(label, i, w, len) AS (VALUES {', '.join(phrases)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
         translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
-v AS (SELECT DISTINCT w FROM tpl UNION SELECT w FROM phr),
+v AS (SELECT w FROM keyw UNION SELECT w FROM phr),
 q AS MATERIALIZED (SELECT * FROM p WHERE w IN (SELECT w FROM v)),
 bp AS (SELECT r, label, q.pos - i AS start FROM q JOIN phr USING (w) GROUP BY r, label, q.pos - i, len HAVING count(*) = len),
 b AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM bp GROUP BY r),
-df AS (SELECT w, count(DISTINCT r) AS n FROM q GROUP BY w),
-tw AS (SELECT DISTINCT t, w FROM tpl),
-rk AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), w) AS k FROM tw LEFT JOIN df USING (w)),
-idx AS (SELECT t, i, w FROM tpl JOIN rk USING (t, w) WHERE k <= {RARE}),
-need AS (SELECT t, CASE WHEN count(*) >= 3 THEN count(*) - 1 ELSE count(*) END AS need FROM idx GROUP BY t),
-vote AS (SELECT r, t, q.pos - i AS pos, count(*) AS n FROM q JOIN idx USING (w) GROUP BY ALL),
-cand AS (SELECT r, t, pos FROM vote JOIN need USING (t) WHERE n >= need AND pos >= 0),
 kc AS (SELECT t, count(*) AS n_keys FROM keyw GROUP BY t),
-ok AS (SELECT cand.r, t, cand.pos FROM cand JOIN keyw USING (t) JOIN q ON q.r = cand.r AND q.pos = cand.pos + keyw.i AND q.w = keyw.w
-       JOIN kc USING (t) GROUP BY cand.r, t, cand.pos, n_keys HAVING count(*) = n_keys),
-sc AS (SELECT ok.r, ok.t, ok.pos, any_value(tpl.label) AS label, count(*) FILTER (tpl.w = d.ws[ok.pos + tpl.i + 1]) / count(*) AS share
-       FROM ok JOIN tpl USING (t) JOIN d ON d.r = ok.r GROUP BY ok.r, ok.t, ok.pos, len(d.ws) HAVING ok.pos + count(*) <= len(d.ws)),
+ok AS (SELECT r, t, q.pos - i AS pos FROM q JOIN keyw USING (w) JOIN kc USING (t) GROUP BY r, t, q.pos - i, n_keys HAVING count(*) = n_keys),
+sc AS (SELECT ok.r, ok.t, ok.pos, any_value(tpl.label) AS label,
+              count(*) FILTER (ok.pos + tpl.i >= 0 AND tpl.w = d.ws[ok.pos + tpl.i + 1]) / count(*) AS share
+       FROM ok JOIN tpl USING (t) JOIN d ON d.r = ok.r GROUP BY ok.r, ok.t, ok.pos),
 lab AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM
         (SELECT r, label FROM bp UNION ALL SELECT r, label FROM sc) GROUP BY r),
 top AS (SELECT r, max(share) AS score FROM sc GROUP BY r)
