@@ -140,3 +140,25 @@ def test_quality_without_both_classes(spark, docs):
     for lab, want in ((none, 0.5), (one, 1.0)):
         model = quality_cnn.learn(src, lab)
         assert {x["quality_score"] for x in quality_cnn.score(src, model).collect()} == {want}
+
+
+def test_network_learns_every_chunk_in_bounded_pieces(monkeypatch):
+    g = np.random.default_rng(2)
+    docs = [quality_cnn.chunks(bytes(g.integers(97, 123, n, dtype=np.uint8))) for n in (10, 6000, 500)]
+    y, weight = np.array([0, 1, 0], np.float32), np.ones(3, np.float32)
+    whole = quality_cnn.ByteCNN(3).gradients(docs, y, weight)
+    monkeypatch.setattr(quality_cnn, "ROWS", 2)
+    for a, b in zip(whole, quality_cnn.ByteCNN(3).gradients(docs, y, weight), strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+
+
+def test_training_sample_stays_within_its_bytes(spark, docs, monkeypatch):
+    rows, labels = quality_rows()
+    lab = spark.createDataFrame(labels, "doc_id long, label int")
+    seen = []
+    monkeypatch.setattr(quality_cnn.ByteCNN, "fit", lambda self, x, y, weight: seen.append((len(x), y.sum())) or self)
+    for most in (1 << 20, 2000):
+        monkeypatch.setattr(quality_cnn, "TRAIN_BYTES", most)
+        quality_cnn.train(docs(rows), lab)
+    known = [i for i, _ in labels if i in {r[0] for r in rows}]
+    assert seen[0][0] == len(known) and 0 < seen[1][1] < seen[1][0] < seen[0][0]

@@ -9,14 +9,16 @@ probability:
     the chunk -> ReLU -> mean and max over the chunks -> logistic
 
 Training (Adam, cross-entropy, derivatives written out below) runs on a
-bounded sample of labelled rows: per class ``TRAIN_PER_CLASS`` documents with
-the smallest hash of their id and at most ``TRAIN_CHUNKS`` evenly spaced chunks
-of each. Classes are weighted back to their share among all labels. Scoring
+bounded sample of labelled rows: per class the ``TRAIN_PER_CLASS`` documents
+with the smallest hash of their id, and of these, in that order, those that
+together stay within ``TRAIN_BYTES``; every chunk of a sampled document is
+learned. Classes are weighted back to their share among all labels. Scoring
 reads every chunk of every document and is map-only.
 
 Defined results: a null or empty text is one blank chunk and gets that chunk's
 score; labels other than 0 and 1 and documents with conflicting labels are not
-learned; with no label at all every score is 0.5, with one class only that
+learned; of rows that share an id the text that sorts first is learned; a null
+id is in the held-out fold, as the empty text's crc32 is 0; with no label at all every score is 0.5, with one class only that
 class; repeated rows score alike; an empty table gives no rows; other columns
 are ignored.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftmix.llm.common import id_bucket, regroup, table
+from weftmix.llm.common import id_bucket, regroup, stored, table
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE = 8, 4
@@ -37,7 +39,9 @@ EMBED, FILTERS = 8, 32
 BLANK = 256
 
 TRAIN_PER_CLASS = 1200
-TRAIN_CHUNKS = 24
+TRAIN_BYTES = 64 << 20
+#: Chunks whose windows are in memory at a time.
+ROWS = 512
 EPOCHS, BATCH, RATE = 6, 32, 4e-3
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
@@ -67,7 +71,7 @@ class ByteCNN:
         return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1)[:, ::STRIDE].transpose(0, 1, 3, 2)
                                     ).reshape(len(x), -1, WIDTH * EMBED)
 
-    def pooled(self, x: np.ndarray, rows: int = 512) -> np.ndarray:
+    def pooled(self, x: np.ndarray, rows: int = ROWS) -> np.ndarray:
         """Max-pooled filter values of chunks, ``rows`` chunks at a time."""
         out = []
         for i in range(0, len(x), rows):
@@ -88,7 +92,7 @@ class ByteCNN:
         return self.combine(np.concatenate([self.pooled(c) for c in self._groups(parts)]), starts, counts)
 
     @staticmethod
-    def _groups(parts: list[np.ndarray], rows: int = 512):
+    def _groups(parts: list[np.ndarray], rows: int = ROWS):
         """Short documents' chunks put together, so that products are large."""
         held, n = [], 0
         for c in parts:
@@ -106,10 +110,12 @@ class ByteCNN:
         counts = np.array([len(d) for d in docs])
         starts = np.cumsum(counts) - counts
         doc = np.repeat(np.arange(len(docs)), counts)
-        w = self.windows(x)
-        z = w @ self.p[1]
-        top = z.argmax(axis=1)
-        m = np.take_along_axis(z, top[:, None], 1)[:, 0] + self.p[2]
+        best = [z.argmax(axis=1) for z in (self.windows(x[i:i + ROWS]) @ self.p[1] for i in range(0, len(x), ROWS))]
+        # byte values of each filter's best window, (chunks, filters, WIDTH)
+        seen = x[np.arange(len(x))[:, None, None], np.concatenate(best)[:, :, None] * STRIDE + np.arange(WIDTH)]
+        parts = [slice(i, i + ROWS) for i in range(0, len(x), ROWS)]
+        kernels = self.p[1].T.reshape(FILTERS, WIDTH, EMBED)
+        m = np.concatenate([np.einsum("nfwe,fwe->nf", self.p[0][seen[i]], kernels) for i in parts]) + self.p[2]
         h = np.maximum(m, 0)
         mean, peak = np.add.reduceat(h, starts) / counts[:, None], np.maximum.reduceat(h, starts)
         both = np.concatenate([mean, peak], axis=1)
@@ -120,11 +126,10 @@ class ByteCNN:
         shared = np.add.reduceat(at_peak.astype(np.float32), starts)[doc]
         d_h = d_both[doc, :FILTERS] / counts[doc][:, None] + at_peak * d_both[doc, FILTERS:] / shared
         d_m = (d_h * (m > 0)).astype(np.float32)
-        won = np.take_along_axis(w, top[:, :, None], 1)  # (chunks, filters, window)
-        d_filters = np.einsum("nf,nfk->kf", d_m, won)
-        seen = x[np.arange(len(x))[:, None, None], top[:, :, None] * STRIDE + np.arange(WIDTH)]
-        d_embed = np.zeros_like(self.p[0])
-        np.add.at(d_embed, seen, d_m[:, :, None, None] * self.p[1].T.reshape(FILTERS, WIDTH, EMBED)[None])
+        d_filters, d_embed = np.zeros_like(self.p[1]), np.zeros_like(self.p[0])
+        for i in parts:
+            d_filters += np.einsum("nf,nfwe->wef", d_m[i], self.p[0][seen[i]]).reshape(d_filters.shape)
+            np.add.at(d_embed, seen[i], d_m[i][:, :, None, None] * kernels[None])
         d_embed[BLANK] = 0
         return [d_embed, d_filters, d_m.sum(axis=0), both.T @ d_logit, np.array([d_logit.sum()], np.float32)]
 
@@ -143,22 +148,10 @@ class ByteCNN:
         return self
 
 
-def _sample_chunks(batches):
-    """(y, data): up to TRAIN_CHUNKS evenly spaced chunks of a document, as bytes."""
-    for batch in regroup(batches):
-        ys, data = [], []
-        for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            c = chunks((t or "").encode("utf-8", "surrogatepass"))
-            c = c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).astype(int))]
-            ys.append(y)
-            data.append(np.ascontiguousarray(c).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(data, pa.binary())], names=["y", "data"])
-
-
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, seed: int = 7) -> ByteCNN | float:
     """A network learned from (doc_id, text) and (doc_id, label); a plain
     number when the labels hold fewer than two classes. At most
-    2 * per_class * TRAIN_CHUNKS chunks reach the driver."""
+    2 * per_class texts of TRAIN_BYTES a class reach the driver."""
     known = (labels.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("y"), F.max("label").alias("z"))
              .filter("y = z").select("doc_id", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id").alias("h")))
     share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -167,13 +160,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
     picked = [(r["doc_id"], r["y"]) for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class).collect()]
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))  # 2 * per_class rows
-    rows = (docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("y", "text")
-            .mapInArrow(_sample_chunks, "y int, data binary").collect())
+    sample = stored(docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "quality")
+    size = {r["doc_id"]: r["n"] for r in sample.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()}
+    own, used = [], {0: 0, 1: 0}
+    for i, c in picked:  # in the order of the hash
+        if i in size and used[c] + size[i] <= TRAIN_BYTES:
+            own.append((i,))
+            used[c] += size[i]
+    rows = (sample.join(F.broadcast(spark.createDataFrame(own, "doc_id long")), "doc_id")
+            .select("y", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")).collect())
     rows.sort(key=lambda r: (r["y"], bytes(r["data"])))  # the order of training doesn't hang on the order of tasks
     if len({r["y"] for r in rows}) < 2:
         return float(rows[0]["y"]) if rows else 0.5
     y = np.array([r["y"] for r in rows], np.float32)
-    x = [np.frombuffer(bytes(r["data"]), np.int16).reshape(-1, CHUNK) for r in rows]
+    x = [chunks(bytes(r["data"])) for r in rows]
     # each class weighs what its share among all labels says
     weight = np.where(y == 1, share[1] / max(1, (y == 1).sum()), share[0] / max(1, (y == 0).sum())).astype(np.float32)
     return ByteCNN(seed).fit(x, y, weight / weight.mean())
