@@ -91,31 +91,39 @@ def rarest(key: list[str], counts: dict[str, int]) -> tuple[str, int]:
 
 
 def _postings(counts: dict[str, int], templates) -> Column:
-    """One entry per key phrase: its words, its rarest word, that word's template and position."""
+    """One entry per key phrase: its words, rarest first, and the rarest one's template and position."""
     entries = []
     for t, start, key in key_phrases(templates):
         w, i = rarest(key, counts)
-        entries.append(F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(start + i).alias("i"), _texts(sorted(set(key))).alias("key")))
+        by_idf = sorted(set(key), key=lambda x: (counts[x], x))
+        entries.append(F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(start + i).alias("i"), _texts(by_idf).alias("key")))
     return F.array(*entries)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not at each of its uses."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _places(words: Column, counts: dict[str, int], templates) -> Column:
     """(template, start) where the rarest words of all its key phrases agree."""
-    held = F.array_intersect(_texts(sorted(counts)), words)
-    # the postings that this file looks up: those of phrases all of whose words it holds
-    looked = F.filter(_postings(counts, templates), lambda e: F.size(F.array_except(e["key"], held)) == 0)
+    need = F.array(*[F.lit(len(t.keys)) for t in templates])
 
     def votes(own):
-        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(F.transform(own, lambda e: e["w"]), F.get(words, i)))
+        at = _once(F.transform(own, lambda e: e["w"]), lambda ws: F.filter(
+            F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(ws, F.get(words, i))))
         return F.array_sort(F.flatten(F.transform(at, lambda i: F.transform(
             F.filter(own, lambda e: e["w"] == F.get(words, i)), lambda e: F.struct(e["t"].alias("t"), (i - e["i"]).alias("at"))))))
-    need = F.array(*[F.lit(len(t.keys)) for t in templates])
-    # equal votes stand together: all phrases agree when the first and the n-th of a run are equal
-    agreed = F.transform(F.array(F.transform(F.array(looked), votes)[0]), lambda v: F.filter(
-        F.transform(v, lambda x, j: F.struct(x["t"].alias("t"), x["at"].alias("at"), j.alias("j"))),
-        lambda x: F.get(v, x["j"] + F.get(need, x["t"]) - 1) == F.struct(x["t"], x["at"])))[0]
-    found = F.array_distinct(F.transform(agreed, lambda x: F.struct(x["t"].alias("t"), x["at"].alias("at"))))
-    return F.when(F.size(looked) > 0, found)
+
+    def agreed(v):
+        # equal votes stand together: all phrases agree when the first and the n-th of a run are equal
+        runs = F.filter(F.transform(v, lambda x, j: F.struct(x["t"].alias("t"), x["at"].alias("at"), j.alias("j"))),
+                        lambda x: F.get(v, x["j"] + F.get(need, x["t"]) - 1) == F.struct(x["t"], x["at"]))
+        return F.array_distinct(F.transform(runs, lambda x: F.struct(x["t"].alias("t"), x["at"].alias("at"))))
+    # the postings that this file looks up: those of phrases all of whose words it holds
+    looked = _once(F.array_intersect(_texts(sorted(counts)), words), lambda held: F.filter(
+        _postings(counts, templates), lambda e: F.forall(e["key"], lambda w: F.array_contains(held, w))))
+    return _once(looked, lambda own: F.when(F.size(own) > 0, _once(votes(own), agreed)))
 
 
 def _verified(words: Column, found: Column, templates) -> Column:
