@@ -14,11 +14,14 @@ so a retried task produces the same rows.
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, as_completed, wait
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,45 +118,182 @@ JUDGE_TRIES = 5
 JUDGE_GAP_SEC = 3.0
 JUDGE_RETRY_WAIT_SEC = 5.0
 JUDGE_FAILED_TEXT = "error"
-# Tasks that call the judge side by side unless told otherwise.
+# Least number of tasks that call the judge side by side unless told otherwise.
 JUDGE_PARTITIONS = 8
+# Answers that a task of :func:`judge_stored` holds before it writes them.
+COMMIT_ROWS = 16
+
+
+class _Pace:
+    """Starts of a task's calls, at least ``spacing`` seconds apart, the first
+    after ``delay``; shared by the calls in flight."""
+
+    def __init__(self, spacing: float, delay: float):
+        self.spacing, self.at, self.lock = spacing, time.monotonic() + delay, threading.Lock()
+
+    def wait(self) -> None:
+        if self.spacing <= 0:
+            return
+        with self.lock:
+            start = max(self.at, time.monotonic())
+            self.at = start + self.spacing
+        time.sleep(max(0.0, start - time.monotonic()))
+
+
+def _asker(call, pace: _Pace, max_retry: int, retry_wait: float):
+    """One request's tries: the answer, or None when all of them failed."""
+    def ask(system_prompt, prompt, max_tokens):
+        for i in range(max_retry):
+            pace.wait()
+            try:
+                return call(system_prompt, prompt, int(max_tokens))
+            except Exception:  # noqa: BLE001 - the judge's failure is data here
+                if retry_wait > 0 and i + 1 < max_retry:
+                    time.sleep(retry_wait)
+        return None
+    return ask
+
+
+def _answered(requests: Iterator[tuple], ask, in_flight: int) -> Iterator[tuple]:
+    """(key, answer) of the requests ``(key, *arguments)`` as they are answered,
+    with at most ``in_flight`` of them asked at a time."""
+    if in_flight == 1:
+        for key, *arguments in requests:
+            yield key, ask(*arguments)
+        return
+    with ThreadPoolExecutor(in_flight) as pool:
+        open_calls = {}
+        for key, *arguments in requests:
+            open_calls[pool.submit(ask, *arguments)] = key
+            if len(open_calls) == in_flight:
+                for done in wait(open_calls, return_when=FIRST_COMPLETED).done:
+                    yield open_calls.pop(done), done.result()
+        for done in as_completed(list(open_calls)):
+            yield open_calls.pop(done), done.result()
+
+
+def _judge_tasks(requests: DataFrame, gap: float, partitions: int | None) -> int:
+    """``partitions``; by default the session's cores, when no rate is stated."""
+    cores = 0 if gap > 0 else requests.sparkSession.sparkContext.defaultParallelism
+    return int(partitions or max(JUDGE_PARTITIONS, cores))
 
 
 def judge(requests: DataFrame, factory: Callable[[], Callable[[str, str, int], str]],
           max_retry: int = JUDGE_TRIES, gap: float = JUDGE_GAP_SEC, retry_wait: float = JUDGE_RETRY_WAIT_SEC,
-          partitions: int | None = None) -> DataFrame:
+          partitions: int | None = None, in_flight: int = 1) -> DataFrame:
     """Call the judge for every request (``system_prompt, prompt,
     max_tokens``) with up to ``max_retry`` tries; after the last failure the
-    text is ``error``. The requests are always dealt to ``n = partitions``
-    tasks; each waits ``gap * n`` seconds between its calls and task ``p`` starts
-    ``gap * p`` seconds late, so the whole job makes at most one call per
-    ``gap``. Adds ``text``; every other column is kept."""
-    n = int(partitions or JUDGE_PARTITIONS)
+    text is ``error``. The requests are dealt to ``n = partitions`` tasks (with
+    no gap, as many as the session has cores); a task's calls, retries included,
+    start at least ``gap * n`` seconds apart and task ``p`` starts ``gap * p``
+    seconds late, so the whole job starts at most one call per ``gap``. A task
+    has up to ``in_flight`` calls open, for judges that take longer than that
+    (its function must then allow calls from several threads). Adds ``text``;
+    every other column is kept."""
+    n = _judge_tasks(requests, gap, partitions)
     df = requests.repartition(n, "question_id")
     schema = T.StructType(list(df.schema.fields) + [T.StructField("text", T.StringType())])
-    wait = float(gap) * int(n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
-        call = factory()
-        first = True
+        ask = _asker(factory(), _Pace(gap * n, gap * TaskContext.get().partitionId()), int(max_retry), retry_wait)
         for pdf in batches:
-            if first and len(pdf) and gap > 0:
-                time.sleep(float(gap) * TaskContext.get().partitionId())
-            texts = []
-            for sp, p, mt in zip(pdf["system_prompt"], pdf["prompt"], pdf["max_tokens"]):
-                if not first and wait > 0:
-                    time.sleep(wait)
-                first = False
-                out = JUDGE_FAILED_TEXT
-                for i in range(int(max_retry)):
-                    try:
-                        out = call(sp, p, int(mt))
-                        break
-                    except Exception:  # noqa: BLE001 - the judge's failure is data here
-                        if retry_wait > 0 and i + 1 < max_retry:
-                            time.sleep(retry_wait)
-                texts.append(out)
+            texts = [JUDGE_FAILED_TEXT] * len(pdf)
+            asked = zip(range(len(pdf)), pdf["system_prompt"], pdf["prompt"], pdf["max_tokens"], strict=True)
+            for i, text in _answered(asked, ask, in_flight):
+                if text is not None:
+                    texts[i] = text
             yield pdf.assign(text=texts)
 
     return df.mapInPandas(run, schema)
+
+
+# Stored answers: one row per answered request, by the hash of what was asked.
+ANSWERS_SCHEMA = "request_key string, answer string"
+
+
+def request_key() -> Column:
+    """SHA-256 of what the judge is asked: prompts and token budget."""
+    return F.sha2(F.to_json(F.struct("system_prompt", "prompt", F.col("max_tokens").cast("int").alias("max_tokens"))), 256)
+
+
+def stored_answers(spark: SparkSession, store: str) -> DataFrame:
+    """``request_key, answer`` of the answers under ``store``; of two answers to
+    one request (a task that ran twice at a time) the smaller text counts."""
+    rows = spark.read.schema(ANSWERS_SCHEMA).option("recursiveFileLookup", "true").parquet(store)
+    return rows.groupBy("request_key").agg(F.min("answer").alias("answer"))
+
+
+def judge_stored(requests: DataFrame, factory: Callable[[], Callable[[str, str, int], str]], store: str,
+                 max_retry: int = JUDGE_TRIES, gap: float = JUDGE_GAP_SEC, retry_wait: float = JUDGE_RETRY_WAIT_SEC,
+                 partitions: int | None = None, in_flight: int = 1, commit_rows: int = COMMIT_ROWS) -> DataFrame:
+    """:func:`judge` whose answers outlive its tasks. Every task writes its
+    answers in files of at most ``commit_rows`` under ``store`` (a folder that
+    driver and executors share, on a store that pyarrow can write) while it
+    runs; a task that is run again, and a later run over the same ``store``, ask
+    only what has no stored answer. A lost task repeats at most the
+    ``commit_rows - 1 + in_flight`` calls that it had not written. Equal requests
+    are asked once. Failed requests get the text ``error`` and are not stored, so
+    that the next run asks them again; an answer that can't be parsed is an
+    answer, so a pass that wants new ones takes a new ``store``. Adds ``text``."""
+    spark = requests.sparkSession
+    n = _judge_tasks(requests, gap, partitions)
+    root = store.rstrip("/")
+    spark.createDataFrame([], ANSWERS_SCHEMA).write.mode("append").parquet(root)  # makes the folder
+    keyed = requests.withColumn("request_key", request_key())
+    asked = keyed.select("request_key", "system_prompt", "prompt", "max_tokens").dropDuplicates(["request_key"])
+    todo = asked.join(stored_answers(spark, root), "request_key", "left_anti").repartition(n, "request_key")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        task = TaskContext.get().partitionId()
+        files, own = _task_folder(f"{root}/deal={n}-{task}")
+        known = _read_answers(files, own)
+        ask = _asker(factory(), _Pace(gap * n, gap * task), int(max_retry), retry_wait)
+        fresh = (row for pdf in batches
+                 for row in zip(pdf["request_key"], pdf["system_prompt"], pdf["prompt"], pdf["max_tokens"], strict=True) if row[0] not in known)
+        held, written = [], 0
+        for key, text in _answered(fresh, ask, in_flight):
+            if text is not None:
+                held.append((key, text))
+            if len(held) == commit_rows:
+                _write_answers(files, own, held)
+                held, written = [], written + len(held)
+        _write_answers(files, own, held)
+        yield pd.DataFrame({"answers": [written + len(held)]})
+
+    todo.mapInPandas(run, "answers bigint").agg(F.sum("answers")).collect()  # one number; the answers lie under the store
+    return (keyed.join(stored_answers(spark, root), "request_key", "left")
+            .withColumn("text", F.coalesce("answer", F.lit(JUDGE_FAILED_TEXT))).drop("request_key", "answer"))
+
+
+def _task_folder(path: str):
+    """(file system, path) of a task's own folder, made if need be."""
+    from pyarrow import fs
+    scheme, _, rest = path.partition(":")
+    files, own = fs.FileSystem.from_uri("/" + rest.lstrip("/") if scheme == "file" else path)
+    files.create_dir(own, recursive=True)
+    return files, own
+
+
+def _read_answers(files, own: str) -> set:
+    """The keys that earlier attempts of the task have written."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+    known = set()
+    for f in files.get_file_info(fs.FileSelector(own)):
+        if f.base_name.startswith("answers-"):
+            known.update(pq.read_table(f.path, columns=["request_key"], filesystem=files)["request_key"].to_pylist())
+    return known
+
+
+def _write_answers(files, own: str, rows: list) -> None:
+    """One file, which gets its name when it is whole."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    if not rows:
+        return
+    keys, texts = zip(*rows, strict=True)
+    name = uuid.uuid4().hex
+    pq.write_table(pa.table({"request_key": pa.array(keys, pa.string()), "answer": pa.array(texts, pa.string())}), f"{own}/_{name}", filesystem=files)
+    files.move(f"{own}/_{name}", f"{own}/answers-{name}.parquet")

@@ -175,15 +175,17 @@ def _judged(requests: DataFrame, judge, judge_factory, attempt: int, judge_optio
     """Judge text for each request: a Column judge stays in SQL; a Python
     judge (J3, ``judge_factory``) runs in ``mapInPandas`` and its output is
     written once (``checkpoint``) before anything parses it, so no later
-    action repeats the calls."""
+    action repeats the calls; with a ``store`` among the options its answers
+    outlive lost tasks and stopped runs too."""
     if judge_factory is not None:
-        from weftmix.operators.external import judge as run_judge
+        from weftmix.operators.external import judge as run_judge, judge_stored
         from weftmix.session import checkpoint_dir
         checkpoint_dir(requests.sparkSession)
         # mapInPandas stops column pruning: only what the judge and the review
         # need goes through Python, and the prompt is not written again
         asked = requests.select("question_id", "answer1_id", "answer2_id", "reviewer_id", "category", "system_prompt", "prompt", "max_tokens")
-        return run_judge(asked, judge_factory, **(judge_options or {})).drop("system_prompt", "prompt").checkpoint(eager=True)
+        ask = judge_stored if "store" in (judge_options or {}) else run_judge
+        return ask(asked, judge_factory, **(judge_options or {})).drop("system_prompt", "prompt").checkpoint(eager=True)
     return attach_judgement(requests, judge, attempt)
 
 

@@ -283,6 +283,7 @@ register("answer_prompts", CV.answer_prompts_sql())(CV.answer_prompts_q)
 # ------------------------------------------------------------ external calls
 from weftmix.operators import external as X  # noqa: E402
 from weftmix.plans import standins as SI  # noqa: E402
+from weftmix.session import scratch_path  # noqa: E402
 from weftmix.plans.sqlparts import cps as _cps  # noqa: E402
 
 
@@ -334,6 +335,17 @@ def q_judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review_cols(rv)
 
 
+@register("judge_resumed", OE.review_answers_sql())
+def q_judge_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 with stored answers: a run that stops after the questions with odd
+    ids, then the whole run over the same store, four calls open a task."""
+    from weftmix.operators.external import judge_stored
+    q, a1, a2, r, p = E.review_inputs(spark, sf_dir)
+    options = {"store": scratch_path(spark, "answers"), "max_retry": 5, "gap": 0.0, "retry_wait": 0.0, "in_flight": 4, "commit_rows": 64}
+    judge_stored(RV.build_review_requests(q.filter("question_id % 2 = 1"), a1, a2, r, p), SI.judge_factory, **options)
+    return _review_cols(RV.review_answers(q, a1, a2, r, p, judge_factory=SI.judge_factory, judge_options=options))
+
+
 # ------------------------------------------------------- training-run tables
 from weftmix.plans import runs as RN  # noqa: E402
 
