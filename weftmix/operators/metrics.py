@@ -175,16 +175,22 @@ def trailing_mean_records(metrics: DataFrame, n: int = LOG_EVERY, cols=("loss",
     spans a whole run."""
     from weftmix.operators.indexing import dense_index
     by = list(by)
-    N = int(n)
-    rec = dense_index(metrics, by, ["step"], out_col="_rec")
+    return trailing_of_places(dense_index(metrics, by, ["step"], out_col="_rec"), n, cols, by).drop("_rec")
+
+
+def trailing_of_places(rec: DataFrame, n: int, cols, by, reported=None) -> DataFrame:
+    """The reports of records whose 0-based place ``_rec`` in their group is
+    known; of those only, for which the condition ``reported`` holds. A step that
+    was logged twice reports twice, told apart by ``_rec``."""
+    by, N = list(by), int(n)
     rec = rec.withColumn("_b", F.floor(F.col("_rec") / N).cast("bigint"))
-    rep = (rec.filter(F.col("step") % N == 0)
-           .select(*by, "step", F.col("_rec").alias("_r"), F.col("_b").alias("_rb")))
+    rep = rec.filter(F.col("step") % N == 0)
+    rep = (rep if reported is None else rep.filter(reported)).select(*by, "step", F.col("_rec").alias("_r"), F.col("_b").alias("_rb"))
     rep = rep.withColumn("_b", F.explode(F.array(F.col("_rb"), F.col("_rb") - 1)))
     vals = rec.select(*by, "_b", "_rec", *cols)
     j = (rep.join(vals, [*by, "_b"], "inner")
          .filter((F.col("_rec") <= F.col("_r")) & (F.col("_rec") > F.col("_r") - N)))
-    return (j.groupBy(*by, "step")
+    return (j.groupBy(*by, "step", F.col("_r").alias("_rec"))
             .agg(F.count(F.lit(1)).alias("n_rows"), *[(F.sum(c) / F.lit(float(N))).alias(f"avg_{c}") for c in cols]))
 
 

@@ -354,6 +354,7 @@ register("perplexity", RN.perplexity_sql())(RN.perplexity_q)
 register("trailing_mean", RN.trailing_mean_sql())(RN.trailing_mean_q)
 register("checkpoint_summary", RN.checkpoint_summary_sql())(RN.checkpoint_summary_q)
 register("trailing_records", RN.trailing_records_sql())(RN.trailing_records_q)
+register("trailing_stream", RN.trailing_records_sql())(RN.trailing_stream_q)
 register("training_log", RN.training_log_sql())(RN.training_log_q)
 register("embedding_delta", RN.embedding_delta_sql())(RN.embedding_delta_q)
 register("embedding_checksum", RN.embedding_checksum_sql())(RN.embedding_checksum_q)

@@ -207,6 +207,27 @@ def stream_mix_q(spark, sf_dir):
     return spark.read.parquet(sink).withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
+def trailing_stream_q(spark, sf_dir):
+    """A7 + F2 over growing logs: four ranks' log files arrive in three parts,
+    one after the other; after each the stream is started again from its
+    checkpoint and reports the last 100 records at every 100th step."""
+    from weftmix.streaming.logs import stream_trailing, stream_training_log
+    e = inputs.table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    last = e.agg(F.max("event_id")).first()[0] or 0  # one number
+    rank = F.pmod(F.col("user_id"), F.lit(4)).cast("string")
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("event_id"))
+    lines = e.select(S.format_training_line(ts, F.col("event_id"), F.lit(LR), F.col("value") / 10.0, F.lit(1.5)).alias("value"),
+                     F.concat(F.lit("log.txt."), rank).alias("log"), F.floor(F.col("event_id") * ARRIVALS / (last + 1)).alias("arrival"))
+    root, state, sink, checkpoint = (scratch_path(spark, f"stream-log-{x}") for x in ("in", "state", "out", "ckpt"))
+    for k in range(ARRIVALS):
+        lines.filter(F.col("arrival") == k).drop("arrival").write.partitionBy("log").text(f"{root}/arrival={k}")
+        # all files that are there make one micro-batch
+        log = stream_training_log(spark, root, files_per_trigger=1 << 30).filter("kind = 'training'")
+        stream_trailing(log, state, sink, checkpoint, 100, ("loss",)).awaitTermination()
+    return spark.read.parquet(sink).select(F.lit("run-0").alias("run"), F.col("rank").cast("bigint").alias("rank"), "step",
+                                           F.col("n_rows").cast("bigint").alias("n_rows"), F.round("avg_loss", 6).alias("avg_loss"))
+
+
 # ---------------------------------------------------------------------- SQL
 TOKENS_SQL = """tok AS (
   SELECT CAST(floor(event_id / 64) AS BIGINT) AS seq_id, event_id % 64 AS pos, value / 10.0 AS nll,

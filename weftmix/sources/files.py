@@ -287,8 +287,13 @@ def parse_log_lines(df: DataFrame, line_col: str = "value") -> DataFrame:
 
 def read_training_log(spark: SparkSession, path) -> DataFrame:
     """Training log files ``log.txt.<rank>``; rank from the file name."""
-    df = (spark.read.option("recursiveFileLookup", "true").text(path)
-          .select("value", F.col("_metadata.file_path").alias("_f")))
+    return ranked_log_lines(spark.read.option("recursiveFileLookup", "true").text(path))
+
+
+def ranked_log_lines(lines: DataFrame) -> DataFrame:
+    """Parsed lines of a text scan, batch or stream, with the rank that the
+    name ``log.txt.<rank>`` of their file, or of its folder, states."""
+    df = lines.select("value", F.col("_metadata.file_path").alias("_f"))
     df = df.withColumn("rank", F.nullif(F.regexp_extract("_f", r"log\.txt\.([0-9]+)(?:/[^/]*)?$", 1), F.lit(""))
                        .try_cast("int")).drop("_f")
     return parse_log_lines(df)

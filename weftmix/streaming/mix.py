@@ -84,7 +84,7 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def folder_exists(spark: SparkSession, path: str) -> bool:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(jsc.hadoopConfiguration()).exists(p)
@@ -95,7 +95,7 @@ def mix_epoch(rows: DataFrame, epoch: int, spec: DataFrame, state_path: str, sin
     """One micro-batch: place its records, write what is full now, keep the rest."""
     spark, state = rows.sparkSession, state_path.rstrip("/")
     before, own = f"{state}/epoch={epoch - 1}", f"{state}/epoch={epoch}"
-    if epoch and not _exists(spark, f"{before}/cursors/_SUCCESS"):
+    if epoch and not folder_exists(spark, f"{before}/cursors/_SUCCESS"):
         raise ValueError(f"no state of micro-batch {epoch - 1} under {state}")
     cursors = spark.read.schema(CURSORS).parquet(f"{before}/cursors") if epoch else start_cursors(spec, world_size)
     placed = place_arrivals(rows, cursors, spec, world_size, batch_size, order_cols)
