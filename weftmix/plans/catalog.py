@@ -152,6 +152,13 @@ def q_review_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review_cols(E.stored_reviews(spark, sf_dir))
 
 
+@register("bucketed_reviews", OE.merge_reviews_sql())
+def q_bucketed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6 on stored reviews: a retry pass rewrites only the buckets that hold
+    a retried question."""
+    return _review_cols(E.bucketed_reviews(spark, sf_dir))
+
+
 @register("eval_tables", OE.review_requests_sql())
 def q_eval_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 on files: all five evaluation tables written, read back with the

@@ -14,6 +14,7 @@ from weftmix.operators.joins import known_rows
 from weftmix.plans import inputs
 from weftmix.session import scratch_path
 from weftmix.sources import files as S
+from weftmix.sources import review_store as RS
 
 REVIEWER_ROWS = [  # reviewer_id, prompt_id, category (file order matters)
     ("judge-general", 1, "general"),
@@ -121,6 +122,21 @@ def stored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_eval_table(spark, f"{root}/merged", S.REVIEW_SCHEMA)
 
 
+REVIEW_BUCKETS = 16
+
+
+def bucketed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First pass in a store of buckets; the pending ones judged again and put
+    in their places."""
+    path = scratch_path(spark, "review-store")
+    q, a1, a2, r, p = review_inputs(spark, sf_dir)
+    RS.write_review_store(rv.review_answers(q, a1, a2, r, p, stand_in_judge), path, REVIEW_BUCKETS)
+    todo = rv.pending_reviews(RS.read_review_store(spark, path)).select("question_id")
+    again = rv.build_review_requests(q.join(todo, "question_id", "left_semi"), a1, a2, r, p, retry=True)
+    RS.merge_into_store(spark, path, rv.to_reviews(rv.attach_judgement(again, stand_in_judge, 1)))
+    return RS.read_review_store(spark, path)
+
+
 def label_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored-review stand-in from ``labels``: judge text whose two scores
     follow quality and toxicity, in one of five text shapes, joined to the
