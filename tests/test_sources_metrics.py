@@ -70,6 +70,16 @@ def test_shuffled_shards(spark, tmp_dir):
     assert back.count() == 300 and back.select("shard").distinct().count() <= 4
 
 
+def test_a_task_writes_one_shard(spark, tmp_dir):
+    df = spark.range(0, 4000).select(F.col("id").alias("doc_id"), F.lit("t" * 40).alias("text"))
+    for k, (n, shard_bytes) in enumerate([(9, S.SHARD_BYTES), (None, 48 * 250)]):
+        made = S.write_shuffled_shards(df, f"{tmp_dir}/{k}", n, 1, ["doc_id"], world_size=2, shard_bytes=shard_bytes)
+        files = [(d.split("=")[1], x.split("-")[1]) for d in os.listdir(f"{tmp_dir}/{k}") if d.startswith("shard=")
+                 for x in os.listdir(f"{tmp_dir}/{k}/{d}") if x.startswith("part-")]
+        assert len(files) == made and all(int(shard) == int(task) for shard, task in files)
+        assert spark.read.json(f"{tmp_dir}/{k}").count() == 4000
+
+
 def test_masked_loss_and_perplexity(spark):
     t = spark.createDataFrame([(0, 0, 9.0, 1), (0, 1, 1.0, 1), (0, 2, 3.0, 1), (0, 3, 5.0, 0), (1, 0, 2.0, 1)],
                               "seq_id long, pos int, nll double, loss_mask int")

@@ -169,6 +169,8 @@ def write_features(features: DataFrame, path: str, mode: str = "overwrite", fmt:
 
 
 SHARD_BYTES = 1 << 30
+#: Ranges of the order that a shard's bytes are summed in; a task gets a few.
+SHARD_RANGES = 64
 
 
 def write_prompt_pools(pools: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -193,13 +195,15 @@ def place_in_shards(df: DataFrame, shard_bytes: int, seed: int, id_cols, world_s
 
     The running sum is taken in two levels. The hash is uniform, so its equal
     ranges hold about the same number of records: each range is summed by a
-    window of its own, and the ranges' totals give the starts."""
+    window of its own, and the ranges' totals give the starts. A range is a
+    small part of a shard, so the tasks that the ranges are dealt to by hash
+    read about the same bytes."""
     ids = list(id_cols)
     rows = df.withColumn("_order", seeded_hash(ids, f"order-{seed}")).withColumn("_bytes", record_bytes(df))
     total = rows.agg(F.sum("_bytes")).first()[0] or 0
     target = max(1, min(int(shard_bytes), -(-total // int(world_size))))
     n_shards = max(int(world_size), -(-total // target))
-    ranges = 4 * n_shards
+    ranges = SHARD_RANGES * n_shards
     rows = rows.withColumn("_range", F.floor(F.col("_order") * ranges / (1 << 32)).cast("int"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     starts = rows.groupBy("_range").agg(F.sum("_bytes").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
@@ -216,9 +220,11 @@ def write_shuffled_shards(df: DataFrame, path: str, n_shards: int | None, seed:
 
     The order is a seeded hash, then the ids. Without ``n_shards`` shards are
     balanced by bytes, ``shard_bytes`` each (:func:`place_in_shards`); with it
-    a second seeded hash deals the records to that many. A range shuffle over
-    the shard numbers gives every task its own few shards; each shard is one
-    file. At least one shard per rank is made.
+    a second seeded hash deals the records to that many. The shard number is
+    the task's number, so a task reads and writes one shard, and each shard is
+    one file (a range shuffle over so few values would put neighbours, with two
+    shards often the whole table, into one task). At least one shard per rank
+    is made.
     """
     ids = list(id_cols)
     if n_shards is None:
@@ -228,7 +234,7 @@ def write_shuffled_shards(df: DataFrame, path: str, n_shards: int | None, seed:
     else:
         placed = (df.withColumn("shard", (seeded_hash(ids, f"shard-{seed}") % int(n_shards)).cast("int"))
                   .withColumn("_order", seeded_hash(ids, f"order-{seed}")))
-    out = placed.repartitionByRange(int(n_shards), "shard").sortWithinPartitions("shard", "_order", *ids, F.xxhash64(*df.columns)).drop("_order")
+    out = placed.repartitionById(int(n_shards), F.col("shard")).sortWithinPartitions("shard", "_order", *ids, F.xxhash64(*df.columns)).drop("_order")
     out.write.mode(mode).partitionBy("shard").option("ignoreNullFields", "false").json(path)
     return int(n_shards)
 
