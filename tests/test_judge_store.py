@@ -108,3 +108,33 @@ def test_equal_requests_once_and_failures_again(spark, tmp_dir):
     again = judge_stored(req, counted(log, lambda p: "1 2"), store, partitions=2, **NO_WAIT).collect()
     assert sorted(r["text"] for r in again) == ["1 2", "8 7", "8 7", "8 7"]
     assert judge_stored(req.limit(0), counted(log), f"{tmp_dir}/empty", **NO_WAIT).count() == 0
+
+
+def test_stand_in_judge_holds_no_answered_prompts():
+    import weakref
+
+    from weftmix.plans.standins import _h, judge_factory
+
+    class Prompt(str):
+        pass
+    call, held = judge_factory(), []
+    for k in [k for k in range(400) if _h(f"p{k}", "flaky") % 4 == 0]:
+        p = Prompt(f"p{k}")
+        with pytest.raises(RuntimeError):
+            call("s", p, 9)
+        assert call("s", p, 9) == call("s", p, 9)
+        held.append(weakref.ref(p))
+        del p
+    assert len(held) > 50 and sum(x() is not None for x in held) <= 1
+
+
+def test_judged_rows_keep_their_columns_and_nulls(spark):
+    df = spark.createDataFrame([(1, "s", "p1", 5, {"a": "b"}), (2, None, "p2", 5, None), (3, "s", None, 5, {}), (4, "s", "p4", None, None)],
+                               "question_id long, system_prompt string, prompt string, max_tokens int, more map<string,string>")
+
+    def factory():
+        return lambda s, p, m: f"{s} {p} {m}"
+    rows = judge(df, factory, partitions=2, in_flight=2, **NO_WAIT)
+    assert rows.columns == [*df.columns, "text"]
+    assert sorted((r["question_id"], r["more"], r["text"]) for r in rows.collect()) == [
+        (1, {"a": "b"}, "s p1 5"), (2, None, "None p2 5"), (3, {}, "s None 5"), (4, None, "error")]
