@@ -221,3 +221,13 @@ def test_sentencepiece_tokenizer_udf(spark, tmp_dir):
     feats = make_features(ex.with_prefix(e, 1), 64, tokenizer=X.TokenizerUDF(X.sentencepiece_factory(model))).collect()
     for r in feats:
         assert r.input_ids[0] == 1 and len(r.input_ids) == len(r.loss_mask) == r.pad_len
+
+
+def test_tokenizer_takes_a_slice_of_texts_at_a_time(spark):
+    import pyarrow as pa
+    assert [len(x) for x in X.text_slices(pa.array(["aa", None, "bb", "", "ccc", "dddddd", None]), 4)] == [4, 1, 1, 1]
+    text = F.when(F.col("id") % 50 == 3, F.lit(None)).otherwise(F.repeat(F.col("id").cast("string"), 700))
+    df = spark.range(0, 3000, 1, 1).select("id", text.alias("text"))  # one batch of several slices
+    got = df.withColumn("ids", X.with_tokenizer(X.codepoint_tokenizer_factory)("text")).collect()
+    assert len(got) == 3000
+    assert all(r["ids"] == (None if r["text"] is None else [ord(c) + 3 for c in r["text"]]) for r in got)

@@ -3,13 +3,13 @@
 A tokenizer, a generator model or a remote judge cannot be a SQL
 expression, so these run as Arrow-batched Python on executors:
 
-* J1: an iterator ``pandas_udf`` — the tokenizer factory is called once per
+* J1: an iterator ``arrow_udf`` — the tokenizer factory is called once per
   task, before the batch loop, then every Arrow batch is encoded;
 * J2: ``mapInPandas``, J3: ``mapInArrow`` — the model/judge factory is called
   once per partition; rows stream through in Arrow batches.
 
-A judge's batch stays in Arrow's memory, which Spark bounds by bytes; its texts
-become Python objects a row at a time.
+A batch stays in Arrow's memory, which Spark bounds by bytes; texts become
+Python objects a slice (J1) or a row (J3) at a time.
 
 Calls are deterministic functions of the row (ids are hashes, not random),
 so a retried task produces the same rows.
@@ -36,22 +36,42 @@ from weftmix.operators.chat import chat_template, question_conversations
 
 
 # --------------------------------------------------------------------- J1
+#: Bytes of text that a task turns into ids at a time.
+SLICE_BYTES = 1 << 20
+
+
+def text_slices(batch: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The batch's texts in order, in slices of at most ``most`` bytes or one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def with_tokenizer(factory: Callable[[], Callable[[str], list]], bos: bool = False, eos: bool = False):
     """Returns ``encode(col) -> Column[ARRAY<INT>]`` backed by an
-    iterator pandas UDF. ``factory()`` loads the tokenizer (e.g. a
+    iterator Arrow UDF. ``factory()`` loads the tokenizer (e.g. a
     sentencepiece model file) once per task; its result maps one string to
-    a list of ids. ``bos``/``eos`` add ids 1/2 like H1."""
+    a list of ids. ``bos``/``eos`` add ids 1/2 like H1. A batch's ids, several
+    times as large as its texts, leave the task in slices."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def _encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
         tok = factory()
         head = np.array([1] if bos else [], dtype=np.int32)
         tail = np.array([2] if eos else [], dtype=np.int32)
-        for s in batches:
-            # numpy arrays convert to Arrow lists far faster than Python lists
-            yield s.map(lambda t: None if t is None
-                        else np.concatenate([head, np.asarray(tok(t), dtype=np.int32), tail]))
+        for batch in batches:
+            for part in text_slices(batch):
+                # numpy arrays convert to Arrow lists far faster than Python lists
+                yield pa.array([None if t is None else np.concatenate([head, np.asarray(tok(t), dtype=np.int32), tail])
+                                for t in part.to_pylist()], pa.list_(pa.int32()))
+
+    _encode = F.arrow_udf(_encode, T.ArrayType(T.IntegerType()))
 
     def encode(col) -> Column:
         return _encode(F.col(col) if isinstance(col, str) else col)
