@@ -61,3 +61,18 @@ def test_subword_queries_against_the_library(spark):
         own = [1, *ids[x["doc_id"]], 2][:T.MAX_LEN]
         padded = own + [0] * (x["pad_len"] - len(own))
         assert x["ids_md5"] == hashlib.md5(",".join(map(str, padded)).encode()).hexdigest()
+
+
+def test_a_slice_of_texts_at_a_time():
+    import pyarrow as pa
+    texts = ["é" * 300_000, None, "", "a" * 700_000, "b" * 400_000, "c" * 3_000_000, None, "d"]
+    asked = []
+
+    def encode(part):
+        asked.append(sum(len(t.encode()) for t in part))
+        return [[len(t)] * (len(t) % 7) for t in part]
+    # a slice of an array, as batches may be
+    parts = list(subword.encoded(pa.array(["x", *texts])[1:], encode))
+    assert pa.concat_arrays(parts).to_pylist() == [None if t is None else [len(t)] * (len(t) % 7) for t in texts]
+    assert asked == [600_000, 700_000, 400_000, 3_000_000, 1]
+    assert list(subword.encoded(pa.array([], pa.string()), encode)) == []

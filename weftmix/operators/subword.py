@@ -1,8 +1,9 @@
 """J1 with a sub-word model: tokenizers of public libraries as Columns.
 
 The model file goes to every executor once (``SparkContext.addFile``) and is
-opened once per task. A batch of texts becomes one Arrow list column: all ids
-as one array of values and one of offsets. The kind follows the file's name:
+opened once per task. A slice of a batch's texts becomes one Arrow list column:
+all ids as one array of values and one of offsets. The kind follows the file's
+name:
 
 * ``*.model`` — sentencepiece (the reference's kind of tokenizer);
 * ``*.json`` — tokenizers; special tokens in a text are their own ids, as the
@@ -26,6 +27,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftmix.operators.external import text_slices
+
 
 def load(path: str, pattern: str | None = None) -> Callable[[list[str]], list]:
     """texts -> the ids of each, by the library that the file belongs to."""
@@ -59,6 +62,13 @@ def as_lists(ids: list, null: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(null) if null.any() else None)
 
 
+def encoded(batch: pa.Array, encode: Callable[[list[str]], list]) -> Iterator[pa.ListArray]:
+    """The ids of a batch's texts, a slice of the texts at a time."""
+    for part in text_slices(batch):
+        null = part.is_null().to_numpy(zero_copy_only=False)
+        yield as_lists(encode(part.fill_null("").to_pylist()), null)
+
+
 class SubwordTokenizer:
     """A tokenizer for ``functions.tokens.encode`` and ``make_features``."""
 
@@ -71,8 +81,7 @@ class SubwordTokenizer:
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encode = load(SparkFiles.get(name), pattern)
             for batch in batches:
-                null = batch.is_null().to_numpy(zero_copy_only=False)
-                yield as_lists(encode(batch.fill_null("").to_pylist()), null)
+                yield from encoded(batch, encode)
         self._udf = F.arrow_udf(ids, "array<int>")
 
     def ids(self, text: Column | str) -> Column:
